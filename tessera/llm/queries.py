@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import packing, token_table, url_rules
+from . import ann, packing, simhash, token_table, url_rules
 from ._shared import fresh_path
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -35,6 +36,16 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID)
 
 
+def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.filter(F.col("vec_id") % 50 == 0), 5)
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 OP3_SQL = """
 WITH u AS (
   SELECT page_id,
@@ -58,7 +69,7 @@ FROM u
 
 
 def queries() -> dict:
-    return {"op3_url_rules": op3_url_rules, "op5_token_table": op5_token_table, "op8_packing": op8_packing}
+    return {f.__name__: f for f in (op3_url_rules, op4_rotated_codes, op5_token_table, op8_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
