@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, packing, simhash, token_table, url_rules
+from . import ann, decontaminate, packing, simhash, token_table, url_rules
 from ._shared import fresh_path
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -32,6 +32,13 @@ def op5_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_table.read_shards(spark, shards)
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.hits(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    listed = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(listed, 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID)
 
@@ -69,7 +76,7 @@ FROM u
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_rules, op4_rotated_codes, op5_token_table, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op3_url_rules, op4_rotated_codes, op5_token_table, op7_winnowing, op8_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
