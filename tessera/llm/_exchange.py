@@ -75,13 +75,13 @@ def repeated(chunked: DataFrame, prints: Callable[[pa.Table], tuple[np.ndarray,
 
     def offer(table: pa.Table) -> pa.Table:
         hashes, counts = prints(table)
-        rows = [(b, short(hashes[at]), np.minimum(counts[at], 255).astype(np.uint8).tobytes()) for b, at in by_bucket(hashes, buckets)]
+        rows = [(b, short(hashes[at]), np.minimum(counts[at], 65535).astype("<u2").tobytes()) for b, at in by_bucket(hashes, buckets)]
         chunk = table.column("chunk")[0].as_py()
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()), "chunk": pa.array([chunk] * len(rows), pa.int32()), "hashes": pa.array([r[1] for r in rows], pa.binary()), "counts": pa.array([r[2] for r in rows], pa.binary())})
 
     def judge(table: pa.Table) -> pa.Table:
         parts = [wide(x) for x in table.column("hashes").to_pylist()]
-        counts = np.concatenate([np.frombuffer(x, np.uint8) for x in table.column("counts").to_pylist()]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("counts").to_pylist()]).astype(np.int64)
         hashes = np.concatenate(parts)
         order = np.argsort(hashes, kind="stable")
         ordered = hashes[order]

@@ -158,10 +158,10 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: str) -> tuple[np.ndarray,
 
 
 def window_cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
-    """True for each of n places that a window beginning at one of ``starts`` covers."""
+    """True for each of n places that a window beginning at one of ``starts`` (distinct, ending by n) covers."""
     d = np.zeros(n + 1, np.int32)
-    np.add.at(d, starts, 1)
-    np.add.at(d, np.minimum(starts + width, n), -1)
+    d[starts] += 1
+    d[starts + width] -= 1
     return np.cumsum(d[:n]) > 0
 
 

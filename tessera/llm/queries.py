@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, packing, shared_windows, simhash, token_table, url_rules
+from . import ann, decontaminate, packing, shared_windows, simhash, suffix_dedup, token_table, url_rules
 from ._shared import fresh_path
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -22,6 +22,10 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(_table(spark, sf_dir, "documents"), keep="none")
+
+
 def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = _table(spark, sf_dir, "pages").select("page_id", "url")
     return url_rules.apply_rules(pages, url_rules.rules_frame(spark, URL_RULES)).select("page_id", "host", "path", "rule", "verdict")
@@ -80,7 +84,7 @@ FROM u
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_url_rules, op4_rotated_codes, op5_token_table, op6_difference_cover, op7_winnowing, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op2_suffix_array, op3_url_rules, op4_rotated_codes, op5_token_table, op6_difference_cover, op7_winnowing, op8_packing, op9_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
