@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontaminate, packing, shared_windows, simhash, suffix_dedup, token_table, url_rules
+from . import ann, decontaminate, language, packing, shared_windows, simhash, suffix_dedup, token_table, toxicity, url_rules
 from ._shared import fresh_path
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
@@ -22,6 +22,10 @@ def _tokenizer(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op2_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(_table(spark, sf_dir, "documents"), keep="none")
 
@@ -61,6 +65,11 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language.predict(docs, language.learn(docs))
+
+
 OP3_SQL = """
 WITH u AS (
   SELECT page_id,
@@ -84,7 +93,7 @@ FROM u
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_suffix_array, op3_url_rules, op4_rotated_codes, op5_token_table, op6_difference_cover, op7_winnowing, op8_packing, op9_simhash)}
+    return {f.__name__: f for f in (op1_toxicity, op2_suffix_array, op3_url_rules, op4_rotated_codes, op5_token_table, op6_difference_cover, op7_winnowing, op8_packing, op9_simhash, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
