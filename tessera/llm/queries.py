@@ -16,7 +16,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _tokenizer(name: str) -> str:
+def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return str(public_tokenizers.path(name))
@@ -36,7 +36,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = token_table.write_shards(_table(spark, sf_dir, "documents"), fresh_path(spark, "token-table"), _tokenizer("byte_bpe_50k.json"), END_ID)
+    shards = token_table.write_shards(_table(spark, sf_dir, "documents"), fresh_path(spark, "token-table"), tokenizer_path("byte_bpe_50k.json"), END_ID)
     return token_table.read_shards(spark, shards)
 
 
@@ -52,7 +52,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(_table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), END_ID)
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), END_ID)
 
 
 def op4_rotated_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -80,13 +80,14 @@ def _fingerprint_batch(text, width: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long) of each document."""
+    """doc_id, text_hash, fp (the 64 bits as a long) of each document."""
 
     def run(batches):
         for part in slices(batches, "text", 1_000_000):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(_fingerprint_batch(part.column("text"), width).view(np.int64))], names=["doc_id", "fp"])
+            fp = pa.array(_fingerprint_batch(part.column("text"), width).view(np.int64))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), fp], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 @lru_cache(maxsize=1)
@@ -222,12 +223,32 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
-    """doc_id, fp, component_id (the smallest doc_id reachable over links) of each document."""
+def _rooted(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
+    """(fingerprints of the documents, the component root and smallest doc_id of each distinct fingerprint)"""
     prints = stored(fingerprints(docs, width), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = components(links(classes))
-    named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    return prints, classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """doc_id, fp, component_id (the smallest doc_id reachable over links) of each document."""
+    prints, named = _rooted(docs, width)
     names = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_print = named.join(names, "root").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
+    """One document of each component, the one with the smallest doc_id (then text hash); all columns."""
+    prints, named = _rooted(docs, width)
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    chosen = prints.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("best"))
+
+    def key(doc_id, text_hash):
+        return F.concat_ws(":", doc_id.cast("string"), text_hash.cast("string"))
+
+    keys = chosen.select(key(F.col("best.doc_id"), F.col("best.text_hash")).alias("_key"))
+    kept = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, "_key", "left_semi")
+    # repeated rows have one key
+    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_n = 1").drop("_n", "_key")
