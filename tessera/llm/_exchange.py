@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CHUNKS_PER_PARTITION = 3
+CHUNKS_PER_PARTITION = 2
 SHORT = 6  # bytes of a hash that are sent, besides what the bucket says
 OFFERS = "bucket int, chunk int, hashes binary, counts binary"
 ANSWERS = "chunk int, hashes binary, counts binary"
