@@ -135,17 +135,29 @@ def _components(rows: DataFrame, rule: Rule) -> DataFrame:
     return rows.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("component", F.concat_ws("\2", "stratum", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_gap")
 
 
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written in the shared checkpoint folder; lineage ends here."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            import tempfile
+
+            folder = tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def _merge_by_person(rows: DataFrame) -> DataFrame:
     """Components that hold rows of one control person become one (the least name wins, until nothing changes)."""
-    links = rows.filter(~F.col("is_case")).select("id", "component").distinct()
+    links = _checkpointed(rows.filter(~F.col("is_case")).select("id", "component").distinct())
     names = links.select("component").distinct().withColumn("root", F.col("component"))
     for _ in range(50):
         least = links.join(names, "component").groupBy("id").agg(F.min("root").alias("r"))
         new = links.join(least, "id").groupBy("component").agg(F.min("r").alias("new"))
-        step = names.join(new, "component").select("component", F.least("root", "new").alias("root"), (F.col("new") < F.col("root")).alias("moved")).persist()
-        changed = step.filter("moved").limit(1).count()
+        step = _checkpointed(names.join(new, "component").select("component", F.least("root", "new").alias("root"), (F.col("new") < F.col("root")).alias("moved")))
         names = step.select("component", "root")
-        if not changed:
+        if not step.filter("moved").limit(1).count():
             break
     return rows.join(names, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
 
@@ -188,7 +200,7 @@ def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str |
     return pairs, audit
 
 
-def match_rounds(df: DataFrame, who: str, value: str, case: str, rule: Rule, rounds: int = 200, every: int = 4) -> DataFrame:
+def match_rounds(df: DataFrame, who: str, value: str, case: str, rule: Rule, rounds: int = 200) -> DataFrame:
     """Pairs by the round form (unique rows, no Gower distance), for components that don't fit one task.
 
     Each round settles every case whose turn is the least among the bidders on each of its remaining controls. A settled case takes its nearest ones
@@ -202,14 +214,7 @@ def match_rounds(df: DataFrame, who: str, value: str, case: str, rule: Rule, rou
     bids = band_pairs(cases.select("id", F.col("value").alias("cv"), "stratum", "turn"), usable.filter(~F.col("is_case")).select(F.col("id").alias("kid"), F.col("value").alias("kv"), "stratum"), ("cv", "kv"), max(rule.caliper, 1e-9), ["stratum"])
     bids = bids.select("id", "turn", "kid", "cv", "kv", F.abs(F.col("cv") - F.col("kv")).alias("d"))
     spark, settled = df.sparkSession, None
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-    bids = bids.checkpoint()
+    bids = _checkpointed(bids)
     for _ in range(rounds):
         if rule.whole:
             enough = bids.groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= rule.ratio).select("id")
@@ -247,27 +252,30 @@ def match_groups(df: DataFrame, who: str, value: str, group: str, targets: Seque
 def feasibility(df: DataFrame, who: str, value: str, case: str, calipers: Sequence[float]) -> DataFrame:
     """(caliper, n_cases, n_with_candidate, max_pairs): how many cases have a control, and the most disjoint pairs there can be."""
     out = None
-    for c in calipers:
-        rule = Rule(caliper=c)
+    for width in calipers:
+        rule = Rule(caliper=width)
         cut = _components(_frame(df, who, value, case, rule, None), rule)
-
-        def count(frame: pd.DataFrame, width: float = c) -> pd.DataFrame:
-            a, b = sorted(frame[frame.is_case].value), sorted(frame[~frame.is_case].value)
-            some = sum(1 for x in a if any(True for _ in _near(b, x, width)))
-            pairs = i = 0
-            for x in a:
-                while i < len(b) and b[i] < x - width - 1e-9:
-                    i += 1
-                if i < len(b) and b[i] <= x + width + 1e-9:
-                    pairs, i = pairs + 1, i + 1
-            return pd.DataFrame([(len(a), some, pairs)], columns=["n_cases", "n_with_candidate", "max_pairs"])
-
-        found = cut.groupBy("component").applyInPandas(count, "n_cases long, n_with_candidate long, max_pairs long").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_cases", "n_with_candidate", "max_pairs")])
-        found = found.select(F.lit(float(c)).alias("caliper"), "*")
+        found = cut.groupBy("component").applyInPandas(_counter(width), "n_cases long, n_with_candidate long, max_pairs long").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_cases", "n_with_candidate", "max_pairs")])
+        found = found.select(F.lit(float(width)).alias("caliper"), "*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _counter(width: float):
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        a, b = sorted(frame[frame.is_case].value), sorted(frame[~frame.is_case].value)
+        some = sum(1 for x in a if any(True for _ in _near(b, x, width)))
+        pairs = i = 0
+        for x in a:
+            while i < len(b) and b[i] < x - width - 1e-9:
+                i += 1
+            if i < len(b) and b[i] <= x + width + 1e-9:
+                pairs, i = pairs + 1, i + 1
+        return pd.DataFrame([(len(a), some, pairs)], columns=["n_cases", "n_with_candidate", "max_pairs"])
+
+    return count
+
+
 def _near(values: list, x: float, width: float):
     import bisect
 

@@ -247,6 +247,10 @@ def evaluate_across(df: DataFrame, vector: str, target: str, own: str, other_hea
 # harmonization
 
 
+def _times(factor: Column):
+    return lambda v: v * factor
+
+
 def harmonizer(df: DataFrame, vector: str, source: str, reference: str, age: str, sex: str, label: str, dim: int, alpha: float = 1.0, scale: bool = False) -> DataFrame:
     """(source, shift, ratio): additive source effects of each vector element, next to age, sex and label.
 
@@ -272,7 +276,7 @@ def harmonizer(df: DataFrame, vector: str, source: str, reference: str, age: str
         raise CheckFailed("source, label, age and sex can't be told apart")
     from pyspark.ml.stat import Summarizer
 
-    sums = weighted.agg(*[vector_to_array(Summarizer.sum(array_to_vector(F.transform("_v", lambda v, i=i: v * F.col("_w") * F.col(f"_x{i}"))))).alias(f"s{i}") for i in range(p)]).first()
+    sums = weighted.agg(*[vector_to_array(Summarizer.sum(array_to_vector(F.transform("_v", _times(F.col("_w") * F.col(f"_x{i}")))))).alias(f"s{i}") for i in range(p)]).first()
     ridge = np.diag([0.0] * (p - len(others)) + [alpha * 1e-3] * len(others))
     beta = np.linalg.solve(g + ridge, np.array([sums[f"s{i}"] for i in range(p)]))
     shifts = {s: beta[p - len(others) + i] for i, s in enumerate(others)} | {reference: np.zeros(dim)}

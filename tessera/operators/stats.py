@@ -179,7 +179,8 @@ def adjusted_effect(df: DataFrame, outcome: str, exposure: str, numeric: Sequenc
 def _effect(n, estimate: float, se: float, names: list[str]) -> dict:
     z = estimate / se if se > 0 else math.nan
     p = tails.normal_two_sided(z) if se > 0 else math.nan
-    return {"n": n.n, "n_exposed": n.a, "n_reference": n.b, "estimate": float(estimate), "se": se, "ci_low": estimate - 1.96 * se, "ci_high": estimate + 1.96 * se, "p_value": p, "design": names}
+    estimate = float(estimate)
+    return {"n": n.n, "n_exposed": n.a, "n_reference": n.b, "estimate": estimate, "se": se, "ci_low": estimate - 1.96 * se, "ci_high": estimate + 1.96 * se, "p_value": p, "design": names}
 
 
 def clustered_effect(df: DataFrame, outcome: str, exposure: str, cluster: str, numeric: Sequence[str] = ("age",), categorical: Sequence[str] = ()) -> dict:
