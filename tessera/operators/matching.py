@@ -16,6 +16,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -74,25 +75,31 @@ def _solve(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
     """Sequential greedy over one component: columns id, value, is_case, priority, tie and the distance columns."""
     cases = frame[frame.is_case].sort_values(["priority", "id"])
     pool = frame[~frame.is_case].sort_values(["value", "id", "tie"]).reset_index(drop=True)
-    values = pool.value.to_numpy()
-    free = pd.Series(True, pool.index)
-    people = pool.id.to_numpy()
+    values, names = pool.value.to_numpy(), pool.id.to_numpy()
+    person = np.unique(names.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
+    tie = np.unique(pool.tie.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
+    free = np.ones(person.max() + 1 if len(pool) else 0, bool)
     pairs, audit = [], []
     for case in cases.to_dict("records"):
-        lo, hi = values.searchsorted(case["value"] - rule.caliper - 1e-9), values.searchsorted(case["value"] + rule.caliper + 1e-9, "right")
-        near = pool.iloc[lo:hi][free.iloc[lo:hi].to_numpy()]
-        near = near.assign(d=(near.value - case["value"]).abs())
-        near = near[near.d <= rule.caliper]
-        near = near.assign(g=gower(case, near, rule.distance, rule.numeric) if rule.distance and len(near) else 0.0)
-        near = near.sort_values(["g", "d", "id", "tie"]).drop_duplicates("id")
+        x = case["value"]
+        near = np.arange(np.searchsorted(values, x - rule.caliper - 1e-9), np.searchsorted(values, x + rule.caliper + 1e-9, "right"))
+        d = np.abs(values[near] - x)
+        keep = free[person[near]] & (d <= rule.caliper)
+        near, d = near[keep], d[keep]
+        g = gower(case, pool.iloc[near], rule.distance, rule.numeric).to_numpy() if rule.distance and len(near) else np.zeros(len(near))
+        order = np.lexsort((tie[near], person[near], d, g))
+        near, d, g = near[order], d[order], g[order]
+        if len(near) > len(set(person[near].tolist())):  # a person's nearest row stands for it
+            once = np.sort(np.unique(person[near], return_index=True)[1])
+            near, d, g = near[once], d[once], g[once]
         enough = len(near) >= (rule.ratio if rule.whole else 1)
-        taken = near.head(rule.ratio) if enough else near.head(0)
-        for rank, c in enumerate(taken.itertuples(), 1):
-            pairs.append((case["id"], c.id, rank, case["priority"], case["value"], c.value, c.d, c.g))
-        if len(taken):
-            free[pd.Series(people).isin(taken.id).to_numpy()] = False
-        reason = None if len(taken) == rule.ratio else "partial_ratio" if len(taken) else "too_few_controls"
-        audit.append((case["id"], case["value"], bool(len(taken)), len(taken), len(near), reason))
+        take = rule.ratio if enough else 0
+        for rank, (k, dk, gk) in enumerate(zip(near[:take].tolist(), d[:take].tolist(), g[:take].tolist(), strict=True), 1):
+            pairs.append((case["id"], names[k], rank, case["priority"], x, float(values[k]), dk, gk))
+        taken = min(take, len(near))
+        free[person[near[:take]]] = False
+        reason = None if taken == rule.ratio else "partial_ratio" if taken else "too_few_controls"
+        audit.append((case["id"], x, bool(taken), taken, len(near), reason))
     return pairs, audit
 
 
