@@ -38,14 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import bucket_of, find, known, low, repeated, sizes, with_chunks
-from ._text import buffer, byte_hash, inside, runs, slices, sliding_min, window_cover
+from ._text import buffer, byte_hash, inside, mix, runs, slices, sliding_min, window_cover
 from ._tokens import gather
 
 LENGTH = 400
 GRAM = 100
-HOT = 2000
+HOT = 700
 NULL_ID = 2**63 - 1
-BATCH_BITS = 21  # a suffix array has fewer than 2**21 places, so that two ranks and a place fit 63 bits
+BATCH_BITS = 19  # a suffix array has fewer than 2**19 places; HOT stretches fit one
 STRETCH = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("size", "<i4"), ("count", "u1")])
 WINDOW = np.dtype([("content", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("count", "u1")])
 OFFER = "bucket int, chunk int, kind int, rows binary, texts binary"
@@ -74,7 +74,8 @@ class Part:
         self.first = windows[begin]
         self.last = windows[np.concatenate((begin[1:], [len(windows)])) - 1]
         self.anchor = place[begin]
-        self.code = h[self.anchor]
+        # least hashes are all small; mixed again they spread over the buckets
+        self.code = mix(h[self.anchor])
 
     def owner(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(doc_id, place in the document) of places."""
