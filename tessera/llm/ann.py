@@ -3,8 +3,8 @@
 A unit vector o is rotated and kept as the signs of its D coordinates (packed bits) and one scalar,
 c = <signs / sqrt(D), o>. For a rotated unit query q, <signs / sqrt(D), q> / c estimates <o, q>; its
 error stays under ERROR * sqrt((1 - c*c) / (c*c * (D - 1))) but for a tail that shrinks as
-exp(-ERROR**2 / 2). In each block, vectors whose upper bound reaches the k-th best lower bound
-are reranked by exact cosine in double precision on the original vectors; the best k of all
+exp(-ERROR**2 / 2). In each block, the best by estimate are scored exactly (cosine in double precision
+on the original vectors); vectors whose upper bound reaches the k-th of those scores are reranked, and the best k of all
 blocks stay. The rotation is drawn from a seed; nothing is fitted, and every row is coded.
 
 Queries in blocks meet blocks of coded vectors. Equal vectors are one entry with its k + 1
@@ -24,8 +24,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-ERROR = 4.0
+ERROR = 3.0
 QUERY_BLOCK = 2048
+QUERIES_AT_ONCE = 64
 ENTRY_BLOCK = 8192
 SEED = 7
 RESULT = "query_id long, vec_id long, score double"
@@ -58,6 +59,14 @@ def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
 
 
+def _pairs(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact scores of (query, entry) pairs, some thousand vectors at a time."""
+    out = np.empty(len(i))
+    for a in range(0, len(i), 16384):
+        out[a : a + 16384] = _cosine(q[i[a : a + 16384]], v[j[a : a + 16384]])
+    return out
+
+
 def coded_blocks(entries: DataFrame, dim: int) -> DataFrame:
     """Entries (v, ids) as blocks: packed bits, correction scalars, original vectors, ids."""
 
@@ -91,19 +100,27 @@ def _search(row: dict, dim: int, k: int, turn: np.ndarray) -> tuple[list, list,
     error = ERROR * np.sqrt(np.maximum(0, 1 - c * c) / (c * c * (size - 1))) + 1e-5
     out: tuple[list, list, list] = ([], [], [])
     rotated = (_unit(q) @ turn).astype(np.float32)
-    for a in range(0, len(q), 256):
-        near = (rotated[a : a + 256] @ signs.T) / (np.sqrt(np.float32(size)) * c)
-        low = near - error
-        want = min(k + 1, len(v)) - 1  # one entry may be the query's own row
-        bar = np.partition(low, len(v) - 1 - want, axis=1)[:, len(v) - 1 - want]
-        i, j = np.nonzero(near + error >= bar[:, None])
-        score = _cosine(q[a + i], v[j])
+    only = np.where(counts == 1, ids[begin], -1)
+    for a in range(0, len(q), QUERIES_AT_ONCE):
+        own_ids = q_ids[a : a + QUERIES_AT_ONCE]
+        near = (rotated[a : a + QUERIES_AT_ONCE] @ signs.T) / (np.sqrt(np.float32(size)) * c)
+        # the exact k-th score of the best by estimate is a bar that no answer is under
+        first = min(4 * (k + 1), len(v))
+        best = np.argpartition(near, len(v) - first, axis=1)[:, len(v) - first :]
+        i = np.repeat(np.arange(len(near)), first)
+        score = _pairs(q[a : a + QUERIES_AT_ONCE], v, i, best.ravel()).reshape(-1, first)
+        score[(counts[best] == 1) & (only[best] == own_ids[:, None])] = -np.inf
+        bar = np.partition(score, first - k, axis=1)[:, first - k] if first >= k else np.full(len(near), -np.inf)
+        i, j = np.nonzero(near + error >= (bar - 1e-9).astype(np.float32)[:, None])
+        score = _pairs(q[a : a + QUERIES_AT_ONCE], v, i, j)
+        fine = score >= bar[i]
+        i, j, score = i[fine], j[fine], score[fine]
         order = np.lexsort((ids[begin[j]], -score, i))
         i, j, score = i[order], j[order], score[order]
-        for x in range(min(256, len(q) - a)):
+        for x in range(len(near)):
             s, e = np.searchsorted(i, [x, x + 1])
             rows = []
-            own = q_ids[a + x]
+            own = own_ids[x]
             # entries of equal score may interleave by id, so all of the k-th score count
             kept, last = 0, None
             for y in range(s, e):
