@@ -64,11 +64,10 @@ def best_cuts(place: np.ndarray, penalty: np.ndarray, length: int) -> list[int]:
             queue.popleft()
         j = queue[0]
         best, origin = cost[j] + at[j] + length - p, j
-        if p > length >> 1:
-            for size in powers:
-                j = where.get(p - size)
-                if j is not None and cost[j] < best:
-                    best, origin = cost[j], j
+        for size in powers:
+            j = where.get(p - size)
+            if j is not None and cost[j] < best:
+                best, origin = cost[j], j
         cost[i], come[i] = best + penalty[i - 1], origin
         mine = cost[i] + p
         while queue and cost[queue[-1]] + at[queue[-1]] >= mine:
