@@ -155,6 +155,6 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """``docs`` without documents that share a window with an item, all columns kept."""
-    key = hits(docs, benchmark, window, gram).filter(F.size("items") > 0).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h")).distinct()
+    key = hits(docs, benchmark, window, gram).filter(F.size("items") > 0).select(F.col("doc_id").alias("__hit_doc"), F.col("text_hash").alias("__hit_text")).distinct()
     # documents are looked up by (doc_id, hash of the text); few are hit
-    return docs.join(key, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+    return docs.join(key, F.col("doc_id").eqNullSafe(F.col("__hit_doc")) & (F.xxhash64("text") == F.col("__hit_text")), "left_anti")

@@ -248,7 +248,7 @@ def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     def key(doc_id, text_hash):
         return F.concat_ws(":", doc_id.cast("string"), text_hash.cast("string"))
 
-    keys = chosen.select(key(F.col("best.doc_id"), F.col("best.text_hash")).alias("_key"))
-    kept = docs.withColumn("_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, "_key", "left_semi")
+    keys = chosen.select(key(F.col("best.doc_id"), F.col("best.text_hash")).alias("__simhash_key"))
+    kept = docs.withColumn("__simhash_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, "__simhash_key", "left_semi")
     # repeated rows have one key
-    return kept.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_n = 1").drop("_n", "_key")
+    return kept.withColumn("__simhash_n", F.row_number().over(Window.partitionBy("__simhash_key").orderBy("__simhash_key"))).filter("__simhash_n = 1").drop("__simhash_n", "__simhash_key")
