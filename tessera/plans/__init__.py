@@ -1,6 +1,6 @@
 """Registered queries over the test tables, by family."""
 
-from . import inference, projections, relations, streams
+from . import extras, inference, projections, relations, streams
 from .registry import QUERIES
 
-__all__ = ["QUERIES", "inference", "projections", "relations", "streams"]
+__all__ = ["QUERIES", "extras", "inference", "projections", "relations", "streams"]
