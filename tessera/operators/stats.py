@@ -78,9 +78,8 @@ def fairness_table(df: DataFrame, group: str, who: str, age: str, prediction: st
     table = both.groupBy("group").agg(*error_columns("age", "prediction"), F.avg("age").alias("age_mean"), F.stddev_samp("age").alias("age_sd"))
     if not repetitions:
         return table
-    metrics = [c for c in error_columns("age", "prediction")]
     names = ["mae", "rmse", "mean_gap", "median_gap", "calibration_slope", "calibration_intercept", "correlation", "overprediction_rate"]
-    reps = bootstrap_groups(both, ["group"], "who", repetitions, seed).groupBy("group", "rep").agg(*metrics)
+    reps = bootstrap_groups(both, ["group"], "who", repetitions, seed).groupBy("group", "rep").agg(*error_columns("age", "prediction"))
     limits = reps.groupBy("group").agg(*[x for n in names for x in (F.percentile(n, F.lit(0.025)).alias(f"{n}_ci_low"), F.percentile(n, F.lit(0.975)).alias(f"{n}_ci_high"))])
     return table.join(limits, "group", "left")
 

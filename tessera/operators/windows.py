@@ -17,7 +17,7 @@ def pick(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int =
 
 def priority(value: Column, first: Sequence[str]) -> Column:
     """0, 1, ... for values in the list, its length for others."""
-    return F.coalesce(F.array_position(F.array(*map(F.lit, first)), value) - 1, F.lit(-1)) if not first else F.when(value.isin(*first), F.array_position(F.array(*map(F.lit, first)), value) - 1).otherwise(len(first))
+    return F.when(value.isin(*first), F.array_position(F.array(*map(F.lit, first)), value) - 1).otherwise(len(first)) if first else F.lit(0)
 
 
 def representative_visit(df: DataFrame, who: str, visit: str, n: str, first: Sequence[str]) -> DataFrame:
