@@ -131,11 +131,9 @@ class Encoder:
             pure = (plain[b] - plain[first] == b - first) & (b > first) & (b - a < 200)
             extra, size = self._encode([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pure)
             offset = np.cumsum(size) - size
+            held = self.arena
             if self.used + len(extra) > ARENA:
-                held = self.arena
                 self._clear()
-            else:
-                held = self.arena
             # ids of this batch: from the arena as it was, then the new ones
             base = len(held)
             lengths[missing], starts[missing] = size[back], offset[back] + base
