@@ -224,9 +224,10 @@ def links(classes: DataFrame) -> DataFrame:
 
 
 def _rooted(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
-    """(fingerprints of the documents, the component root and smallest doc_id of each distinct fingerprint)"""
+    """(fingerprints of the documents, the component root, smallest doc_id and first document of each distinct fingerprint)"""
     prints = stored(fingerprints(docs, width), "fingerprints")
-    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    classes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(order).alias("best"))
     found = components(links(classes))
     return prints, classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
@@ -241,9 +242,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (then text hash); all columns."""
-    prints, named = _rooted(docs, width)
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    chosen = prints.join(named.select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("best"))
+    _, named = _rooted(docs, width)
+    chosen = named.groupBy("root").agg(F.min("best").alias("best"))
 
     def key(doc_id, text_hash):
         return F.concat_ws(":", doc_id.cast("string"), text_hash.cast("string"))
