@@ -153,8 +153,8 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
     return copies.join(joined, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("doc_id", "text_hash", "n_words", "spans", "items")
 
 
-def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """``docs`` without documents that share a window with an item, all columns kept."""
-    key = hits(docs, benchmark, window, gram).filter(F.size("items") > 0).select(F.col("doc_id").alias("__hit_doc"), F.col("text_hash").alias("__hit_text")).distinct()
+def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, unnamed: bool = False) -> DataFrame:
+    """``docs`` without documents that share a window with an item, all columns kept; items with a null item_id count if ``unnamed``."""
+    key = hits(docs, benchmark, window, gram).filter(F.size("spans" if unnamed else "items") > 0).select(F.col("doc_id").alias("__hit_doc"), F.col("text_hash").alias("__hit_text")).distinct()
     # documents are looked up by (doc_id, hash of the text); few are hit
     return docs.join(key, F.col("doc_id").eqNullSafe(F.col("__hit_doc")) & (F.xxhash64("text") == F.col("__hit_text")), "left_anti")

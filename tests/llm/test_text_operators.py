@@ -150,6 +150,15 @@ def test_empty_benchmark_and_documents(docs, spark):
     assert decontaminate.hits(corpus.empty(spark), none).count() == 0
 
 
+def test_pipeline_drops_hits_of_items_without_id(spark, tmp_path):
+    import corpus_pipeline
+
+    passage = "one two three four five six seven eight nine ten eleven"
+    spark.createDataFrame([(None, passage), (1, "nothing of this kind is in any of the documents of the test")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    data = [(1, f"before {passage} after", "en", "s", 1), (2, "before after", "en", "s", 2), (None, f"{passage}", "en", "s", 3)]
+    assert [r.doc_id for r in corpus_pipeline.drop_contaminated(spark, corpus.frame(spark, data), str(tmp_path)).collect()] == [2]
+
+
 # simhash
 
 
