@@ -25,8 +25,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the later copies of passages of 400 bytes or more; n_chars is that of the new text."""
-    cut = suffix_dedup.dedup(docs, keep="first")
+    """Texts without the later copies of passages of over 50 words; n_chars is that of the new text."""
+    cut = suffix_dedup.dedup(docs, keep="first", length=51, gram=13, unit="word")
     return cut.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in cut.columns else cut
 
 

@@ -25,6 +25,10 @@ stretches and of hot windows is that of 64-bit hashes; within groups bytes are c
 Null text is empty; shorter texts than a window keep all bytes. Null doc_ids come last in the order. Rows
 that share a doc_id take the same place in the order: at equal places in them neither is
 earlier, so ``keep="first"`` leaves both.
+
+With ``unit="word"`` all of this is done on words (runs of bytes that are not blanks): lengths and anchors are
+counted in words, a symbol is the 64-bit hash of a word's bytes, and blanks between removed words go with them.
+Words are the same only in the same case; how blanks separate them does not matter.
 """
 
 from __future__ import annotations
@@ -38,11 +42,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import bucket_of, find, known, low, repeated, sizes, with_chunks
-from ._text import buffer, byte_hash, inside, mix, runs, slices, sliding_min, window_cover
+from ._text import SpanHash, buffer, byte_hash, inside, mix, runs, slices, sliding_min, window_cover, words
 from ._tokens import gather
 
 LENGTH = 400
 GRAM = 100
+UNITS = {"byte": np.dtype(np.uint8), "word": np.dtype(np.uint64)}
 HOT = 700
 NULL_ID = 2**63 - 1
 BATCH_BITS = 19  # a suffix array has fewer than 2**19 places; HOT stretches fit one
@@ -52,22 +57,27 @@ OFFER = "bucket int, chunk int, kind int, rows binary, texts binary"
 
 
 class Part:
-    """Documents of one chunk: bytes, and runs of windows with a common anchor place."""
+    """Documents of one chunk: bytes, symbols (bytes or words), and runs of windows with a common anchor place."""
 
-    def __init__(self, batch: pa.RecordBatch, length: int):
-        self.batch = batch
+    def __init__(self, batch: pa.RecordBatch, length: int, gram: int, unit: str):
+        self.batch, self.unit = batch, unit
         self.data, self.offsets = buffer(batch.column("text"))
         self.ids = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
         self.hash = byte_hash(self.data)
+        self.symbols, self.edges = self.data, self.offsets
+        if unit == "word":
+            self.start, self.end, self.edges = words(self.data, self.offsets, "space")
+            self.symbols = self.hash(self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
+            self.hash = SpanHash(self.symbols)
         self.first = self.last = self.anchor = np.zeros(0, np.int64)
         self.code = np.zeros(0, np.uint64)
-        fits = inside(self.offsets, len(self.data), length)
+        fits = inside(self.edges, len(self.symbols), length)
         windows = np.flatnonzero(fits)
         if not len(windows):
             return
-        h = self.hash.rolling(GRAM)
+        h = self.hash.rolling(gram)
         bits = np.uint64(len(h).bit_length())
-        place = sliding_min((h >> bits) << bits | np.arange(len(h), dtype=np.uint64), length - GRAM + 1) & ((np.uint64(1) << bits) - np.uint64(1))
+        place = sliding_min((h >> bits) << bits | np.arange(len(h), dtype=np.uint64), length - gram + 1) & ((np.uint64(1) << bits) - np.uint64(1))
         place = place[windows].astype(np.int64)
         new = np.concatenate(([True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)))
         begin = np.flatnonzero(new)
@@ -79,13 +89,24 @@ class Part:
 
     def owner(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(doc_id, place in the document) of places."""
-        doc = np.searchsorted(self.offsets, at, "right") - 1
-        return self.ids[doc], at - self.offsets[doc]
-
-
-def _parts(table: pa.Table, length: int) -> Iterator[Part]:
+        doc = np.searchsorted(self.edges, at, "right") - 1
+        return self.ids[doc], at - self.edges[doc]
+
+    def in_bytes(self, gone: np.ndarray) -> np.ndarray:
+        """Flags of bytes from those of symbols; blanks inside a run of words have the run's."""
+        if self.unit == "byte":
+            return gone
+        d = np.zeros(len(self.data) + 1, np.int32)
+        cut = np.zeros(len(gone) + 1, bool)
+        cut[self.edges] = True
+        d[self.start[gone & (cut[:-1] | np.concatenate(([True], ~gone[:-1])))]] += 1
+        d[self.end[gone & (cut[1:] | np.concatenate((~gone[1:], [True])))]] -= 1
+        return np.cumsum(d[:-1]) > 0
+
+
+def _parts(table: pa.Table, length: int, gram: int, unit: str) -> Iterator[Part]:
     for batch in slices(table.to_batches(), "text", 1_500_000):
-        yield Part(batch, length)
+        yield Part(batch, length, gram, unit)
 
 
 def _merge(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -106,16 +127,19 @@ def _merge(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def prefix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Suffixes at ``starts`` in the order of their first ``length`` bytes, then of place: (places, whether each agrees with the one before).
 
-    Prefix doubling: ranks by 5 bytes, then by 10, 20, ... and at last by ``length``.
+    Prefix doubling: ranks by 5 bytes (one word), then by 10, 20, ... and at last by ``length``.
     """
     n, bits = len(text), np.uint64(BATCH_BITS)
     if n >= 1 << BATCH_BITS:
         raise ValueError("too much text for one suffix array")
     mask = (np.uint64(1) << bits) - np.uint64(1)
-    padded = np.concatenate((text, np.zeros(length, np.uint8)))
-    key = np.zeros(n, np.uint64)
-    for k in range(5):
-        key = key << np.uint64(8) | padded[k : k + n]
+    if text.dtype == np.uint8:
+        depth, padded = 5, np.concatenate((text, np.zeros(length, np.uint8)))
+        key = np.zeros(n, np.uint64)
+        for k in range(5):
+            key = key << np.uint64(8) | padded[k : k + n]
+    else:  # words by their number, as a whole hash leaves no room for the place
+        depth, key = 1, np.unique(text, return_inverse=True)[1].astype(np.uint64)
     place = np.arange(n, dtype=np.uint64)
 
     def ranks(keys: np.ndarray) -> np.ndarray:
@@ -126,7 +150,7 @@ def prefix_order(text: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.
         rank[at] = np.cumsum(np.concatenate(([0], keys[1:] != keys[:-1]))).astype(np.uint64)
         return rank
 
-    depth, rank = 5, ranks(key << bits | place)
+    rank = ranks(key << bits | place)
     while depth * 2 <= length:
         rank = ranks((rank[:n] << bits | rank[depth : depth + n]) << bits | place)
         depth *= 2
@@ -151,20 +175,21 @@ def previous_factors(texts: np.ndarray, size: np.ndarray, length: int) -> tuple[
     return copy, earlier
 
 
-def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns: tuple[str, ...] = (), length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns: tuple[str, ...] = (), length: int = LENGTH, hot: int = HOT, gram: int = GRAM, unit: str = "byte") -> DataFrame:
     """Runs ``finish(part, removed)`` on every part of every chunk; removed has one flag for each byte."""
     if keep not in ("none", "first"):
         raise ValueError(f"keep={keep!r}: none or first")
-    if length < 2 * GRAM:
-        raise ValueError(f"windows of {length} bytes are too short for anchors of {GRAM}")
+    if length < 2 * gram:
+        raise ValueError(f"windows of {length} {unit}s are too short for anchors of {gram}")
+    symbol = UNITS[unit]
     chunked = with_chunks(docs, *columns)
     _, buckets = sizes(docs.sparkSession)
-    wide = length - GRAM + 1  # windows of a stretch at most
+    wide = length - gram + 1  # windows of a stretch at most
     mask_bytes = -(-wide // 8)
     stretch_answer = np.dtype([("content", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("all", "u1"), ("mask", "u1", (mask_bytes,))])
 
     def prints(table: pa.Table):
-        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(p.code for p in _parts(table, length))]), return_counts=True)
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *(p.code for p in _parts(table, length, gram, unit))]), return_counts=True)
 
     flagged = repeated(chunked, prints)
     offer_kind = pa.schema([("bucket", pa.int32()), ("chunk", pa.int32()), ("kind", pa.int32()), ("rows", pa.binary()), ("texts", pa.binary())])
@@ -183,7 +208,7 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
         return out
 
     def windows(p: Part, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        starts = gather(np.arange(len(p.data)), p.first[at], p.last[at] - p.first[at] + 1)
+        starts = gather(np.arange(len(p.symbols)), p.first[at], p.last[at] - p.first[at] + 1)
         out = np.zeros(len(starts), WINDOW)
         out["content"], out["count"] = p.hash(starts, starts + length), 1
         out["doc"], out["place"] = p.owner(starts)
@@ -193,11 +218,11 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
         marks, counts = known(answers)
         cold, texts, warm = [np.zeros(0, STRETCH)], [], [np.zeros(0, WINDOW)]
         if len(marks):
-            for p in _parts(table, length):
+            for p in _parts(table, length, gram, unit):
                 a, b = split(p, marks, counts)
                 rows, source, _ = _merge(stretches(p, a))
                 cold.append(rows)
-                texts += [p.data[x : x + n] for x, n in zip(p.first[a[source]].tolist(), rows["size"].tolist(), strict=True)]
+                texts += [p.symbols[x : x + n] for x, n in zip(p.first[a[source]].tolist(), rows["size"].tolist(), strict=True)]
                 if len(b):
                     warm.append(_merge(windows(p, b)[1])[0])
         rows, source, _ = _merge(np.concatenate(cold))
@@ -223,7 +248,7 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
         mine = table.filter(pa.array(kind == 0))
         if mine.num_rows:
             blocks = [np.frombuffer(x, STRETCH) for x in mine.column("rows").to_pylist()]
-            texts = np.frombuffer(b"".join(mine.column("texts").to_pylist()), np.uint8)
+            texts = np.frombuffer(b"".join(mine.column("texts").to_pylist()), symbol)
             rows = np.concatenate(blocks)
             begin = np.cumsum(rows["size"]) - rows["size"]
             merged, source, back = _merge(rows)
@@ -282,8 +307,8 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
 
         known_stretches, known_windows = read(1, stretch_answer), read(2, WINDOW)
         out = []
-        for p in _parts(table, length):
-            gone = np.zeros(len(p.data), bool)
+        for p in _parts(table, length, gram, unit):
+            gone = np.zeros(len(p.symbols), bool)
             if len(marks) and len(p.code):
                 a, b = split(p, marks, counts)
                 rows = stretches(p, a)
@@ -303,7 +328,7 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
                         found = known_windows[at]
                         hit &= (found["doc"] != rows["doc"]) | (found["place"] != rows["place"])
                     gone[starts[hit]] = True
-            out.append(finish(p, window_cover(np.flatnonzero(gone), length, len(p.data))))
+            out.append(finish(p, p.in_bytes(window_cover(np.flatnonzero(gone), length, len(p.symbols)))))
         return pa.Table.from_batches(out) if out else none
 
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -328,7 +353,7 @@ def digests(docs: DataFrame, keep: str = "none", length: int = LENGTH, hot: int
     return covered(docs, finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", keep, (), length, hot)
 
 
-def dedup(docs: DataFrame, keep: str = "first", length: int = LENGTH, hot: int = HOT) -> DataFrame:
+def dedup(docs: DataFrame, keep: str = "first", length: int = LENGTH, hot: int = HOT, gram: int = GRAM, unit: str = "byte") -> DataFrame:
     """``docs`` with repeated passages cut out of text, all columns and rows kept (a null text becomes empty); characters are cut whole or not at all."""
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     renamed = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(others)])
@@ -344,7 +369,7 @@ def dedup(docs: DataFrame, keep: str = "first", length: int = LENGTH, hot: int =
         return pa.RecordBatch.from_arrays(cols, names=["doc_id", "text", *(f"_c{i}" for i in range(len(others)))])
 
     schema = ", ".join(["doc_id long", "text string", *(f"_c{i} {kinds[f'_c{i}']}" for i in range(len(others)))])
-    done = covered(renamed, finish, schema, keep, tuple(f"_c{i}" for i in range(len(others))), length, hot)
+    done = covered(renamed, finish, schema, keep, tuple(f"_c{i}" for i in range(len(others))), length, hot, gram, unit)
     back = {f"_c{i}": c for i, c in enumerate(others)}
     place = {c: n for n, c in enumerate(docs.columns)}
     return done.select(*[F.col(c).alias(back.get(c, c)) for c in sorted(done.columns, key=lambda c: place[back.get(c, c)])])

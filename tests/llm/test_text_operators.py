@@ -79,6 +79,38 @@ def test_dedup_keeps_columns_and_rows(spark, docs):
     assert suffix_dedup.dedup(corpus.empty(spark)).count() == 0 == suffix_dedup.digests(corpus.empty(spark)).count()
 
 
+def first_copies(data, length):
+    """Texts without words under a window of words that occurs earlier, by (doc_id, place)."""
+    seen, out = set(), {}
+    for doc_id, text in sorted((d[0], d[1]) for d in data):
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
+        w, gone = [text[a:b] for a, b in spans], set()
+        for k in range(len(w) - length + 1):
+            if tuple(w[k : k + length]) in seen:
+                gone |= set(range(k, k + length))
+            seen.add(tuple(w[k : k + length]))
+        drop = {x for k in gone for x in range(spans[k][0], spans[k + 1][0] if k + 1 in gone else spans[k][1])}
+        out[doc_id] = "".join(c for x, c in enumerate(text) if x not in drop)
+    return out
+
+
+@pytest.mark.parametrize("hot", [700, 2])
+def test_pipeline_cuts_passages_of_51_short_words(spark, hot, monkeypatch):
+    import corpus_pipeline
+
+    r = np.random.default_rng(8)
+    word = lambda: "".join(chr(97 + int(x)) for x in r.integers(0, 26, 3))
+    some = lambda n: " ".join(word() for _ in range(n))
+    over, under = some(51), some(50)
+    data = [(1, f"{some(60)} {over} {some(5)}"), (2, f"{some(4)} {over.replace(' ', '  ')}\n{some(70)}"), (3, f"{some(20)} {under} {some(9)}"), (4, f"{some(7)} {under} {some(30)}"), (5, f"é{some(3)} {over}"), (6, over), (7, ""), (8, "the " * 130), (9, f"{over} {some(2)} {over}")]
+    docs = corpus.frame(spark, [(i, t, "en", "s", len(t)) for i, t in data])
+    monkeypatch.setattr(suffix_dedup.covered, "__defaults__", tuple(hot if x == suffix_dedup.HOT else x for x in suffix_dedup.covered.__defaults__))
+    monkeypatch.setattr(suffix_dedup.dedup, "__defaults__", tuple(hot if x == suffix_dedup.HOT else x for x in suffix_dedup.dedup.__defaults__))
+    got = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, docs, "").collect()}
+    assert got == first_copies(data, 51)
+    assert over in got[1] and got[6] == "" and got[3] == data[2][1] and got[4] == data[3][1] and len(got[2]) < len(data[1][1])
+
+
 # difference cover
 
 
