@@ -40,7 +40,8 @@ HOT_ROWS = 20_000  # rows of an anchor beyond which it is cut into parts
 GOLAY = 0xC75
 
 
-def _fingerprint_batch(text, width: int) -> np.ndarray:
+def shingle_hashes(text, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of all texts in order, how many each text has); a text shorter than a shingle is one."""
     import xxhash
 
     from ._text import buffer
@@ -48,9 +49,9 @@ def _fingerprint_batch(text, width: int) -> np.ndarray:
     data, offsets = buffer(text)
     data = lower_ascii(data)
     start, end, first = words(data, offsets, "space")
-    n, out = len(start), np.zeros(len(offsets) - 1, np.uint64)
+    n = len(start)
     if not n:
-        return out
+        return np.zeros(0, np.uint64), np.zeros(len(offsets) - 1, np.int64)
     # words of the batch joined by one blank each
     from ._tokens import gather
 
@@ -68,7 +69,12 @@ def _fingerprint_batch(text, width: int) -> np.ndarray:
     begin = begin[order]
     view, h = memoryview(joined.tobytes()), xxhash.xxh64_intdigest
     hashes = np.array([h(view[a:b], 42) for a, b in zip(place[begin].tolist(), (place[stop] - 1).tolist(), strict=True)], np.uint64)
-    per = np.where(count >= width, count - width + 1, (count > 0).astype(np.int64))
+    return hashes, np.where(count >= width, count - width + 1, (count > 0).astype(np.int64))
+
+
+def _fingerprint_batch(text, width: int) -> np.ndarray:
+    hashes, per = shingle_hashes(text, width)
+    out = np.zeros(len(per), np.uint64)
     full = np.flatnonzero(per)
     at = (np.cumsum(per) - per)[full]
     for a in range(0, len(full), 4096):  # bits of some thousand documents at a time
@@ -178,16 +184,7 @@ def links(classes: DataFrame) -> DataFrame:
                     i, key, home = anchors(own.view(np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(own[i]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    rows = classes.select("fp").mapInArrow(spread, "anchor int, fp long, home boolean")
-    # at most 3 x 4096 anchors, whatever the input
-    hot = rows.groupBy("anchor").count().filter(F.col("count") > HOT_ROWS).select("anchor", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("parts"))
-    cut = rows.join(F.broadcast(hot), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    mine, all_parts = F.pmod(F.hash("fp"), F.col("parts")), F.sequence(F.lit(0), F.col("parts") - 1)
-    # homes of part x meet all rows of part y in cell (x, y)
-    whole = cut.filter("parts = 1").select("anchor", F.lit(0).alias("cell"), "fp", "home")
-    as_home = cut.filter("parts > 1 and home").select("anchor", F.explode(F.transform(all_parts, lambda y: mine * F.col("parts") + y)).alias("cell"), "fp", F.lit(True).alias("home"))
-    as_guest = cut.filter("parts > 1").select("anchor", F.explode(F.transform(all_parts, lambda x: x * F.col("parts") + mine)).alias("cell"), "fp", F.lit(False).alias("home"))
-    dealt = whole.unionByName(as_home).unionByName(as_guest).repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    dealt = dealt_out(classes.select("fp").mapInArrow(spread, "anchor int, fp long, home boolean"), "fp")
 
     def compare(batches):
         held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(3)]
@@ -223,6 +220,20 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
+def dealt_out(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of anchors (anchor, home, ``by`` and others) in cells: homes of a cell meet all its rows; hot anchors are grids of cells."""
+    others = [c for c in rows.columns if c not in ("anchor", "home")]
+    # a fixed number of anchors, whatever the input
+    hot = rows.groupBy("anchor").count().filter(F.col("count") > HOT_ROWS).select("anchor", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("parts"))
+    cut = rows.join(F.broadcast(hot), "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    mine, all_parts = F.pmod(F.hash(by), F.col("parts")), F.sequence(F.lit(0), F.col("parts") - 1)
+    # homes of part x meet all rows of part y in cell (x, y)
+    whole = cut.filter("parts = 1").select("anchor", F.lit(0).alias("cell"), *others, "home")
+    as_home = cut.filter("parts > 1 and home").select("anchor", F.explode(F.transform(all_parts, lambda y: mine * F.col("parts") + y)).alias("cell"), *others, F.lit(True).alias("home"))
+    as_guest = cut.filter("parts > 1").select("anchor", F.explode(F.transform(all_parts, lambda x: x * F.col("parts") + mine)).alias("cell"), *others, F.lit(False).alias("home"))
+    return whole.unionByName(as_home).unionByName(as_guest).repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+
+
 def _rooted(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     """(fingerprints of the documents, the component root, smallest doc_id and first document of each distinct fingerprint)"""
     prints = stored(fingerprints(docs, width), "fingerprints")
@@ -242,7 +253,11 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
 
 def keep_one(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """One document of each component, the one with the smallest doc_id (then text hash); all columns."""
-    _, named = _rooted(docs, width)
+    return first_of(docs, _rooted(docs, width)[1])
+
+
+def first_of(docs: DataFrame, named: DataFrame) -> DataFrame:
+    """The first document of each root of ``named`` (root, best); all columns."""
     chosen = named.groupBy("root").agg(F.min("best").alias("best"))
 
     def key(doc_id, text_hash):

@@ -7,6 +7,7 @@ from collections import Counter
 
 import corpus
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
@@ -253,6 +254,78 @@ def test_hot_anchors_are_cut(spark, monkeypatch):
     assert components(simhash.links(classes)).select("root").distinct().count() == 1
 
 
+# near copies of the pipeline
+
+
+@pytest.mark.parametrize("small, dense", [(256, 32), (2, 32), (256, 0), (2, 0)])
+def test_pairs_of_an_anchor(monkeypatch, small, dense):
+    from tessera.llm import near_copies
+
+    monkeypatch.setattr(near_copies, "SMALL", small)
+    monkeypatch.setattr(near_copies, "DENSE", dense)
+    texts = [d[1] for d in near_copies_of(4, 12, 5)]
+    node, n, prints = near_copies.sketch(near_copies.shingle_sets(pa.array(texts)))
+    key = np.sort(np.arange(len(texts)) // 6 % 4)  # several groups in one anchor
+    a, b = near_copies.group_pairs(key, node.view(np.int64), n, np.ascontiguousarray(prints[:, : near_copies.CHECK].T))
+    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    near = set()
+    for i in range(len(texts)):
+        for j in range(len(texts)):
+            bits = int(np.bitwise_count(prints[i, : near_copies.CHECK] ^ prints[j, : near_copies.CHECK]).sum())
+            if key[i] == key[j] and node[i] != node[j] and bits <= near_copies.REACH and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
+                near.add((max(int(node.view(np.int64)[i]), int(node.view(np.int64)[j])), min(int(node.view(np.int64)[i]), int(node.view(np.int64)[j]))))
+    assert near and got == near  # no row has more than NEAREST neighbours here
+
+
+def brute_groups(data):
+    sets = []
+    for d in data:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (d[1] or "").translate(UP))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set()))
+    root = list(range(len(data)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(data)):
+        for j in range(i):
+            if sets[i] == sets[j] or 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    groups = {}
+    for i, d in enumerate(data):
+        groups.setdefault(find(i), []).append((d[0] is None, d[0] or 0, d[0]))
+    return sorted((min(g)[2] for g in groups.values()), key=lambda x: (x is None, x))
+
+
+def near_copies_of(seed, groups, copies):
+    """Texts whose copies have some words replaced, at similarities around 0.8 and down to none."""
+    r, out = np.random.default_rng(seed), []
+    for _ in range(groups):
+        w = [f"w{int(x)}" for x in r.integers(0, 10**6, int(r.integers(8, 300)))]
+        out.append(w)
+        for _ in range(copies):
+            v = list(w)
+            for k in r.choice(len(v), min(len(v), int(r.integers(0, 2 + len(v) // 25))), replace=False):
+                v[k] = f"v{int(r.integers(0, 10**6))}"
+            out.append(v)
+    return [(i, " ".join(w), "en", "s", 1) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("hot", [20_000, 3])
+def test_pipeline_keeps_one_of_near_copies(spark, data, monkeypatch, hot):
+    import corpus_pipeline
+
+    monkeypatch.setattr(simhash, "HOT_ROWS", hot)
+    texts = data + [(1000 + d[0], *d[1:]) for d in near_copies_of(2, 40, 4)]
+    docs = corpus.with_clashes(corpus.frame(spark, texts))
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id for r in kept.select("doc_id").collect()), key=lambda x: (x is None, x)) == brute_groups(texts)
+    assert corpus_pipeline.drop_near_copies(spark, corpus.empty(spark), "").count() == 0
+
+
 # tokens
 
 
