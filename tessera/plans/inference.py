@@ -114,7 +114,7 @@ def q03(spark, d):
 
 @query("q04_fairness_table")
 def q04(spark, d):
-    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("double").alias("age"), (F.year("o_orderdate") + F.col("o_totalprice") / 1e5 - 1.5).alias("prediction")).filter("o_orderkey % 10 = 0")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("double").alias("age"), (F.year("o_orderdate") + F.col("o_totalprice") / 1e5 - 1.5).alias("prediction"))
     return _rounded(stats.fairness_table(orders, "o_orderstatus", "o_orderkey", "age", "prediction", 50, 3))
 
 
@@ -288,7 +288,7 @@ def b02(spark, d):
 
 @query("b03_within_set_permutation")
 def b03(spark, d):
-    rows = table(spark, d, "orders").filter("o_custkey % 5 = 0").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("g"), F.col("o_totalprice").alias("m1"), F.dayofyear("o_orderdate").alias("m2"))
+    rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("g"), F.col("o_totalprice").alias("m1"), F.dayofyear("o_orderdate").alias("m2"))
     return _rounded(resample.permutation_test(rows, "o_orderkey", "g", ["m1", "m2"], 19, 4, ["o_custkey"]))
 
 
@@ -307,7 +307,7 @@ def b05(spark, d):
 
 @query("b06_set_bootstrap")
 def b06(spark, d):
-    rows = table(spark, d, "orders").filter("o_custkey % 5 = 0").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("g"), F.col("o_totalprice").alias("v"))
+    rows = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("g"), F.col("o_totalprice").alias("v"))
     return _rounded(resample.set_bootstrap(rows, "o_custkey", "g", "v", 25, 1), 4)
 
 

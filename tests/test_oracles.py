@@ -58,3 +58,16 @@ def test_sql_keys_are_queries():
 @pytest.mark.parametrize("name", ["q15_questionnaire", "b03_within_set_permutation", "b04_sign_flip", "l17_raster_quality", "l18_aligned_average", "q07_adjusted_effect_hc3"])
 def test_other_queries_run(spark, sf_dir, name):
     assert QUERIES[name][0](spark, sf_dir).count() > 0
+
+
+def test_whole_orders_are_used(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").withColumn("g", (F.col("o_orderstatus") == "F").cast("int"))
+    sets = orders.groupBy("o_custkey").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a = 0 and b = 1").count()
+    assert QUERIES["b06_set_bootstrap"][0](spark, sf_dir).first()["n_sets"] == sets
+    means = orders.groupBy("g").agg(F.avg("o_totalprice").alias("m")).orderBy("g").collect()
+    found = {r["metric"]: r["difference"] for r in QUERIES["b03_within_set_permutation"][0](spark, sf_dir).collect()}
+    assert abs(abs(found["m1"]) - abs(means[1]["m"] - means[0]["m"])) < 1e-3
+    counts = {r["o_orderstatus"]: r["count"] for r in orders.groupBy("o_orderstatus").count().collect()}
+    assert {r["group"]: r["n"] for r in QUERIES["q04_fairness_table"][0](spark, sf_dir).collect()} == counts | {"Overall": sum(counts.values())}
