@@ -7,9 +7,13 @@ bits are dealt by fixed permutations into 88 blocks of 23, and in each block a d
 anchor, the nearest codeword of the Golay code. Near copies at exactly 0.8 share a home in a block with a probability of about
 0.12, and in no block with about 0.0003; higher similarity makes that vanish.
 
-Per anchor, pairs are proposed if their sizes allow 0.8 and ``CHECK`` fingerprints differ in ``REACH`` bits at most. Where
-pairs are dense (large groups of near copies), each document's ``NEAREST`` nearest and a minimum spanning forest are
-proposed. Proposed pairs are linked only if the shingle sets themselves reach 0.8.
+Per anchor, pairs are proposed if their sizes allow 0.8 and ``CHECK`` fingerprints differ in ``REACH`` bits at most, and linked
+only if the shingle sets themselves reach 0.8. Links inside a component change nothing, so this has two rounds:
+
+1. the blocks of the first permutation propose; where pairs are dense (large groups of near copies), only a minimum spanning
+   forest of them. The components of what is confirmed are known from then on.
+2. The other blocks, and the first ones for classes that were in dense groups, propose pairs of different components. Where
+   even these are dense, each class's ``NEAREST`` nearest of other components and a minimum spanning forest are proposed.
 
 Equal sets are one class before any of this (told apart by 64-bit hashes, like shingles). Null texts and texts without words are
 one class. Which document stays is as in ``simhash.keep_one``.
@@ -34,6 +38,7 @@ WORDS = 8  # fingerprints of 64 bits
 CHECK = 3  # of them that go to anchors with the document
 REACH = 58  # of 64 * CHECK bits; 0.19 of them differ at 0.8 in the worst case, of very short texts
 DEALS = 4  # permutations
+FIRST = 22  # blocks of the first one
 SMALL = 256  # rows of an anchor that are compared together with other anchors
 DENSE = 32  # pairs per row of an anchor beyond which not all are proposed
 NEAREST = 16
@@ -101,16 +106,17 @@ def _near(n1, c1, n2, c2) -> np.ndarray:
     return np.where((d <= REACH) & (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)), d, 255).astype(np.uint8)
 
 
-def _dense(node: np.ndarray, n: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one anchor where they are too many: nearest rows and a minimum spanning forest."""
+def _dense(node: np.ndarray, n: np.ndarray, check: np.ndarray, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one anchor where they are too many: a minimum spanning forest and, if parts (components) are known, the nearest rows of other parts."""
     node, at = np.unique(node, return_index=True)
     n, check, m = n[at], check[:, at], len(node)
-    left, right = [], []
+    own = node if part is None else part[at]
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     step, k = max(1, 2_000_000 // m), min(NEAREST, m - 1)
-    for a in range(0, m, step):
+    for a in range(0, m if part is not None and k else 0, step):
         rows = np.arange(a, min(a + step, m))
         d = _near(n[rows, None], check[:, rows, None], n[None, :], check[:, None, :])
-        d[np.arange(len(rows)), rows] = 255
+        d[own[rows, None] == own[None, :]] = 255
         best = np.argpartition(d, k - 1, axis=1)[:, :k]
         i, j = np.nonzero(np.take_along_axis(d, best, axis=1) < 255)
         left.append(rows[i])
@@ -120,23 +126,26 @@ def _dense(node: np.ndarray, n: np.ndarray, check: np.ndarray) -> tuple[np.ndarr
     for _ in range(m - 1):
         out[x] = False
         far[x] = 1000
-        d = _near(n[x], check[:, x], n, check)
+        d = _near(n[x], check[:, x], n, check).astype(np.int64)
+        if part is not None:  # rows of one part hang together already
+            d[own == own[x]] = -1
         better = out & (d < np.minimum(far, 255))
         far[better], parent[better] = d[better], x
         x = int(np.argmin(far))
-        if far[x] < 255:
+        if 0 <= far[x] < 255:
             left.append(np.array([x]))
             right.append(parent[x : x + 1].copy())
     return node[np.concatenate(left)], node[np.concatenate(right)]
 
 
-def group_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proposed pairs of nodes; rows are ordered by key."""
+def group_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Proposed pairs of nodes; rows are ordered by key. Without parts, nodes of dense groups are also given as pairs with themselves."""
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
     group = np.repeat(np.arange(len(size)), size)
     order = np.lexsort((n, group))
     node, n, check = node[order], n[order], check[:, order]
+    own = node if part is None else part[order]
     stop = np.repeat(edge[1:], size)
     left, right, found = [], [], np.zeros(len(size), np.int64)
     # groups of moderate size together: each row with the next, the next but one, ... of its group, while sizes allow it
@@ -146,7 +155,8 @@ def group_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndar
         at = at[5 * n[at] >= 4 * n[at + shift]]
         if not len(at):
             break
-        i = at[_near(n[at], check[:, at], n[at + shift], check[:, at + shift]) < 255]
+        i = at[own[at] != own[at + shift]]
+        i = i[_near(n[i], check[:, i], n[i + shift], check[:, i + shift]) < 255]
         left.append(i)
         right.append(i + shift)
         found += np.bincount(group[i], minlength=len(size))
@@ -156,21 +166,25 @@ def group_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndar
     pairs = [(node[i[keep]], node[j[keep]])]
     for g in np.flatnonzero(many | (size > SMALL)).tolist():
         a, b = edge[g], edge[g + 1]
-        own, total = [], 0
+        mine, total = [], 0
         step = max(1, 1_000_000 // (b - a))
         for x in range(a, b if not many[g] else a, step):
             y = min(x + step, b)
             z = a + int(np.searchsorted(n[a:b], n[y - 1] * 5 // 4, "right"))
-            i, j = np.nonzero(_near(n[x:y, None], check[:, x:y, None], n[None, x:z], check[:, None, x:z]) < 255)
+            i, j = np.nonzero((_near(n[x:y, None], check[:, x:y, None], n[None, x:z], check[:, None, x:z]) < 255) & (own[x:y, None] != own[None, x:z]))
             keep = j > i
-            own.append((node[x:y][i[keep]], node[x:z][j[keep]]))
+            mine.append((node[x:y][i[keep]], node[x:z][j[keep]]))
             total += int(keep.sum())
             if total > DENSE * (b - a):
                 break
-        pairs += [_dense(node[a:b], n[a:b], check[:, a:b])] if many[g] or total > DENSE * (b - a) else own
+        if many[g] or total > DENSE * (b - a):
+            mine = [_dense(node[a:b], n[a:b], check[:, a:b], None if part is None else own[a:b])]
+            if part is None:
+                mine.append((node[a:b], node[a:b]))
+        pairs += mine
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
     pair = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
-    return pair[0][pair[0] != pair[1]], pair[1][pair[0] != pair[1]]
+    return pair[0], pair[1]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -185,8 +199,12 @@ def sketches(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, SKETCH)
 
 
-def proposed(classes: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes (node, n, prints) that share a home and may be similar."""
+def proposed(classes: DataFrame, first: bool) -> DataFrame:
+    """(a, b): pairs of classes (node, n, prints; in the second round also root, dense) that share a home and may be similar.
+
+    The first round takes the blocks of one permutation and gives nodes of dense groups as pairs with themselves; the second one takes
+    the others (all of them for dense nodes) and gives pairs of different roots.
+    """
     checks = [f"c{k}" for k in range(CHECK)]
 
     def spread(batches):
@@ -195,26 +213,31 @@ def proposed(classes: DataFrame) -> DataFrame:
                 part = batch.slice(s, 1000)
                 prints = np.frombuffer(b"".join(part.column("prints").to_pylist()), np.uint64).reshape(-1, WORDS)
                 key = homes(prints)
-                times = key.shape[1]
-                node, n = (np.repeat(part.column(c).to_numpy(), times) for c in ("node", "n"))
-                cols = [key.ravel().astype(np.int32), np.ones(len(node), bool), node, n, *(np.repeat(prints[:, k].view(np.int64), times) for k in range(CHECK))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "home", "node", "n", *checks])
-
-    rows = classes.filter("n > 0").select("node", "n", "prints").mapInArrow(spread, "anchor int, home boolean, node long, n int, " + ", ".join(f"{c} long" for c in checks))
+                wanted = np.broadcast_to(np.arange(key.shape[1]) < FIRST, key.shape)
+                if not first:
+                    wanted = ~wanted | part.column("dense").to_numpy(zero_copy_only=False)[:, None]
+                i, j = np.nonzero(wanted)
+                node, root, n = (part.column(c).to_numpy()[i] for c in ("node", "root", "n"))
+                cols = [key[i, j].astype(np.int32), np.ones(len(i), bool), node, root, n, *(prints[i, k].view(np.int64) for k in range(CHECK))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "home", "node", "root", "n", *checks])
+
+    full = classes.filter("n > 0")
+    full = full.withColumns({"root": F.col("node"), "dense": F.lit(False)}) if first else full
+    rows = full.select("node", "root", "dense", "n", "prints").mapInArrow(spread, "anchor int, home boolean, node long, root long, n int, " + ", ".join(f"{c} long" for c in checks))
 
     def compare(batches):
-        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(3 + CHECK)]
+        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(4 + CHECK)]
 
         def done(upto: int):
-            key, node, n, *check = (c[:upto] for c in held)
-            a, b = group_pairs(key, node, n, np.stack(check).view(np.uint64))
+            key, node, root, n, *check = (c[:upto] for c in held)
+            a, b = group_pairs(key, node, n, np.stack(check).view(np.uint64), None if first else root)
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
             key = batch.column("anchor").to_numpy().astype(np.int64) << 32 | batch.column("cell").to_numpy().astype(np.int64)
-            held = [np.concatenate(x) for x in zip(held, (key, *(batch.column(c).to_numpy().astype(np.int64) for c in ("node", "n", *checks))), strict=True)]
+            held = [np.concatenate(x) for x in zip(held, (key, *(batch.column(c).to_numpy().astype(np.int64) for c in ("node", "root", "n", *checks))), strict=True)]
             upto = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
             if upto:
                 yield done(upto)
@@ -252,11 +275,21 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(settle, "a long, b long")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group of near copies, the one with the smallest doc_id (then text hash); all columns."""
+def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, best, n, prints of each class of equal shingle sets; node, root of the classes that are linked to others)"""
     seen = stored(sketches(docs), "sketches")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     classes = stored(seen.groupBy("node").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("prints").alias("prints")), "classes")
-    pairs = stored(proposed(classes), "pairs")
-    found = components(confirmed(docs, classes, pairs))
+    pairs = stored(proposed(classes, True), "pairs")
+    links = stored(confirmed(docs, classes, pairs.filter("a != b")), "links")
+    dense = pairs.filter("a = b").select(F.col("a").alias("node"), F.lit(True).alias("__dense"))
+    known = classes.join(components(links), "node", "left").join(dense, "node", "left")
+    known = known.withColumns({"root": F.coalesce("root", "node"), "dense": F.coalesce("__dense", F.lit(False))})
+    more = confirmed(docs, classes, stored(proposed(known, False), "pairs"))
+    return classes, components(links.unionByName(more))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id (then text hash); all columns."""
+    classes, found = groups(docs)
     return first_of(docs, classes.join(found, "node", "left").select(F.coalesce("root", "node").alias("root"), "best"))

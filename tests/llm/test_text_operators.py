@@ -266,15 +266,43 @@ def test_pairs_of_an_anchor(monkeypatch, small, dense):
     texts = [d[1] for d in near_copies_of(4, 12, 5)]
     node, n, prints = near_copies.sketch(near_copies.shingle_sets(pa.array(texts)))
     key = np.sort(np.arange(len(texts)) // 6 % 4)  # several groups in one anchor
-    a, b = near_copies.group_pairs(key, node.view(np.int64), n, np.ascontiguousarray(prints[:, : near_copies.CHECK].T))
-    got = set(zip(a.tolist(), b.tolist(), strict=True))
+    node, check = node.view(np.int64), np.ascontiguousarray(prints[:, : near_copies.CHECK].T)
+
+    def pairs(part):
+        return set(zip(*(x.tolist() for x in near_copies.group_pairs(key, node, n, check, part)), strict=True))
+
     near = set()
     for i in range(len(texts)):
         for j in range(len(texts)):
             bits = int(np.bitwise_count(prints[i, : near_copies.CHECK] ^ prints[j, : near_copies.CHECK]).sum())
             if key[i] == key[j] and node[i] != node[j] and bits <= near_copies.REACH and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
-                near.add((max(int(node.view(np.int64)[i]), int(node.view(np.int64)[j])), min(int(node.view(np.int64)[i]), int(node.view(np.int64)[j]))))
-    assert near and got == near  # no row has more than NEAREST neighbours here
+                near.add((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
+    # classes of parts of their own: no row has more than NEAREST neighbours here, so all are proposed
+    assert near and pairs(node) == near
+    # the first round holds the same groups together, and names the classes that need the second one
+    first = pairs(None)
+    assert {p for p in first if p[0] != p[1]} <= near and joined(first) == joined(near)
+    assert first == near if dense else {x for p in near for x in p} <= {p[0] for p in first if p[0] == p[1]}
+    # nothing is proposed inside a part
+    half = node % 2
+    assert pairs(half) == {p for p in near if (p[0] - p[1]) % 2}
+
+
+def joined(pairs):
+    """Components of two nodes or more."""
+    root = {x: x for p in pairs for x in p}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in pairs:
+        root[find(x)] = find(y)
+    out = {}
+    for x in root:
+        out.setdefault(find(x), set()).add(x)
+    return sorted(map(sorted, (c for c in out.values() if len(c) > 1)))
 
 
 def brute_groups(data):
