@@ -5,8 +5,9 @@ distinct hashes, packed by bucket (a bucket is a range of hash values), so a has
 each chunk that has it, however often it occurs there. A bucket counts, and answers each chunk with
 those of its hashes that occur more than once. A hot hash costs one entry per chunk.
 
-``CHUNKS_PER_PARTITION`` times the shuffle partitions chunks and as many buckets as partitions are used,
-so both stay a few MB each if partitions are set by the size of the input.
+A chunk holds ``CHUNK_BYTES`` of text on average at most, whatever the session's number of partitions is; there are
+``CHUNKS_PER_PARTITION`` chunks for each shuffle partition at least, for even work. There are half as many buckets as chunks (65536 at most). A chunk
+and a bucket exchange no more messages than they share distinct hashes, so messages are linear in the text too.
 """
 
 from __future__ import annotations
@@ -15,24 +16,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 CHUNKS_PER_PARTITION = 2
+CHUNK_BYTES = 32_000_000
 SHORT = 6  # bytes of a hash that are sent, besides what the bucket says
 OFFERS = "bucket int, chunk int, hashes binary, counts binary"
 ANSWERS = "chunk int, hashes binary, counts binary"
 
 
-def sizes(spark: SparkSession) -> tuple[int, int]:
-    """(chunks, buckets)"""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return CHUNKS_PER_PARTITION * n, min(n, 65536)
+def sizes(docs: DataFrame) -> tuple[int, int]:
+    """(chunks, buckets), from the bytes of all texts."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    chunks = max(CHUNKS_PER_PARTITION * partitions, -(-total // CHUNK_BYTES))
+    return chunks, min(chunks // CHUNKS_PER_PARTITION, 65536)
 
 
-def with_chunks(docs: DataFrame, *more: str) -> DataFrame:
+def with_chunks(docs: DataFrame, chunks: int, *more: str) -> DataFrame:
     """chunk, doc_id, text and further columns of the documents."""
-    chunks, _ = sizes(docs.sparkSession)
     doc_id, text = F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")
     return docs.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk"), doc_id, text, *more)
 
@@ -66,13 +69,11 @@ def by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarra
             yield int(bucket[s]), np.arange(s, e)
 
 
-def repeated(chunked: DataFrame, prints: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+def repeated(chunked: DataFrame, prints: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]], buckets: int) -> DataFrame:
     """For each chunk the hashes that occur more than once in the corpus, with how often (65535 at most).
 
     ``prints`` gives the distinct hashes of a chunk's table, ascending, and how often each occurs there.
     """
-    _, buckets = sizes(chunked.sparkSession)
-
     def offer(table: pa.Table) -> pa.Table:
         hashes, counts = prints(table)
         rows = [(b, short(hashes[at]), np.minimum(counts[at], 65535).astype("<u2").tobytes()) for b, at in by_bucket(hashes, buckets)]

@@ -1,7 +1,8 @@
 """Byte-level helpers for Arrow batches: hashes of spans, word bounds, run lengths.
 
 Every helper works on one bounded buffer inside one task. ``slices`` cuts Arrow batches so that
-a task holds a few MB of text at a time, however long single texts are (a text is never cut).
+a task holds a few MB of text at a time. A single text is never cut by it: what goes through one in pieces
+(``word_codes``, segments of suffix_dedup) says so.
 """
 
 from __future__ import annotations
@@ -16,26 +17,36 @@ SLICE_BYTES = 2_000_000
 _U = np.uint64
 
 
-@lru_cache(maxsize=4)
-def _powers(n: int) -> np.ndarray:
-    """base**i modulo 2**64 for i < n, by doubling."""
-    out = np.ones(n, _U)
-    base, have = _U(0x9E3779B97F4A7C15 | 1), 1
+P = 2**31 - 1
+# two bases for a hash, and two more for a second one
+BASES = ((1_183_186_591, 742_938_285), (1_956_611_049, 319_274_473))
+
+
+def _mod(x: np.ndarray) -> np.ndarray:
+    """x modulo P but for multiples of P that may be left."""
+    return (x & _U(P)) + (x >> _U(31))
+
+
+@lru_cache(maxsize=16)
+def _powers_of(base: int, n: int) -> np.ndarray:
+    """base**i modulo P for i < n, by doubling."""
+    out = np.ones(n, np.uint32)
+    have = 1
     while have < n:
         m = min(have, n - have)
-        with np.errstate(over="ignore"):
-            out[have : have + m] = out[:m] * _U(pow(int(base), have, 2**64))
+        out[have : have + m] = out[:m].astype(_U) * _U(pow(base, have, P)) % _U(P)
         have += m
     return out
 
 
-def powers(n: int) -> np.ndarray:
-    return _powers(1 << max(16, (n + 1).bit_length()))[: n + 1]
+def powers(base: int, n: int) -> np.ndarray:
+    """At least n + 1 powers."""
+    return _powers_of(base, 1 << max(16, (n + 1).bit_length()))[: n + 1]
 
 
 @lru_cache(maxsize=2)
 def _byte_codes() -> np.ndarray:
-    return np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.int64).astype(_U) | _U(1)
+    return np.random.default_rng(20240229).integers(1, 2**62, 256, dtype=np.int64).astype(_U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -47,51 +58,61 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class SpanHash:
-    """Polynomial hashes of any spans of one sequence of 64-bit symbols, after one prefix sum.
+    """Polynomial hashes of any spans of one sequence of 62-bit symbols, after one prefix sum.
 
-    A span's hash is sum(code[i] * base**(end - 1 - i)), so it depends on the span alone.
+    A span's hash is a pair of sum(part[i] * base**(end - 1 - i)) modulo the prime P, one for the lower and one for the upper 31 bits
+    of the symbols, so it depends on the span alone. Two spans of n symbols collide with a probability of (n / P)**2 at most over the
+    choice of the bases, whatever their structure. ``second`` takes another pair of bases: with both, spans are told apart by 124 bits.
     """
 
-    def __init__(self, codes: np.ndarray):
+    def __init__(self, codes: np.ndarray, second: bool = False):
         n = len(codes)
-        self.n, self.pow = n, powers(n)
-        with np.errstate(over="ignore"):
-            self.sum = np.zeros(n + 1, _U)
-            np.cumsum(codes * self.pow[:n][::-1], out=self.sum[1:])
-            # base is odd, so it has an inverse modulo 2**64
-            self.inv = _inverse_powers(n)
+        self.n, self.bases, self.sums = n, BASES[second], []
+        for k, base in enumerate(self.bases):
+            part = codes >> _U(31) & _U(P) if k else codes & _U(P)
+            total = np.zeros(n + 1, _U)
+            np.cumsum(_mod(part * powers(base, n)[:n][::-1]), out=total[1:])
+            self.sums.append(total)
+
+    def _join(self, parts: list[np.ndarray]) -> np.ndarray:
+        high, low = (_mod(_mod(x)) for x in parts)
+        high[high >= P] -= _U(P)
+        low[low >= P] -= _U(P)
+        return mix(high << _U(31) | low)
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix((self.sum[end] - self.sum[start]) * self.inv[self.n - end])
+        up = [powers(pow(base, -1, P), self.n) for base in self.bases]
+        return self._join([_mod(_mod(s[end] - s[start])) * inv[self.n - end] for s, inv in zip(self.sums, up, strict=True)])
 
     def rolling(self, width: int) -> np.ndarray:
         """Hash of every window of that width."""
         m = self.n - width + 1
         if m <= 0:
             return np.zeros(0, _U)
-        with np.errstate(over="ignore"):
-            return mix((self.sum[width:] - self.sum[:m]) * self.inv[: m][::-1])
-
-
-@lru_cache(maxsize=4)
-def _inverse(n: int) -> np.ndarray:
-    out = np.ones(n, _U)
-    base, have = pow(0x9E3779B97F4A7C15 | 1, -1, 2**64), 1
-    while have < n:
-        m = min(have, n - have)
-        with np.errstate(over="ignore"):
-            out[have : have + m] = out[:m] * _U(pow(base, have, 2**64))
-        have += m
-    return out
+        up = [powers(pow(base, -1, P), self.n) for base in self.bases]
+        return self._join([_mod(_mod(s[width:] - s[:m])) * inv[:m][::-1] for s, inv in zip(self.sums, up, strict=True)])
 
 
-def _inverse_powers(n: int) -> np.ndarray:
-    return _inverse(1 << max(16, (n + 1).bit_length()))[: n + 1]
+def byte_hash(data: np.ndarray, second: bool = False) -> SpanHash:
+    return SpanHash(_byte_codes()[data], second)
 
 
-def byte_hash(data: np.ndarray) -> SpanHash:
-    return SpanHash(_byte_codes()[data])
+def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of ascending spans (words) of a text, ``SLICE_BYTES`` bytes of it at a time; longer words by the hashes of their pieces."""
+    out = np.zeros(len(start), _U)
+    i = 0
+    while i < len(start):
+        a = int(start[i])
+        j = int(np.searchsorted(end, a + SLICE_BYTES, "right"))
+        if j > i:
+            out[i:j] = byte_hash(data[a : end[j - 1]])(start[i:j] - a, end[i:j] - a)
+            i = j
+            continue
+        edges = np.append(np.arange(a, end[i], SLICE_BYTES), end[i])
+        pieces = np.array([byte_hash(data[x:y])(np.array([0]), np.array([y - x]))[0] for x, y in zip(edges[:-1], edges[1:], strict=True)], _U)
+        out[i] = SpanHash(pieces)(np.array([0]), np.array([len(pieces)]))[0]
+        i += 1
+    return out
 
 
 def buffer(column) -> tuple[np.ndarray, np.ndarray]:
@@ -162,7 +183,7 @@ def window_cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     d = np.zeros(n + 1, np.int32)
     d[starts] += 1
     d[starts + width] -= 1
-    return np.cumsum(d[:n]) > 0
+    return np.cumsum(d[:n], dtype=np.int32) > 0
 
 
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from ._text import buffer, byte_hash
+from ._text import buffer, word_codes
 
 SLOTS = 1 << 21  # pieces kept by a worker at most
 ARENA = 12_000_000  # ids kept by a worker at most
@@ -43,7 +43,7 @@ class Encoder:
     ASCII or Latin-1 letter and one of ``.,!?;:``. So the ids of a text are those of the pieces between
     such places, and each distinct piece goes through the tokenizers library about once in a worker:
     ids are kept in a table with one slot for a hash (a newer piece takes a slot over). Pieces are told
-    apart by a 64-bit hash. Texts with white space outside ASCII are encoded whole.
+    apart by a 62-bit hash. Texts with white space outside ASCII, and those that may hold an added token (``<|endoftext|>``) are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -51,13 +51,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.kind = np.dtype(np.uint32 if max(vocab.values()) > 65535 else np.uint16)
         line = self.tokenizer.encode("\n", add_special_tokens=False).ids
         # a piece of letters ends where the line break's id follows, or else with an id that ends a word
         self.glue, self.ends = "\n" if len(line) == 1 else " ", np.zeros(max(vocab.values()) + 1, bool)
         self.ends[line if len(line) == 1 else [i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # how the added tokens begin: they are cut out of a text before anything else
+        self.added = sorted({t.content.encode()[:2] for t in self.tokenizer.get_added_tokens_decoder().values()})
         self._clear()
 
     def _clear(self) -> None:
@@ -116,7 +117,7 @@ class Encoder:
         cut[offsets[(offsets > 0) & (offsets < n)]] = True
         start = np.flatnonzero(cut)
         end = np.concatenate((start[1:], [n]))
-        key = byte_hash(data)(start, end)
+        key = word_codes(data, start, end)
         key[key == 0] = 1
         slot = (key >> np.uint64(43)).astype(np.int64)
         missing = np.flatnonzero(self.hash[slot] != key)
@@ -126,7 +127,8 @@ class Encoder:
             new, at, back = np.unique(key[missing], return_index=True, return_inverse=True)
             a, b = start[missing[at]], end[missing[at]]
             raw = data.tobytes()
-            plain = np.concatenate(([0], np.cumsum(letter | lead)))
+            plain = np.zeros(n + 1, np.int32)
+            np.cumsum(letter | lead, out=plain[1:])
             first = a + (data[a] == 32)
             pure = (plain[b] - plain[first] == b - first) & (b > first) & (b - a < 200)
             extra, size = self._encode([raw[x:y] for x, y in zip(a.tolist(), b.tolist(), strict=True)], pure)
@@ -153,7 +155,7 @@ class Encoder:
         ids = gather(values, starts.astype(np.int64), lengths.astype(np.int64))
         per = np.concatenate(([0], np.cumsum(lengths)))
         bounds = per[np.searchsorted(start, offsets)]
-        odd = self._odd(data, offsets)
+        odd = self._odd(data, offsets, self.added)
         if len(odd):
             parts, raw = [ids[bounds[i] : bounds[i + 1]] for i in range(len(offsets) - 1)], data.tobytes()
             for i in odd:
@@ -162,16 +164,17 @@ class Encoder:
         return ids, bounds
 
     @staticmethod
-    def _odd(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Texts with white space outside ASCII (or what begins like it)."""
+    def _odd(data: np.ndarray, offsets: np.ndarray, added: list[bytes]) -> np.ndarray:
+        """Texts with white space outside ASCII or an added token (or what begins like them)."""
         if len(data) < 2:
             return np.zeros(0, np.int64)
         a, b = data[:-1], data[1:]
         hit = np.flatnonzero(((a == 0xC2) & ((b == 0x85) | (b == 0xA0))) | ((a == 0xE1) & (b == 0x9A)) | ((a == 0xE2) & (b == 0x81)) | ((a == 0xE3) & (b == 0x80)))
+        special = [np.flatnonzero((a == x[0]) & (b == x[-1])) if len(x) > 1 else np.flatnonzero(data == x[0]) for x in added]
         wide = np.flatnonzero((a == 0xE2) & (b == 0x80))
         third = data[np.minimum(wide + 2, len(data) - 1)]
         wide = wide[(third <= 0x8A) | (third == 0xA8) | (third == 0xA9) | (third == 0xAF)]
-        return np.unique(np.searchsorted(offsets, np.concatenate((hit, wide)), "right") - 1)
+        return np.unique(np.searchsorted(offsets, np.concatenate((hit, wide, *special)), "right") - 1)
 
 
 _held: dict[str, Encoder] = {}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SpanHash, byte_hash, inside, lower_ascii, runs, slices, sliding_min, window_cover, words
+from ._text import SpanHash, buffer, inside, lower_ascii, runs, slices, sliding_min, window_cover, word_codes, words
 
 WINDOW = 10
 GRAM = 5
@@ -31,13 +31,10 @@ _MAX = np.uint64(2**64 - 1)
 
 
 def _hashes(text) -> tuple[SpanHash, np.ndarray, np.ndarray, np.ndarray]:
-    from ._text import buffer
-
     data, offsets = buffer(text)
     data = lower_ascii(data)
     start, end, first = words(data, offsets, "word")
-    codes = byte_hash(data)(start, end) if len(start) else np.zeros(0, np.uint64)
-    return SpanHash(codes), first, start, end
+    return SpanHash(word_codes(data, start, end)), first, start, end
 
 
 def _winnow(seq: SpanHash, first: np.ndarray, gram: int, window: int) -> tuple[np.ndarray, np.ndarray]:

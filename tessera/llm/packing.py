@@ -15,7 +15,7 @@ sequences, so the padding this adds is a small share of them; tasks hold one bat
 and the open tail only: a batch is cut, and what its last window left goes to the next batch.
 
 Null text counts as empty (the end id alone). Null and repeated doc_ids keep their rows, ordered by
-text. Extra columns are not read. No input rows: no output rows.
+Spark's xxhash64 of the text, then by the text. Extra columns are not read. No input rows: no output rows.
 """
 
 from __future__ import annotations
@@ -102,7 +102,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int, length: int = LENGTH
     sequence_id is the range's number times 2**32 plus the window's number in it.
     """
     shards = shards or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.col("text"))
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
 
     def run(batches):
         tokens, ends = encoder(tokenizer_path), _sentence_ends(tokenizer_path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann, decontaminate, language, packing, shared_windows, simhash, suffix_dedup, token_table, toxicity, url_rules
-from ._shared import fresh_path
+from ._shared import fresh_folder
 
 URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("block", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 END_ID = 2
@@ -36,7 +36,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shards = token_table.write_shards(_table(spark, sf_dir, "documents"), fresh_path(spark, "token-table"), tokenizer_path("byte_bpe_50k.json"), END_ID)
+    shards = token_table.write_shards(_table(spark, sf_dir, "documents"), fresh_folder(spark, "token-table"), tokenizer_path("byte_bpe_50k.json"), END_ID)
     return token_table.read_shards(spark, shards)
 
 

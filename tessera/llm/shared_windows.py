@@ -10,8 +10,9 @@ the 7 words there (which the window holds) hash alike. So:
    that has it, and learn the smallest doc_id anywhere;
 3. words covered by a window that also starts in a document with a smaller doc_id are removed.
 
-Windows are judged on the input. Windows are told apart by 64-bit hashes of their words. Work and shuffle are linear in the text; a passage in
-a third of all documents is one entry per chunk.
+Windows are judged on the input. Windows are told apart by 62-bit hashes of their words (``_text.SpanHash``). Work and shuffle are linear in the
+text; a passage in a third of all documents is one entry per chunk. A single very long text is hashed in pieces, but held whole, with
+some dozen bytes a word, by the task of its chunk.
 
 Null text: no words. Null doc_ids count as the largest id (their words go if any other document has them;
 among themselves they keep). Rows that share a doc_id don't remove each other's words. Columns
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import by_bucket, find, known, low, repeated, sizes, with_chunks
-from ._text import SpanHash, buffer, byte_hash, inside, slices, window_cover, words
+from ._text import SpanHash, buffer, inside, slices, window_cover, word_codes, words
 
 WIDTH = 13
 # fixed values: a perfect difference set
@@ -44,7 +45,7 @@ def _parts(table: pa.Table):
         data, offsets = buffer(part.column("text"))
         start, end, first = words(data, offsets, "space")
         ids = part.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-        yield ids, data, start, end, first, SpanHash(byte_hash(data)(start, end) if len(start) else np.zeros(0, np.uint64))
+        yield ids, data, start, end, first, SpanHash(word_codes(data, start, end))
 
 
 def _anchors(first: np.ndarray, seq: SpanHash, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -90,8 +91,8 @@ def covered(docs: DataFrame, finish: Callable, schema: str, width: int = WIDTH)
     if width < 2 * PERIOD - 1:
         raise ValueError(f"windows of {width} words are too short for a cover modulo {PERIOD}")
     gram = width - PERIOD + 1
-    chunked = with_chunks(docs)
-    _, buckets = sizes(docs.sparkSession)
+    chunks, buckets = sizes(docs)
+    chunked = with_chunks(docs, chunks)
 
     def prints(table: pa.Table):
         hashes, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -105,7 +106,7 @@ def covered(docs: DataFrame, finish: Callable, schema: str, width: int = WIDTH)
         new = np.concatenate(([True], (h[1:] != h[:-1]) | (o[1:] != o[:-1]))) if len(h) else np.zeros(0, bool)
         return np.unique(h[new], return_counts=True)
 
-    flagged = repeated(chunked, prints)
+    flagged = repeated(chunked, prints, buckets)
 
     def offer(table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:

@@ -14,7 +14,8 @@ lookup reads the footer, asks the Bloom filter, finds the block by binary search
 block alone.
 
 Null text counts as empty (the end id alone). Null identifiers sort first; repeated identifiers
-keep all their rows, in the order of their texts. Other columns of the input are not read.
+keep all their rows, in the order of Spark's xxhash64 of their texts (then of the texts), over shards too. Other
+columns of the input are not read. No input rows: shards without entries or none.
 """
 
 from __future__ import annotations
@@ -170,16 +171,16 @@ class ShardReader:
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shards: int | None = None) -> list[dict]:
     """Writes the documents' ids under ``path``; returns one entry for each shard, in order.
 
-    An entry has path, docs, tokens and start (tokens in all shards before it). Only these few
-    numbers a shard come to the driver.
+    An entry has path, docs, tokens, start (tokens in all shards before it), first and last (keys). Only these few
+    values a shard come to the driver.
     """
     spark = docs.sparkSession
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.col("text"))
+    ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
 
     def write(batches):
         shard = TaskContext.get().partitionId()
-        target, done = f"{path}/shard-{shard:06d}.sst", [0, 0]
+        done: list = [0, 0, None, None]
 
         def fill(out):
             tokens, writer = encoder(tokenizer_path), ShardWriter(out)
@@ -189,15 +190,16 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     writer.add(key_of(doc_id), np.concatenate((ids[bounds[i] : bounds[i + 1]], end)))
             writer.close()
-            done[:] = len(writer.keys), writer.tokens
+            done[:] = len(writer.keys), writer.tokens, *([writer.keys[0], writer.keys[-1]] if writer.keys else [None, None])
 
-        publish(target, fill)
-        yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int64()), "path": [target], "docs": pa.array([done[0]], pa.int64()), "tokens": pa.array([done[1]], pa.int64())})
+        target = publish(f"{path}/shard-{shard:06d}.sst", fill)
+        values = (shard, target, *done)
+        yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(values, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["shard", "path", "docs", "tokens", "first", "last"])
 
-    found = ordered.mapInArrow(write, "shard long, path string, docs long, tokens long").collect()
+    found = ordered.mapInArrow(write, "shard long, path string, docs long, tokens long, first binary, last binary").collect()
     out, start = [], 0
     for r in sorted(found, key=lambda r: r.shard):
-        out.append({"path": r.path, "docs": r.docs, "tokens": r.tokens, "start": start})
+        out.append({"path": r.path, "docs": r.docs, "tokens": r.tokens, "start": start, "first": r.first and bytes(r.first), "last": r.last and bytes(r.last)})
         start += r.tokens
     return out
 
@@ -221,5 +223,6 @@ def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
 
 
 def lookup(shards: list[dict], doc_id: int | None) -> list[np.ndarray]:
-    """Token ids of the documents with an identifier, over all shards."""
-    return [ids for s in shards for ids in ShardReader(s["path"]).get(doc_id)]
+    """Token ids of the documents with an identifier; only shards whose range of keys holds it are opened."""
+    key = key_of(doc_id)
+    return [ids for s in shards if s["docs"] and s["first"] <= key <= s["last"] for ids in ShardReader(s["path"]).get(doc_id)]
