@@ -3,7 +3,9 @@
 A unit vector o is rotated and kept as the signs of its D coordinates (packed bits) and one scalar,
 c = <signs / sqrt(D), o>. For a rotated unit query q, <signs / sqrt(D), q> / c estimates <o, q>; its
 error stays under ERROR * sqrt((1 - c*c) / (c*c * (D - 1))) but for a tail that shrinks as
-exp(-ERROR**2 / 2). In each block, the best by estimate are scored exactly (cosine in double precision
+exp(-ERROR**2 / 2). The query's coordinates are rounded to ``PLANES`` bits, so the product with the signs is a weighted sum
+of the set bits that packed words of the code and of the query's bit planes share; rounding adds ERROR deviations of a
+uniform step to the bound. In each block, the best by estimate are scored exactly (cosine in double precision
 on the original vectors); vectors whose upper bound reaches the k-th of those scores are reranked, and the best k of all
 blocks stay. The rotation is drawn from a seed; nothing is fitted, and every row is coded.
 
@@ -25,6 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 ERROR = 3.0
+PLANES = 4
 QUERY_BLOCK = 2048
 QUERIES_AT_ONCE = 64
 ENTRY_BLOCK = 8192
@@ -33,8 +36,8 @@ RESULT = "query_id long, vec_id long, score double"
 
 
 def rotation(dim: int) -> np.ndarray:
-    """A random orthogonal matrix of the next multiple of 8 dimensions, 64 at least."""
-    size = max(64, -(-dim // 8) * 8)
+    """A random orthogonal matrix of the next multiple of 64 dimensions: a code is whole words."""
+    size = -(-dim // 64) * 64
     q, r = np.linalg.qr(np.random.default_rng(SEED).standard_normal((size, size)))
     return (q * np.sign(np.diag(r)))[:dim]
 
@@ -88,22 +91,40 @@ def coded_blocks(entries: DataFrame, dim: int) -> DataFrame:
     return entries.select("v", "ids").mapInArrow(run, "bits binary, scalar binary, vectors binary, ids binary, counts binary")
 
 
+def estimates(rotated: np.ndarray, codes: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(estimated cosines, error bounds) of rotated unit queries and coded entries, from packed words alone."""
+    size = rotated.shape[1]
+    low = rotated.min(axis=1, keepdims=True)
+    step = np.maximum((rotated.max(axis=1, keepdims=True) - low) / (2**PLANES - 1), 1e-12)
+    level = np.rint((rotated - low) / step).astype(np.uint8)
+    both = np.zeros((len(rotated), len(codes)), np.int32)
+    for b in range(PLANES):
+        plane = np.packbits(level >> b & 1, axis=1).view(np.uint64)
+        for w in range(codes.shape[1]):
+            both += np.bitwise_count(plane[:, w, None] & codes[None, :, w]).astype(np.int32) << b
+    ones = np.bitwise_count(codes).sum(axis=1, dtype=np.int32)
+    # signs are 2 * bit - 1, coordinates are low + step * level
+    product = 2 * step * both + 2 * low * ones[None, :] - size * low - step * level.sum(axis=1, dtype=np.int64)[:, None]
+    scale = np.sqrt(size) * c.astype(np.float64)
+    error = ERROR * np.sqrt(np.maximum(0, 1 - c * c) / (c * c * (size - 1))) + ERROR * step / (np.sqrt(12) * c) + 1e-5
+    return product / scale, error
+
+
 def _search(row: dict, dim: int, k: int, turn: np.ndarray) -> tuple[list, list, list]:
     size = turn.shape[1]
     q = np.frombuffer(row["q_vectors"]).reshape(-1, dim)
     q_ids = np.frombuffer(row["q_ids"], np.int64)
-    signs = np.unpackbits(np.frombuffer(row["bits"], np.uint8).reshape(-1, size // 8), axis=1).astype(np.float32) * 2 - 1
+    codes = np.frombuffer(row["bits"], np.uint64).reshape(-1, size // 64)
     c = np.frombuffer(row["scalar"], np.float32)
     v = np.frombuffer(row["vectors"]).reshape(-1, dim)
     counts = np.frombuffer(row["counts"], np.int32)
     ids, begin = np.frombuffer(row["ids"], np.int64), np.cumsum(counts) - counts
-    error = ERROR * np.sqrt(np.maximum(0, 1 - c * c) / (c * c * (size - 1))) + 1e-5
     out: tuple[list, list, list] = ([], [], [])
-    rotated = (_unit(q) @ turn).astype(np.float32)
+    rotated = _unit(q) @ turn
     only = np.where(counts == 1, ids[begin], -1)
     for a in range(0, len(q), QUERIES_AT_ONCE):
         own_ids = q_ids[a : a + QUERIES_AT_ONCE]
-        near = (rotated[a : a + QUERIES_AT_ONCE] @ signs.T) / (np.sqrt(np.float32(size)) * c)
+        near, error = estimates(rotated[a : a + QUERIES_AT_ONCE], codes, c)
         # the exact k-th score of the best by estimate is a bar that no answer is under
         first = min(4 * (k + 1), len(v))
         best = np.argpartition(near, len(v) - first, axis=1)[:, len(v) - first :]
@@ -111,7 +132,7 @@ def _search(row: dict, dim: int, k: int, turn: np.ndarray) -> tuple[list, list,
         score = _pairs(q[a : a + QUERIES_AT_ONCE], v, i, best.ravel()).reshape(-1, first)
         score[(counts[best] == 1) & (only[best] == own_ids[:, None])] = -np.inf
         bar = np.partition(score, first - k, axis=1)[:, first - k] if first >= k else np.full(len(near), -np.inf)
-        i, j = np.nonzero(near + error >= (bar - 1e-9).astype(np.float32)[:, None])
+        i, j = np.nonzero(near + error >= (bar - 1e-9)[:, None])
         score = _pairs(q[a : a + QUERIES_AT_ONCE], v, i, j)
         fine = score >= bar[i]
         i, j, score = i[fine], j[fine], score[fine]

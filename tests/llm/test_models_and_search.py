@@ -64,6 +64,23 @@ def test_nearest_neighbours(spark):
     assert ann.search(few.limit(0), few.limit(0), 5).count() == 0
 
 
+@pytest.mark.parametrize("dim", [20, 64, 130])
+def test_estimates_from_packed_words(dim):
+    r = np.random.default_rng(dim)
+    turn = ann.rotation(dim)
+    assert turn.shape[1] % 64 == 0 and np.allclose(turn @ turn.T, np.eye(dim))
+    o, q = (ann._unit(r.normal(size=(n, dim))) for n in (400, 30))
+    rotated = o @ turn
+    codes = np.packbits(rotated > 0, axis=1).view(np.uint64)
+    c = (np.abs(rotated).sum(axis=1) / np.sqrt(turn.shape[1])).astype(np.float32)
+    near, error = ann.estimates(q @ turn, codes, c)
+    off = np.abs(near - q @ o.T)
+    assert near.shape == off.shape and (off <= error).mean() > 0.99
+    # the product with the signs themselves, but for the rounding of the query
+    plain = (q @ turn) @ (2.0 * (rotated > 0) - 1).T / (np.sqrt(turn.shape[1]) * c)
+    assert np.abs(near - plain).max() < 0.15 and np.abs(near - plain).mean() < 0.03
+
+
 @pytest.fixture(scope="module")
 def tables(spark):
     return spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
