@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import clean as c
+from ..functions import derive
 from ..operators import checks
 from ..sources import readers
 from .registry import query, table
@@ -60,6 +61,8 @@ PHENO = {
     "social_club": "cast(1 + c_custkey % 8 as string)",
     "diabetes": "case when c_custkey % 2 = 0 then '11' else '0' end",
 }
+# what the variable manifest says of them
+KINDS = {n: "numeric" if n in ("cesd10_score", "visual_acuity_left", "visual_acuity_right") else "categorical" if n in ("self_reported_vision", "marital_status", "social_club") else "binary" for n in PHENO}
 
 
 @query(
@@ -75,10 +78,8 @@ PHENO = {
     select *, cast(null as integer) as visual_impairment_acuity, social_club_at_least_weekly as social_any_at_least_weekly, coalesce(diabetes, 0) + coalesce(arthritis_any, 0) + coalesce(asthma_or_copd, 0) as multimorbidity_selected_count from s""",
 )
 def p09(spark, d):
-    base = table(spark, d, "customer")
-    names = [*c.CATEGORICAL, *c.NUMERIC, *c.BINARY]
-    wide = base.select("c_custkey", *[(F.expr(PHENO[n]) if n in PHENO else F.lit(None).cast("string")).alias(n) for n in names])
-    out = c.phenotypes(wide)
+    wide = table(spark, d, "customer").select("c_custkey", *[F.expr(e).alias(n) for n, e in PHENO.items()])
+    out = derive.derived(wide, KINDS)
     return out.select("c_custkey", "visual_impairment_self_report", "depression_cesd10", "married_or_partnered", "visual_acuity_better_eye", "arthritis_any", "asthma_or_copd", "social_club_at_least_weekly", "diabetes", "visual_impairment_acuity", "social_any_at_least_weekly", "multimorbidity_selected_count")
 
 
