@@ -8,12 +8,13 @@ anchor, the nearest codeword of the Golay code. Near copies at exactly 0.8 share
 0.12, and in no block with about 0.0003; higher similarity makes that vanish.
 
 Per anchor, pairs are proposed if their sizes allow 0.8 and ``CHECK`` fingerprints differ in ``REACH`` bits at most, and linked
-only if the shingle sets themselves reach 0.8. Links inside a component change nothing, so this has two rounds:
+only if the shingle sets themselves reach 0.8. Links inside a component change nothing, so this has three steps:
 
 1. the blocks of the first permutation propose; where pairs are dense (large groups of near copies), only a minimum spanning
-   forest of them. The components of what is confirmed are known from then on.
-2. The other blocks, and the first ones for classes that were in dense groups, propose pairs of different components. Where
-   even these are dense, each class's ``NEAREST`` nearest of other components and a minimum spanning forest are proposed.
+   forest of them, and the classes of such groups are noted. The components of what is confirmed are known from then on.
+2. The other blocks propose pairs of different components, and note the classes of groups where even these are dense.
+3. All noted classes meet exactly (``prefix_pairs``): sets of a similarity of 0.8 share one of their rarest fifth of shingles. So texts
+   that share much, but under 0.8 (forms, long passages), are never paired one by one, and nothing is capped.
 
 Equal sets are one class before any of this (told apart by 64-bit hashes, like shingles). Null texts and texts without words are
 one class. Which document stays is as in ``simhash.keep_one``.
@@ -25,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
@@ -40,8 +41,7 @@ REACH = 58  # of 64 * CHECK bits; 0.19 of them differ at 0.8 in the worst case,
 DEALS = 4  # permutations
 FIRST = 22  # blocks of the first one
 SMALL = 256  # rows of an anchor that are compared together with other anchors
-DENSE = 32  # pairs per row of an anchor beyond which not all are proposed
-NEAREST = 16
+DENSE = 2  # pairs per row of an anchor beyond which not all are proposed
 SKETCH = "doc_id long, text_hash long, node long, n int, prints binary"
 
 
@@ -106,40 +106,30 @@ def _near(n1, c1, n2, c2) -> np.ndarray:
     return np.where((d <= REACH) & (5 * np.minimum(n1, n2) >= 4 * np.maximum(n1, n2)), d, 255).astype(np.uint8)
 
 
-def _dense(node: np.ndarray, n: np.ndarray, check: np.ndarray, part: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of one anchor where they are too many: a minimum spanning forest and, if parts (components) are known, the nearest rows of other parts."""
-    node, at = np.unique(node, return_index=True)
-    n, check, m = n[at], check[:, at], len(node)
-    own = node if part is None else part[at]
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    step, k = max(1, 2_000_000 // m), min(NEAREST, m - 1)
-    for a in range(0, m if part is not None and k else 0, step):
-        rows = np.arange(a, min(a + step, m))
-        d = _near(n[rows, None], check[:, rows, None], n[None, :], check[:, None, :])
-        d[own[rows, None] == own[None, :]] = 255
-        best = np.argpartition(d, k - 1, axis=1)[:, :k]
-        i, j = np.nonzero(np.take_along_axis(d, best, axis=1) < 255)
-        left.append(rows[i])
-        right.append(best[i, j])
+def _forest(node: np.ndarray, n: np.ndarray, check: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A minimum spanning forest of the near pairs of one anchor."""
+    m = len(node)
+    left, right = [], []
     far, parent, out = np.full(m, 256, np.int64), np.zeros(m, np.int64), np.ones(m, bool)
     x = 0
     for _ in range(m - 1):
         out[x] = False
         far[x] = 1000
-        d = _near(n[x], check[:, x], n, check).astype(np.int64)
-        if part is not None:  # rows of one part hang together already
-            d[own == own[x]] = -1
+        d = _near(n[x], check[:, x], n, check)
         better = out & (d < np.minimum(far, 255))
         far[better], parent[better] = d[better], x
         x = int(np.argmin(far))
-        if 0 <= far[x] < 255:
-            left.append(np.array([x]))
-            right.append(parent[x : x + 1].copy())
-    return node[np.concatenate(left)], node[np.concatenate(right)]
+        if far[x] < 255:
+            left.append(x)
+            right.append(int(parent[x]))
+    return node[np.array(left, np.int64)], node[np.array(right, np.int64)]
 
 
 def group_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndarray, part: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Proposed pairs of nodes; rows are ordered by key. Without parts, nodes of dense groups are also given as pairs with themselves."""
+    """Proposed pairs of nodes of different parts (if given); rows are ordered by key.
+
+    Nodes of dense groups are given as pairs with themselves, besides a spanning forest where there are no parts yet.
+    """
     edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
     size = np.diff(edge)
     group = np.repeat(np.arange(len(size)), size)
@@ -178,9 +168,9 @@ def group_pairs(key: np.ndarray, node: np.ndarray, n: np.ndarray, check: np.ndar
             if total > DENSE * (b - a):
                 break
         if many[g] or total > DENSE * (b - a):
-            mine = [_dense(node[a:b], n[a:b], check[:, a:b], None if part is None else own[a:b])]
+            mine = [(node[a:b], node[a:b])]
             if part is None:
-                mine.append((node[a:b], node[a:b]))
+                mine.append(_forest(node[a:b], n[a:b], check[:, a:b]))
         pairs += mine
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
     pair = np.unique(np.stack((np.maximum(a, b), np.minimum(a, b))), axis=1)
@@ -200,10 +190,10 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def proposed(classes: DataFrame, first: bool) -> DataFrame:
-    """(a, b): pairs of classes (node, n, prints; in the second round also root, dense) that share a home and may be similar.
+    """(a, b): pairs of classes (node, n, prints; in the second step also root) that share a home and may be similar.
 
-    The first round takes the blocks of one permutation and gives nodes of dense groups as pairs with themselves; the second one takes
-    the others (all of them for dense nodes) and gives pairs of different roots.
+    The first step takes the blocks of one permutation, the second one the others, for pairs of different roots. Nodes of dense groups
+    are pairs with themselves.
     """
     checks = [f"c{k}" for k in range(CHECK)]
 
@@ -213,17 +203,14 @@ def proposed(classes: DataFrame, first: bool) -> DataFrame:
                 part = batch.slice(s, 1000)
                 prints = np.frombuffer(b"".join(part.column("prints").to_pylist()), np.uint64).reshape(-1, WORDS)
                 key = homes(prints)
-                wanted = np.broadcast_to(np.arange(key.shape[1]) < FIRST, key.shape)
-                if not first:
-                    wanted = ~wanted | part.column("dense").to_numpy(zero_copy_only=False)[:, None]
-                i, j = np.nonzero(wanted)
-                node, root, n = (part.column(c).to_numpy()[i] for c in ("node", "root", "n"))
-                cols = [key[i, j].astype(np.int32), np.ones(len(i), bool), node, root, n, *(prints[i, k].view(np.int64) for k in range(CHECK))]
+                key = key[:, :FIRST] if first else key[:, FIRST:]
+                node, root, n = (np.repeat(part.column(c).to_numpy(), key.shape[1]) for c in ("node", "root", "n"))
+                cols = [key.ravel().astype(np.int32), np.ones(len(node), bool), node, root, n, *(np.repeat(prints[:, k].view(np.int64), key.shape[1]) for k in range(CHECK))]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "home", "node", "root", "n", *checks])
 
     full = classes.filter("n > 0")
-    full = full.withColumns({"root": F.col("node"), "dense": F.lit(False)}) if first else full
-    rows = full.select("node", "root", "dense", "n", "prints").mapInArrow(spread, "anchor int, home boolean, node long, root long, n int, " + ", ".join(f"{c} long" for c in checks))
+    full = full.withColumn("root", F.col("node")) if first else full
+    rows = full.select("node", "root", "n", "prints").mapInArrow(spread, "anchor int, home boolean, node long, root long, n int, " + ", ".join(f"{c} long" for c in checks))
 
     def compare(batches):
         held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(4 + CHECK)]
@@ -248,9 +235,8 @@ def proposed(classes: DataFrame, first: bool) -> DataFrame:
     return dealt_out(rows, "node").mapInArrow(compare, "a long, b long").distinct()
 
 
-def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets reach 0.8."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def shingles_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, shingles: the sorted hashes as bytes) of some classes, from the text of one document of each."""
     wanted = classes.join(nodes, "node", "left_semi").select("node", F.col("best.doc_id").alias("d"), F.col("best.text_hash").alias("h"))
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", "text")
@@ -260,7 +246,11 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"))], pa.binary())], names=["node", "shingles"])
 
     # repeated rows have one node
-    sets = stored(found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+    return stored(found.mapInArrow(run, "node long, shingles binary").groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
+
+
+def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets reach 0.8."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
 
@@ -275,18 +265,51 @@ def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFram
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(settle, "a long, b long")
 
 
+def prefix_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """(a, b): pairs of different roots among ``sets`` (node, shingles) that may reach 0.8; no pair that does is missing.
+
+    Two sets of sizes x and y that reach 0.8 share at least s = ceil(4 (x + y) / 9) shingles. So in any fixed order of shingles, the first one that they
+    share is among the first x - s + 1 of the one and the first y - s + 1 of the other; a set alone offers its first x - ceil(0.8 x) + 1. The order is by
+    how many of the sets have a shingle, the rarest first. Shingles that one root alone has among its first ones pair nothing.
+    """
+
+    def spread(batches):
+        for batch in batches:
+            for s in range(0, batch.num_rows, 256):
+                part = batch.slice(s, 256)
+                own = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
+                size = np.array([len(x) for x in own], np.int64)
+                node, root = (np.repeat(part.column(c).to_numpy(), size) for c in ("node", "root"))
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(np.concatenate(own))], names=["node", "root", "n", "shingle"])
+
+    rows = sets.join(roots, "node").mapInArrow(spread, "node long, root long, n int, shingle long")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
+    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
+    first = rows.join(often, "shingle").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("shingle", "node", "root", "n", "place")
+    first = stored(first, "prefixes")
+    shared = first.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
+    first = first.join(shared, "shingle")
+    a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "place")]) for k in (1, 2))
+    least = F.ceil((F.col("n_1") + F.col("n_2")) * 4 / 9)
+    fits = (F.col("root_1") < F.col("root_2")) & (F.col("place_1") <= F.col("n_1") - least + 1) & (F.col("place_2") <= F.col("n_2") - least + 1)
+    return a.join(b, "shingle").filter(fits).select(F.greatest("node_1", "node_2").alias("a"), F.least("node_1", "node_2").alias("b")).distinct()
+
+
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, best, n, prints of each class of equal shingle sets; node, root of the classes that are linked to others)"""
     seen = stored(sketches(docs), "sketches")
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     classes = stored(seen.groupBy("node").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("prints").alias("prints")), "classes")
     pairs = stored(proposed(classes, True), "pairs")
-    links = stored(confirmed(docs, classes, pairs.filter("a != b")), "links")
-    dense = pairs.filter("a = b").select(F.col("a").alias("node"), F.lit(True).alias("__dense"))
-    known = classes.join(components(links), "node", "left").join(dense, "node", "left")
-    known = known.withColumns({"root": F.coalesce("root", "node"), "dense": F.coalesce("__dense", F.lit(False))})
-    more = confirmed(docs, classes, stored(proposed(known, False), "pairs"))
-    return classes, components(links.unionByName(more))
+    sets = shingles_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    links = stored(confirmed(sets, pairs.filter("a != b")), "links")
+    known = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    known = stored(known.select("node", "root", "n", "prints"), "known")
+    more = stored(proposed(known, False), "pairs")
+    dense = pairs.unionByName(more).filter("a = b").select(F.col("a").alias("node")).distinct()
+    sets = shingles_of(docs, classes, more.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense).distinct())
+    left = stored(prefix_pairs(sets.join(dense, "node", "left_semi"), known.select("node", "root")), "pairs")
+    return classes, components(links.unionByName(confirmed(sets, more.filter("a != b").unionByName(left).distinct())))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -364,15 +364,39 @@ def test_pairs_of_an_anchor(monkeypatch, small, dense):
             bits = int(np.bitwise_count(prints[i, : near_copies.CHECK] ^ prints[j, : near_copies.CHECK]).sum())
             if key[i] == key[j] and node[i] != node[j] and bits <= near_copies.REACH and 5 * min(n[i], n[j]) >= 4 * max(n[i], n[j]):
                 near.add((max(int(node[i]), int(node[j])), min(int(node[i]), int(node[j]))))
-    # classes of parts of their own: no row has more than NEAREST neighbours here, so all are proposed
-    assert near and pairs(node) == near
-    # the first round holds the same groups together, and names the classes that need the second one
+    loops = lambda found: {p[0] for p in found if p[0] == p[1]}
+    links = lambda found: {p for p in found if p[0] != p[1]}
+    # the first step holds the same groups together; what it does not propose is noted for the exact way
     first = pairs(None)
-    assert {p for p in first if p[0] != p[1]} <= near and joined(first) == joined(near)
-    assert first == near if dense else {x for p in near for x in p} <= {p[0] for p in first if p[0] == p[1]}
-    # nothing is proposed inside a part
-    half = node % 2
-    assert pairs(half) == {p for p in near if (p[0] - p[1]) % 2}
+    assert near and links(first) <= near and joined(links(first)) == joined(near)
+    assert all(x in loops(first) for p in near - first for x in p)
+    assert first == near if dense else loops(first) == {x for p in near for x in p}
+    # the second one proposes or notes all pairs of different parts, and none inside a part
+    second = pairs(node)
+    assert links(second) <= near and all(x in loops(second) for p in near - second for x in p)
+    half = pairs(node % 2)
+    across = {p for p in near if (p[0] - p[1]) % 2}
+    assert links(half) <= across and all(x in loops(half) for p in across - half for x in p)
+
+
+def test_prefixes_meet_for_every_similar_pair(spark):
+    from tessera.llm import near_copies
+
+    r = np.random.default_rng(6)
+    sets = []
+    for _ in range(40):
+        base = r.integers(0, 10**6, int(r.integers(1, 60)))
+        for _ in range(5):
+            own = set(base.tolist()) - set(r.choice(base, min(len(base), int(r.integers(0, 2 + len(base) // 8)))).tolist())
+            sets.append(own | set(r.integers(0, 10**6, int(r.integers(0, 2 + len(base) // 8))).tolist()) or {1})
+    common = set(range(10**7, 10**7 + 50))  # a form that many fill in differently
+    sets += [common | set(r.integers(0, 10**6, 30).tolist()) for _ in range(40)]
+    roots = {i: i // 3 for i in range(len(sets))}
+    rows = spark.createDataFrame([(i, np.array(sorted(x), np.int64).tobytes()) for i, x in enumerate(sets)], "node long, shingles binary")
+    found = {(x.a, x.b) for x in near_copies.prefix_pairs(rows, spark.createDataFrame(list(roots.items()), "node long, root long")).collect()}
+    want = {(i, j) for i in range(len(sets)) for j in range(i) if roots[i] != roots[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])}
+    assert want and want <= found and all(roots[a] != roots[b] for a, b in found)
+    assert not any(a >= 200 and b >= 200 for a, b in found) and len(found) < 2 * len(want)
 
 
 def joined(pairs):
