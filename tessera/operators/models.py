@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .checks import CheckFailed
 from .stats import discrimination
-from .windows import portable_hash
+from .windows import hash_order, ranked
 
 # folds
 
@@ -21,8 +21,8 @@ from .windows import portable_hash
 def folds(df: DataFrame, group: str, k: int, seed: object, stratum: str | None = None) -> DataFrame:
     """fold 0 .. k-1 per row: whole groups, dealt in hashed order within each stratum (a group's least label)."""
     units = df.groupBy(group).agg((F.min(stratum) if stratum else F.lit(0)).alias("_s"))
-    w = Window.partitionBy("_s").orderBy(portable_hash(seed, F.col(group), bits=48), group)
-    dealt = units.select(group, ((F.row_number().over(w) - 1) % k).cast("int").alias("fold"))
+    h, bucket = hash_order(seed, F.col(group))
+    dealt = ranked(units, ["_s"], [h, F.col(group)], "_r", bucket).select(group, ((F.col("_r") - 1) % k).cast("int").alias("fold"))
     return df.join(dealt, group)
 
 

@@ -1,18 +1,19 @@
 """Bootstrap and permutation with hashed draws: the same seed gives the same draw on any engine and any partitioning.
 
-A replicate's draw for place i is ``hash(seed, rep, i) mod n``; a permutation orders units by ``hash(seed, rep, unit)``. Rows are
-multiplied by the replicates, so reduce to one row per unit first; each replicate is a group of its own, and partial
-aggregation shrinks it on the map side.
+Units are numbered in the order of ``hash(seed, "unit", unit)``. A replicate's draw for place i is ``hash(seed, rep, i) mod n``; a permutation deals
+the labels, in that order, to the units ordered by ``hash(seed, rep, unit)``. Hashes are even, so numbers come from 1024 buckets of
+them and no window holds a whole group or replicate. Rows are multiplied by the replicates, so reduce to one row per unit first; partial
+aggregation shrinks replicates on the map side.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .windows import portable_hash
+from .windows import hash_order, portable_hash, ranked
 
 
 def replicates(df: DataFrame, count: int) -> DataFrame:
@@ -21,25 +22,30 @@ def replicates(df: DataFrame, count: int) -> DataFrame:
 
 
 def bootstrap_groups(df: DataFrame, group: Sequence[str], unit: str, count: int, seed: object) -> DataFrame:
-    """Rows of ``count`` bootstrap replicates: within each group, n draws with replacement of its n rows (ordered by ``unit``)."""
-    part = Window.partitionBy(*group)
-    rows = df.withColumns({"_i": (F.row_number().over(part.orderBy(unit)) - 1).cast("long"), "_n": F.count("*").over(part)})
-    draws = replicates(rows.select(*group, "_i", "_n"), count)
+    """Rows of ``count`` bootstrap replicates: within each group, n draws with replacement of its n rows (one for each ``unit``)."""
+    rows = _numbered(df, group, unit, seed)
+    n = df.groupBy(*group).agg(F.count("*").alias("_n"))
+    places = rows.select(*group, "_i")
+    draws = replicates(places.join(n, list(group)) if group else places.crossJoin(F.broadcast(n)), count)
     draws = draws.withColumn("_i", F.pmod(portable_hash(seed, F.col("rep"), F.col("_i"), bits=48), F.col("_n"))).drop("_n")
-    return draws.join(rows.drop("_n"), [*group, "_i"]).drop("_i")
+    return draws.join(rows, [*group, "_i"]).drop("_i")
+
+
+def _numbered(df: DataFrame, group: Sequence[str], unit: str, seed: object) -> DataFrame:
+    """Rows with their number _i in the group, from 0, in hashed order of the unit."""
+    h, bucket = hash_order(seed, F.lit("unit"), F.col(unit))
+    return ranked(df, group, [h, F.col(unit)], "_i", bucket).withColumn("_i", F.col("_i") - 1)
 
 
 def bootstrap_limits(df: DataFrame, unit: str, statistic: Column, count: int, seed: object, group: Sequence[str] = (), strata: Sequence[str] = ()) -> DataFrame:
     """Percentile limits of a statistic (an aggregate column) per group; draws are stratified if asked."""
-    rows = df if (group or strata) else df.withColumn("_all", F.lit(1))
-    part = [*group, *strata] or ["_all"]
-    drawn = bootstrap_groups(rows, part, unit, count, seed).groupBy(*group, "rep").agg(statistic.alias("s"))
+    drawn = bootstrap_groups(df, [*group, *strata], unit, count, seed).groupBy(*group, "rep").agg(statistic.alias("s"))
     return drawn.groupBy(*group).agg(F.percentile("s", F.lit(0.025)).alias("ci_low"), F.percentile("s", F.lit(0.975)).alias("ci_high"), F.avg("s").alias("bootstrap_mean"), F.count("s").alias("n_replicates"))
 
 
 def bootstrap_p(df: DataFrame, unit: str, value: str, count: int, seed: object) -> DataFrame:
     """Mean, limits and the two-sided bootstrap p of a mean, at least 1/count."""
-    limits = bootstrap_groups(df.withColumn("_all", F.lit(1)), ["_all"], unit, count, seed).groupBy("rep").agg(F.avg(value).alias("s"))
+    limits = bootstrap_groups(df, [], unit, count, seed).groupBy("rep").agg(F.avg(value).alias("s"))
     out = limits.agg(F.percentile("s", F.lit(0.025)).alias("ci_low"), F.percentile("s", F.lit(0.975)).alias("ci_high"), (2 * F.least(F.avg((F.col("s") <= 0).cast("double")), F.avg((F.col("s") >= 0).cast("double")))).alias("p"))
     mean = df.agg(F.count(value).alias("n"), F.avg(value).alias("estimate"))
     return mean.crossJoin(out).withColumn("p_value", F.greatest(F.least("p", F.lit(1.0)), F.lit(1.0 / count))).drop("p")
@@ -73,13 +79,11 @@ def max_t(observed: DataFrame, permuted: DataFrame, count: int, metric: Sequence
 
 
 def _shuffled(df: DataFrame, unit: str, label: str, count: int, seed: object, block: Sequence[str]) -> DataFrame:
-    """(rep, block, unit, label) with labels dealt anew within each block: labels by unit order go to units by hashed order."""
-    part = [*block] or ["_all"]
-    units = df.withColumn("_all", F.lit(1)).select(*part, unit, label)
-    named = units.withColumn("_i", F.row_number().over(Window.partitionBy(*part).orderBy(unit)))
-    order = Window.partitionBy("rep", *part).orderBy(portable_hash(seed, F.col("rep"), F.col(unit), bits=48), unit)
-    placed = replicates(named.select(*part, unit), count).withColumn("_i", F.row_number().over(order))
-    return placed.join(named.select(*part, "_i", label), [*part, "_i"]).select("rep", unit, label)
+    """(rep, unit, label) with labels dealt anew within each block."""
+    named = _numbered(df.select(*block, unit, label), block, unit, seed).withColumn("_i", F.col("_i") + 1)
+    h, bucket = hash_order(seed, F.col("rep"), F.col(unit))
+    placed = ranked(replicates(named.select(*block, unit), count), ["rep", *block], [h, F.col(unit)], "_i", bucket)
+    return placed.join(named.select(*block, "_i", label), [*block, "_i"]).select("rep", unit, label)
 
 
 def permutation_test(df: DataFrame, unit: str, label: str, metrics: Sequence[str], count: int, seed: object, block: Sequence[str] = ()) -> DataFrame:

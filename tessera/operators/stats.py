@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
 from .checks import CheckFailed, assert_unique
-from .windows import average_rank, running_min_from_end
+from .windows import average_rank, running, with_aggregates
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -344,11 +345,14 @@ def agreement(df: DataFrame, a: str, b: str, stratum: str | None = None) -> Data
 def benjamini_hochberg(df: DataFrame, p: str, key: Sequence[str], family: Sequence[str] = (), name: str = "q_value") -> DataFrame:
     """Adjusted p values within each family; null and NaN stay null and don't count."""
     good = F.col(p).isNotNull() & ~F.isnan(p)
-    part = family or ["_all"]
-    tests = df.filter(good).withColumn("_all", F.lit(1))
-    w = Window.partitionBy(*part)
-    ranked = tests.withColumns({"_rank": F.row_number().over(w.orderBy(p, *key)), "_m": F.count("*").over(w)}).withColumn("_raw", F.col(p) * F.col("_m") / F.col("_rank"))
-    done = running_min_from_end(ranked, part, "_rank", "_raw", "_q").withColumn(name, F.least("_q", F.lit(1.0))).drop("_rank", "_m", "_raw", "_q", "_all")
+    tests = df.filter(good)
+    # equal p values have one adjusted value, so distinct ones are enough
+    found = running(tests.groupBy(*family, p).agg(F.count("*").alias("_t")), family, p, {"_rank": F.col("_t")})
+    found = with_aggregates(found, family, _m=F.sum("_t"))
+    found = running(found, family, p, least={"_q": F.col(p) * F.col("_m") / F.col("_rank")})
+    values = found.select(*[F.col(f).alias(f"_family_{i}") for i, f in enumerate(family)], F.col(p).alias("_p"), F.least("_q", F.lit(1.0)).alias(name))
+    same = reduce(lambda a, b: a & b, [F.col(p) == F.col("_p"), *[F.col(f).eqNullSafe(F.col(f"_family_{i}")) for i, f in enumerate(family)]])
+    done = tests.join(values, same).drop("_p", *[f"_family_{i}" for i in range(len(family))])
     return done.unionByName(df.filter(~good | F.col(p).isNull()).withColumn(name, F.lit(None).cast("double")))
 
 
@@ -360,20 +364,19 @@ def discrimination(df: DataFrame, label: str, score: str, group: Sequence[str] =
 
     Rows meet per distinct score first, so ranks and cumulative counts are windows over distinct scores.
     """
-    rows = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull()).withColumn("_all", F.lit(1))
-    part = list(group) or ["_all"]
+    rows = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull())
+    part = list(group)
     y, s = F.col(label), F.col(score)
     at = rows.groupBy(*part, s.alias("s")).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
-    down = Window.partitionBy(*part).orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    cum = at.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down)})
+    cum = running(at, part, "s", {"tp": F.col("p"), "fp": F.col("n")}, descending=True)
     area = (F.col("tp") - F.col("p") / 2.0) * F.col("n")
     precision = F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))
     curve = cum.groupBy(*part).agg(_safe(F.sum(area), F.sum("p") * F.sum("n")).alias("auroc"), _safe(F.sum(precision), F.sum("p")).alias("average_precision"))
     up = s >= threshold
     cells = rows.groupBy(*part).agg(F.count("*").alias("n"), F.count_if(y == 1).alias("n_positive"), F.avg((s - y) ** 2).alias("brier"), F.count_if(up & (y == 1)).alias("tp"), F.count_if(up & (y == 0)).alias("fp"), F.count_if(~up & (y == 0)).alias("tn"), F.count_if(~up & (y == 1)).alias("fn"))
     c = F.col
-    out = curve.join(cells, part).withColumns({"sensitivity": _safe(c("tp"), c("tp") + c("fn")), "specificity": _safe(c("tn"), c("tn") + c("fp")), "ppv": _safe(c("tp"), c("tp") + c("fp")), "npv": _safe(c("tn"), c("tn") + c("fn"))})
-    return out.withColumn("balanced_accuracy", (c("sensitivity") + c("specificity")) / 2).drop("_all")
+    out = (curve.join(cells, part) if part else curve.crossJoin(cells)).withColumns({"sensitivity": _safe(c("tp"), c("tp") + c("fn")), "specificity": _safe(c("tn"), c("tn") + c("fp")), "ppv": _safe(c("tp"), c("tp") + c("fp")), "npv": _safe(c("tn"), c("tn") + c("fn"))})
+    return out.withColumn("balanced_accuracy", (c("sensitivity") + c("specificity")) / 2)
 
 
 def paired_auroc(df: DataFrame, who: str, label: str, a: str, b: str, repetitions: int, seed: int) -> DataFrame:

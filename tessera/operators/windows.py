@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,10 +26,18 @@ def representative_visit(df: DataFrame, who: str, visit: str, n: str, first: Seq
     return pick(df, [who], [priority(F.col(visit), first), F.desc(n), F.col(visit)])
 
 
+def with_aggregates(df: DataFrame, group: Sequence[str], **aggregates: Column) -> DataFrame:
+    """Every row with aggregates of its group (null is a group): one partial aggregation and a join, no window over a group's rows."""
+    keys = {g: f"__group_{i}" for i, g in enumerate(group)}
+    sums = df.groupBy(*[F.col(g).alias(k) for g, k in keys.items()]).agg(*[c.alias(n) for n, c in aggregates.items()])
+    if not group:
+        return df.crossJoin(F.broadcast(sums))  # one row
+    return df.join(sums, reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(k)) for g, k in keys.items()])).drop(*keys.values())
+
+
 def closest_to_mean(df: DataFrame, group: Sequence[str], value: str, tie: Sequence[Column]) -> DataFrame:
     """The row of each group whose value is nearest to the group's mean."""
-    mean = F.avg(value).over(Window.partitionBy(*group))
-    return pick(df.withColumn("_mean", mean), group, [F.abs(F.col(value) - F.col("_mean")), *tie]).drop("_mean")
+    return pick(with_aggregates(df, group, _mean=F.avg(value)), group, [F.abs(F.col(value) - F.col("_mean")), *tie]).drop("_mean")
 
 
 def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -46,28 +55,43 @@ def seeded_pick(df: DataFrame, group: Sequence[str], key: str, seed: object, k:
     return pick(df, group, [F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256), F.col(key)], k)
 
 
+def hash_order(seed: object, *parts: Column) -> tuple[Column, Column]:
+    """(48 pseudo-random bits of seed and parts, their first 10 bits: 1024 even buckets in the same order)"""
+    h = portable_hash(seed, *parts, bits=48)
+    return h, F.shiftright(h, 38)
+
+
+def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column], name: str, buckets: Column) -> DataFrame:
+    """Row numbers from 1 in each part (null is one) without a window over a whole part: numbers inside ordered buckets plus the sizes
+    of those before. ``buckets`` must not decrease in the order; an even cut keeps every window small.
+    """
+    rows = df.withColumn("_bucket", buckets)
+    keys = [*part, "_bucket"]
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    # a row for each part and bucket
+    above = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = sizes.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before"))
+    inner = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
+    return inner.join(before, same).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_bucket", "_before", *[f"_key_{i}" for i in range(len(keys))])
+
+
 def balanced_sample(df: DataFrame, label: str, key: str, seed: object) -> DataFrame:
     """As many rows of each class as the smallest class has, in seeded order."""
-    least = df.filter(F.col(label).isNotNull()).groupBy(label).count().agg(F.min("count").alias("_least"))
-    order = [portable_hash(seed, F.col(key)), F.col(key)]
-    ranked = df.filter(F.col(label).isNotNull()).withColumn("_rank", F.row_number().over(Window.partitionBy(label).orderBy(*order)))
-    return ranked.crossJoin(F.broadcast(least)).filter("_rank <= _least").drop("_rank", "_least")
+    known = df.filter(F.col(label).isNotNull())
+    least = known.groupBy(label).count().agg(F.min("count").alias("_least"))
+    order = portable_hash(seed, F.col(key))
+    rows = ranked(known, [label], [order, F.col(key)], "_rank", F.shiftright(order, 22))
+    return rows.crossJoin(F.broadcast(least)).filter("_rank <= _least").drop("_rank", "_least")
 
 
 def group_mean(df: DataFrame, group: Sequence[str], value: str, name: str) -> DataFrame:
-    return df.withColumn(name, F.avg(value).over(Window.partitionBy(*group)))
+    return with_aggregates(df, group, **{name: F.avg(value)})
 
 
 def _global_rank(df: DataFrame, order: Sequence[Column], name: str, buckets: Column) -> DataFrame:
-    """Row numbers over all rows without one partition for all: numbers inside ordered buckets plus the sizes of those before.
-
-    ``buckets`` must not decrease in the order.
-    """
-    rows = df.withColumn("_bucket", buckets)
-    sizes = rows.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    inner = F.row_number().over(Window.partitionBy("_bucket").orderBy(*order))
-    return rows.withColumn(name, inner).join(before, rows["_bucket"].eqNullSafe(before["_bucket"])).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_bucket", "_before")
+    """Row numbers over all rows."""
+    return ranked(df, [], order, name, buckets)
 
 
 def _buckets(df: DataFrame, value: str, parts: int = 64) -> Column:
@@ -76,6 +100,26 @@ def _buckets(df: DataFrame, value: str, parts: int = 64) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(value))) if cuts else F.lit(0)
 
 
+def running(df: DataFrame, part: Sequence[str], value: str, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, descending: bool = False) -> DataFrame:
+    """Running sums (in the order of ``value``, ties by row) and running minima from there to the end, per part, without a window over a whole part.
+
+    Inside buckets of the value, rows are windows; what other buckets hold is one row for each part and bucket. Distinct values
+    per part make the result independent of ties.
+    """
+    sums, least = sums or {}, least or {}
+    rows = df.withColumn("_bucket", _buckets(df, value))
+    keys, turn = [*part, "_bucket"], F.desc if descending else F.asc
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    inner, outer = Window.partitionBy(*keys).orderBy(turn(value)), Window.partitionBy(*[names[k] for k in part]).orderBy(turn(names["_bucket"]))
+    own = rows.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(*[F.sum(c).alias(f"_own_{n}") for n, c in sums.items()], *[F.min(c).alias(f"_own_{n}") for n, c in least.items()])
+    own = own.withColumns({f"_own_{n}": F.coalesce(F.sum(f"_own_{n}").over(outer.rowsBetween(first, -1)), F.lit(0)) for n in sums} | {f"_own_{n}": F.min(f"_own_{n}").over(outer.rowsBetween(1, last)) for n in least})
+    rows = rows.withColumns({n: F.sum(c).over(inner.rowsBetween(first, 0)) for n, c in sums.items()} | {n: F.min(c).over(inner.rowsBetween(0, last)) for n, c in least.items()})
+    both = rows.join(own, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]))
+    both = both.withColumns({n: F.col(n) + F.col(f"_own_{n}") for n in sums} | {n: F.least(n, f"_own_{n}") for n in least})
+    return both.drop("_bucket", *names.values(), *[f"_own_{n}" for n in [*sums, *least]])
+
+
 def tails(df: DataFrame, value: str, key: str, fraction: float, label: str = "tail") -> DataFrame:
     """The lowest and the highest ceil(fraction * n) rows (half of all at most), ties by key: label bottom or top."""
     if not 0 < fraction <= 0.25:
@@ -107,16 +151,8 @@ def evenly_spaced(df: DataFrame, group: Sequence[str], order: Sequence[str], k:
 def average_rank(df: DataFrame, value: str, name: str, group: Sequence[str] = ()) -> DataFrame:
     """Ranks from 1 with ties sharing their mean; ranks come from counts per distinct value, so ties and large groups stay cheap."""
     rows = df.filter(F.col(value).isNotNull())
-    counts = rows.groupBy(*group, value).agg(F.count("*").alias("_t"))
-    if group:
-        before = F.coalesce(F.sum("_t").over(Window.partitionBy(*group).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        counts = counts.withColumn("_b", before)
-    else:
-        counts = counts.withColumn("_bucket", _buckets(rows, value))
-        inner = F.coalesce(F.sum("_t").over(Window.partitionBy("_bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        sizes = counts.groupBy("_bucket").agg(F.sum("_t").alias("_s")).withColumn("_o", F.coalesce(F.sum("_s").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        counts = counts.withColumn("_i", inner).join(sizes, "_bucket").withColumn("_b", F.col("_i") + F.col("_o"))
-    ranks = counts.select(*group, value, (F.col("_b") + (F.col("_t") + 1) / 2).alias(name), F.col("_t").alias("n_tied"))
+    counts = running(rows.groupBy(*group, value).agg(F.count("*").alias("_t")), group, value, {"_b": F.col("_t")})
+    ranks = counts.select(*group, value, (F.col("_b") - (F.col("_t") - 1) / 2).alias(name), F.col("_t").alias("n_tied"))
     return rows.join(ranks, [*group, value])
 
 
