@@ -13,7 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 _U = np.uint64
 
 
@@ -27,21 +27,21 @@ def _mod(x: np.ndarray) -> np.ndarray:
     return (x & _U(P)) + (x >> _U(31))
 
 
-@lru_cache(maxsize=16)
-def _powers_of(base: int, n: int) -> np.ndarray:
-    """base**i modulo P for i < n, by doubling."""
-    out = np.ones(n, np.uint32)
-    have = 1
-    while have < n:
-        m = min(have, n - have)
-        out[have : have + m] = out[:m].astype(_U) * _U(pow(base, have, P)) % _U(P)
-        have += m
-    return out
+_held: dict[int, np.ndarray] = {}  # one table for each base, as long as was ever needed
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """At least n + 1 powers."""
-    return _powers_of(base, 1 << max(16, (n + 1).bit_length()))[: n + 1]
+    """base**i modulo P for i up to n, by doubling."""
+    have = len(_held.get(base, ()))
+    if have <= n:
+        size = 1 << max(16, (n + 1).bit_length())
+        out = np.ones(size, np.uint32)
+        have = 1
+        while have < size:
+            out[have : 2 * have] = out[:have].astype(_U) * _U(pow(base, have, P)) % _U(P)
+            have *= 2
+        _held[base] = out
+    return _held[base][: n + 1]
 
 
 @lru_cache(maxsize=2)

@@ -9,7 +9,7 @@ import numpy as np
 
 from ._text import buffer, word_codes
 
-SLOTS = 1 << 21  # pieces kept by a worker at most
+SLOTS = 1 << 20  # pieces kept by a worker at most
 ARENA = 12_000_000  # ids kept by a worker at most
 
 
@@ -119,7 +119,7 @@ class Encoder:
         end = np.concatenate((start[1:], [n]))
         key = word_codes(data, start, end)
         key[key == 0] = 1
-        slot = (key >> np.uint64(43)).astype(np.int64)
+        slot = (key >> np.uint64(44)).astype(np.int64)
         missing = np.flatnonzero(self.hash[slot] != key)
         lengths, starts = self.length[slot], self.start[slot]
         extra = np.zeros(0, self.kind)
@@ -147,7 +147,7 @@ class Encoder:
                     grown[: self.used] = self.arena[: self.used]
                     self.arena = grown
                 self.arena[self.used : self.used + len(extra)] = extra
-                s = (new[keep] >> np.uint64(43)).astype(np.int64)
+                s = (new[keep] >> np.uint64(44)).astype(np.int64)
                 self.hash[s], self.start[s], self.length[s] = new[keep], (offset[keep] + self.used).astype(np.int32), size[keep]
                 self.used += len(extra)
         else:

@@ -120,7 +120,7 @@ def predict(docs: DataFrame, model: dict) -> DataFrame:
         from ._text import slices
 
         model = shared.value
-        for part in slices(batches, "text", 1_000_000):
+        for part in slices(batches, "text", 300_000):
             texts = part.column("text").to_pylist()
             has = np.array([any(map(str.isalpha, t)) if t else False for t in texts], bool)
             names, scores = np.full(len(texts), "und", object), np.zeros(len(texts))

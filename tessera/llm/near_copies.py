@@ -181,7 +181,7 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash, node (hash of the shingle set), n (shingles in it), prints of each document."""
 
     def run(batches):
-        for part in slices(batches, "text", 1_000_000):
+        for part in slices(batches, "text", 500_000):
             node, n, prints = sketch(shingle_sets(part.column("text")))
             cols = [part.column("doc_id"), part.column("text_hash"), pa.array(node.view(np.int64)), pa.array(n.astype(np.int32)), pa.array([x.tobytes() for x in prints], pa.binary())]
             yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "text_hash", "node", "n", "prints"])
@@ -242,7 +242,7 @@ def shingles_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFr
     found = own.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h"))).select("node", "text")
 
     def run(batches):
-        for part in slices(batches, "text", 1_000_000):
+        for part in slices(batches, "text", 500_000):
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array([x.tobytes() for x in shingle_sets(part.column("text"))], pa.binary())], names=["node", "shingles"])
 
     # repeated rows have one node

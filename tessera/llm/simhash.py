@@ -89,7 +89,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """doc_id, text_hash, fp (the 64 bits as a long) of each document."""
 
     def run(batches):
-        for part in slices(batches, "text", 1_000_000):
+        for part in slices(batches, "text", 500_000):
             fp = pa.array(_fingerprint_batch(part.column("text"), width).view(np.int64))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_hash"), fp], names=["doc_id", "text_hash", "fp"])
 

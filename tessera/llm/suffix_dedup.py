@@ -53,7 +53,7 @@ UNITS = {"byte": np.dtype(np.uint8), "word": np.dtype(np.uint64)}
 HOT = 350
 NULL_ID = 2**63 - 1
 BATCH_BITS = 19  # a suffix array has fewer than 2**19 places; twice HOT stretches fit one
-SEGMENT = 1_500_000  # windows that are hashed at a time
+SEGMENT = 800_000  # windows that are hashed at a time
 PLACE_BITS = np.uint64(22)  # of a place in a segment
 STRETCH = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("size", "<i4"), ("count", "u1")])
 WINDOW = np.dtype([("content", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("count", "u1")])

@@ -130,7 +130,7 @@ def with_features(docs: DataFrame, terms: list[tuple[str, float, bool]], *column
         words = _lookup([(t, w) for t, w, start in terms if not start])
         starts = {k: _lookup([(t, w) for t, w, start in terms if start and len(t) == k]) for k in (4, 5)}
         second = _lookup([(t, 1.0) for t in SECOND])
-        for part in slices(batches, "text", 1_000_000):
+        for part in slices(batches, "text", 300_000):
             x = _features(part.column("text").to_pylist(), words, starts, second)
             out = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), x.shape[1]).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), out], names=[*columns, "features"])
