@@ -1,13 +1,17 @@
 """Case-control matching inside calipers, without reuse of controls.
 
 All forms are greedy and deterministic: cases take turns in a fixed priority, each takes its nearest controls that
-are left. Rows are cut into components that can't share a control, and each component is solved by itself:
+are left. The sequential answer is reached without a task that holds a whole stratum:
 
-* equal exact columns and, in the order of the matched value, no gap wider than the caliper (``_components``);
-* where one control person has rows at several values, components that share a person are one (union in a loop of joins).
+* Rows of a stratum (equal exact columns) are cut into blocks, ranges of the matched value with about ``block_rows`` rows and at least two calipers
+  wide. Controls within a caliper of a block's edge are seen by both sides.
+* Each block lets its cases take turns. A control that a case of another block took at an earlier turn, as of the round before, is not there.
+* Blocks whose controls were taken otherwise than before by other blocks go again, until nothing changes. What holds then is the
+  sequential answer: in the order of turns, each case saw what all cases before it took.
 
-A component too large for one task takes the round form: in each round every case bids for all of its remaining
-controls, and cases that come first on all of their bids are settled. Both forms give the sequential answer.
+A change only runs on as far as matches depend on each other, so few blocks go again where controls are plenty; in the worst case (every case
+hangs on the one before) rounds are as many as blocks. A control person with rows at several values is one person in all blocks. The least a task
+holds are the rows of a few caliper widths of one stratum.
 """
 
 from __future__ import annotations
@@ -21,10 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import use_shared_folder
 from .checks import CheckFailed, assert_unique, require_columns
-from .link import band_pairs
 from .windows import _global_rank
 
+BLOCK_ROWS = 50_000
+LEVELS = 24  # blocks are 2**level cells wide
+ROUNDS = 1000
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -32,7 +40,8 @@ class Rule:
 
     order: "difficulty" (fewest candidates first) or "value". whole: a case takes ``ratio`` controls or none,
     else up to ``ratio``. null_matches: a null exact value matches null, else nothing.
-    distance: columns of a Gower distance that goes before the value distance (numeric ones by range).
+    distance: columns of a Gower distance that goes before the value distance (numeric ones by range). lowest: a case takes the lowest
+    values inside the caliper instead of the nearest.
     """
 
     ratio: int = 1
@@ -43,6 +52,7 @@ class Rule:
     null_matches: bool = False
     distance: tuple[str, ...] = ()
     numeric: tuple[str, ...] = field(default=())
+    lowest: bool = False
 
     def __post_init__(self):
         if self.ratio < 1 or self.caliper < 0 or self.order not in ("difficulty", "value"):
@@ -71,23 +81,30 @@ def gower(case: dict, pool: pd.DataFrame, columns: Sequence[str], numeric: Seque
     return total / weight.clip(lower=1.0)
 
 
+def _nearby(values: np.ndarray, x: float, caliper: float) -> np.ndarray:
+    """Places of ascending values within the caliper."""
+    near = np.arange(np.searchsorted(values, x - caliper - 1e-9), np.searchsorted(values, x + caliper + 1e-9, "right"))
+    return near[np.abs(values[near] - x) <= caliper]
+
+
 def _solve(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
-    """Sequential greedy over one component: columns id, value, is_case, priority, tie and the distance columns."""
-    cases = frame[frame.is_case].sort_values(["priority", "id"])
+    """Turns of the cases of one block: columns id, value, is_case, unknown, turn, tie, taken (turn at which others took a control) and the distance columns."""
+    cases = frame[frame.is_case].sort_values(["turn", "id"])
     pool = frame[~frame.is_case].sort_values(["value", "id", "tie"]).reset_index(drop=True)
-    values, names = pool.value.to_numpy(), pool.id.to_numpy()
+    values, names = pool.value.to_numpy(float), pool.id.to_numpy()
     person = np.unique(names.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
     tie = np.unique(pool.tie.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
-    free = np.ones(person.max() + 1 if len(pool) else 0, bool)
+    gone = np.full(person.max() + 1 if len(pool) else 0, np.inf)
+    np.minimum.at(gone, person, pool.taken.fillna(np.inf).to_numpy(float))
     pairs, audit = [], []
     for case in cases.to_dict("records"):
         x = case["value"]
-        near = np.arange(np.searchsorted(values, x - rule.caliper - 1e-9), np.searchsorted(values, x + rule.caliper + 1e-9, "right"))
+        near = _nearby(values, x, rule.caliper) if rule.null_matches or not case["unknown"] else np.zeros(0, int)
+        near = near[gone[person[near]] > case["turn"]]
         d = np.abs(values[near] - x)
-        keep = free[person[near]] & (d <= rule.caliper)
-        near, d = near[keep], d[keep]
         g = gower(case, pool.iloc[near], rule.distance, rule.numeric).to_numpy() if rule.distance and len(near) else np.zeros(len(near))
-        order = np.lexsort((tie[near], person[near], d, g))
+        # the lowest value first or the nearest
+        order = np.lexsort((tie[near], person[near], values[near] if rule.lowest else d, g))
         near, d, g = near[order], d[order], g[order]
         if len(near) > len(set(person[near].tolist())):  # a person's nearest row stands for it
             once = np.sort(np.unique(person[near], return_index=True)[1])
@@ -95,9 +112,9 @@ def _solve(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
         enough = len(near) >= (rule.ratio if rule.whole else 1)
         take = rule.ratio if enough else 0
         for rank, (k, dk, gk) in enumerate(zip(near[:take].tolist(), d[:take].tolist(), g[:take].tolist(), strict=True), 1):
-            pairs.append((case["id"], names[k], rank, case["priority"], x, float(values[k]), dk, gk))
+            pairs.append((case["id"], names[k], rank, case["turn"], x, float(values[k]), dk, gk))
         taken = min(take, len(near))
-        free[person[near[:take]]] = False
+        gone[person[near[:take]]] = -1
         reason = None if taken == rule.ratio else "partial_ratio" if taken else "too_few_controls"
         audit.append((case["id"], x, bool(taken), taken, len(near), reason))
     return pairs, audit
@@ -119,58 +136,46 @@ def _frame(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str
     return rows.filter(F.col("id").isNotNull() & F.col("value").isNotNull() & F.col("is_case").isNotNull())
 
 
-def _with_priority(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Turn of every case, over all strata."""
-    cases, controls = rows.filter("is_case"), rows.filter(~F.col("is_case"))
-    if not rule.null_matches:
-        controls = controls.filter(~F.col("unknown"))
-    if rule.order == "value":
-        ranked = cases.withColumn("candidates", F.lit(0))
-    else:
-        width = max(rule.caliper, 1e-9)
-        found = band_pairs(cases.select("id", F.col("value").alias("cv"), "stratum"), controls.select(F.col("id").alias("kid"), F.col("value").alias("kv"), "stratum"), ("cv", "kv"), width, ["stratum"])
-        n = found.groupBy("id").agg(F.count_distinct("kid").alias("candidates"))
-        ranked = cases.join(n, "id", "left").fillna(0, ["candidates"])
-    # the turn is the place in (candidates, value, id); components need only its order, so it stays a struct until the end
-    return ranked.withColumn("turn", F.struct("candidates", "value", "id"))
+def _checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written in the shared checkpoint folder; lineage ends here."""
+    use_shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
-def _components(rows: DataFrame, rule: Rule) -> DataFrame:
-    """component: the stratum and the number of gaps wider than the caliper before the row."""
-    w = Window.partitionBy("stratum").orderBy("value")
-    gap = (F.col("value") - F.lag("value").over(w)) > F.lit(rule.caliper) + 1e-9
-    return rows.withColumn("_gap", F.coalesce(gap, F.lit(False)).cast("int")).withColumn("component", F.concat_ws("\2", "stratum", F.sum("_gap").over(w.rowsBetween(Window.unboundedPreceding, 0)))).drop("_gap")
+def _cell(value, rule: Rule):
+    return F.floor(value / (2 * max(rule.caliper, 1e-6) + 1e-6)).cast("long")
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written in the shared checkpoint folder; lineage ends here."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            import tempfile
-
-            folder = tempfile.mkdtemp(prefix="tessera-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+def _in_blocks(rows: DataFrame, rule: Rule, block_rows: int) -> DataFrame:
+    """Rows with their block: cases once, controls in every block with cases that can reach them.
 
+    Cells are two calipers wide. A block is the largest aligned run of 2**level cells with ``block_rows`` rows at most, or one cell.
+    """
+    cells = rows.select("stratum", _cell(F.col("value"), rule).alias("cell"), F.col("is_case").cast("long").alias("c")).groupBy("stratum", "cell").agg(F.count("*").alias("n"), F.sum("c").alias("c"))
+    wide = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS)))).withColumn("run", F.expr("shiftright(cell, level)"))
+    total = wide.groupBy("stratum", "level", "run").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
+    fits = wide.drop("n", "c").join(total, ["stratum", "level", "run"]).filter((F.col("n") <= block_rows) | (F.col("level") == 0))
+    best = fits.groupBy("stratum", "cell").agg(F.max(F.struct("level", "run", "c")).alias("b"))
+    blocks = _checkpointed(best.filter("b.c > 0").select("stratum", "cell", F.concat_ws("\2", "stratum", "b.level", "b.run").alias("block")))
+    v, reach = F.col("value"), rule.caliper + 1e-9
+    seen = F.when(F.col("is_case"), F.array(_cell(v, rule))).otherwise(F.array_distinct(F.array(_cell(v - reach, rule), _cell(v, rule), _cell(v + reach, rule))))
+    return rows.withColumn("cell", F.explode(seen)).join(blocks, ["stratum", "cell"]).drop("cell").dropDuplicates()
+
+
+def _counted(placed: DataFrame, rule: Rule) -> DataFrame:
+    """(id, candidates) of each case: control persons inside the caliper."""
+    def count(frame: pd.DataFrame) -> pd.DataFrame:
+        pool = frame[~frame.is_case].sort_values("value")
+        values, person = pool.value.to_numpy(float), np.unique(pool.id.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
+        cases = frame[frame.is_case]
+        found = [len(np.unique(person[_nearby(values, x, rule.caliper)])) if rule.null_matches or not odd else 0 for x, odd in zip(cases.value, cases.unknown, strict=True)]
+        return pd.DataFrame({"id": cases.id.to_numpy(), "candidates": found})
 
-def _merge_by_person(rows: DataFrame) -> DataFrame:
-    """Components that hold rows of one control person become one (the least name wins, until nothing changes)."""
-    links = _checkpointed(rows.filter(~F.col("is_case")).select("id", "component").distinct())
-    names = links.select("component").distinct().withColumn("root", F.col("component"))
-    for _ in range(50):
-        least = links.join(names, "component").groupBy("id").agg(F.min("root").alias("r"))
-        new = links.join(least, "id").groupBy("component").agg(F.min("r").alias("new"))
-        step = _checkpointed(names.join(new, "component").select("component", F.least("root", "new").alias("root"), (F.col("new") < F.col("root")).alias("moved")))
-        names = step.select("component", "root")
-        if not step.filter("moved").limit(1).count():
-            break
-    return rows.join(names, "component", "left").withColumn("component", F.coalesce("root", "component")).drop("root")
+    return placed.select("block", "id", "value", "is_case", "unknown").groupBy("block").applyInPandas(count, "id string, candidates long")
 
 
-def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str | None = None, unique: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(pairs, audit) by the partition form; ``case`` is 1 for cases and 0 for controls.
+def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str | None = None, unique: bool = True, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(pairs, audit); ``case`` is 1 for cases and 0 for controls.
 
     With ``unique`` each person has one row; else a control person may have several (visits, told apart by ``tie``) and serves once, at
     the nearest. ``priority`` in pairs is the turn over all cases, from 1.
@@ -179,64 +184,53 @@ def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str |
         assert_unique(df, [who], "matching table")
     rows = _frame(df, who, value, case, rule, tie)
     if not rule.null_matches:
-        usable = rows.filter(F.col("is_case") | ~F.col("unknown"))
-    else:
-        usable = rows
-    turns = _with_priority(usable, rule).select("id", "turn")
-    # turns as numbers: one narrow row per case
-    buckets = F.struct(F.col("turn.candidates"), F.floor(F.col("turn.value") / max(rule.caliper, 1e-9)))
-    numbered = _global_rank(turns, [F.col("turn")], "priority", buckets).select("id", "priority")
-    cut = _components(usable, rule)
-    if not unique:
-        cut = _merge_by_person(cut)
-    # a case with an unknown exact value finds nothing
-    cut = cut.withColumn("component", F.when(F.col("is_case") & F.col("unknown") & F.lit(not rule.null_matches), F.concat(F.lit("alone\2"), "id")).otherwise(F.col("component")))
-    ready = cut.join(numbered.withColumn("is_case", F.lit(True)), ["id", "is_case"], "left")
+        rows = rows.filter(F.col("is_case") | ~F.col("unknown"))
+    placed = _in_blocks(rows, rule, block_rows)
+    cases = placed.filter("is_case").select("id", "value")
+    turns = cases.withColumn("candidates", F.lit(0).cast("long")) if rule.order == "value" else cases.join(_counted(placed, rule), "id")
+    buckets = F.struct("candidates", F.floor(F.col("value") / max(rule.caliper, 1e-9)))
+    numbered = _global_rank(turns, [F.col("candidates"), F.col("value"), F.col("id")], "turn", buckets).select("id", "turn")
+    placed = _checkpointed(placed.join(numbered.withColumn("is_case", F.lit(True)), ["id", "is_case"], "left"))
     names = {f"g_{i}": c for i, c in enumerate(rule.distance)}
-    schema = f"kind string, {PAIRS}, matched boolean, n_controls int, eligible_at_turn int, reason string"
+    schema = f"block string, kind string, {PAIRS}, matched boolean, n_controls int, eligible_at_turn int, reason string"
     columns = [c.split()[0] for c in schema.split(", ")]
 
     def solve(frame: pd.DataFrame) -> pd.DataFrame:
         pairs, audit = _solve(frame.rename(columns=names), rule)
-        out = [("pair", *p, None, None, None, None) for p in pairs] + [("audit", a[0], None, None, None, a[1], None, None, None, *a[2:]) for a in audit]
+        block = frame.block.iloc[0]
+        out = [(block, "pair", *p, None, None, None, None) for p in pairs] + [(block, "audit", a[0], None, None, None, a[1], None, None, None, *a[2:]) for a in audit]
         return pd.DataFrame(out, columns=columns)
 
-    solved = ready.groupBy("component").applyInPandas(solve, schema)
-    pairs = solved.filter("kind = 'pair'").select(*[c.split()[0] for c in PAIRS.split(", ")])
-    audit = solved.filter("kind = 'audit'").select("case_id", "case_value", "matched", "n_controls", "eligible_at_turn", "reason")
-    return pairs, audit
-
+    def turns_of(frame: DataFrame) -> DataFrame:
+        return frame.groupBy("block").applyInPandas(solve, schema)
 
-def match_rounds(df: DataFrame, who: str, value: str, case: str, rule: Rule, rounds: int = 200) -> DataFrame:
-    """Pairs by the round form (unique rows, no Gower distance), for components that don't fit one task.
-
-    Each round settles every case whose turn is the least among the bidders on each of its remaining controls. A settled case takes its nearest ones
-    (all of ``ratio``, or up to it); with ``whole`` a case left with too few is dropped.
-    """
-    if rule.distance:
-        raise ValueError("the round form has no covariate distance")
-    rows = _frame(df, who, value, case, rule, None)
-    usable = rows if rule.null_matches else rows.filter(~F.col("unknown"))
-    cases = _with_priority(usable, rule)
-    bids = band_pairs(cases.select("id", F.col("value").alias("cv"), "stratum", "turn"), usable.filter(~F.col("is_case")).select(F.col("id").alias("kid"), F.col("value").alias("kv"), "stratum"), ("cv", "kv"), max(rule.caliper, 1e-9), ["stratum"])
-    bids = bids.select("id", "turn", "kid", "cv", "kv", F.abs(F.col("cv") - F.col("kv")).alias("d"))
-    spark, settled = df.sparkSession, None
-    bids = _checkpointed(bids)
-    for _ in range(rounds):
-        if rule.whole:
-            enough = bids.groupBy("id").agg(F.count("*").alias("_n")).filter(F.col("_n") >= rule.ratio).select("id")
-            bids = bids.join(enough, "id", "left_semi")
-        leader = bids.groupBy("kid").agg(F.min("turn").alias("lead"))
-        first = bids.join(leader, "kid").groupBy("id").agg(F.every(F.col("lead") == F.col("turn")).alias("all_first")).filter("all_first").select("id")
-        won = bids.join(first, "id", "left_semi").withColumn("match_rank", F.row_number().over(Window.partitionBy("id").orderBy("d", "kid"))).filter(F.col("match_rank") <= rule.ratio)
-        won = won.select(F.col("id").alias("case_id"), F.col("kid").alias("control_id"), "match_rank", F.col("d").alias("value_distance")).checkpoint()
-        if not won.limit(1).count():
+    done = _checkpointed(turns_of(placed.withColumn("taken", F.lit(None).cast("long"))))
+    moved = done.filter("kind = 'pair'").select(F.col("control_id").alias("id"), F.col("block").alias("by")).distinct()
+    people = placed.filter("not is_case").select("id", "block").distinct()
+    for _ in range(ROUNDS):
+        again = _checkpointed(people.join(moved, "id").filter("block != by").select("block").distinct())
+        if not again.limit(1).count():
             break
-        settled = won if settled is None else settled.unionByName(won)
-        bids = bids.join(won.select(F.col("case_id").alias("id")).distinct(), "id", "left_anti").join(won.select(F.col("control_id").alias("kid")).distinct(), "kid", "left_anti").checkpoint()
+        # of each control the turns at which other blocks took it: a few blocks can reach a person
+        takers = done.filter("kind = 'pair'").groupBy("control_id", F.col("block").alias("by")).agg(F.min("priority").alias("at")).groupBy(F.col("control_id").alias("id")).agg(F.collect_list(F.struct("by", "at")).alias("takers"))
+        frame = placed.join(again, "block", "left_semi").join(takers, "id", "left")
+        others = F.transform(F.filter("takers", lambda t: t["by"] != F.col("block")), lambda t: t["at"])
+        new = _checkpointed(turns_of(frame.withColumn("taken", F.when(~F.col("is_case"), F.array_min(others))).drop("takers")))
+        pair = ["case_id", "control_id", F.col("block").alias("by")]
+        old = done.join(again, "block", "left_semi")
+        before, after = (x.filter("kind = 'pair'").select(*pair) for x in (old, new))
+        moved = before.exceptAll(after).unionByName(after.exceptAll(before)).select(F.col("control_id").alias("id"), "by").distinct()
+        done = _checkpointed(done.join(again, "block", "left_anti").unionByName(new))
     else:
-        raise CheckFailed(f"no end after {rounds} rounds")
-    return settled if settled is not None else spark.createDataFrame([], "case_id string, control_id string, match_rank int, value_distance double")
+        raise CheckFailed(f"no end after {ROUNDS} rounds")
+    pairs = done.filter("kind = 'pair'").select(*[c.split()[0] for c in PAIRS.split(", ")])
+    audit = done.filter("kind = 'audit'").select("case_id", "case_value", "matched", "n_controls", "eligible_at_turn", "reason")
+    return pairs, audit
+
+
+def match_rounds(df: DataFrame, who: str, value: str, case: str, rule: Rule, block_rows: int = 500) -> DataFrame:
+    """Pairs with small blocks, so that many rounds are gone through: case_id, control_id, match_rank, value_distance."""
+    return match(df, who, value, case, rule, block_rows=block_rows)[0].select("case_id", "control_id", "match_rank", "value_distance")
 
 
 def membership(pairs: DataFrame) -> DataFrame:
@@ -256,41 +250,24 @@ def match_groups(df: DataFrame, who: str, value: str, group: str, targets: Seque
     return out
 
 
-def feasibility(df: DataFrame, who: str, value: str, case: str, calipers: Sequence[float]) -> DataFrame:
-    """(caliper, n_cases, n_with_candidate, max_pairs): how many cases have a control, and the most disjoint pairs there can be."""
+def feasibility(df: DataFrame, who: str, value: str, case: str, calipers: Sequence[float], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(caliper, n_cases, n_with_candidate, max_pairs): how many cases have a control, and the most disjoint pairs there can be.
+
+    Distances that differ from the caliper by rounding alone (1e-9) are inside. On a line the most pairs are found by letting cases, ascending, take the lowest control that is left.
+    """
     out = None
     for width in calipers:
-        rule = Rule(caliper=width)
-        cut = _components(_frame(df, who, value, case, rule, None), rule)
-        found = cut.groupBy("component").applyInPandas(_counter(width), "n_cases long, n_with_candidate long, max_pairs long").agg(*[F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("n_cases", "n_with_candidate", "max_pairs")])
-        found = found.select(F.lit(float(width)).alias("caliper"), "*")
+        rule = Rule(caliper=width + 1e-9, order="value", lowest=True)
+        rows = _frame(df, who, value, case, rule, None)
+        placed = _in_blocks(rows, rule, block_rows)
+        n = rows.agg(F.count_if("is_case").alias("n_cases"))
+        some = _counted(placed, rule).agg(F.count_if(F.col("candidates") > 0).alias("n_with_candidate"))
+        pairs = match(df, who, value, case, rule, block_rows=block_rows)[0].agg(F.count("*").alias("max_pairs"))
+        found = n.crossJoin(some).crossJoin(pairs).select(F.lit(float(width)).alias("caliper"), "*")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _counter(width: float):
-    def count(frame: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(frame[frame.is_case].value), sorted(frame[~frame.is_case].value)
-        some = sum(1 for x in a if any(True for _ in _near(b, x, width)))
-        pairs = i = 0
-        for x in a:
-            while i < len(b) and b[i] < x - width - 1e-9:
-                i += 1
-            if i < len(b) and b[i] <= x + width + 1e-9:
-                pairs, i = pairs + 1, i + 1
-        return pd.DataFrame([(len(a), some, pairs)], columns=["n_cases", "n_with_candidate", "max_pairs"])
-
-    return count
-
-
-def _near(values: list, x: float, width: float):
-    import bisect
-
-    i = bisect.bisect_left(values, x - width - 1e-9)
-    if i < len(values) and values[i] <= x + width + 1e-9:
-        yield values[i]
-
-
 def balance(df: DataFrame, group: str, continuous: Sequence[str], stage: str) -> DataFrame:
     """(stage, variable, n, mean and sd by group, smd) of a 0/1 group, one pass."""
     rows = df.filter(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in continuous])).alias("x")).select("g", "x.*").filter("v is not null")
@@ -311,6 +288,4 @@ def categorical_smd(df: DataFrame, group: str, column: str) -> DataFrame:
 
 
 def match_summary(audit: DataFrame) -> DataFrame:
-    return audit.groupBy(F.coalesce("reason", F.lit("complete")).alias("reason")).agg(F.count("*").alias("n_cases"), F.count_if("matched").alias("n_matched")).withColumn("share", F.col("n_cases") / F.sum("n_cases").over(Window.partitionBy()))
-
-
+    return audit.groupBy(F.coalesce("reason", F.lit("complete")).alias("reason")).agg(F.count("*").alias("n_cases"), F.count_if("matched").alias("n_matched")).withColumn("share", F.col("n_cases") / F.sum("n_cases").over(Window.partitionBy()))  # a row for each reason

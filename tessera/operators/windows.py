@@ -100,6 +100,11 @@ def _buckets(df: DataFrame, value: str, parts: int = 64) -> Column:
     return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(value))) if cuts else F.lit(0)
 
 
+def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Row numbers from 1 over all rows in the order of a number (unique, or ties in any order)."""
+    return ranked(df, [], [F.col(column)], name, _buckets(df, column))
+
+
 def running(df: DataFrame, part: Sequence[str], value: str, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, descending: bool = False) -> DataFrame:
     """Running sums (in the order of ``value``, ties by row) and running minima from there to the end, per part, without a window over a whole part.
 

@@ -2,30 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import clean as c
 from ..operators import aggregate, checks, link, maps, models, stats, windows
 from ..sources import readers
+from ..sources.shared import new_folder
 from ..streaming import handoff
 from .inference import PRED, _rounded, _row, predictions, vectors
 from .registry import query, table
 
 
-def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return f"{base.rstrip('/')}/out-{uuid.uuid4().hex}"
-
-
 # sources and sinks
 
 
 @query("s01_written_inventory", "select extension, count(*) > 0 as some, true as known_size from (select distinct '.parquet' as extension from documents) group by 1")
 def s01(spark, d):
-    path = _folder(spark)
+    path = new_folder(spark, "out")
     table(spark, d, "documents").select("doc_id", "lang").repartition(3).write.parquet(path)
     found = readers.file_inventory(spark, path).filter("extension = '.parquet'")
     return found.groupBy("extension").agg((F.count("*") > 0).alias("some"), (F.min("bytes") > 0).alias("known_size"))
@@ -33,7 +26,7 @@ def s01(spark, d):
 
 @query("s04_release_round_trip", "select cast(c_custkey as varchar) as c_custkey, c_name || chr(10) || 'line \"two\", end' as note from customer")
 def s04(spark, d):
-    path = _folder(spark)
+    path = new_folder(spark, "out")
     rows = table(spark, d, "customer").select("c_custkey", F.concat("c_name", F.lit('\nline "two", end')).alias("note"))
     rows.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     return readers.read_release(spark, path)
@@ -41,14 +34,14 @@ def s04(spark, d):
 
 @query("s06_header_profile", "select distinct ',' as delimiter, 3::integer as n_columns, '[\"c_custkey\",\"c_name\",\"c_nationkey\"]' as columns_json, cast(null as varchar) as error from customer")
 def s06(spark, d):
-    path = _folder(spark)
+    path = new_folder(spark, "out")
     table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").coalesce(1).write.option("header", True).csv(path)
     return readers.header_profile(spark, path).drop("path")
 
 
 @query("s08_drifting_batches", "select doc_id, cast(n_chars as double) as n_chars, cast(null as varchar) as eye from documents")
 def s08(spark, d):
-    path = _folder(spark)
+    path = new_folder(spark, "out")
     docs = table(spark, d, "documents")
     docs.filter("doc_id % 2 = 0").select("doc_id", "n_chars").coalesce(1).write.parquet(f"{path}/batch=0")
     docs.filter("doc_id % 2 = 1").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang").coalesce(1).write.parquet(f"{path}/batch=1")
@@ -63,7 +56,7 @@ def s09(spark, d):
 
 @query("s11_partitioned_write", "select o_orderkey, o_orderstatus from orders where o_orderstatus = 'F'")
 def s11(spark, d):
-    path = _folder(spark)
+    path = new_folder(spark, "out")
     readers.write_partitioned(table(spark, d, "orders").select("o_orderkey", "o_orderstatus"), path, "o_orderstatus")
     return spark.read.parquet(path).filter("o_orderstatus = 'F'").select("o_orderkey", F.col("o_orderstatus").cast("string").alias("o_orderstatus"))
 

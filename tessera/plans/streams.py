@@ -2,22 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import windows
+from ..sources import readers
+from ..sources.shared import new_folder
 from ..streaming import handoff
 from .registry import query, table
 
 
-def _folder(spark) -> str:
-    """A new folder that driver and executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tessera-')}"
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -27,7 +20,7 @@ def _events(spark, d):
 
 def _finished(spark, stream, mode: str):
     """What a stream has put out once its input is used up."""
-    out, mark = _folder(spark), _folder(spark)
+    out, mark = new_folder(spark, "stream"), new_folder(spark, "stream")
     if mode == "append":
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
@@ -36,7 +29,7 @@ def _finished(spark, stream, mode: str):
 
 
 def _source(spark, d):
-    folder = _folder(spark)
+    folder = new_folder(spark, "stream")
     _events(spark, d).repartition(3).write.parquet(folder)
     return spark.readStream.schema(SCHEMA).parquet(folder)
 
@@ -59,34 +52,54 @@ def r02(spark, d):
     return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
-BATCHED = "with r as (select event_id, user_id, value, user_id % 3 != 0 as ok, row_number() over (order by event_id) - 1 as k from events where event_id < 900) "
+SIZE = 250  # rows of a batch; the last one is short and waits
+FULL = f"(select count(*) // {SIZE} * {SIZE} from events)"
+BATCHED = "with r as (select event_id, user_id, value, user_id % 3 != 0 as ok, row_number() over (order by event_id) - 1 as k from events) "
 
 
 def _batches(spark, d) -> str:
-    """Rows as batch folders of 250; the last one lacks rows."""
-    folder = _folder(spark)
-    rows = table(spark, d, "events").filter("event_id < 900").select("event_id", "user_id", "value", F.when(F.col("user_id") % 3 != 0, "pass").otherwise("fail").alias("quality_pass"))
-    dealt = windows.fixed_batches(rows.withColumn("_one", F.lit(1)), ["_one"], ["event_id"], 250).drop("_one")
-    for i in range(4):
-        dealt.filter(F.col("batch_index") == i).drop("batch_index").coalesce(1).write.parquet(f"{folder}/batch_{i * 250:09d}_{(i + 1) * 250:09d}")
+    """All events as batch files of ``SIZE`` rows in the order of their ids, written by many tasks; the last one lacks rows."""
+    folder = new_folder(spark, "batches")
+    rows = table(spark, d, "events").select("event_id", "user_id", "value", F.when(F.col("user_id") % 3 != 0, "pass").otherwise("fail").alias("quality_pass"))
+    first = F.floor((F.col("_k") - 1) / SIZE) * SIZE
+    named = windows.numbered(rows, "event_id", "_k").withColumn("part", F.format_string("batch_%09d_%09d", first, first + SIZE)).drop("_k")
+    # a batch is one file, as it would arrive
+    named.repartition("part").write.partitionBy("part").parquet(folder)
     return folder
 
 
 def _consumed(spark, d) -> str:
-    source, target, mark = _batches(spark, d), _folder(spark), _folder(spark)
+    source, target, mark = _batches(spark, d), new_folder(spark, "target"), new_folder(spark, "mark")
     schema = "event_id long, user_id long, value double, quality_pass string"
-    handoff.consume(spark, source, schema, target, mark, "event_id", ["quality_pass"], max_files=2).awaitTermination()
+    handoff.consume(spark, source, schema, target, mark, "event_id", ["quality_pass"], max_files=40).awaitTermination()
     return target
 
 
-@query("r04_handoff_rows", BATCHED + "select event_id, user_id, value from r where ok and k < 750")
+@query("r04_handoff_rows", BATCHED + f"select event_id, user_id, value from r where ok and k < {FULL}")
 def r04(spark, d):
-    return handoff.read_table(spark, f"{_consumed(spark, d)}/rows").select("event_id", "user_id", "value")
+    return readers.read_table(spark, f"{_consumed(spark, d)}/rows").select("event_id", "user_id", "value")
 
 
-@query("r05_handoff_progress", BATCHED + "select cast(3 as bigint) as n_batches, cast(750 as bigint) as n_rows, cast(750 as bigint) as covered_to, false as finished from r limit 1")
+@query("r05_handoff_progress", f"select {FULL} // {SIZE} as n_batches, {FULL} as n_rows, {FULL} as covered_to, count(*) % {SIZE} = 0 as finished from events")
 def r05(spark, d):
-    return handoff.progress(handoff.read_table(spark, f"{_consumed(spark, d)}/ledger"), 1000)
+    return handoff.progress(handoff.ledger(spark, _consumed(spark, d)), table(spark, d, "events").count())
+
+
+STOPPED = f"with n as (select count(*) // {SIZE} as n from events) "
+
+
+@query("r06_stopped_and_resumed", STOPPED + f"select run, cast(case run when 1 then least(n, 2) else n end as bigint) as n_batches, cast(case run when 1 then least(n, 2) else n end * {SIZE} as bigint) as n_rows from n, (select unnest([1, 2]) as run)")
+def r06(spark, d):
+    source, target = _batches(spark, d), new_folder(spark, "target")
+    schema = "event_id long, user_id long, value double, quality_pass string"
+    out = None
+    # a first run stops after two new batches, a later one takes the rest
+    for run, most in ((1, 2), (2, None)):
+        handoff.consume_listed(spark, source, schema, target, "event_id", ["quality_pass"], most)
+        done = handoff.ledger(spark, target).filter("complete").agg(F.count("*").alias("n_batches"), F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"))
+        row = spark.createDataFrame([(run, *done.first())], "run int, n_batches long, n_rows long")
+        out = row if out is None else out.unionByName(row)
+    return out
 
 
 @query("r07_restart_tokens", "with l as (select source, cast(n_chars % 3 as bigint) as bytes, doc_id as i from documents), s as (select distinct source, 1::bigint as bytes from documents) select s.source, coalesce(max(l.i) + 1, 0) as next_index from s left join l using (source, bytes) group by 1")
@@ -104,6 +117,6 @@ def r08(spark, d):
 
 @query("r09_rollup_stream", "select event_type, round(sum(value) / count(value), 6) as mean, count(value) as n from events group by 1")
 def r09(spark, d):
-    target, mark = _folder(spark), _folder(spark)
+    target, mark = new_folder(spark, "stream"), new_folder(spark, "stream")
     handoff.rollup_stream(spark, _source(spark, d), ["event_type"], "value", target, mark).awaitTermination()
     return handoff.rollup_result(spark, target, ["event_type"]).select("event_type", F.round("mean", 6).alias("mean"), "n")

@@ -61,12 +61,18 @@ def read_auto(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_whitespace(spark: SparkSession, path: str) -> DataFrame:
-    """Blank-delimited text with a header line in each file."""
-    lines = spark.read.text(path).select(F.trim("value").alias("line")).filter("line != ''")
-    header = lines.first().line
-    names = header.split()
+    """Blank-delimited text; a line that begins with the header's first name (that of the first file) is a header, in whatever order a file has its columns."""
+    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file")).filter("line != ''")
+    first = lines.first()
+    if first is None:
+        raise ValueError(f"{path}: no header")
+    names = first.line.split()
     cells = F.split("line", r"\s+")
-    return lines.filter(F.col("line") != header).select(*[F.get(cells, i).alias(n) for i, n in enumerate(names)])
+    # a header for each file: as many rows as files, matched by name
+    heads = lines.filter(F.element_at(cells, 1) == names[0]).groupBy("file").agg(F.min("line").alias("head")).select("file", F.split("head", r"\s+").alias("head"))
+    rows = lines.filter(F.element_at(cells, 1) != names[0]).join(heads, "file", "left").withColumn("head", F.coalesce("head", F.array(*map(F.lit, names))))
+    at = lambda n: F.array_position("head", F.lit(n)).cast("int")
+    return rows.select(*[F.when(at(n) > 0, F.get(cells, at(n) - 1)).alias(n) for n in names])
 
 
 def header_profile(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -91,12 +97,13 @@ def archive_members(archives: DataFrame, path: str = "path") -> DataFrame:
     """
 
     def run(batches):
-        from urllib.parse import unquote, urlparse
+        from pyarrow import fs
 
         for pdf in batches:
             rows = []
             for p in pdf[path]:
-                with zipfile.ZipFile(unquote(urlparse(p).path) if p.startswith("file:") else p) as z:
+                store, where = fs.FileSystem.from_uri(p) if ":" in p else (fs.LocalFileSystem(), p)
+                with store.open_input_file(where) as f, zipfile.ZipFile(f) as z:
                     rows += [(p, m.filename, i, m.file_size, m.compress_size, m.CRC, bool(m.flag_bits & 1)) for i, m in enumerate(m for m in z.infolist() if not m.is_dir())]
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBER_SCHEMA.split(", ")])
 
@@ -108,20 +115,32 @@ def archive_members(archives: DataFrame, path: str = "path") -> DataFrame:
 def read_batches(spark: SparkSession, glob: str, schema: StructType | str, keys: Sequence[str] = ()) -> DataFrame:
     """Batches of Parquet with drifting types as one stable projection.
 
-    Files are grouped by their own schema (a footer each, on the driver as Spark itself reads them), each group is read with it, cast, and united.
+    Tasks read the files' footers and group the files by them; each group is read with its own schema, cast, and united. What comes to
+    the driver is one schema for each drift, with its files.
     """
     from pyspark.sql.types import _parse_datatype_string
 
     from ..operators.checks import assert_unique
 
     target = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
-    files = [r.path for r in spark.read.format("binaryFile").load(glob).select("path").collect()]
-    groups: dict[str, list[str]] = {}
-    for f in files:
-        groups.setdefault(spark.read.parquet(f).schema.json(), []).append(f)
+    files = spark.read.format("binaryFile").load(glob).select("path")
+
+    def footers(batches):
+        import pyarrow.parquet as pq
+        from pyarrow import fs
+
+        for pdf in batches:
+            kinds = []
+            for p in pdf["path"]:
+                store, where = fs.FileSystem.from_uri(p)
+                with store.open_input_file(where) as f:
+                    kinds.append(str(pq.ParquetFile(f).schema_arrow.remove_metadata()))
+            yield pd.DataFrame({"kind": kinds, "path": pdf["path"]})
+
+    groups = files.repartition("path").mapInPandas(footers, "kind string, path string").groupBy("kind").agg(F.collect_list("path").alias("paths")).orderBy("kind").collect()
     out = None
-    for paths in groups.values():
-        df = spark.read.parquet(*paths)
+    for row in groups:
+        df = spark.read.parquet(*row.paths)
         part = df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in target.fields])
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -162,29 +181,64 @@ def merged(current: DataFrame, batch: DataFrame, keys: Sequence[str], version: s
     return both.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r", "_new")
 
 
-def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], version: str | None = None) -> None:
-    """Keyed upsert of a Parquet table: the new state is written beside the old one, then a pointer moves to it.
+MAX_PARTS = 16  # parts of a keyed table that wait to be merged
 
-    The table is a folder of versions; ``current`` names the one to read (see ``read_table``).
-    """
-    before = read_table(spark, path)
-    state = batch if before is None else merged(before, batch, keys, version)
-    if before is None:
-        state = merged(batch.limit(0), batch, keys, version)
-    number = _version(spark, path) + 1
-    state.write.mode("overwrite").parquet(f"{path}/v{number:06d}")
-    spark.createDataFrame([(number,)], "version long").coalesce(1).write.mode("overwrite").parquet(f"{path}/current/v{number:06d}")
+
+def _names(spark: SparkSession, pattern: str) -> list[str]:
+    """Names of the folders that a glob finds and whose write has ended, ascending."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(f.getPath().getParent().getName() for f in found or [])
 
 
-def _version(spark: SparkSession, path: str) -> int:
-    if not exists(spark, f"{path}/current/v*/_SUCCESS"):
-        return 0
-    return spark.read.schema("version long").option("recursiveFileLookup", True).parquet(f"{path}/current").agg(F.max("version")).first()[0]
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _number(name: str) -> int:
+    return int(name.rpartition("=")[2])
+
+
+def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], version: str | None = None, part: int | None = None) -> None:
+    """Keyed upsert of a Parquet table by parts: a batch is written once, as a part; the newest part that has a key wins when the table is read.
+
+    So an upsert costs what its batch costs. After ``MAX_PARTS`` parts all are merged into a new base, which is ready when its write has
+    ended; parts that it holds go with the next merge. ``part`` names a part: writing it again replaces it, so a repeated
+    micro-batch changes nothing. Parts that a base already holds are not written again.
+    """
+    if not _names(spark, f"{path}/keys"):
+        spark.createDataFrame([(k,) for k in keys], "key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/keys")
+    bases, parts = ([_number(n) for n in _names(spark, f"{path}/{what}=*")] for what in ("base", "part"))
+    number = part if part is not None else max([-1, *bases, *parts]) + 1
+    if bases and number <= bases[-1]:
+        return
+    merged(batch.limit(0), batch, keys, version).write.mode("overwrite").parquet(f"{path}/part={number:09d}")
+    waiting = sorted({*parts, number} - {n for n in parts if bases and n <= bases[-1]})
+    if len(waiting) >= MAX_PARTS:
+        read_table(spark, path).write.mode("overwrite").parquet(f"{path}/base={number:09d}")
+        for n in bases[:-1]:
+            _delete(spark, f"{path}/base={n:09d}")
+        for n in parts:
+            if bases and n <= bases[-1]:
+                _delete(spark, f"{path}/part={n:09d}")
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    number = _version(spark, path)
-    return spark.read.parquet(f"{path}/v{number:06d}") if number else None
+    """The newest row of each key of an upserted table; None where there is none. Columns that older parts lack are null there."""
+    bases, parts = ([_number(n) for n in _names(spark, f"{path}/{what}=*")] for what in ("base", "part"))
+    chosen = [f"base={n:09d}" for n in bases[-1:]] + [f"part={n:09d}" for n in parts if not bases or n > bases[-1]]
+    if not chosen:
+        return None
+    out = None
+    for place, name in enumerate(chosen):
+        rows = spark.read.parquet(f"{path}/{name}").withColumn("_part", F.lit(place))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if len(chosen) == 1:
+        return out.drop("_part")
+    keys = [r.key for r in spark.read.parquet(f"{path}/keys").collect()]
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_part")))).filter("_r = 1").drop("_r", "_part")
 
 
 def with_column(df: DataFrame, name: str, kind: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.clean import closed_flag
 from ..operators.checks import signature
 from ..operators.windows import contiguous
-from ..sources.readers import read_table, upsert
+from ..sources.readers import _delete, _names, _number, read_table, upsert
 
 BATCH_NAME = r"batch_(\d{9})_(\d{9})"
 
@@ -61,30 +61,56 @@ def consume(
     available_now: bool = True,
 ) -> StreamingQuery:
     """Starts the consumer: gated rows go to ``target``/rows, the ledger to ``target``/ledger, rows of incomplete batches wait in
-    ``target``/pending and are tried again with the next files. Tables are keyed upserts, so a repeated micro-batch changes nothing.
+    ``target``/pending and are tried again with the next files. Rows and ledger are parts of the micro-batch, which is all that it writes besides the
+    rows that still wait; a repeated micro-batch replaces its parts.
     """
-    required = [key, *flags]
 
     def each(df: DataFrame, batch_id: int) -> None:
-        waiting = read_table(spark, f"{target}/pending")
-        rows = df if waiting is None else df.unionByName(waiting.filter("waiting").drop("waiting"))
-        rows = rows.dropDuplicates(["batch", key]).persist()
-        try:
-            state = complete_batches(rows, key, required)
-            done = rows.join(state.filter("complete").select("batch"), "batch", "left_semi")
-            out = gate(done, flags)
-            if process is not None:
-                out = process(out)
-            upsert(spark, f"{target}/rows", out, ["batch", key])
-            upsert(spark, f"{target}/pending", rows.join(state.select("batch", (~F.col("complete")).alias("waiting")), "batch"), ["batch", key])
-            upsert(spark, f"{target}/ledger", state.withColumn("batch_id", F.lit(batch_id)), ["batch"])
-        finally:
-            rows.unpersist()
+        _settle(spark, df, batch_id, target, key, flags, process)
 
     stream = batch_stream(spark, source, schema, max_files).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if available_now else stream.trigger(processingTime="30 seconds")).start()
 
 
+def _settle(spark: SparkSession, df: DataFrame, number: int, target: str, key: str, flags: Sequence[str], process: Callable[[DataFrame], DataFrame] | None) -> None:
+    """One micro-batch: complete batches, with what waited, are gated and written; the others wait under the micro-batch's number."""
+    before = [n for n in waiting_versions(spark, target) if n < number]
+    waiting = spark.read.parquet(f"{target}/pending={before[-1]:09d}") if before else None
+    rows = df if waiting is None else df.unionByName(waiting)
+    rows = rows.dropDuplicates(["batch", key]).persist()
+    try:
+        state = complete_batches(rows, key, [key, *flags])
+        out = gate(rows.join(state.filter("complete").select("batch"), "batch", "left_semi"), flags)
+        upsert(spark, f"{target}/rows", out if process is None else process(out), ["batch", key], part=number)
+        upsert(spark, f"{target}/ledger", state.withColumn("batch_id", F.lit(number)), ["batch"], part=number)
+        rows.join(state.filter("not complete").select("batch"), "batch", "left_semi").write.mode("overwrite").parquet(f"{target}/pending={number:09d}")
+        for n in before[:-1]:
+            _delete(spark, f"{target}/pending={n:09d}")
+    finally:
+        rows.unpersist()
+
+
+def waiting_versions(spark: SparkSession, target: str) -> list[int]:
+    return [_number(n) for n in _names(spark, f"{target}/pending=*")]
+
+
+def ledger(spark: SparkSession, target: str) -> DataFrame:
+    """(batch, start, stop, n_rows, complete, batch_id): the last state of each batch."""
+    return read_table(spark, f"{target}/ledger")
+
+
+def consume_listed(spark: SparkSession, source: str, schema: str, target: str, key: str, flags: Sequence[str] = (), most: int | None = None) -> None:
+    """One run without a stream: the first ``most`` batches (by name) that the ledger does not hold as complete. A later run goes on from there."""
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).parquet(source).withColumn("batch", F.regexp_extract(F.input_file_name(), f"({BATCH_NAME})", 1))
+    done = read_table(spark, f"{target}/ledger")
+    new = rows.select("batch").distinct()
+    if done is not None:
+        new = new.join(done.filter("complete").select("batch"), "batch", "left_anti")
+    new = new.orderBy("batch")
+    numbers = [_number(n) for n in _names(spark, f"{target}/ledger/*=*")]
+    _settle(spark, rows.join(new if most is None else new.limit(most), "batch", "left_semi"), max([-1, *numbers]) + 1, target, key, flags, None)
+
+
 def progress(ledger: DataFrame, expected: int) -> DataFrame:
     """One row: complete batches, rows, how far coverage reaches without a gap, whether all is covered."""
     done = ledger.filter("complete").withColumn("_g", F.lit(1))

@@ -96,3 +96,48 @@ def test_pairs_do_not_depend_on_partitions(spark):
     rows = random_rows(17)
     found = [{tuple(r) for r in m.match(people(spark, rows).repartition(n), "who", "age", "k", m.Rule(ratio=1, caliper=0.5))[0].select("case_id", "control_id", "match_rank", "priority").collect()} for n in (1, 5)]
     assert found[0] == found[1]
+
+
+@pytest.mark.parametrize(("order", "whole", "ratio"), [("difficulty", True, 2), ("value", True, 1), ("difficulty", False, 3)])
+def test_dense_component_in_small_blocks(spark, order, whole, ratio):
+    """No gap anywhere: several hundred rows within some calipers, cut into blocks of a dozen rows or one cell."""
+    r = random.Random(ratio)
+    rows = [(f"p{i:03d}", float(r.randint(40, 60)) if ratio == 2 else round(r.uniform(40, 60), 2), int(r.random() < 0.35), "F") for i in range(400)]
+    rule = m.Rule(ratio=ratio, caliper=1.0, whole=whole, order=order)
+    pairs, audit = m.match(people(spark, rows).repartition(3), "who", "age", "k", rule, block_rows=12)
+    assert {(x.case_id, x.control_id) for x in pairs.collect()} == greedy(rows, ratio, 1.0, False, whole, order == "value")
+    one, its = m.match(people(spark, rows), "who", "age", "k", rule, block_rows=10**9)
+    assert sorted(map(tuple, pairs.collect())) == sorted(map(tuple, one.collect()))
+    assert sorted(map(str, audit.collect())) == sorted(map(str, its.collect()))
+    assert m._in_blocks(m._frame(people(spark, rows), "who", "age", "k", rule, None), rule, 12).groupBy("block").count().count() > 5
+
+
+def test_covariate_distance_and_visits_in_small_blocks(spark):
+    r = random.Random(8)
+    rows = [(f"p{i:03d}", round(r.uniform(40, 60), 1), int(r.random() < 0.3), r.choice(["F", "M", None]), r.choice(["x", "y", None]), r.choice([1.0, 2.0, 5.0, None])) for i in range(300)]
+    df = spark.createDataFrame(rows, "who string, age double, k int, sex string, band string, n double")
+    rule = m.Rule(ratio=2, caliper=0.8, exact=("sex",), whole=False, null_matches=True, distance=("band", "n"), numeric=("n",))
+    small, whole = (m.match(df, "who", "age", "k", rule, block_rows=b)[0] for b in (20, 10**9))
+    assert small.count() and sorted(map(tuple, small.collect())) == sorted(map(tuple, whole.collect()))
+    # controls with a second visit anywhere else: one person in all blocks
+    seen = [(w, a, k, "BL") for w, a, k, *_ in rows] + [(w, round(r.uniform(40, 60), 1), 0, "F1") for w, _, k, *_ in rows if not k]
+    visits = spark.createDataFrame(seen, "who string, age double, k int, visit string")
+    for order in ("value", "difficulty"):
+        rule = m.Rule(ratio=1, caliper=0.8, order=order)
+        small, whole = (m.match(visits, "who", "age", "k", rule, tie="visit", unique=False, block_rows=b)[0] for b in (20, 10**9))
+        got = small.collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, whole.collect())) and len({x.control_id for x in got}) == len(got)
+
+
+def test_most_pairs_over_many_blocks(spark):
+    rows = random_rows(21, 200)
+    a, b = sorted(x[1] for x in rows if x[2]), sorted(x[1] for x in rows if not x[2])
+    pairs = i = 0
+    for x in a:
+        while i < len(b) and b[i] < x - 0.3 - 1e-9:
+            i += 1
+        if i < len(b) and b[i] <= x + 0.3 + 1e-9:
+            pairs, i = pairs + 1, i + 1
+    some = sum(any(abs(x - y) <= 0.3 + 1e-9 for y in b) for x in a)
+    got = m.feasibility(people(spark, rows), "who", "age", "k", [0.3], block_rows=15).first()
+    assert (got.n_cases, got.n_with_candidate, got.max_pairs) == (len(a), some, pairs)
