@@ -35,16 +35,16 @@ def s04(spark, d):
 @query("s06_header_profile", "select distinct ',' as delimiter, 3::integer as n_columns, '[\"c_custkey\",\"c_name\",\"c_nationkey\"]' as columns_json, cast(null as varchar) as error from customer")
 def s06(spark, d):
     path = new_folder(spark, "out")
-    table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").coalesce(1).write.option("header", True).csv(path)
-    return readers.header_profile(spark, path).drop("path")
+    table(spark, d, "customer").select("c_custkey", "c_name", "c_nationkey").write.option("header", True).csv(path)
+    return readers.header_profile(spark, path).drop("path").distinct()
 
 
 @query("s08_drifting_batches", "select doc_id, cast(n_chars as double) as n_chars, cast(null as varchar) as eye from documents")
 def s08(spark, d):
     path = new_folder(spark, "out")
     docs = table(spark, d, "documents")
-    docs.filter("doc_id % 2 = 0").select("doc_id", "n_chars").coalesce(1).write.parquet(f"{path}/batch=0")
-    docs.filter("doc_id % 2 = 1").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang").coalesce(1).write.parquet(f"{path}/batch=1")
+    docs.filter("doc_id % 2 = 0").select("doc_id", "n_chars").write.parquet(f"{path}/batch=0")
+    docs.filter("doc_id % 2 = 1").select("doc_id", F.col("n_chars").cast("double").alias("n_chars"), "lang").write.parquet(f"{path}/batch=1")
     return readers.read_batches(spark, f"{path}/*/*.parquet", "doc_id long, n_chars double, eye string", ["doc_id"])
 
 

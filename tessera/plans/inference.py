@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import maps, matching, models, resample, stats
+from . import repeat
 from .registry import query, table
 
 
@@ -28,47 +29,63 @@ def people(spark, d):
     return cust.select(F.col("c_custkey").cast("string").alias("who"), (F.col("c_acctbal") / 100).alias("age"), (F.col("c_nationkey") % 5 == 0).cast("int").alias("is_case"), F.col("c_mktsegment").alias("sex"), F.when(F.col("c_custkey") % 6 != 0, F.col("c_nationkey") % 3).alias("band"), F.col("c_nationkey").alias("nation"))
 
 
-@query("m01_match_whole_ratio")
+PEOPLE = "select cast(c_custkey as varchar) as who, c_acctbal / 100 as age, (c_nationkey % 5 = 0)::integer as is_case, c_mktsegment as sex, '' as tie, case when c_custkey % 6 != 0 then c_nationkey % 3 end as band, c_nationkey as nation from customer"
+PAIR = "case_id, control_id, match_rank, priority, case_value, control_value, value_distance, covariate_distance"
+
+
+def _matched(columns: str, *args, people: str = PEOPLE, **rule) -> str:
+    return f"with recursive {repeat.matched(people, *args, **rule)} {columns}"
+
+
+@query("m01_match_whole_ratio", _matched(f"select {PAIR} from pairs", 2, 0.5, exact=True))
 def m01(spark, d):
     return matching.match(people(spark, d), "who", "age", "is_case", matching.Rule(ratio=2, caliper=0.5, exact=("sex",)))[0]
 
 
-@query("m01_match_audit")
+@query("m01_match_audit", _matched("select * from audit", 2, 0.5, exact=True))
 def m01a(spark, d):
     return matching.match(people(spark, d), "who", "age", "is_case", matching.Rule(ratio=2, caliper=0.5, exact=("sex",)))[1]
 
 
-@query("m02_match_by_value_with_visits")
+VISITS = f"select * replace ('BL' as tie) from ({PEOPLE}) union all select * replace ('F1' as tie, age + 0.75 as age) from ({PEOPLE}) where is_case = 0"
+
+
+@query("m02_match_by_value_with_visits", _matched(f"select {PAIR} from pairs", 1, 0.05, people=VISITS, exact=True, order="value"))
 def m02(spark, d):
-    p = people(spark, d).filter("is_case = 1 or age > 0")
+    p = people(spark, d)
     visits = p.withColumn("visit", F.lit("BL")).unionByName(p.filter("is_case = 0").withColumns({"visit": F.lit("F1"), "age": F.col("age") + 0.75}))
     return matching.match(visits, "who", "age", "is_case", matching.Rule(ratio=1, caliper=0.05, order="value", exact=("sex",)), tie="visit", unique=False)[0]
 
 
-@query("m03_match_one_to_one")
+@query("m03_match_one_to_one", _matched(f"select {PAIR} from pairs", 1, 0.25, order="value"))
 def m03(spark, d):
     return matching.match(people(spark, d), "who", "age", "is_case", matching.Rule(ratio=1, caliper=0.25, order="value"))[0]
 
 
-@query("m04_match_up_to_ratio")
+@query("m04_match_up_to_ratio", _matched(f"select {PAIR} from pairs", 3, 0.25, exact=True, whole=False))
 def m04(spark, d):
     return matching.match(people(spark, d), "who", "age", "is_case", matching.Rule(ratio=3, caliper=0.25, exact=("sex",), whole=False))[0]
 
 
-@query("m04_match_rounds")
+@query("m04_match_rounds", _matched("select case_id, control_id, match_rank, value_distance from pairs", 1, 0.05, exact=True, whole=False))
 def m04r(spark, d):
     return matching.match_rounds(people(spark, d), "who", "age", "is_case", matching.Rule(ratio=1, caliper=0.05, exact=("sex",), whole=False))
 
 
-@query("m05_match_groups_gower")
+def _groups(target: int) -> str:
+    rows = f"select * replace ((nation % 5 = {target})::integer as is_case) from ({PEOPLE}) where nation % 5 in (0, {target})"
+    return f"select {PAIR}, '{target}' as target_group from (" + _matched("select * from pairs", 2, 0.5, people=rows, exact=True, whole=False, gower=True) + ")"
+
+
+@query("m05_match_groups_gower", f"{_groups(1)} union all {_groups(2)}")
 def m05(spark, d):
     rule = matching.Rule(ratio=2, caliper=0.5, exact=("sex",), whole=False, null_matches=True, distance=("band", "nation"), numeric=("nation",))
     return matching.match_groups(people(spark, d).withColumn("group", (F.col("nation") % 5).cast("string")), "who", "age", "group", ["1", "2"], "0", rule)
 
 
-@query("m08_feasibility", "with p as (select c_acctbal / 100 as age, c_nationkey % 5 = 0 as k from customer) select 0.02::double as caliper, count(*) filter (where k) as n_cases, count(*) filter (where k and exists (select 1 from p q where not q.k and abs(q.age - p.age) <= 0.02 + 1e-9)) as n_with_candidate from p")
+@query("m08_feasibility", _matched("select 0.02::double as caliper, (select count(*) from audit) as n_cases, (select count(*) from people p where is_case = 1 and exists (select 1 from people q where q.is_case = 0 and abs(q.age - p.age) <= 0.02 + 1e-9)) as n_with_candidate, (select count(*) from pairs) as max_pairs", 1, 0.02 + 1e-9, order="value", lowest=True))
 def m08(spark, d):
-    return matching.feasibility(people(spark, d), "who", "age", "is_case", [0.02]).drop("max_pairs")
+    return matching.feasibility(people(spark, d), "who", "age", "is_case", [0.02])
 
 
 @query("m09_balance", "with p as (select c_acctbal / 100 as age, c_custkey as k, c_nationkey % 5 = 0 as c from customer), l as (select 'age' as variable, age as v, c from p union all select 'k', k, c from p), s as (select variable, count(v) filter (where c) as n_case, count(v) filter (where not c) as n_control, avg(v) filter (where c) as mean_case, avg(v) filter (where not c) as mean_control, stddev_samp(v) filter (where c) as sd_case, stddev_samp(v) filter (where not c) as sd_control from l group by 1) select 'before' as stage, variable, n_case, n_control, round(mean_case, 6) as mean_case, round(mean_control, 6) as mean_control, round(sd_case, 6) as sd_case, round(sd_control, 6) as sd_control, round((mean_case - mean_control) / sqrt((sd_case ** 2 + sd_control ** 2) / 2), 6) as smd from s")
@@ -81,7 +98,7 @@ def m09c(spark, d):
     return _rounded(matching.categorical_smd(people(spark, d), "is_case", "sex"))
 
 
-@query("m10_match_summary")
+@query("m10_match_summary", _matched("select coalesce(reason, 'complete') as reason, count(*) as n_cases, count(*) filter (where matched) as n_matched, round(count(*) / sum(count(*)) over (), 6) as share from audit group by 1", 2, 0.05, exact=True))
 def m10(spark, d):
     return _rounded(matching.match_summary(matching.match(people(spark, d), "who", "age", "is_case", matching.Rule(ratio=2, caliper=0.05, exact=("sex",)))[1]))
 
@@ -112,7 +129,16 @@ def q03(spark, d):
     return out.withColumns({"slope": F.round("slope", 6), "intercept": F.round("intercept", 3), "r2": F.round("r2", 6)})
 
 
-@query("q04_fairness_table")
+FAIR = "select * from (select o_orderkey as who, o_orderstatus as g, year(o_orderdate)::double as age, year(o_orderdate) + o_totalprice / 1e5 - 1.5 as prediction from orders)"
+FAIR = f"select who, g, age, prediction from ({FAIR}) union all select who, 'Overall', age, prediction from ({FAIR})"
+ERRORS = {"mae": "avg(abs(prediction - age))", "rmse": "sqrt(avg((prediction - age) * (prediction - age)))", "mean_gap": "avg(prediction - age)", "median_gap": "quantile_cont(prediction - age, 0.5)", "calibration_slope": "regr_slope(prediction, age)", "calibration_intercept": "regr_intercept(prediction, age)", "correlation": "corr(prediction, age)", "overprediction_rate": "avg((prediction > age)::integer)"}
+FAIR_SQL = (
+    f"with f as ({FAIR}), own as (select g, count(*) as n, {', '.join(f'{e} as {n}' for n, e in ERRORS.items())}, avg(age) as age_mean, stddev_samp(age) as age_sd from f group by g), reps as (select g, rep, {', '.join(f'{e} as {n}' for n, e in ERRORS.items())} from {repeat.drawn('select * from f', 'g', 'who', 'age, prediction', 50, 3)} group by g, rep), "
+    f"ci as (select g, {', '.join(f'quantile_cont({n}, 0.025) as {n}_ci_low, quantile_cont({n}, 0.975) as {n}_ci_high' for n in ERRORS)} from reps group by g) select own.g as \"group\", n, {', '.join(f'round({n}, 6) as {n}' for n in [*ERRORS, 'age_mean', 'age_sd'])}, {', '.join(f'round({n}_ci_{x}, 6) as {n}_ci_{x}' for n in ERRORS for x in ('low', 'high'))} from own join ci using (g)"
+)
+
+
+@query("q04_fairness_table", FAIR_SQL)
 def q04(spark, d):
     orders = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", F.year("o_orderdate").cast("double").alias("age"), (F.year("o_orderdate") + F.col("o_totalprice") / 1e5 - 1.5).alias("prediction"))
     return _rounded(stats.fairness_table(orders, "o_orderstatus", "o_orderkey", "age", "prediction", 50, 3))
@@ -150,7 +176,7 @@ def q09(spark, d):
     return _row(spark, stats.logistic_effect(rows, "large", "exposed", ["age"], [], "o_custkey"))
 
 
-@query("q10_residualize")
+@query("q10_residualize", "with r as (select c_custkey, c_mktsegment as g, c_acctbal as y, c_nationkey - avg(c_nationkey) over (partition by c_mktsegment) as x from customer), z as (select *, x * x - avg(x * x) over (partition by g) as z, y - avg(y) over (partition by g) as yc from r), s as (select g, sum(x * x) as xx, sum(x * z) as xz, sum(z * z) as zz, sum(x * yc) as xy, sum(z * yc) as zy from z group by g) select c_custkey, round(yc - x * (zz * xy - xz * zy) / (xx * zz - xz * xz) - z * (xx * zy - xz * xy) / (xx * zz - xz * xz), 4) as residual from z join s using (g)")
 def q10(spark, d):
     rows = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_acctbal", F.col("c_nationkey").cast("double").alias("age"))
     return _rounded(stats.residualize(rows, "c_acctbal", "c_mktsegment", "age").select("c_custkey", "residual"), 4)
@@ -222,12 +248,15 @@ def q17(spark, d):
     return _rounded(stats.discrimination(scored(spark, d), "quality", "score", ["lang"]).drop("average_precision"))
 
 
-@query("q18_paired_auroc")
+SCORED = "select doc_id, quality, (doc_id * 7919 % 100) / 200.0 + quality * 0.3 as score, (doc_id * 104729 % 100) / 200.0 + quality * 0.2 as other from labels join documents using (doc_id) where quality in (0, 1)"
+
+
+@query("q18_paired_auroc", f"with r as ({SCORED}), d as (select * from {repeat.drawn('select * from r', 'quality', 'doc_id', 'score, other', 50, 11)}), a as (select * from {repeat.auroc('select * from r', 'quality', 'score')}), b as (select * from {repeat.auroc('select * from r', 'quality', 'other')}), x as (select a.auroc - b.auroc as x from {repeat.auroc('select * from d', 'quality', 'score', 'rep')} a join {repeat.auroc('select * from d', 'quality', 'other', 'rep')} b using (rep)) select round(a.auroc, 6) as auroc_a, round(b.auroc, 6) as auroc_b, round(quantile_cont(x, 0.025), 6) as ci_low, round(quantile_cont(x, 0.975), 6) as ci_high, round(any_value(a.auroc - b.auroc), 6) as difference from x, a, b group by a.auroc, b.auroc")
 def q18(spark, d):
     return _rounded(stats.paired_auroc(scored(spark, d), "doc_id", "quality", "score", "other", 50, 11))
 
 
-@query("q19_paired_effect")
+@query("q19_paired_effect", _matched("select count(*) as n_pairs, round(avg(d), 6) as mean_difference, round(quantile_cont(d, 0.5), 6) as median_difference, round(stddev_samp(d), 6) as sd_difference from (select (a.nation - b.nation)::double as d from pairs join people a on a.who = case_id join people b on b.who = control_id)", 1, 0.25, order="value"))
 def q19(spark, d):
     p = people(spark, d)
     pairs = matching.match(p, "who", "age", "is_case", matching.Rule(ratio=1, caliper=0.25, order="value"))[0]
@@ -265,47 +294,59 @@ def q24(spark, d):
 
 # resampling; draws are MD5 integers, so SQL can repeat them
 
-DRAWS = "with r as (select p_partkey as u, p_retailprice as v, row_number() over (order by p_partkey) - 1 as i, count(*) over () as n from part where p_size = 7), d as (select rep, (('0x' || substr(md5('9|' || rep || '|' || i), 1, 12))::bigint % n) as i from r, range(0, 40) t(rep)), s as (select rep, avg(v) as s from d join r using (i) group by rep) "
 
 
-@query("b01_bootstrap_mean", DRAWS + "select round(quantile_cont(s, 0.025), 6) as ci_low, round(quantile_cont(s, 0.975), 6) as ci_high, round(avg(s), 6) as bootstrap_mean, count(s) as n_replicates from s")
+@query("b01_bootstrap_mean", f"with s as (select rep, avg(v) as s from {repeat.drawn('select p_partkey as u, p_retailprice as v from part', '', 'u', 'v', 40, 9)} group by rep) select round(quantile_cont(s, 0.025), 6) as ci_low, round(quantile_cont(s, 0.975), 6) as ci_high, round(avg(s), 6) as bootstrap_mean, count(s) as n_replicates from s")
 def b01(spark, d):
-    rows = table(spark, d, "part").filter("p_size = 7").select(F.col("p_partkey").alias("u"), F.col("p_retailprice").alias("v"))
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("u"), F.col("p_retailprice").alias("v"))
     return _rounded(resample.bootstrap_limits(rows, "u", F.avg("v"), 40, 9))
 
 
-@query(
-    "b02_label_permutation",
-    """with u as (select doc_id, quality, n_chars::double as m1, (doc_id % 13)::double as m2 from labels join documents using (doc_id)), o as (select quality, row_number() over (order by doc_id) as i from u), h as (select rep, doc_id, row_number() over (partition by rep order by ('0x' || substr(md5('4|' || rep || '|' || doc_id), 1, 12))::bigint, doc_id) as i from u, range(0, 19) t(rep)), s as (select rep, doc_id, o.quality as g from h join o using (i)),
-    v as (select doc_id, 'm1' as metric, m1 as v from u union all select doc_id, 'm2', m2 from u), x as (select -1 as rep, metric, v, quality as g from v join u using (doc_id) union all select rep, metric, v, g from v join s using (doc_id)),
-    t as (select rep, metric, avg(v) filter (where g = 1) - avg(v) filter (where g = 0) as difference, (avg(v) filter (where g = 1) - avg(v) filter (where g = 0)) / sqrt(var_samp(v) filter (where g = 1) / count(*) filter (where g = 1) + var_samp(v) filter (where g = 0) / count(*) filter (where g = 0)) as t from x group by 1, 2), top as (select rep, max(abs(t)) as top from t where rep >= 0 group by rep)
-    select a.metric, round(a.difference, 6) as difference, round(a.t, 6) as t, (1 + (select count(*) from t b where b.rep >= 0 and b.metric = a.metric and abs(b.t) >= abs(a.t) - 1e-12)) / 20 as p_unadjusted, (1 + (select count(*) from top where top >= abs(a.t) - 1e-12)) / 20 as p_fwer from t a where rep = -1""",
-)
+def _permuted(rows: str, block: str, seed: int) -> str:
+    """Permutation test of metrics m1 and m2 over ``rows`` (u, g, m1, m2 and the block)."""
+    long = "select u, 'm1' as metric, m1::double as v from r union all select u, 'm2', m2::double from r"
+    test = f"avg(v) filter (where g = 1) - avg(v) filter (where g = 0) as difference, {repeat.welch('v', 'g')} as t"
+    tables = f"r as ({rows}), v as ({long}), own as (select metric, {test} from v join r using (u) group by metric), s as (select * from {repeat.shuffled('select * from r', block, 'u', 'g', 19, seed)}), p as (select rep, metric, {test} from v join s using (u) group by rep, metric)"
+    return f"with {tables} select metric, round(difference, 6) as difference, round(t, 6) as t, round(p_unadjusted, 6) as p_unadjusted, round(p_fwer, 6) as p_fwer from ({repeat.largest('own', 'p', 19)})"
+
+
+@query("b02_label_permutation", _permuted("select doc_id as u, quality as g, n_chars as m1, doc_id % 13 as m2 from labels join documents using (doc_id)", "", 4))
 def b02(spark, d):
     rows = table(spark, d, "labels").join(table(spark, d, "documents"), "doc_id").select("doc_id", "quality", F.col("n_chars").alias("m1"), (F.col("doc_id") % 13).alias("m2"))
     return _rounded(resample.permutation_test(rows, "doc_id", "quality", ["m1", "m2"], 19, 4))
 
 
-@query("b03_within_set_permutation")
+@query("b03_within_set_permutation", _permuted("select o_orderkey as u, o_custkey as block, (o_orderstatus = 'F')::integer as g, o_totalprice as m1, dayofyear(o_orderdate) as m2 from orders", "block", 4))
 def b03(spark, d):
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("g"), F.col("o_totalprice").alias("m1"), F.dayofyear("o_orderdate").alias("m2"))
     return _rounded(resample.permutation_test(rows, "o_orderkey", "g", ["m1", "m2"], 19, 4, ["o_custkey"]))
 
 
-@query("b04_sign_flip")
+FLIPPED = f"select rep, metric, v * case when {repeat.hashed(2, 'rep', 'u', digits=8)} % 2 = 0 then 1 else -1 end as v from v, range(0, 39) reps(rep)"
+PAIRED_T = "avg(v) as difference, avg(v) / nullif(stddev_samp(v) / sqrt(count(v)), 0) as t"
+
+
+@query("b04_sign_flip", f"with v as (select s_suppkey as u, 'm1' as metric, s_acctbal::double as v from supplier union all select s_suppkey, 'm2', s_nationkey - 12 from supplier), own as (select metric, {PAIRED_T} from v group by metric), p as (select rep, metric, {PAIRED_T} from ({FLIPPED}) group by rep, metric) select metric, round(difference, 6) as difference, round(t, 6) as t, round(p_unadjusted, 6) as p_unadjusted, round(p_fwer, 6) as p_fwer from ({repeat.largest('own', 'p', 39)})")
 def b04(spark, d):
     rows = table(spark, d, "supplier").selectExpr("s_suppkey as pair", "s_acctbal as m1", "s_nationkey - 12 as m2")
     return _rounded(resample.sign_flip_test(rows, "pair", ["m1", "m2"], 39, 2))
 
 
-@query("b05_patchwise")
+CELLS = "select vec_id as u, label as g, cast(k // 8 as integer) as row, cast(k % 8 as integer) as col, v from (select vec_id, label, unnest(embedding)::double as v, unnest(range(0, 64)) as k from embeddings where label < 2)"
+CELL_T = f"avg(v) filter (where g = 1) - avg(v) filter (where g = 0) as difference, {repeat.welch('v', 'g')} as t"
+
+
+@query("b05_patchwise", f"with c as ({CELLS}), own as (select row, col, {CELL_T} from c group by row, col), s as (select * from {repeat.shuffled('select distinct u, g from c', '', 'u', 'g', 19, 5)}), p as (select rep, row, col, {CELL_T.replace('g =', 's.g =')} from c join s using (u) group by rep, row, col), tests as ({repeat.largest('own', 'p', 19, 'row, col')}), ranked as (select *, row_number() over (order by p_unadjusted, row, col) as k, count(*) over () as m from tests) select row, col, round(difference, 6) as difference, round(t, 6) as t, round(p_unadjusted, 6) as p_unadjusted, round(p_fwer, 6) as p_fwer, round(least(1, min(p_unadjusted * m / k) over (order by k desc rows between unbounded preceding and current row)), 6) as p_fdr from ranked")
 def b05(spark, d):
     e = table(spark, d, "embeddings").filter("label < 2")
     grid = maps.grid_long(e, ["vec_id", "label"], "embedding", 8)
     return _rounded(resample.patch_test(grid, "vec_id", "label", "row", "col", "value", 19, 5))
 
 
-@query("b06_set_bootstrap")
+SETS = "select o_custkey as u, avg(o_totalprice) filter (where o_orderstatus = 'F') - avg(o_totalprice) filter (where o_orderstatus != 'F') as v from orders group by 1 having v is not null"
+
+
+@query("b06_set_bootstrap", f"with s as (select rep, avg(v) as s from {repeat.drawn(SETS, '', 'u', 'v', 25, 1)} group by rep) select (select count(*) from ({SETS})) as n_sets, round((select avg(v) from ({SETS})), 4) as difference, round(quantile_cont(s, 0.025), 4) as ci_low, round(quantile_cont(s, 0.975), 4) as ci_high, round(avg(s), 4) as bootstrap_mean, count(s) as n_replicates from s")
 def b06(spark, d):
     rows = table(spark, d, "orders").select("o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("g"), F.col("o_totalprice").alias("v"))
     return _rounded(resample.set_bootstrap(rows, "o_custkey", "g", "v", 25, 1), 4)
@@ -408,13 +449,16 @@ def l15(spark, d):
     return _rounded(maps.region_metrics(grid, maps.circular_masks(centers, 8, 8, F.lit(2.0), F.lit(3.5))))
 
 
-@query("l17_raster_quality")
+PIXELS = "with g as (select vec_id as image, cast(k // 8 as integer) as row, cast(k % 8 as integer) as col, greatest(0.0, least(255.0, 128 + x * 400.0)) as v from (select vec_id, unnest(embedding)::double as x, unnest(range(0, 64)) as k from embeddings)) "
+
+
+@query("l17_raster_quality", PIXELS + ", c as (select image, greatest(quantile_cont(v, 0.05) + 5, 8) as cut from g group by 1), d as (select *, v > cut as fg, v - lag(v) over (partition by image, row order by col) as gx, v - lag(v) over (partition by image, col order by row) as gy from g join c using (image)) select image, round(avg(fg::integer), 6) as retina_fraction, round(avg(v) filter (where fg), 6) as brightness_mean, round(stddev_pop(v) filter (where fg), 6) as contrast_std, round(avg(gx * gx) + avg(gy * gy), 6) as gradient_energy, round(avg((v < 10)::integer), 6) as dark_fraction, round(avg((v > 245)::integer), 6) as bright_fraction from d group by image")
 def l17(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), F.transform("embedding", lambda x: F.greatest(F.lit(0.0), F.least(F.lit(255.0), 128 + x * 400.0))).alias("g"))
     return _rounded(maps.raster_quality(maps.grid_long(e, ["image"], "g", 8)))
 
 
-@query("l18_aligned_average")
+@query("l18_aligned_average", GRID + ", m as (select image, label, row + image % 2 as row, col, v from g where row + image % 2 <= 7), s as (select label, quantile_cont(abs(v), 0.99) as s from m group by 1) select label, cast(row as integer) as row, col, round(avg(greatest(least(v, s), -s)), 6) as value, count(*) as n_images from m join s using (label) group by label, row, col")
 def l18(spark, d):
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("image"), "label", "embedding")
     grid = maps.grid_long(e, ["image", "label"], "embedding", 8).withColumn("value", F.col("value").cast("double"))
@@ -422,7 +466,7 @@ def l18(spark, d):
     return _rounded(maps.aligned_average(grid, frames, "label", 8, 8))
 
 
-@query("l12_patch_contributions")
+@query("l12_patch_contributions", "with t as (select vec_id % 20 as image, vec_id as patch, unnest(embedding)::double as v, unnest(range(0, 64)) as k from embeddings), p as (select image, k, avg(v) as m from t group by 1, 2), f as (select image, avg(m) as mu, sqrt(var_pop(m) + 1e-6) as sd from p group by 1), n as (select image, count(distinct patch) as n from t group by 1), h as (select k, (k % 5 - 2) * (1.0::double + k / 64) as w, (k % 5 - 2) * 0.1::double as b from range(0, 64) h(k)), a as (select sum(w) as total, sum(b) + 1 as a from h), o as (select image, patch, sum(v * w) as own from t join h using (k) group by 1, 2) select image, 'h' as model, patch, round(own / n / sd + (a - mu * total / sd) / n, 5) as contribution from o join f using (image) join n using (image), a")
 def l12(spark, d):
     e = table(spark, d, "embeddings").select((F.col("vec_id") % 20).alias("image"), F.col("vec_id").alias("patch"), F.transform("embedding", lambda x: x.cast("double")).alias("token"))
     heads = spark.createDataFrame([("h", [float(k % 5 - 2) for k in range(64)], 1.0)], "model string, coef array<double>, intercept double")
