@@ -92,9 +92,45 @@ FROM u
 """
 
 
+# windows of 400 bytes as 800 hex digits, cut from pieces of 1000 places
+OP2_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+pieces AS (SELECT doc_id, n, k * 1000 AS base, substr(h, k * 2000 + 1, 2798) AS p FROM d, LATERAL (SELECT unnest(range(0, n // 1000 + 1)) AS k)),
+w AS (SELECT doc_id, base + i AS place, md5(substr(p, i * 2 + 1, 800)) AS m FROM pieces, LATERAL (SELECT unnest(range(0, least(1000, n - base - 399))) AS i)),
+hits AS (SELECT doc_id, place FROM w QUALIFY count(*) OVER (PARTITION BY m) > 1),
+gaps AS (SELECT doc_id, place, CASE WHEN place <= lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 400 THEN 0 ELSE 1 END AS fresh FROM hits),
+runs AS (SELECT doc_id, min(place) AS a, max(place) + 400 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY place) AS k FROM gaps) GROUP BY doc_id, k),
+kept AS (SELECT doc_id, a, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS last FROM (SELECT * FROM runs UNION ALL SELECT doc_id, n, n FROM d)),
+texts AS (SELECT doc_id, string_agg(substr(h, last * 2 + 1, (a - last) * 2), '' ORDER BY a) AS t FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d JOIN texts USING (doc_id) LEFT JOIN sums USING (doc_id)
+"""
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM d),
+windows AS (SELECT doc_id, j, array_to_string(w[j:j + 12], ' ') AS s FROM d, LATERAL (SELECT unnest(range(1, len(w) - 11)) AS j)),
+hits AS (SELECT doc_id, j FROM windows QUALIFY min(doc_id) OVER (PARTITION BY s) < doc_id),
+flags AS (SELECT doc_id, word, j, max(CASE WHEN hits.j IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY words.j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS gone FROM words LEFT JOIN hits USING (doc_id, j)),
+sums AS (SELECT doc_id, count(*) FILTER (WHERE gone = 1) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE gone = 0) AS kept FROM flags GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN sums USING (doc_id)
+"""
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP7_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id, coalesce(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+items AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[j:j + least(len(w), 10) - 1], ' ') AS s FROM b, LATERAL (SELECT unnest(range(1, len(w) - least(len(w), 10) + 2)) AS j) WHERE len(w) > 0),
+windows AS (SELECT doc_id, n, j, array_to_string(w[j:j + n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM items), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS j)),
+hits AS (SELECT doc_id, n, j, item_id FROM windows JOIN items USING (n, s)),
+places AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + n)) AS k FROM hits) GROUP BY doc_id),
+named AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id::VARCHAR) FILTER (WHERE item_id IS NOT NULL))), ',') AS ids FROM hits GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN places USING (doc_id) LEFT JOIN named USING (doc_id)
+"""
+
+
 def queries() -> dict:
     return {f.__name__: f for f in (op1_toxicity, op2_suffix_array, op3_url_rules, op4_rotated_codes, op5_token_table, op6_difference_cover, op7_winnowing, op8_packing, op9_simhash, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_rules": OP3_SQL}
+    return {"op2_suffix_array": OP2_SQL, "op3_url_rules": OP3_SQL, "op6_difference_cover": OP6_SQL, "op7_winnowing": OP7_SQL}

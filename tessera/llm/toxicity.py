@@ -103,6 +103,10 @@ def _features(texts: list[str | None], words, starts: dict, second) -> np.ndarra
     hidden = np.zeros(len(x), bool)
     if len(x) > 2:
         hidden[1:-1] = sign[1:-1] & plain.letter[:-2] & plain.letter[2:] & (x[1:-1] != 39) & (x[1:-1] != 45) & (x[1:-1] != 0x2019)
+        # not over the edges of texts
+        edge = plain.offsets[1:-1]
+        edge = edge[(edge > 0) & (edge < len(x))]
+        hidden[edge] = hidden[edge - 1] = False
     return np.stack(
         [
             per_doc((both > 0).astype(float), docs) / count,
