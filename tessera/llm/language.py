@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._chars import bounded_sample, chars, code_hash, fold, held_out, term_hashes
+from ._shared import stored
 from ._tokens import gather
 
 MAX_DOCS = 6000
@@ -36,7 +37,8 @@ RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
 def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict:
     """Tables of words and n-grams (by length): ascending hashes and a log frequency for each language."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold() != 1)).select("doc_id", "text", "lang")
-    sample = bounded_sample(rows, "doc_id", max_docs)
+    # read four times: by words and by n-grams, to choose and to count
+    sample = stored(bounded_sample(rows, "doc_id", max_docs).select("text", "lang"), "sample")
     word = F.explode(F.split(F.lower("text"), r"[^\p{L}]+"))
     words = sample.select("lang", word.alias("term")).filter("term != ''").groupBy("lang", "term").count()
     marked = F.concat(F.lit(EDGE), F.col("term"), F.lit(EDGE))

@@ -12,7 +12,8 @@ only if the shingle sets themselves reach 0.8. Links inside a component change n
 
 1. the blocks of the first permutation propose; where pairs are dense (large groups of near copies), only a minimum spanning
    forest of them, and the classes of such groups are noted. The components of what is confirmed are known from then on.
-2. The other blocks propose pairs of different components, and note the classes of groups where even these are dense.
+2. The other blocks propose pairs of different components (but of two classes that are noted), and note the classes of groups where even these are
+   dense.
 3. All noted classes meet exactly (``prefix_pairs``): sets of a similarity of 0.8 share one of their rarest fifth of shingles. So texts
    that share much, but under 0.8 (forms, long passages), are never paired one by one, and nothing is capped.
 
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._components import components
-from ._shared import stored
+from ._shared import release, stored
 from ._text import mix, slices
 from .simhash import _golay, dealt_out, first_of, shingle_hashes
 
@@ -190,12 +191,12 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def proposed(classes: DataFrame, first: bool) -> DataFrame:
-    """(a, b): pairs of classes (node, n, prints; in the second step also root) that share a home and may be similar.
+    """(a, b): pairs of classes (node, n, prints; in the second step also part) that share a home and may be similar.
 
-    The first step takes the blocks of one permutation, the second one the others, for pairs of different roots. Nodes of dense groups
+    The first step takes the blocks of one permutation, the second one the others, for pairs of different parts. Nodes of dense groups
     are pairs with themselves.
     """
-    checks = [f"c{k}" for k in range(CHECK)]
+    columns = ["node", "n", *(f"c{k}" for k in range(CHECK)), *([] if first else ["part"])]
 
     def spread(batches):
         for batch in batches:
@@ -204,27 +205,25 @@ def proposed(classes: DataFrame, first: bool) -> DataFrame:
                 prints = np.frombuffer(b"".join(part.column("prints").to_pylist()), np.uint64).reshape(-1, WORDS)
                 key = homes(prints)
                 key = key[:, :FIRST] if first else key[:, FIRST:]
-                node, root, n = (np.repeat(part.column(c).to_numpy(), key.shape[1]) for c in ("node", "root", "n"))
-                cols = [key.ravel().astype(np.int32), np.ones(len(node), bool), node, root, n, *(np.repeat(prints[:, k].view(np.int64), key.shape[1]) for k in range(CHECK))]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "home", "node", "root", "n", *checks])
+                own = [part.column("node").to_numpy(), part.column("n").to_numpy(), *(prints[:, k].view(np.int64) for k in range(CHECK)), *([] if first else [part.column("part").to_numpy()])]
+                cols = [key.ravel().astype(np.int32), np.ones(key.size, bool), *(np.repeat(c, key.shape[1]) for c in own)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["anchor", "home", *columns])
 
-    full = classes.filter("n > 0")
-    full = full.withColumn("root", F.col("node")) if first else full
-    rows = full.select("node", "root", "n", "prints").mapInArrow(spread, "anchor int, home boolean, node long, root long, n int, " + ", ".join(f"{c} long" for c in checks))
+    schema = "anchor int, home boolean, " + ", ".join(f"{c} {'int' if c == 'n' else 'long'}" for c in columns)
+    rows = classes.filter("n > 0").select("node", "n", "prints", *([] if first else ["part"])).mapInArrow(spread, schema)
 
     def compare(batches):
-        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(4 + CHECK)]
+        held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(1 + len(columns))]
 
         def done(upto: int):
-            key, node, root, n, *check = (c[:upto] for c in held)
-            a, b = group_pairs(key, node, n, np.stack(check).view(np.uint64), None if first else root)
+            key, node, n, *rest = (c[:upto] for c in held)
+            a, b = group_pairs(key, node, n, np.stack(rest[:CHECK]).view(np.uint64), None if first else rest[CHECK])
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("anchor").to_numpy().astype(np.int64) << 32 | batch.column("cell").to_numpy().astype(np.int64)
-            held = [np.concatenate(x) for x in zip(held, (key, *(batch.column(c).to_numpy().astype(np.int64) for c in ("node", "root", "n", *checks))), strict=True)]
+            held = [np.concatenate(x) for x in zip(held, (batch.column(c).to_numpy().astype(np.int64) for c in ("key", *columns)), strict=True)]
             upto = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
             if upto:
                 yield done(upto)
@@ -232,7 +231,7 @@ def proposed(classes: DataFrame, first: bool) -> DataFrame:
         if len(held[0]):
             yield done(len(held[0]))
 
-    return dealt_out(rows, "node").mapInArrow(compare, "a long, b long").distinct()
+    return dealt_out(rows, "node", *columns).mapInArrow(compare, "a long, b long").distinct()
 
 
 def shingles_of(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -278,15 +277,15 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
             for s in range(0, batch.num_rows, 256):
                 part = batch.slice(s, 256)
                 own = [np.frombuffer(x, np.int64) for x in part.column("shingles").to_pylist()]
-                size = np.array([len(x) for x in own], np.int64)
-                node, root = (np.repeat(part.column(c).to_numpy(), size) for c in ("node", "root"))
-                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root), pa.array(np.repeat(size, size).astype(np.int32)), pa.array(np.concatenate(own))], names=["node", "root", "n", "shingle"])
+                node = np.repeat(part.column("node").to_numpy(), [len(x) for x in own])
+                yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.concatenate(own))], names=["node", "shingle"])
 
-    rows = sets.join(roots, "node").mapInArrow(spread, "node long, root long, n int, shingle long")
+    rows = sets.select("node", "shingles").mapInArrow(spread, "node long, shingle long")
     often = rows.groupBy("shingle").agg(F.count("*").alias("often"))
-    place = F.row_number().over(Window.partitionBy("node").orderBy("often", "shingle"))
-    first = rows.join(often, "shingle").withColumn("place", place).filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("shingle", "node", "root", "n", "place")
-    first = stored(first, "prefixes")
+    own = Window.partitionBy("node")  # the shingles of one text
+    placed = rows.join(often, "shingle").withColumns({"place": F.row_number().over(own.orderBy("often", "shingle")), "n": F.count("*").over(own)})
+    first = placed.filter(F.col("place") <= F.col("n") - F.ceil(F.col("n") * 4 / 5) + 1).select("shingle", "node", "n", "place")
+    first = stored(first.join(roots, "node"), "prefixes")
     shared = first.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x < y").select("shingle")
     first = first.join(shared, "shingle")
     a, b = (first.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "place")]) for k in (1, 2))
@@ -298,13 +297,19 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, best, n, prints of each class of equal shingle sets; node, root of the classes that are linked to others)"""
     seen = stored(sketches(docs), "sketches")
+    # what is read no more is deleted as it goes
     order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
     classes = stored(seen.groupBy("node").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("prints").alias("prints")), "classes")
+    release(seen)
     pairs = stored(proposed(classes, True), "pairs")
     sets = shingles_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = stored(confirmed(sets, pairs.filter("a != b")), "links")
+    release(sets)
     known = classes.join(components(links), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    known = stored(known.select("node", "root", "n", "prints"), "known")
+    dense = pairs.filter("a = b").select(F.col("a").alias("node"), F.lit(True).alias("__dense"))
+    # classes that are noted already need not meet each other before step 3: for step 2 they are one part
+    part = F.when(F.col("__dense"), F.lit(-(2**63))).otherwise(F.col("root"))
+    known = stored(known.join(dense, "node", "left").select("node", "root", "n", "prints", part.alias("part")), "known")
     more = stored(proposed(known, False), "pairs")
     dense = pairs.unionByName(more).filter("a = b").select(F.col("a").alias("node")).distinct()
     sets = shingles_of(docs, classes, more.select(F.explode(F.array("a", "b")).alias("node")).unionByName(dense).distinct())

@@ -184,7 +184,7 @@ def links(classes: DataFrame) -> DataFrame:
                     i, key, home = anchors(own.view(np.uint64))
                     yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), pa.array(own[i]), pa.array(home)], names=["anchor", "fp", "home"])
 
-    dealt = dealt_out(classes.select("fp").mapInArrow(spread, "anchor int, fp long, home boolean"), "fp")
+    dealt = dealt_out(classes.select("fp").mapInArrow(spread, "anchor int, fp long, home boolean"), "fp", "fp", "home")
 
     def compare(batches):
         held: list[np.ndarray] = [np.zeros(0, np.int64) for _ in range(3)]
@@ -206,8 +206,7 @@ def links(classes: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key = batch.column("anchor").to_numpy().astype(np.int64) << 32 | batch.column("cell").to_numpy().astype(np.int64)
-            own = (key, batch.column("fp").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False).astype(np.int64))
+            own = (batch.column("key").to_numpy(), batch.column("fp").to_numpy(), batch.column("home").to_numpy(zero_copy_only=False).astype(np.int64))
             held = [np.concatenate(x) for x in zip(held, own, strict=True)]
             upto = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on
             if upto:
@@ -220,8 +219,8 @@ def links(classes: DataFrame) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long")
 
 
-def dealt_out(rows: DataFrame, by: str) -> DataFrame:
-    """Rows of anchors (anchor, home, ``by`` and others) in cells: homes of a cell meet all its rows; hot anchors are grids of cells."""
+def dealt_out(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """Rows of anchors (anchor, home and others) by cells (key), with some columns: homes of a cell meet all its rows; hot anchors are grids of cells."""
     others = [c for c in rows.columns if c not in ("anchor", "home")]
     # a fixed number of anchors, whatever the input
     hot = rows.groupBy("anchor").count().filter(F.col("count") > HOT_ROWS).select("anchor", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("parts"))
@@ -231,7 +230,9 @@ def dealt_out(rows: DataFrame, by: str) -> DataFrame:
     whole = cut.filter("parts = 1").select("anchor", F.lit(0).alias("cell"), *others, "home")
     as_home = cut.filter("parts > 1 and home").select("anchor", F.explode(F.transform(all_parts, lambda y: mine * F.col("parts") + y)).alias("cell"), *others, F.lit(True).alias("home"))
     as_guest = cut.filter("parts > 1").select("anchor", F.explode(F.transform(all_parts, lambda x: x * F.col("parts") + mine)).alias("cell"), *others, F.lit(False).alias("home"))
-    return whole.unionByName(as_home).unionByName(as_guest).repartition("anchor", "cell").sortWithinPartitions("anchor", "cell")
+    cells = whole.unionByName(as_home).unionByName(as_guest)
+    key = F.shiftleft(F.col("anchor").cast("long"), 32).bitwiseOR(F.col("cell").cast("long"))
+    return cells.select(key.alias("key"), *columns).repartition("key").sortWithinPartitions("key")
 
 
 def _rooted(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
