@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -121,6 +122,14 @@ def crosswalk(left: DataFrame, bridge: DataFrame, source: str, target: str) -> D
     return left.join(known, source, "left")
 
 
+def stacked(tables: Sequence[DataFrame]) -> DataFrame:
+    """Rows of tables with the same columns, in whatever order; other columns are an error."""
+    names = {tuple(sorted(t.columns)) for t in tables}
+    if len(names) != 1:
+        raise CheckFailed(f"tables to stack differ in their columns: {sorted(names)}")
+    return reduce(DataFrame.unionByName, tables)
+
+
 def explode_children(master: DataFrame, children: str, keep: Sequence[str]) -> DataFrame:
     """One row per nested child struct, its fields as columns."""
     return master.select(*keep, F.explode(children).alias("_child")).select(*keep, "_child.*")

@@ -18,14 +18,15 @@ from __future__ import annotations
 
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import use_shared_folder
+from ..sources.shared import checkpointed
 from .checks import CheckFailed, assert_unique, require_columns
 from .windows import _global_rank
 
@@ -136,12 +137,6 @@ def _frame(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str
     return rows.filter(F.col("id").isNotNull() & F.col("value").isNotNull() & F.col("is_case").isNotNull())
 
 
-def _checkpointed(df: DataFrame) -> DataFrame:
-    """Rows written in the shared checkpoint folder; lineage ends here."""
-    use_shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def _cell(value, rule: Rule):
     return F.floor(value / (2 * max(rule.caliper, 1e-6) + 1e-6)).cast("long")
 
@@ -156,7 +151,7 @@ def _in_blocks(rows: DataFrame, rule: Rule, block_rows: int) -> DataFrame:
     total = wide.groupBy("stratum", "level", "run").agg(F.sum("n").alias("n"), F.sum("c").alias("c"))
     fits = wide.drop("n", "c").join(total, ["stratum", "level", "run"]).filter((F.col("n") <= block_rows) | (F.col("level") == 0))
     best = fits.groupBy("stratum", "cell").agg(F.max(F.struct("level", "run", "c")).alias("b"))
-    blocks = _checkpointed(best.filter("b.c > 0").select("stratum", "cell", F.concat_ws("\2", "stratum", "b.level", "b.run").alias("block")))
+    blocks = checkpointed(best.filter("b.c > 0").select("stratum", "cell", F.concat_ws("\2", "stratum", "b.level", "b.run").alias("block")))
     v, reach = F.col("value"), rule.caliper + 1e-9
     seen = F.when(F.col("is_case"), F.array(_cell(v, rule))).otherwise(F.array_distinct(F.array(_cell(v - reach, rule), _cell(v, rule), _cell(v + reach, rule))))
     return rows.withColumn("cell", F.explode(seen)).join(blocks, ["stratum", "cell"]).drop("cell").dropDuplicates()
@@ -190,7 +185,7 @@ def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str |
     turns = cases.withColumn("candidates", F.lit(0).cast("long")) if rule.order == "value" else cases.join(_counted(placed, rule), "id")
     buckets = F.struct("candidates", F.floor(F.col("value") / max(rule.caliper, 1e-9)))
     numbered = _global_rank(turns, [F.col("candidates"), F.col("value"), F.col("id")], "turn", buckets).select("id", "turn")
-    placed = _checkpointed(placed.join(numbered.withColumn("is_case", F.lit(True)), ["id", "is_case"], "left"))
+    placed = checkpointed(placed.join(numbered.withColumn("is_case", F.lit(True)), ["id", "is_case"], "left"))
     names = {f"g_{i}": c for i, c in enumerate(rule.distance)}
     schema = f"block string, kind string, {PAIRS}, matched boolean, n_controls int, eligible_at_turn int, reason string"
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -204,23 +199,23 @@ def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str |
     def turns_of(frame: DataFrame) -> DataFrame:
         return frame.groupBy("block").applyInPandas(solve, schema)
 
-    done = _checkpointed(turns_of(placed.withColumn("taken", F.lit(None).cast("long"))))
+    done = checkpointed(turns_of(placed.withColumn("taken", F.lit(None).cast("long"))))
     moved = done.filter("kind = 'pair'").select(F.col("control_id").alias("id"), F.col("block").alias("by")).distinct()
     people = placed.filter("not is_case").select("id", "block").distinct()
     for _ in range(ROUNDS):
-        again = _checkpointed(people.join(moved, "id").filter("block != by").select("block").distinct())
+        again = checkpointed(people.join(moved, "id").filter("block != by").select("block").distinct())
         if not again.limit(1).count():
             break
         # of each control the turns at which other blocks took it: a few blocks can reach a person
         takers = done.filter("kind = 'pair'").groupBy("control_id", F.col("block").alias("by")).agg(F.min("priority").alias("at")).groupBy(F.col("control_id").alias("id")).agg(F.collect_list(F.struct("by", "at")).alias("takers"))
         frame = placed.join(again, "block", "left_semi").join(takers, "id", "left")
         others = F.transform(F.filter("takers", lambda t: t["by"] != F.col("block")), lambda t: t["at"])
-        new = _checkpointed(turns_of(frame.withColumn("taken", F.when(~F.col("is_case"), F.array_min(others))).drop("takers")))
+        new = checkpointed(turns_of(frame.withColumn("taken", F.when(~F.col("is_case"), F.array_min(others))).drop("takers")))
         pair = ["case_id", "control_id", F.col("block").alias("by")]
         old = done.join(again, "block", "left_semi")
         before, after = (x.filter("kind = 'pair'").select(*pair) for x in (old, new))
         moved = before.exceptAll(after).unionByName(after.exceptAll(before)).select(F.col("control_id").alias("id"), "by").distinct()
-        done = _checkpointed(done.join(again, "block", "left_anti").unionByName(new))
+        done = checkpointed(done.join(again, "block", "left_anti").unionByName(new))
     else:
         raise CheckFailed(f"no end after {ROUNDS} rounds")
     pairs = done.filter("kind = 'pair'").select(*[c.split()[0] for c in PAIRS.split(", ")])
@@ -250,6 +245,35 @@ def match_groups(df: DataFrame, who: str, value: str, group: str, targets: Seque
     return out
 
 
+def match_extremes(df: DataFrame, who: str, value: str, gap: str, cohort: str, sex: str, fraction: float, rule: Rule) -> DataFrame:
+    """Pairs (with the cohort) of the highest with the lowest ``fraction`` of ``gap`` inside each cohort; sex must agree where it is well enough known.
+
+    One matching for each cohort: their names, few, are on the driver.
+    """
+    from .stats import covariate_available
+    from .windows import tails
+
+    out = None
+    for row in df.select(cohort).filter(F.col(cohort).isNotNull()).distinct().orderBy(cohort).collect():
+        ends = tails(df.filter(F.col(cohort) == row[0]), gap, who, fraction, "_tail").withColumn("_case", (F.col("_tail") == "top").cast("int"))
+        known = covariate_available(ends, "_case", sex)
+        pairs = match(ends, who, value, "_case", replace(rule, exact=(*rule.exact, sex) if known else rule.exact))[0].withColumn(cohort, F.lit(row[0]))
+        out = pairs if out is None else out.unionByName(pairs)
+    if out is None:
+        raise CheckFailed(f"no {cohort}")
+    return out
+
+
+def gower_column(pairs: dict[str, tuple[Column, Column]], spread: dict[str, Column]) -> Column:
+    """Gower distance of two rows' columns as an expression: unknown on both sides says nothing, on one side it is 1, numbers differ by their ``spread``."""
+    parts = []
+    for name, (a, b) in pairs.items():
+        differ = F.least(F.lit(1.0), F.abs(a - b) / F.when(spread[name] > 0, spread[name]).otherwise(1.0)) if name in spread else (a != b).cast("double")
+        parts.append(F.when(a.isNull() & b.isNull(), None).when(a.isNull() | b.isNull(), 1.0).otherwise(differ))
+    known = F.greatest(F.lit(1), reduce(lambda x, y: x + y, [p.isNotNull().cast("int") for p in parts]))
+    return reduce(lambda x, y: x + y, [F.coalesce(p, F.lit(0.0)) for p in parts]) / known
+
+
 def feasibility(df: DataFrame, who: str, value: str, case: str, calipers: Sequence[float], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(caliper, n_cases, n_with_candidate, max_pairs): how many cases have a control, and the most disjoint pairs there can be.
 

@@ -35,6 +35,12 @@ def assert_no_leak(df: DataFrame, group: str, fold: str = "fold") -> DataFrame:
 # Gram matrices of vectors
 
 
+def same_length(vector: str, dim: int) -> Column:
+    """The vector as doubles; one of another length fails the job, null stays null."""
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    return F.when(F.size(vector) == dim, v).when(F.col(vector).isNotNull(), F.raise_error(F.concat(F.lit(f"{vector}: {dim} elements expected, there are "), F.size(vector).cast("string"))).cast("array<double>"))
+
+
 def vector_gram(df: DataFrame, vector: str, target: str, by: Sequence[str], dim: int, block: int = 256) -> dict:
     """{key: (n, gram)} with gram over [vector, 1, target]; one pass, partial sums per task and key.
 
@@ -61,7 +67,7 @@ def vector_gram(df: DataFrame, vector: str, target: str, by: Sequence[str], dim:
 
     from pyspark.sql.pandas.types import to_arrow_type
 
-    rows = df.select(*by, F.transform(F.col(vector), lambda x: x.cast("double")).alias("_v"), F.col(target).cast("double").alias("_t")).filter(F.col("_t").isNotNull() & (F.size("_v") == dim))
+    rows = df.select(*by, same_length(vector, dim).alias("_v"), F.col(target).cast("double").alias("_t")).filter(F.col("_t").isNotNull() & F.col("_v").isNotNull())
     types = {b: to_arrow_type(df.schema[b].dataType) for b in by}
     schema = ", ".join([*(f"{b} {df.schema[b].dataType.simpleString()}" for b in by), "n long, g array<double>"])
     parts = rows.mapInArrow(partial, schema)
@@ -228,6 +234,14 @@ def compare_models(df: DataFrame, label: str, features: dict[str, str], fold: st
     return out
 
 
+def shortcut_baselines(df: DataFrame, label: str, sets: dict[str, tuple[Sequence[str], Sequence[str]]], fold: str, group: str, c: float = 1.0) -> DataFrame:
+    """What the classifier reaches from side information alone: discrimination for each set of (categorical, numeric) columns, on the same folds."""
+    rows = df
+    for name, (categorical, numeric) in sets.items():
+        rows = one_hot(rows, categorical, numeric, f"_set_{name}")
+    return compare_models(rows, label, {name: f"_set_{name}" for name in sets}, fold, group, c)
+
+
 def principal_components(df: DataFrame, vector: str, k: int, name: str) -> DataFrame:
     """Projection on the k leading components (of all rows; fit inside a fold's training part to avoid leaks)."""
     from pyspark.ml.feature import PCA
@@ -257,7 +271,7 @@ def harmonizer(df: DataFrame, vector: str, source: str, reference: str, age: str
     Cells (source x label) weigh alike. One weighted Gram over [1, age, female, label, source dummies] and its products with the
     vector are aggregated; the ridge acts on the source terms. With ``scale``, ratio is the reference's residual spread over the source's.
     """
-    rows = df.filter(F.col(source).isNotNull() & F.col(age).isNotNull() & F.col(label).isNotNull() & (F.size(vector) == dim))
+    rows = df.filter(F.col(source).isNotNull() & F.col(age).isNotNull() & F.col(label).isNotNull() & F.col(vector).isNotNull()).withColumn(vector, same_length(vector, dim))
     cells = rows.groupBy(source, label).count()
     sources = sorted(r[0] for r in cells.select(source).distinct().collect())
     if reference not in sources or len(sources) < 2:

@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
 from .windows import hash_order, portable_hash, ranked
 
 
@@ -112,7 +113,7 @@ def patch_test(maps: DataFrame, unit: str, label: str, row: str, col: str, value
     cells = maps.select(F.col(unit).alias("unit"), F.col(label).alias("label"), F.col(row).alias("row"), F.col(col).alias("col"), F.col(value).cast("double").alias("v")).filter("v is not null")
     own = cells.groupBy("row", "col").agg(_difference("label").alias("difference"), _welch("label").alias("t"))
     shuffled = _shuffled(cells.select("unit", "label").distinct(), "unit", "label", count, seed, ())
-    permuted = cells.select("unit", "row", "col", "v").join(shuffled, "unit").groupBy("rep", "row", "col").agg(_welch("label").alias("t"))
+    permuted = checkpointed(cells.select("unit", "row", "col", "v").join(shuffled, "unit").groupBy("rep", "row", "col").agg(_welch("label").alias("t")))  # read three times
     return benjamini_hochberg(max_t(own, permuted, count, ("row", "col")), "p_unadjusted", ["row", "col"], (), "p_fdr")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..sources.shared import checkpointed
 from .checks import CheckFailed, assert_unique
 from .windows import average_rank, running, with_aggregates
 
@@ -346,8 +347,9 @@ def benjamini_hochberg(df: DataFrame, p: str, key: Sequence[str], family: Sequen
     """Adjusted p values within each family; null and NaN stay null and don't count."""
     good = F.col(p).isNotNull() & ~F.isnan(p)
     tests = df.filter(good)
-    # equal p values have one adjusted value, so distinct ones are enough
-    found = running(tests.groupBy(*family, p).agg(F.count("*").alias("_t")), family, p, {"_rank": F.col("_t")})
+    # equal p values have one adjusted value, so distinct ones are enough; they are read several times
+    distinct = checkpointed(tests.groupBy(*family, p).agg(F.count("*").alias("_t")))
+    found = running(distinct, family, p, {"_rank": F.col("_t")})
     found = with_aggregates(found, family, _m=F.sum("_t"))
     found = running(found, family, p, least={"_q": F.col(p) * F.col("_m") / F.col("_rank")})
     values = found.select(*[F.col(f).alias(f"_family_{i}") for i, f in enumerate(family)], F.col(p).alias("_p"), F.least("_q", F.lit(1.0)).alias(name))

@@ -179,6 +179,11 @@ def top_by(df: DataFrame, columns: Sequence[str], n: int, *tie: str) -> DataFram
     return df.orderBy(F.coalesce(*[F.col(c).cast("double") for c in columns]).desc_nulls_last(), *tie).limit(n)
 
 
+def report(df: DataFrame, columns: Sequence[str], n: int) -> DataFrame:
+    """The first n rows in ascending order of the columns, unknown values last."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in columns]).limit(n)
+
+
 def top_k_jaccard(heads: DataFrame, model: str, position: str, coefficient: str, k: int) -> DataFrame:
     """(model_a, model_b, jaccard) of the k largest |coefficients| of each pair of models."""
     top = pick(heads, [model], [F.desc(F.abs(F.col(coefficient))), F.col(position)], k).select(model, position)

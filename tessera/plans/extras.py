@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+import zipfile
+
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..functions import clean as c
-from ..operators import aggregate, checks, link, maps, models, stats, windows
+from ..operators import aggregate, checks, link, maps, matching, models, stats, windows
 from ..sources import readers
 from ..sources.shared import new_folder
 from ..streaming import handoff
+from . import repeat
 from .inference import PRED, _rounded, _row, predictions, vectors
 from .registry import query, table
 
@@ -16,12 +21,13 @@ from .registry import query, table
 # sources and sinks
 
 
-@query("s01_written_inventory", "select extension, count(*) > 0 as some, true as known_size from (select distinct '.parquet' as extension from documents) group by 1")
+@query("s01_written_inventory", "select lang, '.parquet' as extension, count(distinct source) as n_files, true as known_size from documents where lang is not null group by 1")
 def s01(spark, d):
     path = new_folder(spark, "out")
-    table(spark, d, "documents").select("doc_id", "lang").repartition(3).write.parquet(path)
+    # a file for each language and source
+    table(spark, d, "documents").filter("lang is not null").select("doc_id", "lang", "source").repartition("lang", "source").write.partitionBy("lang", "source").parquet(path)
     found = readers.file_inventory(spark, path).filter("extension = '.parquet'")
-    return found.groupBy("extension").agg((F.count("*") > 0).alias("some"), (F.min("bytes") > 0).alias("known_size"))
+    return found.groupBy(F.regexp_extract("relative_path", "lang=(..)/", 1).alias("lang"), "extension").agg(F.count("*").alias("n_files"), (F.min("bytes") > 0).alias("known_size"))
 
 
 @query("s04_release_round_trip", "select cast(c_custkey as varchar) as c_custkey, c_name || chr(10) || 'line \"two\", end' as note from customer")
@@ -213,3 +219,144 @@ def r03(spark, d):
 @query("s15_release_counts", "select source as release, count(*) as n_members from documents group by 1")
 def s15(spark, d):
     return aggregate.release_summary(table(spark, d, "documents").select(F.col("source").alias("release"), F.lit("other").alias("k"), "n_chars", F.lit(1).alias("who"), F.lit("L").alias("eye")), "release", "k", ("n_chars", "n_chars"), "who", "eye").select("release", "n_members")
+
+
+# readers over files that these queries write from the tables
+
+
+@query("s02_discovered_paths", "select distinct lang from documents where lang in ('en', 'de')")
+def s02(spark, d):
+    path = new_folder(spark, "out")
+    table(spark, d, "documents").select("doc_id", "lang").write.partitionBy("lang").parquet(path)
+    found = readers.discover(readers.file_inventory(spark, path), r"/lang=(en|de)/[^/]*\.parquet$")
+    return found.select(F.regexp_extract("path", "/lang=(..)/", 1).alias("lang")).distinct()
+
+
+@query("s03_formats", "select form, o_orderkey::varchar as o_orderkey, o_orderstatus from orders, (select unnest(['csv', 'json', 'orc', 'parquet']) as form)")
+def s03(spark, d):
+    orders, out = table(spark, d, "orders").select("o_orderkey", F.col("o_orderstatus").cast("string").alias("o_orderstatus")), None
+    for form in ("csv", "json", "orc", "parquet"):
+        path = f"{new_folder(spark, 'out')}.{form}"
+        orders.write.options(header=True).format(form).save(path)
+        part = readers.read_auto(spark, path).select(F.lit(form).alias("form"), F.col("o_orderkey").cast("string").alias("o_orderkey"), "o_orderstatus")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("s05_whitespace_table", "select c_custkey::varchar as ck, c_nationkey::varchar as nk from customer")
+def s05(spark, d):
+    path = new_folder(spark, "out")
+    cust = table(spark, d, "customer")
+    lines = cust.select(F.col("c_nationkey").alias("part"), F.lit(1).alias("later"), F.concat(F.lit("  "), "c_custkey", F.lit(" \t "), "c_nationkey").alias("value"))
+    heads = cust.select(F.col("c_nationkey").alias("part"), F.lit(0).alias("later"), F.lit("ck   nk").alias("value")).distinct()
+    lines.unionByName(heads).repartition("part").sortWithinPartitions("part", "later").select("part", "value").write.partitionBy("part").text(path)
+    return readers.read_whitespace(spark, path)
+
+
+@query("s07_archive_members", "select printf('%07d', doc_id) as participant_id, case when doc_id % 2 = 0 then 'L' else 'R' end as eye, 'fundus_image' as member_class, length(doc_id::varchar)::bigint as bytes, false as encrypted from documents")
+def s07(spark, d):
+    folder = new_folder(spark, "out")
+    docs = table(spark, d, "documents").select("doc_id", F.floor(F.col("doc_id") / 5000).alias("archive"))
+
+    def write(rows: pd.DataFrame) -> pd.DataFrame:
+        return _archive(folder, rows)
+
+    archives = docs.groupBy("archive").applyInPandas(write, "path string")
+    return readers.archive_members(archives).select("participant_id", "eye", "member_class", "bytes", "encrypted")
+
+
+def _archive(folder: str, rows: pd.DataFrame) -> pd.DataFrame:
+    """One archive of small members for a group of documents."""
+    from pyarrow import fs
+
+    path = f"{folder}/images-{int(rows.archive.iloc[0])}.zip"
+    store, where = fs.FileSystem.from_uri(path)
+    store.create_dir(os.path.dirname(where), recursive=True)
+    with store.open_output_stream(where) as out, zipfile.ZipFile(out, "w") as z:
+        for i in rows.doc_id:
+            z.writestr(f"{i:07d}/retinal_{'left' if i % 2 == 0 else 'right'}.jpg", str(i))
+    return pd.DataFrame({"path": [path]})
+
+
+@query("s14_dictionary_sheets", "select 'variables' as sheet, p_partkey::varchar as code, p_name as label from part union all select 'categories', s_suppkey::varchar, s_name from supplier")
+def s14(spark, d):
+    path = new_folder(spark, "out")
+    sheets = {"variables": table(spark, d, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("label")), "categories": table(spark, d, "supplier").select(F.col("s_suppkey").alias("code"), F.col("s_name").alias("label"))}
+    for name, df in sheets.items():
+        df.write.options(header=True, quote='"', escape='"').csv(f"{path}/{name}.csv")
+    out = None
+    for name, df in readers.dictionary_sheets(spark, {n: f"{path}/{n}.csv" for n in sheets}).items():
+        part = df.select(F.lit(name).alias("sheet"), "code", "label")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+# small operators that others hold
+
+
+@query("p04_first_available_column", "select c_custkey, c_name as chosen, c_acctbal as exact from customer")
+def p04(spark, d):
+    cust = table(spark, d, "customer")
+    chosen, exact = c.pick_column(cust.columns, ["entity_id", "C_NAME", "c_phone"]), c.pick_column(cust.columns, ["c_acctbal", "c_name"])
+    return cust.select("c_custkey", F.col(chosen).alias("chosen"), F.col(exact).alias("exact"))
+
+
+@query("t05_nulls_last", "select c_custkey, case when c_custkey % 40 = 0 then c_acctbal end as value from customer order by value asc nulls last, c_custkey limit 60")
+def t05(spark, d):
+    rows = table(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") % 40 == 0, F.col("c_acctbal")).alias("value"))
+    return windows.report(rows, ["value", "c_custkey"], 60)
+
+
+@query("u01_union_by_name", "select 'customer' as side, c_custkey as key, c_nationkey as nation from customer union all select 'supplier', s_suppkey, s_nationkey from supplier")
+def u01(spark, d):
+    cust = table(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_nationkey").alias("nation"), F.lit("customer").alias("side"))
+    supp = table(spark, d, "supplier").select(F.lit("supplier").alias("side"), F.col("s_suppkey").alias("key"), F.col("s_nationkey").alias("nation"))
+    return link.stacked([cust, supp])
+
+
+GOWER = "with l as (select l_orderkey as o, l_linenumber as n, case when l_linenumber % 3 != 0 then l_returnflag end as flag, case when l_orderkey % 4 != 0 then l_linestatus end as mode, case when l_linenumber % 5 != 0 then l_quantity::double end as q from lineitem), r as (select max(q) - min(q) as spread from l)"
+
+
+@query(
+    "m07_gower_distance",
+    GOWER
+    + """, p as (select a.o, a.n, case when a.flag is null and b.flag is null then null when a.flag is null or b.flag is null or a.flag != b.flag then 1.0 else 0.0 end as x, case when a.mode is null and b.mode is null then null when a.mode is null or b.mode is null or a.mode != b.mode then 1.0 else 0.0 end as y,
+      case when a.q is null and b.q is null then null when a.q is null or b.q is null then 1.0 else least(1.0, abs(a.q - b.q) / spread) end as z from l a join l b on a.o = b.o and a.n + 1 = b.n, r)
+    select o as l_orderkey, n as l_linenumber, round((coalesce(x, 0) + coalesce(y, 0) + coalesce(z, 0)) / greatest(1, (x is not null)::integer + (y is not null)::integer + (z is not null)::integer), 9) as distance from p""",
+)
+def m07(spark, d):
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    lines = table(spark, d, "lineitem").select(o, n, F.when(n % 3 != 0, F.col("l_returnflag")).alias("flag"), F.when(o % 4 != 0, F.col("l_linestatus")).alias("mode"), F.when(n % 5 != 0, F.col("l_quantity").cast("double")).alias("q"))
+    names = ("flag", "mode", "q")
+    other = lines.select(o, (n - 1).alias("l_linenumber"), *[F.col(x).alias(f"{x}_b") for x in names])
+    pairs = lines.join(other, ["l_orderkey", "l_linenumber"]).crossJoin(lines.agg((F.max("q") - F.min("q")).alias("spread")))
+    return pairs.select("l_orderkey", "l_linenumber", F.round(matching.gower_column({x: (F.col(x), F.col(f"{x}_b")) for x in names}, {"q": F.col("spread")}), 9).alias("distance"))
+
+
+def extremes(spark, d):
+    """People of three cohorts; in one of them sex is mostly unknown."""
+    cust = table(spark, d, "customer")
+    cohort = F.col("c_nationkey") % 3
+    sex = F.when((cohort != 1) | (F.col("c_custkey") % 3 == 0), F.col("c_mktsegment"))
+    return cust.select(F.col("c_custkey").cast("string").alias("who"), cohort.alias("cohort"), (F.col("c_acctbal") / 100).alias("age"), (F.col("c_custkey") * 7919 % 1000).alias("gap"), sex.alias("sex"))
+
+
+def _extreme_sql(cohort: int) -> str:
+    own = f"select cast(c_custkey as varchar) as who, c_acctbal / 100 as age, c_custkey * 7919 % 1000 as gap, {'c_mktsegment' if cohort != 1 else 'null'} as sex, '' as tie, 0 as band, 0 as nation from customer where c_nationkey % 3 = {cohort}"
+    ends = f"select *, row_number() over (order by gap, who) as r, count(*) over () as n from ({own})"
+    people = f"select *, (r > n - least(greatest(1, ceil(n * 0.2)), n // 2))::integer as is_case from ({ends}) where r <= least(greatest(1, ceil(n * 0.2)), n // 2) or r > n - least(greatest(1, ceil(n * 0.2)), n // 2)"
+    return f"select {cohort} as cohort, case_id, control_id, value_distance from (with recursive {repeat.matched(people, 1, 2.0, exact=cohort != 1)} select * from pairs)"
+
+
+@query("m06_extremes_matched", " union all ".join(_extreme_sql(k) for k in range(3)))
+def m06(spark, d):
+    pairs = matching.match_extremes(extremes(spark, d), "who", "age", "gap", "cohort", "sex", 0.2, matching.Rule(caliper=2.0))
+    return pairs.select("cohort", "case_id", "control_id", "value_distance")
+
+
+@query("l11_shortcut_baselines")
+def l11(spark, d):
+    rows = vectors(spark, d).withColumns({"y": (F.col("label") < 5).cast("int"), "site": F.col("vec_id") % 4, "sex": F.when(F.col("vec_id") % 7 != 0, F.when((F.col("label") + F.col("vec_id")) % 3 == 0, "F").otherwise("M")), "brightness": F.col("embedding")[1].cast("double"), "contrast": F.when(F.col("vec_id") % 6 != 0, F.col("embedding")[2].cast("double"))})
+    dealt = models.folds(rows, "vec_id", 3, 3, "y")
+    sets = {"demographics": (["sex"], ["age"]), "quality": ([], ["brightness", "contrast"]), "both": (["sex", "site"], ["age", "brightness", "contrast"])}
+    return _rounded(models.shortcut_baselines(dealt, "y", sets, "fold", "vec_id"), 3)

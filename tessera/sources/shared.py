@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _local: dict[str, str] = {}  # by application, where all of it is one process
 
@@ -25,6 +25,12 @@ def use_shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Rows written in the shared folder once and read from there; lineage ends here."""
+    use_shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder at which nothing is yet; what comes there goes when the application ends."""
     path = f"{use_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
