@@ -2,7 +2,7 @@
 
 Every helper works on one bounded buffer inside one task. ``slices`` cuts Arrow batches so that
 a task holds a few MB of text at a time. A single text is never cut by it: what goes through one in pieces
-(``word_codes``, segments of suffix_dedup) says so.
+(segments of suffix_dedup) says so.
 """
 
 from __future__ import annotations
@@ -93,25 +93,48 @@ class SpanHash:
         return self._join([_mod(_mod(s[width:] - s[:m])) * inv[:m][::-1] for s, inv in zip(self.sums, up, strict=True)])
 
 
+def window_hash(codes: np.ndarray, width: int) -> np.ndarray:
+    """A hash of every window of that width, by doubling. It is quick and spreads well, but structured texts collide: for choosing places, not for telling
+    texts apart."""
+    out, span, factor = codes, 1, 0x9E3779B97F4A7C15
+    with np.errstate(over="ignore"):
+        while span * 2 <= width:
+            out = out[: len(out) - span] * _U(factor) + out[span:]
+            factor = factor * factor % 2**64
+            span *= 2
+        if rest := width - span:
+            out = out[: len(out) - rest] * _U(0xD1B54A32D192ED03) + out[rest:]
+        return (out ^ (out >> _U(29))) * _U(0xBF58476D1CE4E5B9) if len(codes) >= width else np.zeros(0, _U)
+
+
 def byte_hash(data: np.ndarray, second: bool = False) -> SpanHash:
     return SpanHash(_byte_codes()[data], second)
 
 
+LONG_WORD = 1024
+
+
 def word_codes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of ascending spans (words) of a text, ``SLICE_BYTES`` bytes of it at a time; longer words by the hashes of their pieces."""
-    out = np.zeros(len(start), _U)
-    i = 0
-    while i < len(start):
-        a = int(start[i])
-        j = int(np.searchsorted(end, a + SLICE_BYTES, "right"))
-        if j > i:
-            out[i:j] = byte_hash(data[a : end[j - 1]])(start[i:j] - a, end[i:j] - a)
-            i = j
-            continue
-        edges = np.append(np.arange(a, end[i], SLICE_BYTES), end[i])
-        pieces = np.array([byte_hash(data[x:y])(np.array([0]), np.array([y - x]))[0] for x, y in zip(edges[:-1], edges[1:], strict=True)], _U)
-        out[i] = SpanHash(pieces)(np.array([0]), np.array([len(pieces)]))[0]
-        i += 1
+    """Hashes of spans (words) of a text: 8 bytes at a time go through ``mix``; spans over ``LONG_WORD`` bytes are hashed by XXH3."""
+    n = (end - start).astype(np.int64)
+    eight = np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), 0, (1,))  # the 8 bytes from each place on
+    out = mix(n.astype(_U) + _U(0x9E3779B97F4A7C15))
+    at, done = np.flatnonzero((n > 0) & (n <= LONG_WORD)), 0
+    while len(at):
+        left = n[at] - done
+        part = eight[start[at] + done]
+        short = left < 8
+        part[short] &= (_U(1) << (_U(8) * left[short].astype(_U))) - _U(1)
+        with np.errstate(over="ignore"):
+            out[at] = mix(out[at] * _U(0xD1B54A32D192ED03) + part)
+        done += 8
+        at = at[left > 8]
+    long = np.flatnonzero(n > LONG_WORD)
+    if len(long):
+        import xxhash
+
+        raw = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)]
     return out
 
 

@@ -14,13 +14,14 @@ and which occur earlier (in an earlier document, or earlier in the same one), is
    and what the factor points to has a copy.
 
 Equal stretches are one entry with its first holder and a count: in each chunk first, then in the
-group; a second copy goes to the suffix array with the first one, and stands for all the others. Anchors with more
+group, each time after their texts have been compared. So a stretch that is there twice has a copy of each of its windows, and only
+distinct ones go to the suffix array. Anchors with more
 than ``HOT`` distinct stretches in all chunks (a passage that stands in ever different surroundings) would make groups too large for one
 task; windows of these are offered one by one with their first holder, once for each chunk, and counted by bucket.
 
 ``keep="none"`` removes every byte under a window that starts anywhere else too; ``keep="first"`` leaves
-the first copy and removes later ones. Both judge the input, not what is left. Stretches are merged by a 62-bit hash besides that of
-their anchor, hot windows by two independent ones (124 bits); within groups bytes are compared.
+the first copy and removes later ones. Both judge the input, not what is left. Hot windows are told apart by 128-bit hashes (XXH3);
+all others by their symbols.
 
 A text longer than ``SEGMENT`` is hashed in overlapping segments; besides it, its task holds a few bytes for each of its bytes.
 
@@ -40,22 +41,23 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._exchange import bucket_of, find, known, low, repeated, sizes, with_chunks
-from ._text import SpanHash, buffer, byte_hash, inside, mix, runs, slices, sliding_min, window_cover, word_codes, words
+from ._text import _byte_codes, buffer, inside, mix, runs, slices, sliding_min, window_cover, window_hash, word_codes, words
 from ._tokens import gather
 
 LENGTH = 400
 GRAM = 100
 UNITS = {"byte": np.dtype(np.uint8), "word": np.dtype(np.uint64)}
-HOT = 350
+HOT = 700
 NULL_ID = 2**63 - 1
-BATCH_BITS = 19  # a suffix array has fewer than 2**19 places; twice HOT stretches fit one
+BATCH_BITS = 19  # a suffix array has fewer than 2**19 places; HOT stretches fit one
 SEGMENT = 800_000  # windows that are hashed at a time
 PLACE_BITS = np.uint64(22)  # of a place in a segment
-STRETCH = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("size", "<i4"), ("count", "u1")])
+STRETCH = np.dtype([("anchor", "<u8"), ("content", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("size", "<i4"), ("count", "u1")])
 WINDOW = np.dtype([("content", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("count", "u1")])
 OFFER = "bucket int, chunk int, kind int, rows binary, texts binary"
 
@@ -100,13 +102,12 @@ class Segment:
 
     def __init__(self, part: Part, begin: int, stop: int, length: int, gram: int):
         self.part, self.begin, self.symbols = part, begin, part.symbols[begin:stop]
-        self.hash = self._hash()
         self.first = self.last = self.anchor = np.zeros(0, np.int64)
         self.code = np.zeros(0, np.uint64)
         windows = np.flatnonzero(inside(np.clip(part.edges - begin, 0, len(self.symbols)), len(self.symbols), length))
         if not len(windows):
             return
-        h = self.hash.rolling(gram)
+        h = window_hash(_byte_codes()[self.symbols] if part.unit == "byte" else self.symbols, gram)
         place = sliding_min((h >> PLACE_BITS) << PLACE_BITS | np.arange(len(h), dtype=np.uint64), length - gram + 1) & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))
         place = place[windows].astype(np.int64)
         new = np.concatenate(([True], (place[1:] != place[:-1]) | (windows[1:] != windows[:-1] + 1)))
@@ -117,13 +118,16 @@ class Segment:
         # least hashes are all small; mixed again they spread over the buckets
         self.code = mix(h[self.anchor])
 
-    def _hash(self, second: bool = False) -> SpanHash:
-        return byte_hash(self.symbols, second) if self.part.unit == "byte" else SpanHash(self.symbols, second)
+    def digests(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """128-bit hashes of spans, as two columns."""
+        width = self.symbols.itemsize
+        raw, h = memoryview(np.ascontiguousarray(self.symbols).view(np.uint8)), xxhash.xxh3_128_digest
+        return np.frombuffer(b"".join([h(raw[a:b]) for a, b in zip((start * width).tolist(), (stop * width).tolist(), strict=True)]), "<u8").reshape(-1, 2)
 
     def stretches(self, at: np.ndarray, length: int) -> np.ndarray:
         out = np.zeros(len(at), STRETCH)
         out["anchor"], out["size"], out["count"] = self.code[at], self.last[at] - self.first[at] + length, 1
-        out["content"] = self.hash(self.first[at], self.last[at] + length)
+        out["content"], out["check"] = self.digests(self.first[at], self.last[at] + length).T
         out["doc"], out["place"] = self.part.owner(self.begin + self.first[at])
         return out
 
@@ -131,7 +135,8 @@ class Segment:
         """(places in the segment, rows) of the windows of runs."""
         starts = gather(np.arange(len(self.symbols)), self.first[at], self.last[at] - self.first[at] + 1)
         out = np.zeros(len(starts), WINDOW)
-        out["content"], out["check"], out["count"] = self.hash(starts, starts + length), self._hash(True)(starts, starts + length), 1
+        out["content"], out["check"] = self.digests(starts, starts + length).T
+        out["count"] = 1
         out["doc"], out["place"] = self.part.owner(self.begin + starts)
         return starts, out
 
@@ -143,7 +148,7 @@ def _parts(table: pa.Table, unit: str) -> Iterator[Part]:
 
 def _identity(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The two hashes that tell rows apart."""
-    return rows["content"], rows["check" if "check" in rows.dtype.names else "anchor"]
+    return rows["content"], rows["check"]
 
 
 def _merge(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -162,6 +167,15 @@ def _merge(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return out, order[edge], back
 
 
+def _compare(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> None:
+    """Merged stretches begin at a, what they are merged with at b; both hold the same symbols."""
+    width = symbols.itemsize
+    raw = np.ascontiguousarray(symbols).tobytes()
+    for x, y, n in zip((a * width).tolist(), (b * width).tolist(), (size.astype(np.int64) * width).tolist(), strict=True):
+        if x != y and raw[x : x + n] != raw[y : y + n]:
+            raise RuntimeError("two stretches of text have one hash")
+
+
 def _find(table: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(whether each row is in the table, which is ascending by content, where)"""
     hit, at = find(table["content"], rows["content"])
@@ -303,7 +317,7 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
     chunked = with_chunks(docs, chunks, *columns)
     wide = length - gram + 1  # windows of a stretch at most
     mask_bytes = -(-wide // 8)
-    stretch_answer = np.dtype([("content", "<u8"), ("anchor", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("mask", "u1", (2, mask_bytes))])
+    stretch_answer = np.dtype([("content", "<u8"), ("check", "<u8"), ("doc", "<i8"), ("place", "<i8"), ("all", "u1"), ("mask", "u1", (mask_bytes,))])
 
     def prints(table: pa.Table):
         """Anchors of a chunk, with the number of their distinct stretches; one that is there several times counts twice at least."""
@@ -331,12 +345,16 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
         if len(marks):
             for p in (x for part in _parts(table, unit) for x in part.segments(length, gram)):
                 a, b = split(p, marks, counts)
-                rows, source, _ = _merge(p.stretches(a, length))
+                all_rows = p.stretches(a, length)
+                rows, source, back = _merge(all_rows)
+                _compare(p.symbols, p.first[a], p.first[a[source]][back], all_rows["size"])
                 cold.append(rows)
                 texts += [p.symbols[x : x + n] for x, n in zip(p.first[a[source]].tolist(), rows["size"].tolist(), strict=True)]
                 if len(b):
                     warm.append(_merge(p.windows(b, length)[1])[0])
-        rows, source, _ = _merge(np.concatenate(cold))
+        rows, source, back = _merge(np.concatenate(cold))
+        if any(not np.array_equal(texts[i], texts[source[k]]) for i, k in enumerate(back.tolist()) if source[k] != i):
+            raise RuntimeError("two stretches of text have one hash")
         chunk = table.column("chunk")[0].as_py() if table.num_rows else None
         out = []
         own = bucket_of(rows["anchor"], buckets)
@@ -363,23 +381,20 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
             rows = np.concatenate(blocks)
             begin = np.cumsum(rows["size"]) - rows["size"]
             merged, source, back = _merge(rows)
+            _compare(texts, begin, begin[source][back], rows["size"])
             order = np.lexsort((merged["place"], merged["doc"], merged["anchor"]))
-            # a second copy of what occurs several times stands right behind the first one
-            order = np.repeat(order, np.minimum(merged["count"][order], 2))
-            second = np.concatenate(([False], order[1:] == order[:-1]))
             ranked = merged[order]
             group = np.concatenate((np.flatnonzero(np.concatenate(([True], ranked["anchor"][1:] != ranked["anchor"][:-1]))), [len(ranked)]))
             ends = np.concatenate(([0], np.cumsum(ranked["size"].astype(np.int64))))
             answer = np.zeros(len(merged), stretch_answer)
-            for f in ("content", "anchor", "doc", "place"):
+            for f in ("content", "check", "doc", "place"):
                 answer[f] = merged[f]
             some = np.zeros(len(merged), bool)
             g = 0
             while g < len(group) - 1:  # as many whole groups as one suffix array takes
                 stop = int(np.searchsorted(ends[group], ends[group[g]] + (1 << BATCH_BITS) - 1, "right")) - 1
                 stop = max(stop, g + 1)
-                span = slice(group[g], group[stop])
-                at, again = order[span], second[span].astype(np.int64)
+                at = order[group[g] : group[stop]]
                 g = stop
                 size = merged["size"][at].astype(np.int64)
                 copy, earlier = copies(gather(texts, begin[source[at]], size), size, length)
@@ -387,9 +402,10 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
                 grid = np.zeros((len(at), mask_bytes * 8), bool)
                 row, col = np.repeat(np.arange(len(at)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 grid[row, col] = earlier if keep == "first" else copy
-                # masks of the first holder, and of any other one
-                answer["mask"][at, again] = np.packbits(grid, axis=1)
-                some[at[grid.any(axis=1)]] = True
+                answer["mask"][at] = np.packbits(grid, axis=1)
+                some[at] = grid.any(axis=1)
+            answer["all"] = merged["count"] > 1
+            some |= merged["count"] > 1
             per = np.split(back, np.cumsum([len(b) for b in blocks])[:-1])
             for chunk, own in zip(mine.column("chunk").to_pylist(), per, strict=True):
                 own = own[some[own]]
@@ -430,7 +446,9 @@ def covered(docs: DataFrame, finish: Callable, schema: str, keep: str, columns:
                 a, rows, found = a[hit], rows[hit], known_stretches[at[hit]]
                 count = p.last[a] - p.first[a] + 1
                 other = (found["doc"] != rows["doc"]) | (found["place"] != rows["place"])
-                grid = np.unpackbits(found["mask"][np.arange(len(a)), other.astype(np.int64)], axis=1).astype(bool) if len(a) else np.zeros((0, mask_bytes * 8), bool)
+                grid = np.unpackbits(found["mask"], axis=1).astype(bool) if len(a) else np.zeros((0, mask_bytes * 8), bool)
+                # an equal stretch elsewhere (earlier, if the first one stays) is a copy of all windows
+                grid[found["all"] > 0 if keep == "none" else other] = True
                 row, col = np.repeat(np.arange(len(a)), count), np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 gone[(p.begin + np.repeat(p.first[a], count) + col)[grid[row, col]]] = True
                 if len(b):

@@ -50,7 +50,7 @@ def brute_bytes(data, length=400):
     return sorted(out, key=key)
 
 
-@pytest.mark.parametrize("hot", [350, 2])
+@pytest.mark.parametrize("hot", [700, 2])
 def test_repeated_bytes(docs, data, hot):
     assert result(suffix_dedup.digests(docs, hot=hot)) == brute_bytes(data)
 
@@ -108,7 +108,14 @@ def test_span_hashes_tell_structured_spans_apart():
     one, two, three = (h(np.array([k * n]), np.array([k * n + n]))[0] for k in range(3))
     assert one == three != two and len(np.unique(h.rolling(400))) == len({bytes(text[i : i + 400]) for i in range(len(text) - 399)})
     assert byte_hash(text, True)(np.array([0]), np.array([n]))[0] != one
-    assert word_codes(text, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n])).tolist() == [one, two, three]
+    a, b, c = word_codes(text, np.array([0, n, 2 * n]), np.array([n, 2 * n, 3 * n])).tolist()
+    assert a == c != b
+    # words of all lengths, equal ones at other places, with what follows them
+    words = [bytes(text[:k]) for k in [*range(1, 40), 1023, 1024, 1025, 1026]] + [b"a\0", b"a\0\0", b"\0a"]
+    joined = b"".join(w + e for w in words * 2 for e in (b" ", b"xyz "))
+    starts = np.cumsum([0, *(len(w + e) for w in words * 2 for e in (b" ", b"xyz "))])[:-1:2]
+    codes = word_codes(np.frombuffer(joined, np.uint8), starts, starts + np.array([len(w) for w in words * 2])).tolist()
+    assert codes[: len(words)] == codes[len(words) :] and len(set(codes)) == len(words)
 
 
 def brute_first(data, length):
@@ -124,7 +131,7 @@ def brute_first(data, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [350, 2])
+@pytest.mark.parametrize("hot", [700, 2])
 @pytest.mark.parametrize("length, gram", [(400, 100), (90, 30), (250, 60)])
 def test_first_copies_stay_byte_for_byte(spark, hot, length, gram):
     r = np.random.default_rng(length)
@@ -150,7 +157,7 @@ def test_long_text_in_segments(spark):
     assert kept[1] == data[0][1] and kept[2] == data[1][1][:50] and kept[3] == ""
 
 
-@pytest.mark.parametrize("hot", [350, 2])
+@pytest.mark.parametrize("hot", [700, 2])
 def test_first_copy_stays(spark, hot):
     r = np.random.default_rng(5)
     passage = "".join(chr(97 + int(x)) for x in r.integers(0, 26, 700))
@@ -182,7 +189,7 @@ def first_copies(data, length):
     return out
 
 
-@pytest.mark.parametrize("hot", [350, 2])
+@pytest.mark.parametrize("hot", [700, 2])
 def test_pipeline_cuts_passages_of_51_short_words(spark, hot, monkeypatch):
     import corpus_pipeline
 
