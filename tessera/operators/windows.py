@@ -162,8 +162,8 @@ def average_rank(df: DataFrame, value: str, name: str, group: Sequence[str] = ()
 
 
 def running_min_from_end(df: DataFrame, family: Sequence[str], order: str, value: str, name: str) -> DataFrame:
-    w = Window.partitionBy(*family).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.min(value).over(w))
+    """The least value from each row to the end of its family, in the order of a number that is unique there."""
+    return running(df, family, order, least={name: F.col(value)})
 
 
 def contiguous(df: DataFrame, group: Sequence[str], start: str, stop: str) -> DataFrame:
