@@ -121,20 +121,87 @@ def test_toxicity_edges(spark, tables):
     assert toxicity.classify(corpus.empty(spark), none).count() == 0
 
 
-def test_pipeline(spark):
+def test_pipeline(spark, tmp_path):
+    """Every stage on the table of the smallest size with planted cases: copies, near copies, passages of 51 words, benchmark passages."""
+    import random
+
     import corpus_pipeline
+    from pyspark.sql import Row
+
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 7)))
+    some = lambda n: " ".join(word() for _ in range(n))
+    source = spark.read.parquet(f"{SF}/documents.parquet")
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").filter("size(split(text, ' ')) > 14").select("text").first().text
+    passage, base = some(51), some(200).split(" ")
+    near = base[:100] + ["changed"] + base[101:]
+    planted = {
+        10**6: " ".join(base), 10**6 + 1: " ".join(base), 10**6 + 2: " ".join(near),
+        10**6 + 3: f"{some(90)} {passage} {some(8)}", 10**6 + 4: f"{some(40)} {passage} {some(60)}", 10**6 + 5: f"{some(300)} {bench} {some(30)}",
+        10**6 + 6: some(120), 10**6 + 7: None, 10**6 + 8: "",
+    }
+    rows = [Row(doc_id=i, text=t, lang="en", source="planted", n_chars=len(t) if t is not None else None) for i, t in planted.items()]
+    docs = source.unionByName(spark.createDataFrame(rows, source.schema))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(str(tmp_path / f"{name}.parquet"))
+    sf = f"file://{tmp_path}"
+    now, left = spark.read.parquet(f"{sf}/documents.parquet"), {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, sf)
+        out.write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(f"{sf}/{name}")
+        if name != "packing":
+            assert now.columns == docs.columns
+            left[name] = {x.doc_id: x.text for x in now.collect()}
+    # toxicity: what the classifier rejects goes, whatever else stays
+    flagged = {x.doc_id for x in toxicity.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("predicted = 1").collect()}
+    assert flagged and set(left["toxicity"]) == {x.doc_id for x in docs.select("doc_id").collect()} - flagged
+    # near copies: one of each group, judged on what toxicity left
+    brute = corpus_groups([(i, t) for i, t in left["toxicity"].items()])
+    assert sorted(left["simhash"]) == sorted(brute)
+    assert 10**6 in left["simhash"] and not {10**6 + 1, 10**6 + 2} & set(left["simhash"])
+    # passages: words and their order are those of the brute force
+    from test_text_operators import first_copies
+
+    cut = first_copies([(i, t or "") for i, t in left["simhash"].items()], 51)
+    assert {i: (t or "").split() for i, t in left["suffix_dedup"].items()} == {i: t.split() for i, t in cut.items()}
+    assert passage in left["suffix_dedup"][10**6 + 3] and passage not in left["suffix_dedup"][10**6 + 4]
+    # decontamination: exactly the documents that share ten words with an item
+    hit = contaminated(left["suffix_dedup"], [x.text for x in spark.read.parquet(f"{sf}/benchmark.parquet").select("text").collect()])
+    assert set(left["decontaminate"]) == set(left["suffix_dedup"]) - hit and 10**6 + 5 in hit and 10**6 + 6 in left["decontaminate"]
+    # packing: every id of every document once
+    pieces, sequences = {}, {}
+    for x in now.collect():
+        pieces.setdefault(x.doc_id, []).append((x.start, x.length, x.doc_tokens))
+        sequences[x.sequence_id] = sequences.get(x.sequence_id, 0) + x.length
+    assert set(pieces) == set(left["decontaminate"]) and max(sequences.values()) <= 4096
+    for parts in pieces.values():
+        at = 0
+        for begin, n, total in sorted(parts):
+            assert begin == at
+            at += n
+        assert at == total
+    assert corpus_pipeline.run(spark, sf).count() == now.count()
+
+
+def corpus_groups(data):
+    from test_text_operators import brute_groups
+
+    return brute_groups(data)
+
+
+def contaminated(texts, items):
+    import re
+
+    from test_text_operators import UP
 
-    rows = corpus_pipeline.run(spark, SF).collect()
-    assert len(corpus_pipeline.STAGES) == 5 and rows
-    by = {}
-    for r in rows:
-        by.setdefault(r.sequence_id, []).append(r.length)
-    assert max(sum(v) for v in by.values()) <= 4096
-    whole = {}
-    for r in rows:
-        whole[r.doc_id] = whole.get(r.doc_id, 0) + r.length
-        assert whole[r.doc_id] <= r.doc_tokens
-    assert all(n in {r.doc_tokens for r in rows if r.doc_id == d} for d, n in whole.items())
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(UP))
+    windows = set()
+    for w in map(words, items):
+        windows |= {tuple(w[i : i + 10]) for i in range(max(1, len(w) - 9))} if w else set()
+    sizes = {len(w) for w in windows}
+    return {i for i, t in texts.items() if any(tuple(w[k : k + n]) in windows for w in [words(t)] for n in sizes for k in range(len(w) - n + 1))}
 
 
 def test_url_sql_gives_the_same_rows(spark):
