@@ -16,7 +16,6 @@ holds are the rows of a few caliper widths of one stratum.
 
 from __future__ import annotations
 
-
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 from functools import reduce
@@ -32,7 +31,7 @@ from .windows import _global_rank
 
 BLOCK_ROWS = 50_000
 LEVELS = 24  # blocks are 2**level cells wide
-ROUNDS = 1000
+ROUNDS = 100_000  # a change reaches one more block with each; as many as there are cases would always do
 
 
 @dataclass(frozen=True)
