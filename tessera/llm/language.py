@@ -6,8 +6,8 @@ first length of which any n-gram is known scores the word by the mean log freque
 document's language has the largest sum; score is its share of the softmax over languages.
 
 Learning: ``MAX_DOCS`` labelled documents outside the held-out fold at most, chosen by a hash of doc_id (a documented
-bound). Words and n-grams are counted by Spark; the ``MAX_WORDS`` and ``MAX_GRAMS`` most frequent are kept, which
-bounds the broadcast model. Whole texts are counted and scored.
+bound, which bounds the broadcast model too). Words and n-grams of their whole texts are counted by Spark; all that were seen ``MIN_WORD`` or
+``MIN_GRAM`` times are kept. Whole texts are scored.
 
 Null text, or text without a letter: ``und`` with score 0; so is all text where nothing could be learned. Ties go
 to the language that sorts first. Null doc_ids are scored, never learned from. lang, source and doc_id
@@ -26,9 +26,8 @@ from ._shared import stored
 from ._tokens import gather
 
 MAX_DOCS = 6000
-MAX_WORDS = 60_000
-MAX_GRAMS = 60_000
 MIN_WORD = 3  # times a known word was seen
+MIN_GRAM = 2
 LONGEST = 4  # characters of an n-gram
 EDGE = "\1"
 RESULT = "doc_id long, held_out boolean, lang_pred string, score double"
@@ -48,12 +47,12 @@ def learn(docs: DataFrame, max_docs: int = MAX_DOCS) -> dict:
     grams = grams.filter(F.col("i") + F.col("n") <= F.length("m") + 1).groupBy("lang", F.substring(F.col("m"), F.col("i"), F.col("n")).alias("term")).agg(F.sum("count").alias("count"))
     grams = grams.filter(f"term != '{EDGE}'")
 
-    def best(counts: DataFrame, least: int, most: int) -> list:
+    def known(counts: DataFrame, least: int) -> list:
         by_term = counts.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("lang", "count"))).alias("by"), F.sum("count").alias("total"))
-        return by_term.filter(F.col("total") >= least).orderBy(F.desc("total"), "term").limit(most).collect()
+        return by_term.filter(F.col("total") >= least).collect()
 
-    found = {0: best(words, MIN_WORD, MAX_WORDS)}
-    all_grams = best(grams, 2, MAX_GRAMS)
+    found = {0: known(words, MIN_WORD)}
+    all_grams = known(grams, MIN_GRAM)
     for n in range(1, LONGEST + 1):
         found[n] = [r for r in all_grams if len(r.term) == n]
     langs = sorted({x for rows in found.values() for r in rows for x in r.by})

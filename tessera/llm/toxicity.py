@@ -29,7 +29,6 @@ from ._shared import stored
 from ._text import slices
 
 MAX_LABELLED = 12_000
-MAX_TERMS = 3000
 MIN_DOCS = 3  # toxic documents that have a term
 MIN_LOG_ODDS = 2.0
 THRESHOLD = 0.7
@@ -40,7 +39,7 @@ FEATURES = ["hits", "weight", "strongest", "beginnings", "near", "capitals", "pu
 
 
 def lexicon(part: DataFrame) -> list[tuple[str, float, bool]]:
-    """(term, log odds, whether it is a beginning) from text and toxic; ``MAX_TERMS`` at most."""
+    """(term, log odds, whether it is a beginning) from text and toxic: every term of ``MIN_DOCS`` toxic texts with ``MIN_LOG_ODDS``."""
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: w != ""))
     starts = F.array_union(*[F.transform(F.filter(words, lambda w: F.length(w) >= n), lambda w: F.concat(F.lit("^"), F.substring(w, 1, n))) for n in (4, 5)])
     counts = part.select("toxic", F.explode(F.array_union(words, starts)).alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.count("*").alias("n"))
@@ -49,7 +48,7 @@ def lexicon(part: DataFrame) -> list[tuple[str, float, bool]]:
         return []
     odds = F.log(((F.col("t") + 0.5) / (total["t"] + 1.0)) / ((F.col("n") - F.col("t") + 0.5) / (total["n"] - total["t"] + 1.0)))
     best = counts.filter(F.col("t") >= MIN_DOCS).withColumn("odds", odds).filter(F.col("odds") >= MIN_LOG_ODDS)
-    return [(r.term.removeprefix("^"), r.odds, r.term.startswith("^")) for r in best.orderBy(F.desc(F.col("odds") * F.log(F.col("t") + 1)), "term").limit(MAX_TERMS).collect()]
+    return [(r.term.removeprefix("^"), r.odds, r.term.startswith("^")) for r in best.orderBy("term").collect()]
 
 
 def _lookup(terms: list[tuple[str, float]]) -> tuple[np.ndarray, np.ndarray]:
