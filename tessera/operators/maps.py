@@ -92,10 +92,10 @@ def region_metrics(maps: DataFrame, masks: DataFrame, value: str = "value") -> D
 
 def pixel_rank_correlation(maps: DataFrame, pixels: DataFrame, covariate: str, value: str = "value") -> DataFrame:
     """Spearman correlation of attribution and a pixel covariate per image."""
-    from .windows import average_rank
+    from .windows import average_ranks
 
     j = maps.select("image", "row", "col", F.col(value).alias("x")).join(pixels.select("image", "row", "col", F.col(covariate).alias("y")), ["image", "row", "col"]).filter("x is not null and y is not null")
-    ranked = average_rank(average_rank(j, "x", "rx", ["image"]).drop("n_tied"), "y", "ry", ["image"])
+    ranked = average_ranks(j, {"x": "rx", "y": "ry"}, ["image"])
     return ranked.groupBy("image").agg(F.count("*").alias("n"), F.corr("rx", "ry").alias("spearman"))
 
 

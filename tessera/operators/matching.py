@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
 from .checks import CheckFailed, assert_unique, require_columns
-from .windows import _global_rank
+from .windows import ranked
 
 BLOCK_ROWS = 50_000
 LEVELS = 24  # blocks are 2**level cells wide
@@ -182,8 +182,7 @@ def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str |
     placed = _in_blocks(rows, rule, block_rows)
     cases = placed.filter("is_case").select("id", "value")
     turns = cases.withColumn("candidates", F.lit(0).cast("long")) if rule.order == "value" else cases.join(_counted(placed, rule), "id")
-    buckets = F.struct("candidates", F.floor(F.col("value") / max(rule.caliper, 1e-9)))
-    numbered = _global_rank(turns, [F.col("candidates"), F.col("value"), F.col("id")], "turn", buckets).select("id", "turn")
+    numbered = ranked(turns, [], [F.col("candidates"), F.col("value"), F.col("id")], "turn").select("id", "turn")
     placed = checkpointed(placed.join(numbered.withColumn("is_case", F.lit(True)), ["id", "is_case"], "left"))
     names = {f"g_{i}": c for i, c in enumerate(rule.distance)}
     schema = f"block string, kind string, {PAIRS}, matched boolean, n_controls int, eligible_at_turn int, reason string"

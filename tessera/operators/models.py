@@ -21,7 +21,7 @@ from .windows import hash_order, ranked
 def folds(df: DataFrame, group: str, k: int, seed: object, stratum: str | None = None) -> DataFrame:
     """fold 0 .. k-1 per row: whole groups, dealt in hashed order within each stratum (a group's least label)."""
     units = df.groupBy(group).agg((F.min(stratum) if stratum else F.lit(0)).alias("_s"))
-    h, bucket = hash_order(seed, F.col(group))
+    h, bucket = hash_order(seed, F.col(group), rows=units.count())
     dealt = ranked(units, ["_s"], [h, F.col(group)], "_r", bucket).select(group, ((F.col("_r") - 1) % k).cast("int").alias("fold"))
     return df.join(dealt, group)
 

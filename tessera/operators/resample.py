@@ -1,8 +1,8 @@
 """Bootstrap and permutation with hashed draws: the same seed gives the same draw on any engine and any partitioning.
 
 Units are numbered in the order of ``hash(seed, "unit", unit)``. A replicate's draw for place i is ``hash(seed, rep, i) mod n``; a permutation deals
-the labels, in that order, to the units ordered by ``hash(seed, rep, unit)``. Hashes are even, so numbers come from 1024 buckets of
-them and no window holds a whole group or replicate. Rows are multiplied by the replicates, so reduce to one row per unit first; partial
+the labels, in that order, to the units ordered by ``hash(seed, rep, unit)``. Hashes are even, so numbers come from buckets of
+them, sized by a count of the rows, and no window holds a whole group or replicate. Rows are multiplied by the replicates, so reduce to one row per unit first; partial
 aggregation shrinks replicates on the map side.
 """
 
@@ -34,7 +34,7 @@ def bootstrap_groups(df: DataFrame, group: Sequence[str], unit: str, count: int,
 
 def _numbered(df: DataFrame, group: Sequence[str], unit: str, seed: object) -> DataFrame:
     """Rows with their number _i in the group, from 0, in hashed order of the unit."""
-    h, bucket = hash_order(seed, F.lit("unit"), F.col(unit))
+    h, bucket = hash_order(seed, F.lit("unit"), F.col(unit), rows=df.count())
     return ranked(df, group, [h, F.col(unit)], "_i", bucket).withColumn("_i", F.col("_i") - 1)
 
 
@@ -82,7 +82,7 @@ def max_t(observed: DataFrame, permuted: DataFrame, count: int, metric: Sequence
 def _shuffled(df: DataFrame, unit: str, label: str, count: int, seed: object, block: Sequence[str]) -> DataFrame:
     """(rep, unit, label) with labels dealt anew within each block."""
     named = _numbered(df.select(*block, unit, label), block, unit, seed).withColumn("_i", F.col("_i") + 1)
-    h, bucket = hash_order(seed, F.col("rep"), F.col(unit))
+    h, bucket = hash_order(seed, F.col("rep"), F.col(unit), rows=df.count())  # of one replicate
     placed = ranked(replicates(named.select(*block, unit), count), ["rep", *block], [h, F.col(unit)], "_i", bucket)
     return placed.join(named.select(*block, "_i", label), [*block, "_i"]).select("rep", unit, label)
 

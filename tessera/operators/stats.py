@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from ..sources.shared import checkpointed
 from .checks import CheckFailed, assert_unique
-from .windows import average_rank, running, with_aggregates
+from .windows import average_rank, average_ranks, running, with_aggregates
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -334,7 +333,7 @@ def agreement(df: DataFrame, a: str, b: str, stratum: str | None = None) -> Data
     both = rows.withColumn("stratum", F.lit("all"))
     if stratum:
         both = both.unionByName(rows.filter("stratum is not null"))
-    ranked = average_rank(average_rank(both, "a", "ra", ["stratum"]).drop("n_tied"), "b", "rb", ["stratum"])
+    ranked = average_ranks(both, {"a": "ra", "b": "rb"}, ["stratum"])
     d = F.col("a") - F.col("b")
     concordance = 2 * F.covar_pop("a", "b") / F.nullif(F.var_pop("a") + F.var_pop("b") + (F.avg("a") - F.avg("b")) ** 2, F.lit(0.0))
     return ranked.groupBy("stratum").agg(F.count("*").alias("n"), F.corr("a", "b").alias("pearson"), F.corr("ra", "rb").alias("spearman"), concordance.alias("concordance"), F.avg(F.abs(d)).alias("mean_abs_difference"), F.sqrt(F.avg(d * d)).alias("rms_difference"), F.avg(d).alias("bias"), (F.avg(d) - 1.96 * F.stddev_samp(d)).alias("limit_low"), (F.avg(d) + 1.96 * F.stddev_samp(d)).alias("limit_high"))
@@ -347,8 +346,8 @@ def benjamini_hochberg(df: DataFrame, p: str, key: Sequence[str], family: Sequen
     """Adjusted p values within each family; null and NaN stay null and don't count."""
     good = F.col(p).isNotNull() & ~F.isnan(p)
     tests = df.filter(good)
-    # equal p values have one adjusted value, so distinct ones are enough; they are read several times
-    distinct = checkpointed(tests.groupBy(*family, p).agg(F.count("*").alias("_t")))
+    # equal p values have one adjusted value, so distinct ones are enough
+    distinct = tests.groupBy(*family, p).agg(F.count("*").alias("_t"))
     found = running(distinct, family, p, {"_rank": F.col("_t")})
     found = with_aggregates(found, family, _m=F.sum("_t"))
     found = running(found, family, p, least={"_q": F.col(p) * F.col("_m") / F.col("_rank")})
@@ -364,20 +363,20 @@ def benjamini_hochberg(df: DataFrame, p: str, key: Sequence[str], family: Sequen
 def discrimination(df: DataFrame, label: str, score: str, group: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
     """AUROC, average precision, Brier score and threshold metrics per group.
 
-    Rows meet per distinct score first, so ranks and cumulative counts are windows over distinct scores.
+    Rows meet per distinct score; cumulative counts over distinct scores, and all else, come from these.
     """
-    rows = df.filter(F.col(label).isin(0, 1) & F.col(score).isNotNull())
     part = list(group)
-    y, s = F.col(label), F.col(score)
-    at = rows.groupBy(*part, s.alias("s")).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
-    cum = running(at, part, "s", {"tp": F.col("p"), "fp": F.col("n")}, descending=True)
-    area = (F.col("tp") - F.col("p") / 2.0) * F.col("n")
-    precision = F.col("p") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    curve = cum.groupBy(*part).agg(_safe(F.sum(area), F.sum("p") * F.sum("n")).alias("auroc"), _safe(F.sum(precision), F.sum("p")).alias("average_precision"))
-    up = s >= threshold
-    cells = rows.groupBy(*part).agg(F.count("*").alias("n"), F.count_if(y == 1).alias("n_positive"), F.avg((s - y) ** 2).alias("brier"), F.count_if(up & (y == 1)).alias("tp"), F.count_if(up & (y == 0)).alias("fp"), F.count_if(~up & (y == 0)).alias("tn"), F.count_if(~up & (y == 1)).alias("fn"))
+    y, s = F.col(label), F.col("s")
+    at = df.filter(y.isin(0, 1) & F.col(score).isNotNull()).groupBy(*part, F.col(score).alias("s")).agg(F.count_if(y == 1).alias("p"), F.count_if(y == 0).alias("n"))
     c = F.col
-    out = (curve.join(cells, part) if part else curve.crossJoin(cells)).withColumns({"sensitivity": _safe(c("tp"), c("tp") + c("fn")), "specificity": _safe(c("tn"), c("tn") + c("fp")), "ppv": _safe(c("tp"), c("tp") + c("fp")), "npv": _safe(c("tn"), c("tn") + c("fn"))})
+    total = lambda column, keep=True: F.coalesce(F.sum(F.when(F.lit(keep) if keep is True else keep, c(column))), F.lit(0))
+    up = s >= threshold
+    area, precision = (c("tp") - c("p") / 2.0) * c("n"), c("p") * c("tp") / (c("tp") + c("fp"))
+    out = running(at, part, "s", {"tp": c("p"), "fp": c("n")}, descending=True).groupBy(*part).agg(
+        _safe(F.sum(area), F.sum("p") * F.sum("n")).alias("auroc"), _safe(F.sum(precision), F.sum("p")).alias("average_precision"), (total("p") + total("n")).alias("n_rows"), total("p").alias("n_positive"),
+        _safe(F.sum(c("p") * (s - 1) ** 2 + c("n") * s**2), F.sum(c("p") + c("n"))).alias("brier"), total("p", up).alias("tp"), total("n", up).alias("fp"), total("n", ~up).alias("tn"), total("p", ~up).alias("fn"),
+    ).withColumnRenamed("n_rows", "n")
+    out = out.withColumns({"sensitivity": _safe(c("tp"), c("tp") + c("fn")), "specificity": _safe(c("tn"), c("tn") + c("fp")), "ppv": _safe(c("tp"), c("tp") + c("fp")), "npv": _safe(c("tn"), c("tn") + c("fn"))})
     return out.withColumn("balanced_accuracy", (c("sensitivity") + c("specificity")) / 2)
 
 

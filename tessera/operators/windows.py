@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def pick(df: DataFrame, group: Sequence[str], order: Sequence[Column], k: int = 1, rank: str | None = None) -> DataFrame:
     """The first k rows of each group in the order (Spark limits each group before the shuffle already)."""
@@ -55,33 +57,64 @@ def seeded_pick(df: DataFrame, group: Sequence[str], key: str, seed: object, k:
     return pick(df, group, [F.sha2(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")), 256), F.col(key)], k)
 
 
-def hash_order(seed: object, *parts: Column) -> tuple[Column, Column]:
-    """(48 pseudo-random bits of seed and parts, their first 10 bits: 1024 even buckets in the same order)"""
+def hash_order(seed: object, *parts: Column, rows: int) -> tuple[Column, Column]:
+    """(48 pseudo-random bits of seed and parts, their first bits: even buckets in the same order, of ``SCAN_ROWS`` of ``rows`` rows or so)"""
     h = portable_hash(seed, *parts, bits=48)
-    return h, F.shiftright(h, 38)
+    return h, F.shiftright(h, 48 - max(1, (rows // SCAN_ROWS).bit_length()))
+
+
+#: Rows that one window holds, on average at most. More rows are cut into ranges of the order.
+SCAN_ROWS = 1_000_000
+
 
+def _ranges(df: DataFrame, part: Sequence[str], order: Sequence[Column]) -> DataFrame | None:
+    """The rows with the number of their range (``_range``, ascending in part and order); None where one range is enough."""
+    n = df.count()
+    if n <= SCAN_ROWS:
+        return None
+    # ranges come from a sample of the order's own columns: ties are cut apart where the order goes on after them
+    return written(df.repartitionByRange(-(-n // SCAN_ROWS), *map(F.col, part), *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
-def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column], name: str, buckets: Column) -> DataFrame:
-    """Row numbers from 1 in each part (null is one) without a window over a whole part: numbers inside ordered buckets plus the sizes
-    of those before. ``buckets`` must not decrease in the order; an even cut keeps every window small.
+
+def scan(df: DataFrame, part: Sequence[str], order: Sequence[Column], number: str | None = None, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, buckets: Column | None = None) -> DataFrame:
+    """Row numbers from 1, running sums, and running minima from a row to the end, per part (null is one) in an order that is unique there.
+
+    The rows are written once. Up to ``SCAN_ROWS`` of them are plain windows. More are cut into ranges of part and order by their count; a window holds
+    a range at most, each part and range gives one row of sums, and what the ranges before (or after) hold is added. ``buckets``
+    that do not decrease in the order stand for ranges where they are known beforehand (nothing is written then).
     """
-    rows = df.withColumn("_bucket", buckets)
-    keys = [*part, "_bucket"]
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    # a row for each part and bucket
-    above = Window.partitionBy(*part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    before = sizes.select(*[F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)], F.coalesce(F.sum("_n").over(above), F.lit(0)).alias("_before"))
-    inner = rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_key_{i}")) for i, k in enumerate(keys)])
-    return inner.join(before, same).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_bucket", "_before", *[f"_key_{i}" for i in range(len(keys))])
+    sums, least = sums or {}, least or {}
+    rows = written(df, "scan") if buckets is None else df.withColumn("_range", buckets)
+    cut = _ranges(rows, part, order) if buckets is None else rows
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    inner = Window.partitionBy(*part, *(["_range"] if cut is not None else [])).orderBy(*order)
+    found = {n: F.sum(c).over(inner.rowsBetween(first, 0)) for n, c in sums.items()} | {n: F.min(c).over(inner.rowsBetween(0, last)) for n, c in least.items()}
+    if number:
+        found[number] = F.row_number().over(inner).cast("long")
+        sums = {**sums, number: F.lit(1)}
+    if cut is None:
+        return rows.withColumns(found)
+    keys = [*part, "_range"]
+    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
+    outer = Window.partitionBy(*[names[k] for k in part]).orderBy(names["_range"])  # a row for each part and range
+    own = cut.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(*[F.sum(c).alias(f"_own_{n}") for n, c in sums.items()], *[F.min(c).alias(f"_own_{n}") for n, c in least.items()])
+    own = own.withColumns({f"_own_{n}": F.coalesce(F.sum(f"_own_{n}").over(outer.rowsBetween(first, -1)), F.lit(0)) for n in sums} | {f"_own_{n}": F.min(f"_own_{n}").over(outer.rowsBetween(1, last)) for n in least})
+    both = cut.withColumns(found).join(own, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]))
+    both = both.withColumns({n: F.col(n) + F.col(f"_own_{n}") for n in sums} | {n: F.least(n, f"_own_{n}") for n in least})
+    return both.drop("_range", *names.values(), *[f"_own_{n}" for n in [*sums, *least]])
+
+
+def ranked(df: DataFrame, part: Sequence[str], order: Sequence[Column], name: str, buckets: Column | None = None) -> DataFrame:
+    """Row numbers from 1 in each part."""
+    return scan(df, part, order, number=name, buckets=buckets)
 
 
 def balanced_sample(df: DataFrame, label: str, key: str, seed: object) -> DataFrame:
     """As many rows of each class as the smallest class has, in seeded order."""
     known = df.filter(F.col(label).isNotNull())
     least = known.groupBy(label).count().agg(F.min("count").alias("_least"))
-    order = portable_hash(seed, F.col(key))
-    rows = ranked(known, [label], [order, F.col(key)], "_rank", F.shiftright(order, 22))
+    order, bucket = hash_order(seed, F.col(key), rows=known.count())
+    rows = ranked(known, [label], [order, F.col(key)], "_rank", bucket)
     return rows.crossJoin(F.broadcast(least)).filter("_rank <= _least").drop("_rank", "_least")
 
 
@@ -89,40 +122,14 @@ def group_mean(df: DataFrame, group: Sequence[str], value: str, name: str) -> Da
     return with_aggregates(df, group, **{name: F.avg(value)})
 
 
-def _global_rank(df: DataFrame, order: Sequence[Column], name: str, buckets: Column) -> DataFrame:
-    """Row numbers over all rows."""
-    return ranked(df, [], order, name, buckets)
-
-
-def _buckets(df: DataFrame, value: str, parts: int = 64) -> Column:
-    """Ordered buckets of a number by its approximate quantiles (some dozen numbers on the driver)."""
-    cuts = [c for c in df.approxQuantile(value, [i / parts for i in range(1, parts)], 0.01)]
-    return F.size(F.filter(F.array(*[F.lit(float(c)) for c in sorted(set(cuts))]), lambda c: c < F.col(value))) if cuts else F.lit(0)
-
-
 def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
     """Row numbers from 1 over all rows in the order of a number (unique, or ties in any order)."""
-    return ranked(df, [], [F.col(column)], name, _buckets(df, column))
+    return ranked(df, [], [F.col(column)], name)
 
 
 def running(df: DataFrame, part: Sequence[str], value: str, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, descending: bool = False) -> DataFrame:
-    """Running sums (in the order of ``value``, ties by row) and running minima from there to the end, per part, without a window over a whole part.
-
-    Inside buckets of the value, rows are windows; what other buckets hold is one row for each part and bucket. Distinct values
-    per part make the result independent of ties.
-    """
-    sums, least = sums or {}, least or {}
-    rows = df.withColumn("_bucket", _buckets(df, value))
-    keys, turn = [*part, "_bucket"], F.desc if descending else F.asc
-    names = {k: f"_key_{i}" for i, k in enumerate(keys)}
-    first, last = Window.unboundedPreceding, Window.unboundedFollowing
-    inner, outer = Window.partitionBy(*keys).orderBy(turn(value)), Window.partitionBy(*[names[k] for k in part]).orderBy(turn(names["_bucket"]))
-    own = rows.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(*[F.sum(c).alias(f"_own_{n}") for n, c in sums.items()], *[F.min(c).alias(f"_own_{n}") for n, c in least.items()])
-    own = own.withColumns({f"_own_{n}": F.coalesce(F.sum(f"_own_{n}").over(outer.rowsBetween(first, -1)), F.lit(0)) for n in sums} | {f"_own_{n}": F.min(f"_own_{n}").over(outer.rowsBetween(1, last)) for n in least})
-    rows = rows.withColumns({n: F.sum(c).over(inner.rowsBetween(first, 0)) for n, c in sums.items()} | {n: F.min(c).over(inner.rowsBetween(0, last)) for n, c in least.items()})
-    both = rows.join(own, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]))
-    both = both.withColumns({n: F.col(n) + F.col(f"_own_{n}") for n in sums} | {n: F.least(n, f"_own_{n}") for n in least})
-    return both.drop("_bucket", *names.values(), *[f"_own_{n}" for n in [*sums, *least]])
+    """Running sums (in the order of ``value``) and running minima from there to the end, per part; values are distinct in a part."""
+    return scan(df, part, [F.desc(value) if descending else F.asc(value)], sums=sums, least=least)
 
 
 def tails(df: DataFrame, value: str, key: str, fraction: float, label: str = "tail") -> DataFrame:
@@ -134,8 +141,8 @@ def tails(df: DataFrame, value: str, key: str, fraction: float, label: str = "ta
     if n < 4:
         raise ValueError("at least 4 rows are needed")
     size = min(max(1, -int(-n * fraction // 1)), n // 2)
-    ranked = _global_rank(rows, [F.col(value), F.col(key)], "_rank", _buckets(rows, value))
-    return ranked.withColumn(label, F.when(F.col("_rank") <= size, "bottom").when(F.col("_rank") > n - size, "top")).filter(F.col(label).isNotNull()).drop("_rank")
+    placed = ranked(rows, [], [F.col(value), F.col(key)], "_rank")
+    return placed.withColumn(label, F.when(F.col("_rank") <= size, "bottom").when(F.col("_rank") > n - size, "top")).filter(F.col(label).isNotNull()).drop("_rank")
 
 
 def quantile_extremes(df: DataFrame, group: str, value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
@@ -146,19 +153,29 @@ def quantile_extremes(df: DataFrame, group: str, value: str, low: float = 0.1, h
 
 
 def evenly_spaced(df: DataFrame, group: Sequence[str], order: Sequence[str], k: int) -> DataFrame:
-    """Rows at k evenly spaced ranks of each group (all rows of groups with k or fewer)."""
-    part = Window.partitionBy(*group)
-    ranked = df.withColumns({"_r": F.row_number().over(part.orderBy(*order)) - 1, "_n": F.count("*").over(part)})
-    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (F.col("_n") - 1) / F.lit(max(k - 1, 1))).cast("int"))
-    return ranked.filter((F.col("_n") <= k) | F.array_contains(wanted, F.col("_r"))).drop("_r", "_n")
+    """Rows at k evenly spaced ranks of each group (all rows of groups with k or fewer); the order is unique in a group."""
+    placed = with_aggregates(ranked(df, group, [F.col(c) for c in order], "_r"), group, _n=F.count("*"))
+    wanted = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.rint(i * (F.col("_n") - 1) / F.lit(max(k - 1, 1))).cast("long"))
+    return placed.filter((F.col("_n") <= k) | F.array_contains(wanted, F.col("_r") - 1)).drop("_r", "_n")
+
+
+def average_ranks(df: DataFrame, names: dict[str, str], group: Sequence[str] = (), tied: str | None = None) -> DataFrame:
+    """Ranks from 1 with ties sharing their mean, of several columns (column: name of its rank) for rows that have all of them.
+
+    The rows are written once; ranks come from counts per distinct value, so ties and large groups stay cheap. ``tied``: rows with the last column's value.
+    """
+    rows = written(df.filter(reduce(lambda x, y: x & y, [F.col(v).isNotNull() for v in names])), "ranked")
+    out = rows
+    for value, name in names.items():
+        counts = running(rows.groupBy(*group, value).agg(F.count("*").alias("_t")), group, value, {"_b": F.col("_t")})
+        ranks = counts.select(*group, value, (F.col("_b") - (F.col("_t") - 1) / 2).alias(name), *([F.col("_t").alias(tied)] if tied and value == [*names][-1] else []))
+        out = out.join(ranks, [*group, value])
+    return out
 
 
 def average_rank(df: DataFrame, value: str, name: str, group: Sequence[str] = ()) -> DataFrame:
-    """Ranks from 1 with ties sharing their mean; ranks come from counts per distinct value, so ties and large groups stay cheap."""
-    rows = df.filter(F.col(value).isNotNull())
-    counts = running(rows.groupBy(*group, value).agg(F.count("*").alias("_t")), group, value, {"_b": F.col("_t")})
-    ranks = counts.select(*group, value, (F.col("_b") - (F.col("_t") - 1) / 2).alias(name), F.col("_t").alias("n_tied"))
-    return rows.join(ranks, [*group, value])
+    """``average_ranks`` of one column, with n_tied."""
+    return average_ranks(df, {value: name}, group, "n_tied")
 
 
 def running_min_from_end(df: DataFrame, family: Sequence[str], order: str, value: str, name: str) -> DataFrame:
@@ -167,11 +184,19 @@ def running_min_from_end(df: DataFrame, family: Sequence[str], order: str, value
 
 
 def contiguous(df: DataFrame, group: Sequence[str], start: str, stop: str) -> DataFrame:
-    """Per group: intervals, whether the first starts at 0 and each follows the one before, the end reached without a gap."""
-    w = Window.partitionBy(*group).orderBy(start)
-    step = df.withColumn("_ok", F.col(start) == F.coalesce(F.lag(stop).over(w), F.lit(0)))
-    sofar = F.min(F.col("_ok").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return step.withColumn("_so", sofar).groupBy(*group).agg(F.count("*").alias("n_intervals"), F.every("_ok").alias("contiguous"), F.coalesce(F.max(F.when(F.col("_so") == 1, F.col(stop))), F.lit(0)).alias("covered_to"))
+    """Per group: intervals, whether the first starts at 0 and each follows the one before, the end reached without a gap.
+
+    Each start is joined to an end in the same place, so there is no window over a group. A group is covered up to the first start other than 0 that is no end, or that
+    several intervals have.
+    """
+    keys = {g: f"_g{i}" for i, g in enumerate(group)}
+    starts = df.groupBy(*group, F.col(start).alias("_start")).agg(F.count("*").alias("_n"), F.max(stop).alias("_stop"))
+    ends = df.select(*[F.col(g).alias(k) for g, k in keys.items()], F.col(stop).alias("_end")).distinct()
+    joined = starts.join(ends, reduce(lambda x, y: x & y, [F.col(g).eqNullSafe(F.col(k)) for g, k in keys.items()], F.col("_start") == F.col("_end")), "left")
+    odd = F.when((F.col("_n") > 1) | ((F.col("_start") != 0) & F.col("_end").isNull()), F.col("_start"))
+    gaps = with_aggregates(joined.withColumn("_odd", odd).drop(*keys.values()), group, _gap=F.min("_odd"))
+    covered = F.max(F.when(F.col("_gap").isNull() | (F.col("_start") < F.col("_gap")), F.col("_stop")))
+    return gaps.groupBy(*group).agg(F.sum("_n").alias("n_intervals"), (F.min("_start").eqNullSafe(0) & F.max("_gap").isNull()).alias("contiguous"), F.coalesce(F.when(F.min("_start") == 0, covered), F.lit(0)).alias("covered_to"))
 
 
 def top_by(df: DataFrame, columns: Sequence[str], n: int, *tie: str) -> DataFrame:
@@ -192,9 +217,9 @@ def top_k_jaccard(heads: DataFrame, model: str, position: str, coefficient: str,
 
 
 def fixed_batches(df: DataFrame, source: Sequence[str], order: Sequence[str], size: int, name: str = "batch_index") -> DataFrame:
-    """Batches of ``size`` rows, stable inside each source."""
-    w = Window.partitionBy(*source).orderBy(*order)
-    return df.withColumn(name, F.floor((F.row_number().over(w) - 1) / size).cast("long"))
+    """Batches of ``size`` rows, stable inside each source; the order is unique there."""
+    placed = ranked(df, source, [F.col(c) for c in order], name)
+    return placed.withColumn(name, F.floor((F.col(name) - 1) / size).cast("long"))
 
 
 def batch_intervals(total: int, size: int) -> list[tuple[int, int]]:

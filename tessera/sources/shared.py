@@ -31,6 +31,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Rows written as Parquet in the shared folder once and read from there, with their columns and sizes; the files go when the application ends."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder at which nothing is yet; what comes there goes when the application ends."""
     path = f"{use_shared_folder(spark)}/{name}-{uuid.uuid4().hex}"

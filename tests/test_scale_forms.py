@@ -18,19 +18,36 @@ def grouped(seed, n=120):
     return [(i, r.choice(["a", "b", None]), float(r.randint(0, 15)), r.uniform(-1, 1)) for i in range(n)]
 
 
-def test_ranks_in_buckets(spark):
+@pytest.fixture(params=[7, 10**6])
+def window_rows(request, monkeypatch):
+    """Most rows of a window: few, so that many ranges are needed, or all."""
+    monkeypatch.setattr(windows, "SCAN_ROWS", request.param)
+    return request.param
+
+
+def test_ranks_in_ranges(spark, window_rows):
     rows = grouped(1)
     df = spark.createDataFrame(rows, "id int, g string, v double, w double").repartition(5)
-    got = {r.id: r.k for r in windows.ranked(df, ["g"], [F.col("v"), F.col("id")], "k", F.floor(F.col("v") / 4)).collect()}
+    got = {r.id: r.k for r in windows.ranked(df, ["g"], [F.col("v"), F.col("id")], "k").collect()}
+    known = {r.id: r.k for r in windows.ranked(df, ["g"], [F.col("v"), F.col("id")], "k", F.floor(F.col("v") / 4)).collect()}
     for g in ("a", "b", None):
         own = sorted((r[2], r[0]) for r in rows if r[1] == g)
-        assert [got[i] for _, i in own] == list(range(1, len(own) + 1))
+        assert [got[i] for _, i in own] == [known[i] for _, i in own] == list(range(1, len(own) + 1))
     whole = {r.id: r.k for r in windows.numbered(df, "id", "k").collect()}
     assert whole == {i: i + 1 for i in range(len(rows))}
 
 
+def test_no_window_holds_more_than_a_range(spark, monkeypatch):
+    monkeypatch.setattr(windows, "SCAN_ROWS", 50)
+    df = spark.range(4000).selectExpr("id", "cast(1 as int) as tied")  # one value: ties are cut apart by the key
+    sizes = [r["count"] for r in windows._ranges(df, [], [F.col("tied"), F.col("id")]).groupBy("_range").count().collect()]
+    assert len(sizes) > 60 and max(sizes) <= 150
+    found = windows.tails(df.withColumn("v", F.col("tied").cast("double")), "v", "id", 0.1).groupBy("tail").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count("*").alias("n")).collect()
+    assert {(r.tail, r.a, r.b, r.n) for r in found} == {("bottom", 0, 399, 400), ("top", 3600, 3999, 400)}
+
+
 @pytest.mark.parametrize("descending", [False, True])
-def test_running_sums_and_minima(spark, descending):
+def test_running_sums_and_minima(spark, descending, window_rows):
     rows = list({(r[1], r[2]): r for r in grouped(2)}.values())  # distinct values in each group
     df = spark.createDataFrame(rows, "id int, g string, v double, w double").repartition(3)
     got = {r.id: (r.total, r.low) for r in windows.running(df, ["g"], "v", {"total": F.col("id")}, {"low": F.col("w")}, descending).collect()}
@@ -40,6 +57,23 @@ def test_running_sums_and_minima(spark, descending):
         assert got[i] == (sum(r[0] for r in before), min(r[3] for r in after))
 
 
+def test_batches_and_spaced_ranks_in_ranges(spark, window_rows):
+    rows = [(i, "ab"[i % 3 == 0]) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, g string").repartition(4)
+    batches = {r.id: r.batch_index for r in windows.fixed_batches(df, ["g"], ["id"], 7).collect()}
+    spaced = {(r.g, r.id) for r in windows.evenly_spaced(df, ["g"], ["id"], 4).collect()}
+    for g in "ab":
+        own = [i for i, x in rows if x == g]
+        assert [batches[i] for i in own] == [k // 7 for k in range(len(own))]
+        assert {i for x, i in spaced if x == g} == {own[round(k * (len(own) - 1) / 3)] for k in range(4)}
+
+
+def test_contiguous_intervals(spark):
+    rows = [("whole", 0, 4), ("whole", 4, 9), ("whole", 9, 11), ("gap", 0, 4), ("gap", 5, 9), ("late", 2, 4), ("twice", 0, 4), ("twice", 4, 6), ("twice", 4, 8), ("over", 0, 5), ("over", 3, 5), ("over", 5, 8), (None, 0, 3)]
+    got = {r.g: (r.n_intervals, r.contiguous, r.covered_to) for r in windows.contiguous(spark.createDataFrame(rows, "g string, a int, b int"), ["g"], "a", "b").collect()}
+    assert got == {"whole": (3, True, 11), "gap": (2, False, 4), "late": (1, False, 0), "twice": (3, False, 4), "over": (3, False, 5), None: (1, True, 3)}
+
+
 def test_group_aggregates_on_rows(spark):
     rows = grouped(3, 40)
     df = spark.createDataFrame(rows, "id int, g string, v double, w double")
