@@ -10,8 +10,12 @@ are left. The sequential answer is reached without a task that holds a whole str
   sequential answer: in the order of turns, each case saw what all cases before it took.
 
 A change only runs on as far as matches depend on each other, so few blocks go again where controls are plenty; in the worst case (every case
-hangs on the one before) rounds are as many as blocks. A control person with rows at several values is one person in all blocks. The least a task
-holds are the rows of a few caliper widths of one stratum.
+hangs on the one before) rounds are as many as blocks. A control person with rows at several values is one person in all blocks.
+
+A block can't be narrower than two calipers. Strata in which that alone is more than ``dense_rows`` rows are matched by rounds of proposals instead
+(``proposals``), whose groups are bounded whatever the caliper holds; that form covers rules of the value distance alone that take one control, or
+up to ``ratio``. What it doesn't cover (all or none of several controls, covariate distances, several rows of a person, a column that has to
+agree where it is known) goes through blocks at any density.
 """
 
 from __future__ import annotations
@@ -25,9 +29,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed
+from ..sources.shared import checkpointed, written
 from .checks import CheckFailed, assert_unique, require_columns
-from .windows import ranked
+from .proposals import Line, pairs as proposed_pairs, reachable
+from .windows import ranked, with_aggregates
 
 BLOCK_ROWS = 50_000
 LEVELS = 24  # blocks are 2**level cells wide
@@ -41,7 +46,8 @@ class Rule:
     order: "difficulty" (fewest candidates first) or "value". whole: a case takes ``ratio`` controls or none,
     else up to ``ratio``. null_matches: a null exact value matches null, else nothing.
     distance: columns of a Gower distance that goes before the value distance (numeric ones by range). lowest: a case takes the lowest
-    values inside the caliper instead of the nearest.
+    values inside the caliper instead of the nearest. agree: a column in which a case that knows its own value takes only equal controls, as long as any
+    control that is left in the stratum knows its value; a case that doesn't know it takes any.
     """
 
     ratio: int = 1
@@ -53,6 +59,12 @@ class Rule:
     distance: tuple[str, ...] = ()
     numeric: tuple[str, ...] = field(default=())
     lowest: bool = False
+    agree: str | None = None
+
+    @property
+    def by_value(self) -> bool:
+        """Whether what a case takes depends on values and on what is left alone."""
+        return not self.distance and not self.agree
 
     def __post_init__(self):
         if self.ratio < 1 or self.caliper < 0 or self.order not in ("difficulty", "value"):
@@ -87,20 +99,77 @@ def _nearby(values: np.ndarray, x: float, caliper: float) -> np.ndarray:
     return near[np.abs(values[near] - x) <= caliper]
 
 
-def _solve(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
-    """Turns of the cases of one block: columns id, value, is_case, unknown, turn, tie, taken (turn at which others took a control) and the distance columns."""
+def _audit(case: str, x: float, taken: int, eligible: int, rule: Rule) -> tuple:
+    reason = None if taken == rule.ratio else "partial_ratio" if taken else "too_few_controls"
+    return case, x, bool(taken), taken, eligible, reason
+
+
+def _solve_line(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
+    """``_solve`` where controls are distinct people and only values count: n log n."""
+    pool = frame[~frame.is_case].sort_values(["value", "id"])
+    values, ids = pool.value.to_numpy(float), pool.id.tolist()
+    line, n = Line(values, ids), len(ids)
+    tree = np.bitwise_and(np.arange(n + 1), -np.arange(n + 1)).tolist()  # sums of ones, as in a Fenwick tree
+
+    def kill(i: int) -> None:
+        if line.kill(i):
+            i += 1
+            while i <= n:
+                tree[i] -= 1
+                i += i & -i
+
+    def left_before(i: int) -> int:
+        total = 0
+        while i:
+            total += tree[i]
+            i -= i & -i
+        return total
+
+    late = pool.taken.fillna(np.inf).to_numpy(float)
+    dying, dead = [i for i in np.argsort(late, kind="stable").tolist() if late[i] < np.inf], 0
+    pairs, audit = [], []
     cases = frame[frame.is_case].sort_values(["turn", "id"])
+    for case, x, turn, unknown in zip(cases.id.tolist(), cases.value.tolist(), cases.turn.tolist(), cases.unknown.tolist(), strict=True):
+        while dead < len(dying) and late[dying[dead]] <= turn:
+            kill(dying[dead])
+            dead += 1
+        near = _nearby(values, x, rule.caliper) if rule.null_matches or not unknown else []
+        first, stop = (int(near[0]), int(near[-1]) + 1) if len(near) else (0, 0)
+        eligible = left_before(stop) - left_before(first)
+        take = min(rule.ratio, eligible) if eligible >= (rule.ratio if rule.whole else 1) else 0
+        for rank in range(1, take + 1):
+            if rule.lowest:
+                i = line.next(first)
+            else:
+                low, high = line.below(x), line.above(x)
+                far = [(abs(values[k] - x), ids[k], k) for k in (low, high) if first <= k < stop]
+                i = min(far)[2]
+            pairs.append((case, ids[i], rank, turn, x, float(values[i]), float(abs(values[i] - x)), 0.0))
+            kill(i)
+        audit.append(_audit(case, x, take, eligible, rule))
+    return pairs, audit
+
+
+def _solve(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
+    """Turns of the cases of one block: columns id, value, is_case, unknown, turn, tie, taken (turn at which others took a control), agree and
+    loose (the turn after which it is not asked for), and the distance columns."""
     pool = frame[~frame.is_case].sort_values(["value", "id", "tie"]).reset_index(drop=True)
+    if rule.by_value and pool.id.is_unique:
+        return _solve_line(frame, rule)
+    cases = frame[frame.is_case].sort_values(["turn", "id"])
     values, names = pool.value.to_numpy(float), pool.id.to_numpy()
     person = np.unique(names.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
     tie = np.unique(pool.tie.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
     gone = np.full(person.max() + 1 if len(pool) else 0, np.inf)
     np.minimum.at(gone, person, pool.taken.fillna(np.inf).to_numpy(float))
+    agree = pool.agree.to_numpy(object)
     pairs, audit = [], []
     for case in cases.to_dict("records"):
         x = case["value"]
         near = _nearby(values, x, rule.caliper) if rule.null_matches or not case["unknown"] else np.zeros(0, int)
         near = near[gone[person[near]] > case["turn"]]
+        if rule.agree and pd.notna(case["agree"]) and not case["turn"] > case["loose"]:
+            near = near[agree[near] == case["agree"]]
         d = np.abs(values[near] - x)
         g = gower(case, pool.iloc[near], rule.distance, rule.numeric).to_numpy() if rule.distance and len(near) else np.zeros(len(near))
         # the lowest value first or the nearest
@@ -115,14 +184,13 @@ def _solve(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
             pairs.append((case["id"], names[k], rank, case["turn"], x, float(values[k]), dk, gk))
         taken = min(take, len(near))
         gone[person[near[:take]]] = -1
-        reason = None if taken == rule.ratio else "partial_ratio" if taken else "too_few_controls"
-        audit.append((case["id"], x, bool(taken), taken, len(near), reason))
+        audit.append(_audit(case["id"], x, taken, len(near), rule))
     return pairs, audit
 
 
 def _frame(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str | None) -> DataFrame:
     """Usable rows: id, value, is_case, tie, exact key, distance columns."""
-    require_columns(df, [who, value, case, *rule.exact, *rule.distance], "matching table")
+    require_columns(df, [who, value, case, *rule.exact, *rule.distance, *([rule.agree] if rule.agree else [])], "matching table")
     parts = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in rule.exact]
     rows = df.select(
         F.col(who).cast("string").alias("id"),
@@ -131,6 +199,7 @@ def _frame(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str
         (F.col(tie).cast("string") if tie else F.lit("")).alias("tie"),
         F.concat_ws("\1", *parts).alias("stratum") if parts else F.lit("").alias("stratum"),
         *([F.exists(F.array(*[F.col(c).isNull() for c in rule.exact]), lambda x: x).alias("unknown")] if parts else [F.lit(False).alias("unknown")]),
+        (F.upper(F.trim(F.col(rule.agree).cast("string"))) if rule.agree else F.lit(None).cast("string")).alias("agree"),
         *[F.col(c).alias(f"g_{i}") for i, c in enumerate(rule.distance)],
     )
     return rows.filter(F.col("id").isNotNull() & F.col("value").isNotNull() & F.col("is_case").isNotNull())
@@ -168,22 +237,73 @@ def _counted(placed: DataFrame, rule: Rule) -> DataFrame:
     return placed.select("block", "id", "value", "is_case", "unknown").groupBy("block").applyInPandas(count, "id string, candidates long")
 
 
-def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str | None = None, unique: bool = True, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str | None = None, unique: bool = True, block_rows: int = BLOCK_ROWS, dense_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
     """(pairs, audit); ``case`` is 1 for cases and 0 for controls.
 
     With ``unique`` each person has one row; else a control person may have several (visits, told apart by ``tie``) and serves once, at
-    the nearest. ``priority`` in pairs is the turn over all cases, from 1.
+    the nearest. ``priority`` in pairs is the turn over all cases, from 1. eligible_at_turn is null in strata that went through proposals.
     """
     if unique:
         assert_unique(df, [who], "matching table")
     rows = _frame(df, who, value, case, rule, tie)
     if not rule.null_matches:
         rows = rows.filter(F.col("is_case") | ~F.col("unknown"))
-    placed = _in_blocks(rows, rule, block_rows)
+    dense = _dense(rows, rule, dense_rows) if unique and rule.by_value and not rule.lowest and (rule.ratio == 1 or not rule.whole) else []
+    crowded = F.col("stratum").isin(dense) if dense else F.lit(False)
+    light = rows.filter(~crowded)
+    placed = _in_blocks(light, rule, block_rows)
     cases = placed.filter("is_case").select("id", "value")
     turns = cases.withColumn("candidates", F.lit(0).cast("long")) if rule.order == "value" else cases.join(_counted(placed, rule), "id")
+    heavy = written(rows.filter(crowded).select("stratum", "id", "value", "is_case", "unknown"), "dense") if dense else None
+    if heavy is not None:
+        able = heavy.filter(~F.col("is_case") | ~F.col("unknown") | F.lit(rule.null_matches))
+        more = heavy.filter("is_case").select("id", "value")
+        counts = None if rule.order == "value" else reachable(able, rule.caliper, block_rows)
+        turns = turns.unionByName(more.withColumn("candidates", F.lit(0).cast("long")) if counts is None else more.join(counts, "id", "left").select("id", "value", F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates")))
     numbered = ranked(turns, [], [F.col("candidates"), F.col("value"), F.col("id")], "turn").select("id", "turn")
-    placed = checkpointed(placed.join(numbered.withColumn("is_case", F.lit(True)), ["id", "is_case"], "left"))
+    if heavy is not None:
+        numbered = written(numbered, "turns")
+    found = _by_blocks(light, placed, numbered, rule)
+    pairs = found.filter("kind = 'pair'").select(*[c.split()[0] for c in PAIRS.split(", ")])
+    audit = found.filter("kind = 'audit'").select("case_id", "case_value", "matched", "n_controls", "eligible_at_turn", "reason")
+    if heavy is not None:
+        more = written(proposed_pairs(able, numbered, rule.ratio, rule.caliper, block_rows).withColumn("covariate_distance", F.lit(0.0)), "pairs")
+        taken = more.groupBy(F.col("case_id").alias("id")).agg(F.count("*").cast("int").alias("n"))
+        judged = heavy.filter("is_case").join(taken, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+        reason = F.when(F.col("n") == rule.ratio, F.lit(None)).when(F.col("n") > 0, "partial_ratio").otherwise("too_few_controls")
+        pairs = pairs.unionByName(more)
+        audit = audit.unionByName(judged.select(F.col("id").alias("case_id"), F.col("value").alias("case_value"), (F.col("n") > 0).alias("matched"), F.col("n").alias("n_controls"), F.lit(None).cast("int").alias("eligible_at_turn"), reason.alias("reason")))
+    return pairs, audit
+
+
+def _dense(rows: DataFrame, rule: Rule, dense_rows: int) -> list[str]:
+    """Strata of which two calipers alone hold more than ``dense_rows`` rows; there is one for that many rows at most."""
+    cells = rows.groupBy("stratum", _cell(F.col("value"), rule).alias("cell")).agg(F.count("*").alias("n"), F.count_if("is_case").alias("c"))
+    return [r.stratum for r in cells.filter((F.col("n") > dense_rows) & (F.col("c") > 0)).select("stratum").distinct().collect()]
+
+
+def _by_blocks(light: DataFrame, placed: DataFrame, numbered: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of kind pair and audit, after rounds of the blocks until no control changes hands between them."""
+    placed = placed.join(numbered.withColumn("is_case", F.lit(True)), ["id", "is_case"], "left").withColumn("loose", F.lit(float("inf")))
+    placed = checkpointed(placed)
+    done = _settled(placed, rule)
+    if not rule.agree:
+        return done
+    # where all controls that know the column are taken, cases after the last of these turns take any: the turns up to it stay as they are
+    known = light.filter("not is_case and agree is not null").select("stratum", "id")
+    taken = done.filter("kind = 'pair'").select(F.col("control_id").alias("id"), F.col("priority").alias("at"))
+    over = known.join(taken, "id", "left").groupBy("stratum").agg(F.count_if(F.col("at").isNull()).alias("left"), F.max("at").cast("double").alias("last")).filter("left = 0")
+    # without a control that knows it, it is never asked for
+    strata = light.select("stratum").distinct().join(known.select("stratum").distinct(), "stratum", "left_anti").select("stratum", F.lit(-1.0).alias("last"))
+    over = checkpointed(over.select("stratum", "last").unionByName(strata))
+    if not over.limit(1).count():
+        return done
+    changed = checkpointed(placed.drop("loose").join(over, "stratum").withColumnRenamed("last", "loose").select(placed.columns))
+    again = _settled(changed, rule)
+    return done.join(changed.select("block").distinct(), "block", "left_anti").unionByName(again)
+
+
+def _settled(placed: DataFrame, rule: Rule) -> DataFrame:
     names = {f"g_{i}": c for i, c in enumerate(rule.distance)}
     schema = f"block string, kind string, {PAIRS}, matched boolean, n_controls int, eligible_at_turn int, reason string"
     columns = [c.split()[0] for c in schema.split(", ")]
@@ -198,27 +318,28 @@ def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str |
         return frame.groupBy("block").applyInPandas(solve, schema)
 
     done = checkpointed(turns_of(placed.withColumn("taken", F.lit(None).cast("long"))))
+    # controls that several blocks see: what other blocks take matters for these alone
+    shared = checkpointed(placed.filter("not is_case").select("id", "block").distinct().groupBy("id").agg(F.collect_set("block").alias("blocks")).filter(F.size("blocks") > 1).select("id", F.explode("blocks").alias("block")))
+    if not shared.limit(1).count():
+        return done
     moved = done.filter("kind = 'pair'").select(F.col("control_id").alias("id"), F.col("block").alias("by")).distinct()
-    people = placed.filter("not is_case").select("id", "block").distinct()
     for _ in range(ROUNDS):
-        again = checkpointed(people.join(moved, "id").filter("block != by").select("block").distinct())
+        again = checkpointed(shared.join(moved, "id").filter("block != by").select("block").distinct())
         if not again.limit(1).count():
             break
         # of each control the turns at which other blocks took it: a few blocks can reach a person
         takers = done.filter("kind = 'pair'").groupBy("control_id", F.col("block").alias("by")).agg(F.min("priority").alias("at")).groupBy(F.col("control_id").alias("id")).agg(F.collect_list(F.struct("by", "at")).alias("takers"))
         frame = placed.join(again, "block", "left_semi").join(takers, "id", "left")
         others = F.transform(F.filter("takers", lambda t: t["by"] != F.col("block")), lambda t: t["at"])
-        new = checkpointed(turns_of(frame.withColumn("taken", F.when(~F.col("is_case"), F.array_min(others))).drop("takers")))
+        new = turns_of(frame.withColumn("taken", F.when(~F.col("is_case"), F.array_min(others))).drop("takers"))
+        old = done
+        done = checkpointed(done.join(again, "block", "left_anti").unionByName(new))
         pair = ["case_id", "control_id", F.col("block").alias("by")]
-        old = done.join(again, "block", "left_semi")
-        before, after = (x.filter("kind = 'pair'").select(*pair) for x in (old, new))
+        before, after = (x.join(again, "block", "left_semi").filter("kind = 'pair'").select(*pair) for x in (old, done))
         moved = before.exceptAll(after).unionByName(after.exceptAll(before)).select(F.col("control_id").alias("id"), "by").distinct()
-        done = checkpointed(done.join(again, "block", "left_anti").unionByName(new))
     else:
         raise CheckFailed(f"no end after {ROUNDS} rounds")
-    pairs = done.filter("kind = 'pair'").select(*[c.split()[0] for c in PAIRS.split(", ")])
-    audit = done.filter("kind = 'audit'").select("case_id", "case_value", "matched", "n_controls", "eligible_at_turn", "reason")
-    return pairs, audit
+    return done
 
 
 def match_rounds(df: DataFrame, who: str, value: str, case: str, rule: Rule, block_rows: int = 500) -> DataFrame:
@@ -244,22 +365,18 @@ def match_groups(df: DataFrame, who: str, value: str, group: str, targets: Seque
 
 
 def match_extremes(df: DataFrame, who: str, value: str, gap: str, cohort: str, sex: str, fraction: float, rule: Rule) -> DataFrame:
-    """Pairs (with the cohort) of the highest with the lowest ``fraction`` of ``gap`` inside each cohort; sex must agree where it is well enough known.
+    """Pairs (with the cohort) of the highest with the lowest ``fraction`` of ``gap`` inside each cohort, in turns by value and id.
 
-    One matching for each cohort: their names, few, are on the driver.
+    A case that knows its sex takes a control of the same sex, as long as any control that is left in the cohort knows its own; other cases take anyone.
+    All cohorts are matched at once. Ends are those of ``windows.tails`` in each cohort; cohorts of under 4 rows have none.
     """
-    from .stats import covariate_available
-    from .windows import tails
-
-    out = None
-    for row in df.select(cohort).filter(F.col(cohort).isNotNull()).distinct().orderBy(cohort).collect():
-        ends = tails(df.filter(F.col(cohort) == row[0]), gap, who, fraction, "_tail").withColumn("_case", (F.col("_tail") == "top").cast("int"))
-        known = covariate_available(ends, "_case", sex)
-        pairs = match(ends, who, value, "_case", replace(rule, exact=(*rule.exact, sex) if known else rule.exact))[0].withColumn(cohort, F.lit(row[0]))
-        out = pairs if out is None else out.unionByName(pairs)
-    if out is None:
-        raise CheckFailed(f"no {cohort}")
-    return out
+    rows = df.filter(F.col(gap).isNotNull() & ~F.isnan(gap) & (F.abs(F.col(gap)) < float("inf")) & F.col(cohort).isNotNull())
+    placed = with_aggregates(ranked(rows, [cohort], [F.col(gap), F.col(who)], "_rank"), [cohort], _n=F.count("*"))
+    size = F.least(F.greatest(F.lit(1), F.ceil(F.col("_n") * fraction)), F.floor(F.col("_n") / 2))
+    ends = placed.filter("_n >= 4").withColumn("_case", F.when(F.col("_rank") > F.col("_n") - size, 1).when(F.col("_rank") <= size, 0)).filter("_case is not null").drop("_rank", "_n")
+    turns = replace(rule, order="value", exact=(*rule.exact, cohort), agree=sex)
+    pairs = match(ends, who, value, "_case", turns)[0]
+    return pairs.join(ends.filter("_case = 1").select(F.col(who).cast("string").alias("case_id"), cohort), "case_id")
 
 
 def gower_column(pairs: dict[str, tuple[Column, Column]], spread: dict[str, Column]) -> Column:

@@ -341,14 +341,25 @@ def extremes(spark, d):
     return cust.select(F.col("c_custkey").cast("string").alias("who"), cohort.alias("cohort"), (F.col("c_acctbal") / 100).alias("age"), (F.col("c_custkey") * 7919 % 1000).alias("gap"), sex.alias("sex"))
 
 
-def _extreme_sql(cohort: int) -> str:
-    own = f"select cast(c_custkey as varchar) as who, c_acctbal / 100 as age, c_custkey * 7919 % 1000 as gap, {'c_mktsegment' if cohort != 1 else 'null'} as sex, '' as tie, 0 as band, 0 as nation from customer where c_nationkey % 3 = {cohort}"
-    ends = f"select *, row_number() over (order by gap, who) as r, count(*) over () as n from ({own})"
-    people = f"select *, (r > n - least(greatest(1, ceil(n * 0.2)), n // 2))::integer as is_case from ({ends}) where r <= least(greatest(1, ceil(n * 0.2)), n // 2) or r > n - least(greatest(1, ceil(n * 0.2)), n // 2)"
-    return f"select {cohort} as cohort, case_id, control_id, value_distance from (with recursive {repeat.matched(people, 1, 2.0, exact=cohort != 1)} select * from pairs)"
+# one case per step and cohort, by (age, id): while any control that is left knows its sex, a case that knows its own looks among equal ones only; it takes the nearest, if that is
+# inside the caliper
+EXTREMES = """
+with recursive own as (select cast(c_custkey as varchar) as who, c_nationkey % 3 as cohort, c_acctbal / 100 as age, c_custkey * 7919 % 1000 as gap, case when c_nationkey % 3 != 1 or c_custkey % 3 = 0 then c_mktsegment end as sex from customer),
+placed as (select *, row_number() over (partition by cohort order by gap, who) as r, count(*) over (partition by cohort) as n from own),
+ends as (select *, least(greatest(1, ceil(n * 0.2)), n // 2) as size from placed where n >= 4),
+tops as (select *, row_number() over (partition by cohort order by age, who) as step from ends where r > n - size),
+state as (
+  select cohort, 0::bigint as step, ''::varchar as who, 0.0::double as far, ''::varchar as control, list({'who': who, 'age': age, 'sex': sex}) as free from ends where r <= size group by cohort
+  union all
+  select cohort, step, who, near.far, near.who, case when near.far <= 2.0 then [x for x in free if x.who != near.who] else free end
+  from (select *, list_sort([{'far': abs(x.age - age), 'who': x.who} for x in free if not (sex is not null and len([y for y in free if y.sex is not null]) > 0) or coalesce(x.sex = sex, false)])[1] as near
+    from (select t.cohort, t.step, t.who, t.age, t.sex, state.free from state join tops t on t.cohort = state.cohort and t.step = state.step + 1))
+)
+select cohort, who as case_id, control as control_id, far as value_distance from state where step > 0 and far <= 2.0
+"""
 
 
-@query("m06_extremes_matched", " union all ".join(_extreme_sql(k) for k in range(3)))
+@query("m06_extremes_matched", EXTREMES)
 def m06(spark, d):
     pairs = matching.match_extremes(extremes(spark, d), "who", "age", "gap", "cohort", "sex", 0.2, matching.Rule(caliper=2.0))
     return pairs.select("cohort", "case_id", "control_id", "value_distance")

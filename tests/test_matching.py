@@ -141,3 +141,63 @@ def test_most_pairs_over_many_blocks(spark):
     some = sum(any(abs(x - y) <= 0.3 + 1e-9 for y in b) for x in a)
     got = m.feasibility(people(spark, rows), "who", "age", "k", [0.3], block_rows=15).first()
     assert (got.n_cases, got.n_with_candidate, got.max_pairs) == (len(a), some, pairs)
+
+
+def extremes_by_turns(rows, caliper):
+    """Turns by (age, id); a case that knows its sex looks among equal controls while any control that is left knows its own."""
+    out = set()
+    for cohort in {r[4] for r in rows}:
+        own = sorted((r for r in rows if r[4] == cohort), key=lambda r: (r[2], r[0]))
+        size = min(max(1, -(-len(own) // 5)), len(own) // 2)
+        free = own[:size]
+        for c in sorted(own[-size:], key=lambda r: (r[1], r[0])):
+            near = free
+            if c[3] is not None and any(f[3] is not None for f in free):
+                near = [f for f in free if f[3] == c[3]]
+            best = min(near, key=lambda f: (abs(f[1] - c[1]), f[0]), default=None)
+            if best is not None and abs(best[1] - c[1]) <= caliper:
+                out.add((cohort, c[0], best[0]))
+                free = [f for f in free if f is not best]
+    return out
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_extremes_with_unknown_sexes(spark, seed):
+    r = random.Random(seed)
+    sexes = [["F", "M", None], ["F", None, None, None], ["F", "M"], [None], ["F", "M", "M", None], [None, None, "M"]][seed]
+    rows = [(f"p{i:03d}", round(r.uniform(40, 60), 1), r.random(), r.choice(sexes), "xyz"[i % 3]) for i in range(120)]
+    df = spark.createDataFrame(rows, "who string, age double, gap double, sex string, cohort string").repartition(3)
+    found = m.match_extremes(df, "who", "age", "gap", "cohort", "sex", 0.2, m.Rule(caliper=30.0 if seed % 2 else 2.0))
+    assert {(x.cohort, x.case_id, x.control_id) for x in found.collect()} == extremes_by_turns(rows, 30.0 if seed % 2 else 2.0)
+
+
+@pytest.mark.parametrize(("values", "share", "ratio", "order", "exact"), [("many", 0.3, 1, "value", False), ("few", 0.3, 1, "difficulty", True), ("many", 0.7, 1, "difficulty", False), ("few", 0.6, 2, "value", False), ("many", 0.4, 3, "difficulty", True), ("one", 0.5, 2, "difficulty", False)])
+def test_rounds_of_proposals_are_the_sequential_greedy(spark, values, share, ratio, order, exact):
+    """Blocks of 9 controls inside one or two calipers: far more rows than a block in what every case can reach."""
+    r = random.Random(ratio)
+    age = {"many": lambda: round(r.uniform(40, 44), 2), "few": lambda: float(r.randint(40, 43)), "one": lambda: 40.0}[values]
+    rows = [(f"p{i:03d}", age(), int(r.random() < share), r.choice(["F", "M", None])) for i in range(260)]
+    rule = m.Rule(ratio=ratio, caliper=1.5, whole=False, order=order, exact=("sex",) if exact else ())
+    pairs, audit = m.match(people(spark, rows).repartition(3), "who", "age", "k", rule, block_rows=9, dense_rows=20)
+    plain, its = m.match(people(spark, rows), "who", "age", "k", rule)
+    assert {(x.case_id, x.control_id) for x in pairs.collect()} == greedy(rows, ratio, 1.5, exact, False, order == "value")
+    assert sorted(map(tuple, pairs.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    columns = ["case_id", "case_value", "matched", "n_controls", "reason"]
+    assert sorted(map(str, audit.select(columns).collect())) == sorted(map(str, its.select(columns).collect()))
+    assert audit.filter("eligible_at_turn is null").count() > 0
+
+
+def test_blocks_are_bounded(spark):
+    from tessera.operators import proposals
+
+    rows = [("s", f"c{i:04d}", float(i % 3) if i % 2 else i / 7) for i in range(600)]
+    placed, blocks = proposals.cut(spark.createDataFrame(rows, "stratum string, id string, value double"), 10)
+    sizes = {x.block: x["count"] for x in placed.groupBy("block").count().collect()}
+    assert max(sizes.values()) <= 20 and len(sizes) == len(blocks.low) and sum(sizes.values()) == 600
+    # a search to either side meets all blocks once
+    for follow, first in ((blocks.right, proposals.starts(blocks, "s", -1.0)[1]), (blocks.left, proposals.starts(blocks, "s", 1e9)[0])):
+        seen = []
+        while first != proposals.END:
+            seen.append(first)
+            first = int(follow[first])
+        assert sorted(seen) == sorted(sizes)
