@@ -9,12 +9,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import with_exact
+
 QUARTILES = {"q1": 0.25, "median": 0.5, "q3": 0.75}
 
 
-def quantile_columns(value: str, at: Mapping[str, float] = QUARTILES, prefix: str = "") -> list[Column]:
-    """Exact quantiles with linear interpolation."""
-    return [F.percentile(value, F.lit(p)).alias(f"{prefix}{name}") for name, p in at.items()]
+def quartiles(value: str) -> dict[str, tuple[str, float]]:
+    return {name: (value, share) for name, share in QUARTILES.items()}
 
 
 def variable_qc(df: DataFrame, raw: Mapping[str, Column], clean: Mapping[str, Column]) -> DataFrame:
@@ -110,7 +111,7 @@ def stratified(df: DataFrame, value: str, stratifiers: Sequence[str]) -> DataFra
         found = df.sparkSession.createDataFrame([], "stratifier string, level string, n long, mean double, sd double, q1 double, median double, q3 double")
     else:
         rows = df.filter(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_v"), levels.alias("x")).select("_v", "x.*").filter("level is not null")
-        found = rows.groupBy("stratifier", "level").agg(F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"), *quantile_columns("_v"))
+        found = with_exact(rows, ["stratifier", "level"], [F.count("*").alias("n"), F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd")], quartiles("_v"))
     joined = named.join(found, "stratifier", "left")
     status = F.when(~F.col("here"), "column_missing").when(F.col("n").isNull(), "no_observed_records").otherwise("ok")
     return joined.withColumn("status", status).withColumn("n", F.coalesce("n", F.lit(0))).drop("here")
@@ -119,7 +120,7 @@ def stratified(df: DataFrame, value: str, stratifiers: Sequence[str]) -> DataFra
 def describe_groups(df: DataFrame, group: str, continuous: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """Long table (group, variable, level, n, fraction, mean, sd, median, q1, q3); fraction is of observed values."""
     rows = df.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("v")) for c in continuous])).alias("x")).select(group, "x.*").filter("v is not null")
-    first = rows.groupBy(group, "variable").agg(F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), *quantile_columns("v")).withColumns({"level": F.lit(None).cast("string"), "fraction": F.lit(None).cast("double")})
+    first = with_exact(rows, [group, "variable"], [F.count("*").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd")], quartiles("v")).withColumns({"level": F.lit(None).cast("string"), "fraction": F.lit(None).cast("double")})
     rows = df.select(group, F.explode(F.array(*[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in categorical])).alias("x")).select(group, "x.*").filter("level is not null")
     counts = rows.groupBy(group, "variable", "level").agg(F.count("*").alias("n"))
     second = counts.withColumn("fraction", F.col("n") / F.sum("n").over(Window.partitionBy(group, "variable")))

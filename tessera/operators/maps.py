@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .quantiles import exact, with_exact
+
 
 def grid_long(df: DataFrame, keep: Sequence[str], grid: str, width: int) -> DataFrame:
     """A flat array of H x W values as rows (row, col, value)."""
@@ -50,15 +52,15 @@ def normalize_mass(maps: DataFrame, image: Sequence[str], value: str = "value",
 
 def map_summary(maps: DataFrame, group: Sequence[str], value: str = "value") -> DataFrame:
     """Per group and cell: n, mean, median, sd."""
-    return maps.groupBy(*group, "row", "col").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.percentile(value, F.lit(0.5)).alias("median"), F.stddev_samp(value).alias("sd"))
+    return with_exact(maps, [*group, "row", "col"], [F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd")], {"median": (value, 0.5)})
 
 
 def robust_z(maps: DataFrame, group: Sequence[str], value: str = "value", cut: float = 3.5) -> DataFrame:
     """Maps with robust_z of each value against its cell's median and MAD in the group, and outlier past ``cut``."""
     cell = [*group, "row", "col"]
-    center = maps.groupBy(*cell).agg(F.percentile(value, F.lit(0.5)).alias("_m"))
+    center = exact(maps, cell, {"_m": (value, 0.5)})
     away = maps.join(center, cell).withColumn("_d", F.abs(F.col(value) - F.col("_m")))
-    spread = away.groupBy(*cell).agg(F.percentile("_d", F.lit(0.5)).alias("_mad"))
+    spread = exact(away, cell, {"_mad": ("_d", 0.5)})
     z = 0.6744897501960817 * (F.col(value) - F.col("_m")) / F.nullif(F.col("_mad"), F.lit(0.0))
     return away.join(spread, cell).withColumn("robust_z", z).withColumn("outlier", F.coalesce(F.abs("robust_z") > cut, F.lit(False))).drop("_m", "_d", "_mad")
 
@@ -133,7 +135,7 @@ def aligned_average(maps: DataFrame, frames: DataFrame, group: str, height: int,
     absolute values per group, and averaged per target cell by coverage."""
     moved = maps.join(frames, "image").withColumns({"r": F.round(F.col("a") * F.col("row") + F.col("b") * F.col("col") + F.col("ty")).cast("int"), "c2": F.round(F.col("c") * F.col("row") + F.col("d") * F.col("col") + F.col("tx")).cast("int")})
     kept = moved.filter(F.col("r").between(0, height - 1) & F.col("c2").between(0, width - 1))
-    scale = kept.groupBy(group).agg(F.percentile(F.abs(value), F.lit(0.99)).alias("_s"))
+    scale = exact(kept, [group], {"_s": (F.abs(value), 0.99)})
     clipped = F.greatest(F.least(F.col(value), F.col("_s")), -F.col("_s"))
     per_image = kept.join(scale, group).groupBy(group, "image", F.col("r").alias("row"), F.col("c2").alias("col")).agg(F.avg(clipped).alias("v"), F.count("*").alias("w"))
     return per_image.groupBy(group, "row", "col").agg((F.sum(F.col("v") * F.col("w")) / F.sum("w")).alias("value"), F.count("*").alias("n_images"))

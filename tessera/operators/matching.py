@@ -31,7 +31,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed, written
 from .checks import CheckFailed, assert_unique, require_columns
-from .proposals import Line, pairs as proposed_pairs, reachable
+from .proposals import Line, inside, reachable
+from .proposals import pairs as proposed_pairs
 from .windows import ranked, with_aggregates
 
 BLOCK_ROWS = 50_000
@@ -95,8 +96,7 @@ def gower(case: dict, pool: pd.DataFrame, columns: Sequence[str], numeric: Seque
 
 def _nearby(values: np.ndarray, x: float, caliper: float) -> np.ndarray:
     """Places of ascending values within the caliper."""
-    near = np.arange(np.searchsorted(values, x - caliper - 1e-9), np.searchsorted(values, x + caliper + 1e-9, "right"))
-    return near[np.abs(values[near] - x) <= caliper]
+    return np.arange(*inside(values, x, caliper))
 
 
 def _audit(case: str, x: float, taken: int, eligible: int, rule: Rule) -> tuple:
@@ -133,8 +133,7 @@ def _solve_line(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
         while dead < len(dying) and late[dying[dead]] <= turn:
             kill(dying[dead])
             dead += 1
-        near = _nearby(values, x, rule.caliper) if rule.null_matches or not unknown else []
-        first, stop = (int(near[0]), int(near[-1]) + 1) if len(near) else (0, 0)
+        first, stop = inside(values, x, rule.caliper) if rule.null_matches or not unknown else (0, 0)
         eligible = left_before(stop) - left_before(first)
         take = min(rule.ratio, eligible) if eligible >= (rule.ratio if rule.whole else 1) else 0
         for rank in range(1, take + 1):

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checks import CheckFailed
+from .quantiles import exact
 from .stats import discrimination
 from .windows import hash_order, ranked
 
@@ -219,7 +220,8 @@ def domain_auc(df: DataFrame, vector: str, domain: str, group: str, k: int = 5,
 
 def one_hot(df: DataFrame, columns: Sequence[str], numeric: Sequence[str], name: str = "features") -> DataFrame:
     """An array of dummies (levels in order, unknown a level) and median-filled numbers, for shortcut baselines."""
-    facts = df.agg(*[F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")))).alias(c) for c in columns], *[F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in numeric]).first()
+    facts = df.agg(*[F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")))).alias(c) for c in columns], F.count("*").alias("_n")).first().asDict()
+    facts |= exact(df, [], {c: (c, 0.5) for c in numeric}).first().asDict() if numeric else {}
     cells = [(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")) == level).cast("double") for c in columns for level in facts[c]]
     return df.withColumn(name, F.array(*cells, *[F.coalesce(F.col(c).cast("double"), F.lit(float(facts[c] or 0.0))) for c in numeric]))
 

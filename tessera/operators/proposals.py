@@ -257,6 +257,16 @@ def pairs(rows: DataFrame, turns: DataFrame, ratio: int, caliper: float, block_r
     return found.withColumn("match_rank", rank).select("case_id", "control_id", "match_rank", "priority", "case_value", "control_value", "value_distance")
 
 
+def inside(values: np.ndarray, x: float, caliper: float) -> tuple[int, int]:
+    """First place of ascending values within the caliper, and the one after the last."""
+    first, stop = int(np.searchsorted(values, x - caliper - 1e-9)), int(np.searchsorted(values, x + caliper + 1e-9, "right"))
+    while first < stop and abs(values[first] - x) > caliper:
+        first += 1
+    while first < stop and abs(values[stop - 1] - x) > caliper:
+        stop -= 1
+    return first, stop
+
+
 def reachable(rows: DataFrame, caliper: float, block_rows: int) -> DataFrame:
     """(id, candidates): controls inside the caliper of each case, from whole blocks and the two at the edges."""
     controls, blocks = cut(rows.filter("not is_case").select("stratum", "id", "value"), block_rows)
@@ -282,12 +292,8 @@ def reachable(rows: DataFrame, caliper: float, block_rows: int) -> DataFrame:
         values = np.sort(here.value.to_numpy(float))
         out = []
         for case, x in zip(there.id, there.value, strict=True):
-            a, b = (int(np.searchsorted(values, x - caliper - 1e-9)), int(np.searchsorted(values, x + caliper + 1e-9, "right")))
-            while a < b and abs(values[a] - x) > caliper:
-                a += 1
-            while a < b and abs(values[b - 1] - x) > caliper:
-                b -= 1
-            out.append((case, b - a))
+            first, stop = inside(values, x, caliper)
+            out.append((case, stop - first))
         return pd.DataFrame(out, columns=["id", "sure"])
 
     some = controls.groupBy("block").cogroup(asked.filter("block is not null").select("id", "value", "block").groupBy("block")).applyInPandas(count, "id string, sure long")

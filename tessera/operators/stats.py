@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tails
 from .checks import CheckFailed, assert_unique
+from .quantiles import exact, with_exact
 from .windows import average_rank, average_ranks, running, with_aggregates
 
 
@@ -22,42 +23,28 @@ def _safe(a: Column, b: Column) -> Column:
 # predictions against truth
 
 
-def prediction_columns(age: str, prediction: str) -> list[Column]:
-    gap = F.col(prediction) - F.col(age)
-    return [
-        F.count("*").alias("n"),
-        F.avg(age).alias("age_mean"),
-        F.stddev_samp(age).alias("age_sd"),
-        F.avg(gap).alias("gap_mean"),
-        F.stddev_samp(gap).alias("gap_sd"),
-        F.percentile(gap, F.lit(0.5)).alias("gap_median"),
-        F.percentile(gap, F.lit(0.25)).alias("gap_q1"),
-        F.percentile(gap, F.lit(0.75)).alias("gap_q3"),
-        F.avg(F.abs(gap)).alias("mae"),
-    ]
-
-
 def prediction_summary(df: DataFrame, age: str, prediction: str, group: Sequence[str] = ()) -> DataFrame:
-    return df.filter(F.col(age).isNotNull() & F.col(prediction).isNotNull()).groupBy(*group).agg(*prediction_columns(age, prediction))
+    gap = F.col(prediction) - F.col(age)
+    rows = df.filter(F.col(age).isNotNull() & F.col(prediction).isNotNull())
+    moments = [F.count("*").alias("n"), F.avg(age).alias("age_mean"), F.stddev_samp(age).alias("age_sd"), F.avg(gap).alias("gap_mean"), F.stddev_samp(gap).alias("gap_sd"), F.avg(F.abs(gap)).alias("mae")]
+    return with_exact(rows, group, moments, {"gap_median": (gap, 0.5), "gap_q1": (gap, 0.25), "gap_q3": (gap, 0.75)})
 
 
-def error_columns(age: str, prediction: str) -> list[Column]:
+def error_metrics(df: DataFrame, age: str, prediction: str, group: Sequence[str] = (), *more: Column) -> DataFrame:
     gap = F.col(prediction) - F.col(age)
-    return [
+    rows = df.filter(F.col(age).isNotNull() & F.col(prediction).isNotNull())
+    moments = [
         F.count("*").alias("n"),
         F.avg(F.abs(gap)).alias("mae"),
         F.sqrt(F.avg(gap * gap)).alias("rmse"),
         F.avg(gap).alias("mean_gap"),
-        F.percentile(gap, F.lit(0.5)).alias("median_gap"),
         F.regr_slope(F.col(prediction), F.col(age)).alias("calibration_slope"),
         F.regr_intercept(F.col(prediction), F.col(age)).alias("calibration_intercept"),
         F.corr(prediction, age).alias("correlation"),
         F.avg((gap > 0).cast("double")).alias("overprediction_rate"),
+        *more,
     ]
-
-
-def error_metrics(df: DataFrame, age: str, prediction: str, group: Sequence[str] = ()) -> DataFrame:
-    return df.filter(F.col(age).isNotNull() & F.col(prediction).isNotNull()).groupBy(*group).agg(*error_columns(age, prediction))
+    return with_exact(rows, group, moments, {"median_gap": (gap, 0.5)})
 
 
 def calibration_fit(df: DataFrame, truth: str, prediction: str, group: Sequence[str] = ()) -> DataFrame:
@@ -76,11 +63,11 @@ def fairness_table(df: DataFrame, group: str, who: str, age: str, prediction: st
     assert_unique(rows, [who], "fairness table")
     both = rows.select(F.col(group).cast("string").alias("group"), F.col(who).alias("who"), F.col(age).cast("double").alias("age"), F.col(prediction).cast("double").alias("prediction"))
     both = both.unionByName(both.withColumn("group", F.lit("Overall")))
-    table = both.groupBy("group").agg(*error_columns("age", "prediction"), F.avg("age").alias("age_mean"), F.stddev_samp("age").alias("age_sd"))
+    table = error_metrics(both, "age", "prediction", ["group"], F.avg("age").alias("age_mean"), F.stddev_samp("age").alias("age_sd"))
     if not repetitions:
         return table
     names = ["mae", "rmse", "mean_gap", "median_gap", "calibration_slope", "calibration_intercept", "correlation", "overprediction_rate"]
-    reps = bootstrap_groups(both, ["group"], "who", repetitions, seed).groupBy("group", "rep").agg(*error_columns("age", "prediction"))
+    reps = error_metrics(bootstrap_groups(both, ["group"], "who", repetitions, seed), "age", "prediction", ["group", "rep"])
     limits = reps.groupBy("group").agg(*[x for n in names for x in (F.percentile(n, F.lit(0.025)).alias(f"{n}_ci_low"), F.percentile(n, F.lit(0.975)).alias(f"{n}_ci_high"))])
     return table.join(limits, "group", "left")
 
@@ -123,8 +110,8 @@ def design(df: DataFrame, exposure: str, outcome: str, numeric: Sequence[str], c
     rows = df.withColumns({outcome: F.col(outcome).cast("double"), exposure: F.col(exposure).cast("double")}).filter(F.col(outcome).isNotNull() & F.col(exposure).isNotNull())
     numbers = [c for c in numeric if c in df.columns]
     classes = [c for c in categorical if c in df.columns]
-    medians = rows.agg(F.lit(1).alias("_"), *[F.coalesce(F.percentile(F.col(c).cast("double"), F.lit(0.5)), F.lit(0.0)).alias(c) for c in numbers]).first()
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c]))) for c in numbers}
+    medians = exact(rows, [], {c: (c, 0.5) for c in numbers}).first().asDict() if numbers else {}
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in numbers}
     facts = rows.agg(
         F.count("*").alias("_n"),
         *[x for c in numbers for x in (F.avg(filled[c]).alias(f"m_{c}"), F.stddev_pop(filled[c]).alias(f"s_{c}"), F.count_if(F.col(c).isNull()).alias(f"u_{c}"))],
@@ -401,7 +388,7 @@ def paired_effect(pairs: DataFrame, outcomes: DataFrame, who: str, outcome: str)
     case = outcomes.select(F.col(who).cast("string").alias("case_id"), F.col(outcome).alias("yc"))
     control = outcomes.select(F.col(who).cast("string").alias("control_id"), F.col(outcome).alias("yr"))
     d = pairs.join(case, "case_id").join(control, "control_id").select((F.col("yc") - F.col("yr")).alias("d")).filter("d is not null")
-    return d.agg(F.count("*").alias("n_pairs"), F.avg("d").alias("mean_difference"), F.percentile("d", F.lit(0.5)).alias("median_difference"), F.stddev_samp("d").alias("sd_difference"))
+    return with_exact(d, [], [F.count("*").alias("n_pairs"), F.avg("d").alias("mean_difference"), F.stddev_samp("d").alias("sd_difference")], {"median_difference": ("d", 0.5)})
 
 
 def set_contrast(df: DataFrame, match_set: str, role: Column, outcome: str) -> DataFrame:

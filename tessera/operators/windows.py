@@ -147,7 +147,9 @@ def tails(df: DataFrame, value: str, key: str, fraction: float, label: str = "ta
 
 def quantile_extremes(df: DataFrame, group: str, value: str, low: float = 0.1, high: float = 0.9) -> DataFrame:
     """Rows at or past their group's low or high quantile, with the thresholds; a row at both is low."""
-    cuts = df.groupBy(group).agg(F.percentile(value, F.lit(low)).alias("low_cut"), F.percentile(value, F.lit(high)).alias("high_cut"))
+    from .quantiles import exact
+
+    cuts = exact(df, [group], {"low_cut": (value, low), "high_cut": (value, high)})
     joined = df.join(cuts, group)
     return joined.withColumn("extreme", F.when(F.col(value) <= F.col("low_cut"), "bottom").when(F.col(value) >= F.col("high_cut"), "top")).filter("extreme is not null")
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clean as c
 from ..operators import aggregate as a
-from ..operators import link, windows
+from ..operators import link, quantiles, windows
 from .registry import query, table
 
 # flagship: a linked, gated, stratified cohort
@@ -213,7 +213,20 @@ def a10(spark, d):
 
 @query("a11_exact_quantiles", "select lang, quantile_cont(n_chars, 0.25) as q1, quantile_cont(n_chars, 0.5) as median, quantile_cont(n_chars, 0.75) as q3, round(quantile_cont(n_chars, 0.9), 6) as p90 from documents group by 1")
 def a11(spark, d):
-    return table(spark, d, "documents").groupBy("lang").agg(*a.quantile_columns("n_chars"), F.round(F.percentile("n_chars", F.lit(0.9)), 6).alias("p90"))
+    return quantiles.exact(table(spark, d, "documents"), ["lang"], a.quartiles("n_chars") | {"p90": ("n_chars", 0.9)}).withColumn("p90", F.round("p90", 6))
+
+
+# the rank of each value that a sketch gives is within 2 % of what was asked for
+@query("a11_approximate_quantiles", "with n as (select lang, count(n_chars) as n from documents group by lang) select lang, n, name, true as near from n, (select unnest(['q1', 'median', 'q3', 'p99']) as name)")
+def a11a(spark, d):
+    docs, shares = table(spark, d, "documents"), {"q1": 0.25, "median": 0.5, "q3": 0.75, "p99": 0.99}
+    parts = quantiles.sketch(docs, ["lang", "source"], "n_chars")
+    found = quantiles.approximate(quantiles.merged(parts, ["lang"]), ["lang"], shares)
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(q).alias("share"), F.col(n).alias("value")) for n, q in shares.items()])).alias("x")
+    long = found.select("lang", "n", cells).select("lang", "n", "x.*")
+    c = F.col("n_chars")
+    ranks = docs.join(F.broadcast(long), "lang").groupBy("lang", "n", "name", "share").agg((F.count_if(c < F.col("value")) / F.col("n")).alias("low"), (F.count_if(c <= F.col("value")) / F.col("n")).alias("high"))
+    return ranks.select("lang", "n", "name", ((F.col("low") <= F.col("share") + 0.02) & (F.col("high") >= F.col("share") - 0.02)).alias("near"))
 
 
 @query("a12_stratified_summary", "with r as (select o_totalprice as v, o_orderstatus as a, o_orderpriority as b from orders), l as (select 'o_orderstatus' as stratifier, a as level, v from r union all select 'o_orderpriority', b, v from r) select stratifier, level, count(*) as n, round(avg(v), 4) as mean, round(stddev_samp(v), 4) as sd, round(quantile_cont(v, 0.25), 4) as q1, round(quantile_cont(v, 0.5), 4) as median, round(quantile_cont(v, 0.75), 4) as q3, 'ok' as status from l group by 1, 2 union all select 'o_clinic', null, 0, null, null, null, null, null, 'column_missing'")
