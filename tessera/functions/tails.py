@@ -84,9 +84,36 @@ def chi2_sf(x: float, df: float) -> float:
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int) -> float:
-    """Sum of the probabilities of all 2 x 2 tables with these margins that are no likelier than this one."""
+    """Sum of the probabilities of all 2 x 2 tables with these margins that are no likelier than this one.
+
+    Tables get less likely on both sides of the likeliest one, so each tail is summed outward from its first table until what is left is
+    too small to count: some thousand terms for margins of any size.
+    """
     row, col, n = a + b, a + c, a + b + c + d
+    low, high = max(0, row + col - n), min(row, col)
     choose = lambda m, k: math.lgamma(m + 1) - math.lgamma(k + 1) - math.lgamma(m - k + 1)
-    prob = lambda x: math.exp(choose(col, x) + choose(n - col, row - x) - choose(n, row))
-    mine = prob(a)
-    return min(1.0, sum(p for x in range(max(0, row + col - n), min(row, col) + 1) if (p := prob(x)) <= mine * (1 + 1e-7)))
+    log = lambda x: choose(col, x) + choose(n - col, row - x) - choose(n, row)
+    mode = min(max(low, (row + 1) * (col + 1) // (n + 2)), high)
+    most = log(a) + 1e-7
+    if log(mode) <= most:
+        return 1.0
+
+    def first(inner: int, outer: int) -> int | None:
+        """The table nearest to the mode, from there to ``outer``, that is no likelier."""
+        if log(outer) > most:
+            return None
+        while abs(outer - inner) > 1:
+            middle = (inner + outer) // 2
+            inner, outer = (inner, middle) if log(middle) <= most else (middle, outer)
+        return outer
+
+    total = 0.0
+    for end, step in ((low, -1), (high, 1)):
+        x = first(mode, end)
+        while x is not None and low <= x <= high:
+            term = math.exp(log(x))
+            total += term
+            if term < total * 1e-17 or term == 0.0:
+                break
+            x += step
+    return min(1.0, total)

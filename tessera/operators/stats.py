@@ -433,40 +433,3 @@ def covariate_available(df: DataFrame, group: str, column: str, least: float = 0
     """Whether a covariate is observed for ``least`` of both groups with two shared levels."""
     parts = df.filter(F.col(group).isin(0, 1)).groupBy(group).agg((F.count(column) / F.count("*")).alias("seen"), F.collect_set(F.col(column).cast("string")).alias("levels")).collect()
     return len(parts) == 2 and all(r.seen >= least for r in parts) and len(set(parts[0].levels) & set(parts[1].levels)) >= 2
-
-
-def questionnaire(df: DataFrame, group: str, continuous: Mapping[str, str], categorical: Mapping[str, str], least: int = 5) -> DataFrame:
-    """One row per variable ({variable: family}): type, n per group, effect, p value, status, and q value within its family.
-
-    Continuous: SMD and Welch t on moments of one pass. Categorical: Cramer's V and chi-square on counts of one pass. Variables
-    with under ``least`` observed rows in a group, or a single level, have no test.
-    """
-    spark = df.sparkSession
-    out = []
-    cells = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("double").alias("x")) for v in continuous]) if continuous else None
-    if continuous:
-        long = df.filter(F.col(group).isin(0, 1)).select(F.col(group).alias("g"), F.explode(cells).alias("c")).select("g", "c.*")
-        side = lambda k, f: f(F.when(F.col("g") == k, F.col("x")))
-        for r in long.groupBy("variable").agg(side(1, F.count).alias("na"), side(0, F.count).alias("nb"), side(1, F.avg).alias("ma"), side(0, F.avg).alias("mb"), side(1, F.var_samp).alias("va"), side(0, F.var_samp).alias("vb")).collect():
-            ok = min(r.na, r.nb) >= max(least, 2) and r.va + r.vb > 0
-            p = effect = None
-            if ok:
-                x, y = r.va / r.na, r.vb / r.nb
-                p = tails.t_two_sided((r.ma - r.mb) / math.sqrt(x + y), (x + y) ** 2 / (x**2 / (r.na - 1) + y**2 / (r.nb - 1)))
-                effect = (r.ma - r.mb) / math.sqrt((r.va + r.vb) / 2)
-            out.append((r.variable, continuous[r.variable], "continuous", r.na, r.nb, effect, p, "ok" if ok else "too_few_observed"))
-    if categorical:
-        cells = F.array(*[F.struct(F.lit(v).alias("variable"), F.col(v).cast("string").alias("x")) for v in categorical])
-        counts = df.filter(F.col(group).isin(0, 1)).select(F.col(group).alias("g"), F.explode(cells).alias("c")).select("g", "c.*").filter("x is not null").groupBy("variable", "g", "x").count().collect()
-        for v, family in categorical.items():
-            levels = sorted({r.x for r in counts if r.variable == v})
-            m = np.array([[sum(r["count"] for r in counts if (r.variable, r.g, r.x) == (v, g, x)) for x in levels] for g in (1, 0)], float).reshape(2, len(levels))
-            na, nb = (int(t) for t in m.sum(1)) if levels else (0, 0)
-            ok, p, effect = len(levels) > 1 and min(na, nb) >= least, None, None
-            if ok:
-                e = m.sum(1, keepdims=True) * m.sum(0, keepdims=True) / m.sum()
-                chi2 = float(((m - e) ** 2 / e).sum())
-                p, effect = tails.chi2_sf(chi2, len(levels) - 1), math.sqrt(chi2 / m.sum())
-            out.append((v, family, "categorical", na, nb, effect, p, "ok" if ok else "too_few_observed"))
-    table = spark.createDataFrame(out, "variable string, family string, kind string, n_1 long, n_0 long, effect double, p_value double, status string")
-    return benjamini_hochberg(table, "p_value", ["variable"], ["family"])

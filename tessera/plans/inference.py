@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import maps, matching, models, resample, stats
+from ..operators import maps, matching, models, questionnaire, resample, stats
 from . import repeat
 from .registry import query, table
 
@@ -227,7 +227,35 @@ def q14(spark, d):
 @query("q15_questionnaire")
 def q15(spark, d):
     rows = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").withColumns({"k": F.col("doc_id") % 13, "one": F.lit("x")})
-    return _rounded(stats.questionnaire(rows, "quality", {"n_chars": "text", "k": "other"}, {"lang": "text", "source": "other", "one": "other"}))
+    kinds = {"n_chars": ("continuous", "text"), "k": ("continuous", "other"), "lang": ("categorical", "text"), "source": ("categorical", "other"), "one": ("categorical", "other")}
+    return _rounded(questionnaire.compare(rows, "doc_id", "quality", kinds, least=5, correction=False)[0].select("variable", "family", "kind", "n_1", "n_0", "effect", F.col("unadjusted_p").alias("p_value"), "status", "q_value"))
+
+
+def answers(spark, d):
+    """Questions about orders, by two groups of customers: binary ones, numbers, classes, some unanswered."""
+    o = table(spark, d, "orders")
+    key = F.col("o_orderkey")
+    return o.select(
+        key, (F.col("o_custkey") % 2).cast("int").alias("group"), F.when(key % 7 != 0, (F.col("o_totalprice") > 150_000).cast("int")).alias("costly"), (F.col("o_orderstatus") == "F").cast("int").alias("closed"), F.when(key % 5 != 0, F.col("o_totalprice").cast("double")).alias("price"),
+        F.when((key % 11 != 0) | (F.col("o_custkey") % 2 == 0), F.col("o_orderpriority")).alias("priority"), F.col("o_orderstatus").alias("status"), (F.datediff("o_orderdate", F.lit("1992-01-01")) / 365.25).alias("years"), F.col("o_custkey").alias("customer"),
+    )
+
+
+ANSWERS = {"costly": ("binary", "price"), "price": ("continuous", "price"), "closed": ("binary", "state"), "priority": ("categorical", "state"), "status": ("categorical", "state"), "colour": ("binary", "state")}
+
+
+@query("q15_adjusted_comparison")
+def q15a(spark, d):
+    found = questionnaire.compare(answers(spark, d), "o_orderkey", "group", ANSWERS, ["years"], ["priority"], "customer")[0]
+    return _rounded(found.withColumns({n: F.round(n, 2) for n in ("mean_1", "mean_0", "difference", "sd_1", "sd_0", "adjusted_coefficient", "adjusted_se", "adjusted_ci_low", "adjusted_ci_high") if n in found.columns}))
+
+
+Q15_ANSWERS = "with a as (select o_custkey % 2 as g, o_orderkey % 7 = 0 as costly, false as closed, o_orderkey % 5 = 0 as price, not (o_orderkey % 11 != 0 or o_custkey % 2 = 0) as priority, false as status from orders)"
+
+
+@query("q15_missingness", Q15_ANSWERS + " select variable, family, n_1, n_0, missing_1, missing_0, round(missing_1 / n_1, 6) as missing_share_1, round(missing_0 / n_0, 6) as missing_share_0 from (" + " union all ".join(f"select '{v}' as variable, '{f}' as family, count(*) filter (where g = 1) as n_1, count(*) filter (where g = 0) as n_0, count(*) filter (where g = 1 and {v}) as missing_1, count(*) filter (where g = 0 and {v}) as missing_0 from a" for v, (_, f) in ANSWERS.items() if v != "colour") + ")")
+def q15m(spark, d):
+    return _rounded(questionnaire.compare(answers(spark, d), "o_orderkey", "group", {v: k for v, k in ANSWERS.items()})[1].drop("p_value", "q_value"))
 
 
 @query("q16_benjamini_hochberg", "with p as (select s_suppkey as id, s_nationkey % 3 as family, case when s_suppkey % 10 = 0 then null else (s_suppkey * 37 % 101) / 101 end as p_value from supplier), r as (select *, row_number() over (partition by family order by p_value, id) as k, count(*) over (partition by family) as m from p where p_value is not null), q as (select id, family, p_value, least(1, min(p_value * m / k) over (partition by family order by k desc rows between unbounded preceding and current row)) as q_value from r) select id, family, round(p_value, 9) as p_value, round(q_value, 9) as q_value from q union all select id, family, null, null from p where p_value is null")

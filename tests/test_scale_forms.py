@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import models, stats, windows
+from tessera.operators import models, questionnaire, stats, windows
 from tessera.operators.checks import CheckFailed
 from tessera.sources import readers
 from tessera.streaming import handoff
@@ -180,7 +180,8 @@ def test_components_and_cross_heads(people):
 
 def test_questionnaire_values(spark):
     rows = [(g, float(x), c) for g, x, c in [(1, 3, "u"), (1, 4, "u"), (1, 5, "v"), (1, 6, "u"), (1, 9, "u"), (1, 8, "v"), (0, 1, "v"), (0, 2, "v"), (0, 3, "v"), (0, 2, "u"), (0, 4, "v"), (0, 1, "v")]]
-    got = {r.variable: r for r in stats.questionnaire(spark.createDataFrame(rows, "g int, x double, c string"), "g", {"x": "text"}, {"c": "other"}).collect()}
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, g int, x double, c string")
+    got = {r.variable: r for r in questionnaire.compare(df, "id", "g", {"x": ("continuous", "text"), "c": ("categorical", "other")}, least=5, correction=False)[0].collect()}
     a, b = np.array([r[1] for r in rows if r[0]]), np.array([r[1] for r in rows if not r[0]])
     assert got["x"].effect == pytest.approx((a.mean() - b.mean()) / math.sqrt((a.var(ddof=1) + b.var(ddof=1)) / 2))
     m = np.array([[sum(r[0] == g and r[2] == c for r in rows) for c in "uv"] for g in (1, 0)], float)
