@@ -11,10 +11,14 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .checks import CheckFailed
+from ..sources.shared import written
+from .checks import CheckFailed, assert_unique
 from .quantiles import exact
 from .stats import discrimination
-from .windows import hash_order, ranked
+from .windows import balanced_sample, hash_order, portable_hash, ranked
+
+#: Levels that a categorical feature may have; more are an identifier.
+MAX_LEVELS = 200
 
 # folds
 
@@ -220,7 +224,12 @@ def domain_auc(df: DataFrame, vector: str, domain: str, group: str, k: int = 5,
 
 def one_hot(df: DataFrame, columns: Sequence[str], numeric: Sequence[str], name: str = "features") -> DataFrame:
     """An array of dummies (levels in order, unknown a level) and median-filled numbers, for shortcut baselines."""
-    facts = df.agg(*[F.array_sort(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")))).alias(c) for c in columns], F.count("*").alias("_n")).first().asDict()
+    facts = {}
+    for c in columns:
+        found = df.select(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")).alias("level")).distinct().limit(MAX_LEVELS + 1).collect()
+        if len(found) > MAX_LEVELS:
+            raise CheckFailed(f"{c} has more than {MAX_LEVELS} levels: it is no feature")
+        facts[c] = sorted(r.level for r in found)
     facts |= exact(df, [], {c: (c, 0.5) for c in numeric}).first().asDict() if numeric else {}
     cells = [(F.coalesce(F.col(c).cast("string"), F.lit("MISSING")) == level).cast("double") for c in columns for level in facts[c]]
     return df.withColumn(name, F.array(*cells, *[F.coalesce(F.col(c).cast("double"), F.lit(float(facts[c] or 0.0))) for c in numeric]))
@@ -245,7 +254,7 @@ def shortcut_baselines(df: DataFrame, label: str, sets: dict[str, tuple[Sequence
 
 
 def principal_components(df: DataFrame, vector: str, k: int, name: str) -> DataFrame:
-    """Projection on the k leading components (of all rows; fit inside a fold's training part to avoid leaks)."""
+    """Projection on the k leading components of all rows, for description; ``compare_outcomes`` learns components from training folds alone."""
     from pyspark.ml.feature import PCA
 
     rows = df.withColumn("_x", array_to_vector(F.col(vector).cast("array<double>")))
@@ -253,6 +262,112 @@ def principal_components(df: DataFrame, vector: str, k: int, name: str) -> DataF
     return done.withColumn(name, vector_to_array("_z")).drop("_x", "_z")
 
 
+def fold_components(df: DataFrame, vector: str, fold: str, dim: int, k: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each fold the map (k x dim matrix, k offsets) to the leading components of the standardized vectors of all other folds.
+
+    One pass over the vectors: Gram matrices by fold; what is not in a fold is the total minus its own.
+    """
+    grams = vector_gram(df.withColumn("_zero", F.lit(0.0)), vector, "_zero", [fold], dim)
+    total_n, total = sum(n for n, _ in grams.values()), sum(g for _, g in grams.values())
+    out = {}
+    for (f,), (n, g) in sorted(grams.items()):
+        m, rest = total_n - n, total - g
+        if m < 2:
+            raise CheckFailed(f"fold {f} leaves {m} vectors to learn from")
+        mean = rest[:dim, dim] / m
+        cov = rest[:dim, :dim] / m - np.outer(mean, mean)
+        scale = np.sqrt(np.maximum(np.diag(cov), 0.0))
+        scale[scale < 1e-12] = 1.0
+        values, axes = np.linalg.eigh(cov / np.outer(scale, scale))
+        lead = axes[:, np.argsort(values)[::-1][: min(k, dim, m - 1)]].T
+        lead *= np.sign(lead[np.arange(len(lead)), np.abs(lead).argmax(axis=1)])[:, None]  # one sign, whatever the solver gives
+        out[int(f)] = (lead / scale, -(lead / scale) @ mean)
+    return out
+
+
+def projected(df: DataFrame, vector: str, matrix: np.ndarray, offset: np.ndarray, name: str) -> DataFrame:
+    """Rows with matrix @ vector + offset, a batch at a time; the matrix is shipped once (components x dimensions numbers)."""
+    import pyarrow as pa
+
+    shared = df.sparkSession.sparkContext.broadcast((matrix, offset))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields) + f", `{name}` array<double>"
+    rows = df.withColumn("_vector", same_length(vector, matrix.shape[1]))
+
+    def run(batches):
+        weights, shift = shared.value
+        for batch in batches:
+            v = batch.column("_vector")
+            there = np.asarray(v.is_valid())
+            flat = v.flatten().to_numpy(zero_copy_only=False).reshape(-1, weights.shape[1])
+            done = iter((flat @ weights.T + shift).tolist())
+            out = pa.array([next(done) if ok else None for ok in there], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], out], names=[*batch.schema.names[:-1], name])
+
+    return rows.mapInArrow(run, schema)
+
+
+def fold_features(train: DataFrame, df: DataFrame, numeric: Sequence[str], categorical: Sequence[str], name: str) -> DataFrame:
+    """``df`` with an array of numbers (unknown: the training rows' median) and dummies (unknown: their most frequent level; a level that they
+    don't have: all zeros). Only ``train`` is learned from."""
+    medians = exact(train, [], {c: (c, 0.5) for c in numeric}).first().asDict() if numeric else {}
+    cells = [F.coalesce(F.col(c).cast("double"), F.lit(float(medians[c] or 0.0))) for c in numeric]
+    for c in categorical:
+        counts = train.filter(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("level")).count().orderBy(F.desc("count"), "level").limit(MAX_LEVELS + 1).collect()
+        if len(counts) > MAX_LEVELS:
+            raise CheckFailed(f"{c} has more than {MAX_LEVELS} levels: it is no feature")
+        if counts:
+            value = F.coalesce(F.col(c).cast("string"), F.lit(counts[0].level))
+            cells += [(value == x).cast("double") for x in sorted(r.level for r in counts)]
+    return df.withColumn(name, F.array(*cells) if cells else F.array().cast("array<double>"))
+
+
+def outcome_availability(df: DataFrame, outcomes: Sequence[str], fold: str, least: tuple[int, int] = (50, 50)) -> DataFrame:
+    """(outcome, n_positive, n_negative, n_unknown, status): which outcomes can be modelled on these folds.
+
+    Values other than 0 and 1 are unknown. ok: ``least`` (positive, negative) rows, and both classes outside of each fold.
+    """
+    there = [o for o in outcomes if o in df.columns]
+    value = {o: F.col(o).cast("double") for o in there}
+    counts = df.groupBy(fold).agg(F.count("*").alias("n"), *[x for i, o in enumerate(there) for x in (F.count_if(value[o] == 1).alias(f"p{i}"), F.count_if(value[o] == 0).alias(f"z{i}"))]).collect()  # a row for each fold
+    table = []
+    for o in outcomes:
+        if o not in there:
+            table.append((o, 0, 0, 0, "column_missing"))
+            continue
+        i = there.index(o)
+        p, z, n = (sum(r[x] for r in counts) for x in (f"p{i}", f"z{i}", "n"))
+        apart = all(p > r[f"p{i}"] and z > r[f"z{i}"] for r in counts)
+        table.append((o, p, z, n - p - z, "too_few_records" if p < least[0] or z < least[1] else "ok" if apart else "one_class_in_training"))
+    return df.sparkSession.createDataFrame(table, "outcome string, n_positive long, n_negative long, n_unknown long, status string")
+
+
+def compare_outcomes(df: DataFrame, outcomes: Sequence[str], vector: str, dim: int, fold: str, group: str, numeric: Sequence[str], categorical: Sequence[str], k: int = 64, least: tuple[int, int] = (50, 50), c: float = 1.0) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Clinical, embedding and combined classifiers of several outcomes: (out-of-fold predictions, metrics by outcome and model, ``outcome_availability``).
+
+    All that is learned (medians, levels, scales, components, heads) comes from the other folds alone. The loops are over folds, outcomes and models.
+    """
+    assert_no_leak(df, group, fold)
+    availability = outcome_availability(df, outcomes, fold, least)
+    eligible = [r.outcome for r in availability.filter("status = 'ok'").collect()]
+    if not eligible:
+        raise CheckFailed("no outcome has enough records")
+    maps = fold_components(df, vector, fold, dim, k)
+    predictions = None
+    for f, (matrix, offset) in maps.items():
+        rows = projected(df, vector, matrix, offset, "embedding_part").filter(F.col("embedding_part").isNotNull())
+        rows = fold_features(df.filter(F.col(fold) != f), rows, numeric, categorical, "clinical_part")
+        rows = written(rows.withColumn("combined_part", F.concat("clinical_part", "embedding_part")).select(group, fold, "clinical_part", "embedding_part", "combined_part", *eligible), "features")
+        for o in eligible:
+            known = rows.filter(F.col(o).cast("double").isin(0.0, 1.0))
+            for model in ("clinical", "embedding", "combined"):
+                beta, bias = _fit_logistic(known.filter(F.col(fold) != f), f"{model}_part", o, c, True)
+                score = sigmoid(dot(F.col(f"{model}_part"), F.array(*[F.lit(float(b)) for b in beta])) + float(bias))
+                part = known.filter(F.col(fold) == f).select(group, F.col(fold).alias("fold"), F.lit(o).alias("outcome"), F.lit(model).alias("model"), F.col(o).cast("int").alias("observed"), score.alias("probability"))
+                predictions = part if predictions is None else predictions.unionByName(part)
+    predictions = written(predictions, "predictions")
+    return predictions, discrimination(predictions, "observed", "probability", ["outcome", "model"]), availability
+
+
 def evaluate_across(df: DataFrame, vector: str, target: str, own: str, other_head: DataFrame) -> DataFrame:
     """Own out-of-fold errors beside another head's errors on the same rows."""
     both = apply_head(df, other_head, vector, "_other")
@@ -260,6 +375,32 @@ def evaluate_across(df: DataFrame, vector: str, target: str, own: str, other_hea
     return both.agg(F.count("*").alias("n"), F.avg(F.abs(gap(own))).alias("own_mae"), F.avg(F.abs(gap("_other"))).alias("other_mae"), F.regr_slope(F.col(own), F.col(target)).alias("own_slope"), F.regr_slope(F.col("_other"), F.col(target)).alias("other_slope"))
 
 
+def compare_heads(df: DataFrame, population: str, target: str, reference: str, who: str, truth: str, own: str, other: str, repetitions: int, seed: object) -> DataFrame:
+    """One row: the target population's own head against the other head on the same people, and its calibration slope against the reference population's.
+
+    Error: mean of |own - truth| - |other - truth| in the target population. Slope: that of own on truth, target minus reference; people of both populations are
+    drawn apart. Each has bootstrap limits, a two-sided p (1 / repetitions at least) and the least effect seen with 80 % power.
+    """
+    from .resample import bootstrap_groups
+
+    rows = df.filter(F.col(population).isin(target, reference) & F.col(truth).isNotNull() & F.col(own).isNotNull()).select(F.col(population).alias("population"), F.col(who).alias("who"), F.col(truth).cast("double").alias("truth"), F.col(own).cast("double").alias("own"), F.col(other).cast("double").alias("other"))
+    rows = written(rows, "heads")
+    assert_unique(rows, ["population", "who"], "people of two populations")
+    error = F.when(F.col("population") == target, F.abs(F.col("own") - F.col("truth")) - F.abs(F.col("other") - F.col("truth")))
+    slope = lambda p: F.regr_slope(F.when(F.col("population") == p, F.col("own")), F.when(F.col("population") == p, F.col("truth")))
+    facts = [F.avg(error).alias("error_difference"), (slope(target) - slope(reference)).alias("slope_difference")]
+    point = rows.agg(F.count_if(F.col("population") == target).alias("n_target"), F.count_if(F.col("population") == reference).alias("n_reference"), *facts, F.stddev_samp(error).alias("_sd"), F.count(error).alias("_n"))
+    drawn = bootstrap_groups(rows, ["population"], "who", repetitions, seed).groupBy("rep").agg(*facts)
+    z = 1.959963984540054 + 0.8416212335729143
+    limits = []
+    for name in ("error_difference", "slope_difference"):
+        x, short = F.col(name), name.split("_")[0]
+        p = 2 * F.least(F.avg((x <= 0).cast("double")), F.avg((x >= 0).cast("double")))
+        limits += [F.percentile(x, F.lit(0.025)).alias(f"{short}_ci_low"), F.percentile(x, F.lit(0.975)).alias(f"{short}_ci_high"), F.least(F.lit(1.0), F.greatest(1 / F.count(x), p)).alias(f"{short}_p")]
+    spread = drawn.agg(*limits, (z * F.stddev_samp("slope_difference")).alias("slope_mde"))  # repetitions numbers
+    return point.crossJoin(spread).withColumn("error_mde", z * F.col("_sd") / F.sqrt("_n")).drop("_sd", "_n")  # one row each
+
+
 # harmonization
 
 
@@ -323,3 +464,38 @@ def harmonize_crossfit(df: DataFrame, fold: str, vector: str, source: str, refer
         out = part if out is None else out.unionByName(part)
     return out
 
+
+def nested_domain_auc(df: DataFrame, vector: str, source: str, reference: str, other: str, age: str, sex: str, label: str, who: str, dim: int, k: int = 5, seed: object = 0, c: float = 0.1, most: int | None = None, **how) -> DataFrame:
+    """(fold, auc, n_train, n_test): how well a linear head tells the sources apart on people that neither it nor the harmonizer has seen.
+
+    Folds are dealt within source and label. In each, source effects and the head are learned on the other folds; both sides are rows with label 1, as many
+    of each source (``most`` at most), in hashed order. AUC under a half is as much information as its mirror image: see ``domain_summary``.
+    """
+    rows = df.filter(F.col(source).isin(reference, other) & F.col(label).isNotNull()).withColumn("_cell", F.concat_ws("|", F.col(source), F.col(label).cast("string")))
+    dealt = written(folds(rows, who, k, seed, "_cell").drop("_cell"), "dealt")
+    cells = dealt.groupBy(source, label).agg(F.count_distinct("fold").alias("n")).collect()  # sources x labels
+    if len(cells) < 4 or any(r.n < k for r in cells):
+        raise CheckFailed("every cell of source and label needs rows in all folds")
+
+    def sides(part: DataFrame, effects: DataFrame, name: str) -> DataFrame:
+        moved = harmonize_vectors(part.filter(F.col(label) == 1), effects, vector, source).withColumn("_domain", (F.col(source) == other).cast("int"))
+        if most is not None:
+            order = portable_hash(f"{seed}|{name}", F.col(who))
+            moved = ranked(moved, ["_domain"], [order, F.col(who)], "_place").filter(F.col("_place") <= most).drop("_place")
+        return written(balanced_sample(moved, "_domain", who, f"{seed}|{name}").select(vector, "_domain"), name)
+
+    out = []
+    for f in range(k):
+        train, test = dealt.filter(F.col("fold") != f), dealt.filter(F.col("fold") == f)
+        effects = harmonizer(train, vector, source, reference, age, sex, label, dim, **how)
+        learned, held = sides(train, effects, f"train{f}"), sides(test, effects, f"test{f}")
+        beta, bias = _fit_logistic(learned, vector, "_domain", c, False)
+        scored = apply_head(held, heads_frame(df.sparkSession, [("domain", f, beta, bias)]), vector, "_score")
+        out.append((f, discrimination(scored, "_domain", "_score").first().auroc, learned.count(), held.count()))
+    return df.sparkSession.createDataFrame(out, "fold int, auc double, n_train long, n_test long")
+
+
+def domain_summary(by_fold: DataFrame) -> DataFrame:
+    """Mean AUC with and without its direction, and the spread over folds."""
+    mean = F.avg("auc")
+    return by_fold.agg(F.greatest(mean, 1 - mean).alias("auc_mean"), mean.alias("auc_signed_mean"), F.stddev_samp("auc").alias("auc_sd"), F.sum("n_test").alias("n_test"))

@@ -209,7 +209,9 @@ def logistic_effect(df: DataFrame, outcome: str, exposure: str, numeric: Sequenc
         else:
             sums = scored.groupBy(cluster).agg(*[F.sum(F.col(x) * F.col("_e")).alias(x) for x in xs])
             g = sums.count()
-            meat = g / max(g - 1, 1) * gram(sums, xs)
+            if g < 2 or n.n <= p:
+                raise CheckFailed("clustered errors need two clusters and more rows than terms")
+            meat = g / (g - 1) * (n.n - 1) / (n.n - p) * gram(sums, xs)
         se = math.sqrt(max((inverse @ meat @ inverse)[1, 1], 0.0))
     finally:
         rows.unpersist()

@@ -417,12 +417,24 @@ def l05(spark, d):
     return _rounded(models.logistic_oof(dealt, "embedding", "y", "fold", (0.01, 0.1), 2, "vec_id")[0].select("vec_id", "fold", "y", "probability"), 4)
 
 
+def outcomes(spark, d):
+    """Vectors with two outcomes (one unknown in places), an age with gaps and a site."""
+    label, key = F.col("label"), F.col("vec_id")
+    rows = vectors(spark, d).withColumns({"low": (label < 5).cast("int"), "odd": F.when(key % 9 != 0, (label % 2).cast("int")), "rare": (key % 97 == 0).cast("int"), "site": F.when(key % 8 != 0, (key % 3).cast("string")), "years": F.when(key % 6 != 0, F.col("age"))})
+    return models.folds(rows, "vec_id", 3, 3, "low")
+
+
+L06 = {"fold": "fold", "group": "vec_id", "numeric": ["years"], "categorical": ["site"], "k": 8}
+
+
 @query("l06_compare_models")
 def l06(spark, d):
-    rows = models.one_hot(vectors(spark, d).withColumns({"y": (F.col("label") < 5).cast("int"), "site": F.col("vec_id") % 4}), ["site"], ["vec_id"], "clinical")
-    both = models.principal_components(rows, "embedding", 8, "pca").withColumn("combined", F.concat("clinical", "pca"))
-    dealt = models.folds(both, "vec_id", 3, 3, "y")
-    return _rounded(models.compare_models(dealt, "y", {"clinical": "clinical", "embedding": "pca", "combined": "combined"}, "fold", "vec_id"), 3)
+    return _rounded(models.compare_outcomes(outcomes(spark, d), ["low", "odd", "rare", "none"], "embedding", 64, **L06)[1], 3)
+
+
+@query("l06_outcome_availability", "with r as (select (label < 5)::integer as low, case when vec_id % 9 != 0 then label % 2 end as odd, (vec_id % 97 = 0)::integer as rare from embeddings), c as (select 'low' as outcome, count(*) filter (where low = 1) as n_positive, count(*) filter (where low = 0) as n_negative, count(*) - count(low) as n_unknown from r union all select 'odd', count(*) filter (where odd = 1), count(*) filter (where odd = 0), count(*) - count(odd) from r union all select 'rare', count(*) filter (where rare = 1), count(*) filter (where rare = 0), 0 from r) select *, case when n_positive >= 50 and n_negative >= 50 then 'ok' else 'too_few_records' end as status from c union all select 'none', 0, 0, 0, 'column_missing'")
+def l06a(spark, d):
+    return models.outcome_availability(outcomes(spark, d), ["low", "odd", "rare", "none"], "fold")
 
 
 @query("l07_harmonizer")
@@ -437,6 +449,31 @@ def l09(spark, d):
     return _row(spark, {"auc": models.domain_auc(table(spark, d, "embeddings").withColumn("dom", F.col("label") % 2), "embedding", "dom", "vec_id", 3)}, 4)
 
 
+@query("l09_nested_domain_auc")
+def l09n(spark, d):
+    rows = vectors(spark, d).withColumns({"site": F.when(F.col("vec_id") % 3 == 0, "b").otherwise("a"), "y": (F.col("label") < 6).cast("int"), "sex": F.when(F.col("vec_id") % 5 < 2, "F").otherwise("M")})
+    return _rounded(models.domain_summary(models.nested_domain_auc(rows, "embedding", "site", "a", "b", "age", "sex", "y", "vec_id", 64, 3)), 3)
+
+
+HEADS = "select lang as population, doc_id as who, n_chars::double as truth, n_chars * (0.8 + (doc_id % 5) * 0.05) + doc_id * 7919 % 101 as own, n_chars * 0.9 + doc_id * 104729 % 211 as other from documents where lang in ('de', 'fr')"
+PAIR_P = "least(1, greatest(1 / count(x.{0}), 2 * least(avg((x.{0} <= 0)::integer), avg((x.{0} >= 0)::integer))))"
+
+
+@query(
+    "l10_head_bootstrap",
+    f"""with r as ({HEADS}), e as (select population, count(*) as n, regr_slope(own, truth) as s, avg(abs(own - truth) - abs(other - truth)) as m, stddev_samp(abs(own - truth) - abs(other - truth)) as sd from r group by 1),
+    b as (select rep, population, regr_slope(own, truth) as s, avg(abs(own - truth) - abs(other - truth)) as m from {repeat.drawn('select * from r', 'population', 'who', 'truth, own, other', 60, 17)} group by 1, 2),
+    x as (select t.m as error, t.s - o.s as slope from b t join b o using (rep) where t.population = 'de' and o.population = 'fr')
+    select t.n as n_target, o.n as n_reference, round(t.m, 6) as error_difference, round(t.s - o.s, 6) as slope_difference, round(quantile_cont(x.error, 0.025), 6) as error_ci_low, round(quantile_cont(x.error, 0.975), 6) as error_ci_high, round({PAIR_P.format('error')}, 6) as error_p,
+      round(quantile_cont(x.slope, 0.025), 6) as slope_ci_low, round(quantile_cont(x.slope, 0.975), 6) as slope_ci_high, round({PAIR_P.format('slope')}, 6) as slope_p, round(2.8015852181129683 * stddev_samp(x.slope), 6) as slope_mde, round(2.8015852181129683 * t.sd / sqrt(t.n), 6) as error_mde
+    from x, e t, e o where t.population = 'de' and o.population = 'fr' group by t.n, o.n, t.m, t.s, o.s, t.sd""",
+)
+def l10b(spark, d):
+    key, n = F.col("doc_id"), F.col("n_chars")
+    rows = table(spark, d, "documents").select("lang", key, n, (n * (0.8 + (key % 5) * 0.05) + key * 7919 % 101).alias("own"), (n * 0.9 + key * 104729 % 211).alias("other"))
+    return _rounded(models.compare_heads(rows, "lang", "de", "fr", "doc_id", "n_chars", "own", "other", 60, 17))
+
+
 GRID = "with g as (select vec_id as image, label, cast(k // 8 as integer) as row, cast(k % 8 as integer) as col, v from (select vec_id, label, unnest(embedding)::double as v, unnest(range(0, 64)) as k from embeddings)) "
 
 

@@ -25,7 +25,8 @@ def _finished(spark, stream, mode: str):
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(out)
     stream.writeStream.foreachBatch(lambda df, i: df.write.mode("overwrite").parquet(f"{out}/v{i}")).option("checkpointLocation", mark).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{out}/v*").dropDuplicates() if mode != "complete" else spark.read.schema(stream.schema).parquet(f"{out}/v0")
+    versions = sorted(int(n.removeprefix("v")) for n in readers._names(spark, f"{out}/v*"))
+    return spark.read.schema(stream.schema).parquet(*([f"{out}/v{versions[-1]}"] if mode == "complete" else [f"{out}/v{n}" for n in versions]))
 
 
 def _source(spark, d):
@@ -52,6 +53,13 @@ def r02(spark, d):
     return out.select("user_id", F.date_format("session_window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n")
 
 
+# windows that the watermark has passed are put out and leave the state; those still open are not
+@query("r01_closed_windows", "with w as (select time_bucket(interval '1 hour', ts) as start, event_type, value from events) select strftime(start, '%Y-%m-%d %H:%M') as start, event_type, count(*) as n, round(sum(value), 4) as value_sum from w where start + interval '1 hour' <= (select max(ts) from events) - interval '3 hours' group by 1, 2")
+def r01c(spark, d):
+    out = _finished(spark, handoff.windowed_counts(_source(spark, d), "ts", "1 hour", "3 hours", ["event_type"]), "append")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.round("value_sum", 4).alias("value_sum"))
+
+
 SIZE = 250  # rows of a batch; the last one is short and waits
 FULL = f"(select count(*) // {SIZE} * {SIZE} from events)"
 BATCHED = "with r as (select event_id, user_id, value, user_id % 3 != 0 as ok, row_number() over (order by event_id) - 1 as k from events) "
@@ -115,6 +123,32 @@ def r08(spark, d):
     return _finished(spark, stream.select("event_type", "user_id"), "append")
 
 
+# rows that fail the gate or have no flag never enter the state of the deduplication; a watermark of a day bounds it
+@query("r08_gated_dedupe_stream", "select distinct event_type, user_id from events where event_id % 4 not in (0, 1)")
+def r08g(spark, d):
+    k = F.col("event_id") % 4
+    flagged = _source(spark, d).withColumn("quality_pass", F.when(k == 0, "fail").when(k == 2, "pass").when(k == 3, "1"))
+    stream = handoff.deduplicated_stream(handoff.gated_stream(flagged, ["quality_pass"]), ["event_type", "user_id"], "ts", "1 day")
+    return _finished(spark, stream.select("event_type", "user_id"), "append")
+
+
+@query("r05_batch_arrivals", f"with n as (select count(*) as n from events), b as (select i * {SIZE} as start, least({SIZE}, n - i * {SIZE}) as rows from n, range(0, (select count(*) from events)) r(i) where i * {SIZE} < n) select printf('batch_%09d_%09d', start, start + {SIZE}) as batch, 'complete' as event, rows as n_rows, {SIZE}::bigint as expected from b where rows = {SIZE}")
+def r05a(spark, d):
+    rows = handoff.batch_stream(spark, _batches(spark, d), "event_id long, user_id long, value double, quality_pass string")
+    out, mark, seen = new_folder(spark, "stream"), new_folder(spark, "mark"), handoff.arrivals(rows, "event_id", 3_600_000)
+    # its timers never rest, so the stream would not end by itself
+    seen.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(once=True).start().awaitTermination()
+    return spark.read.schema(seen.schema).parquet(out).filter("event = 'complete'").select("batch", "event", "n_rows", "expected")
+
+
+@query("r05_run_state", f"select {FULL} // {SIZE} as n_batches, {FULL} as n_rows, {FULL} as covered_to, 'finished' as status")
+def r05s(spark, d):
+    expected = table(spark, d, "events").count() // SIZE * SIZE
+    source, target, mark = _batches(spark, d), new_folder(spark, "target"), new_folder(spark, "mark")
+    handoff.consume(spark, source, "event_id long, user_id long, value double, quality_pass string", target, mark, "event_id", ["quality_pass"], max_files=40, expected=expected).awaitTermination()
+    return handoff.run_state(spark, target, "1 hour").select("n_batches", "n_rows", "covered_to", "status")
+
+
 @query("r09_rollup_stream", "select event_type, round(sum(value) / count(value), 6) as mean, count(value) as n from events group by 1")
 def r09(spark, d):
     target, mark = new_folder(spark, "stream"), new_folder(spark, "stream")

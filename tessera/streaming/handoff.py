@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,14 +61,17 @@ def consume(
     process: Callable[[DataFrame], DataFrame] | None = None,
     max_files: int | None = None,
     available_now: bool = True,
+    expected: int | None = None,
 ) -> StreamingQuery:
     """Starts the consumer: gated rows go to ``target``/rows, the ledger to ``target``/ledger, rows of incomplete batches wait in
     ``target``/pending and are tried again with the next files. Rows and ledger are parts of the micro-batch, which is all that it writes besides the
-    rows that still wait; a repeated micro-batch replaces its parts.
+    rows that still wait; a repeated micro-batch replaces its parts. Each micro-batch leaves a heartbeat in ``target``/beats; coverage of ``expected`` rows
+    is what finishes the run.
     """
 
     def each(df: DataFrame, batch_id: int) -> None:
         _settle(spark, df, batch_id, target, key, flags, process)
+        beat(spark, target, batch_id, expected)
 
     stream = batch_stream(spark, source, schema, max_files).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if available_now else stream.trigger(processingTime="30 seconds")).start()
@@ -129,6 +134,100 @@ def restart_tokens(sources: DataFrame, ledger: DataFrame) -> DataFrame:
     return sources.join(last, ["source", "bytes", "mtime"], "left").select("source", F.coalesce(F.col("last") + 1, F.lit(0)).alias("next_index"))
 
 
+# arrival of batches as a stateful stream
+
+ARRIVED = "batch string, event string, n_rows long, expected long, alarms int"
+ARRIVAL_STATE = "hashes array<long>, alarms int, done boolean"
+
+
+def arrivals(stream: DataFrame, key: str, stale_ms: int, alarms: int = 3, keep_ms: int | None = None) -> DataFrame:
+    """What happens to each batch of a stream of rows with a batch name: (batch, event, n_rows, expected, alarms).
+
+    complete: as many distinct keys as its name says have come, emitted once. stale: nothing came for ``stale_ms`` and rows are missing; after ``alarms`` of them
+    in a row the batch is given up. surplus: more distinct keys than its name says, or rows after it was complete with keys that it didn't have.
+    unnamed: the name encodes no interval.
+
+    The state of a batch is one 64-bit hash for each key, as many as its name says and one more, until it is complete; then its hashes stay for
+    ``keep_ms`` (``stale_ms`` if not given), so that a replay says nothing, and go. Given up batches leave no state. Timers are of processing time: a stream that
+    gets no rows still raises alarms.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    rest = stale_ms if keep_ms is None else keep_ms
+    start, stop = batch_interval(F.col("batch"))
+    rows = stream.select("batch", F.xxhash64(key).alias("h"), F.col(key).isNotNull().alias("known"), (stop - start).alias("expected"))
+    return rows.groupBy("batch").applyInPandasWithState(_arrival(stale_ms, alarms, rest), ARRIVED, ARRIVAL_STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+
+
+def _arrival(stale_ms: int, most: int, rest: int):
+    import pandas as pd
+
+    def step(name, frames, state):
+        batch = name[0]
+        hashes, alarms, done = state.get if state.exists else ([], 0, False)
+        found = re.search(BATCH_NAME, batch or "")
+        expected = int(found[2]) - int(found[1]) if found else None
+
+        def event(kind: str, n: int):
+            return pd.DataFrame([(batch, kind, n, expected, alarms)], columns=["batch", "event", "n_rows", "expected", "alarms"])
+
+        if state.hasTimedOut:
+            if done:
+                state.remove()
+            else:
+                alarms += 1
+                if alarms < most:
+                    state.update((hashes, alarms, done))
+                    state.setTimeoutDuration(stale_ms)
+                else:
+                    state.remove()
+                yield event("stale", len(hashes))
+            return
+        had, seen, surplus = set(hashes), set(hashes), 0
+        for frame in frames:
+            for h in frame.loc[frame.known, "h"].tolist():
+                if h in seen:
+                    continue
+                if expected is not None and len(seen) >= expected:
+                    surplus += 1  # not kept: the state stays as large as the batch
+                else:
+                    seen.add(h)
+        if expected is None:
+            yield event("unnamed", len(seen))
+            return
+        if surplus:
+            yield event("surplus", len(seen) + surplus)
+        if len(seen) == expected and not done:
+            done = True
+            yield event("complete", len(seen))
+        if seen != had:
+            alarms = 0
+        state.update((list(seen), alarms, done))
+        state.setTimeoutDuration(rest if done else stale_ms)
+
+    return step
+
+
+def gated_stream(stream: DataFrame, flags: Sequence[str]) -> DataFrame:
+    """Rows of a stream that pass every flag. An unknown word stops the stream; what fails or has no flag never reaches the operators (and their state) behind."""
+    return gate(stream, flags)
+
+
+def beat(spark: SparkSession, target: str, number: int, expected: int | None = None) -> None:
+    """A heartbeat of the run in ``target``/beats: when, how many batches and rows are complete, how far coverage reaches. A replay replaces its own."""
+    done = ledger(spark, target)
+    row = progress(done, expected if expected is not None else 2**62)
+    row.select(F.lit(number).alias("number"), F.current_timestamp().alias("at"), "n_batches", "n_rows", "covered_to", "finished").coalesce(1).write.mode("overwrite").parquet(f"{target}/beats/beat={number:09d}")
+
+
+def run_state(spark: SparkSession, target: str, stale: str) -> DataFrame:
+    """One row: the last heartbeat, and status finished, running, or stale where none came for ``stale`` (an interval such as "5 minutes")."""
+    beats = spark.read.parquet(f"{target}/beats").drop("beat")
+    last = beats.agg(F.max(F.struct("number", "at", "n_batches", "n_rows", "covered_to", "finished")).alias("b")).select("b.*")
+    old = F.col("at") < F.current_timestamp() - F.expr(f"interval {stale}")
+    return last.withColumn("status", F.when(F.col("finished"), "finished").when(old, "stale").otherwise("running"))
+
+
 def content_signature(rows: DataFrame, columns: Sequence[str]) -> tuple:
     """A digest to tell whether a batch's content changed."""
     return tuple(signature(rows, columns).first())
