@@ -113,9 +113,19 @@ def visit_code(value: Column) -> Column:
     return F.when(v.isin("F1", "FUP1"), "F1").when(v == "BL", "BL")
 
 
+#: Words of releases for a sex. Any other word is kept behind OTHER:.
+SEX_WORDS = {"F": ["F", "FEMALE", "2", "2.0", "WOMAN"], "M": ["M", "MALE", "1", "1.0", "MAN"], "MISSING": ["", "NAN", "NONE", "NULL", "8", "9", "-8", "-9"]}
+
+
+def coded(value: Column, words: Mapping[str, list[str]]) -> Column:
+    """The code whose words a value is among, or null: one look-up in a constant map."""
+    pairs = [F.lit(x) for code, own in words.items() for w in own for x in (w, code)]
+    return F.try_element_at(F.create_map(*pairs), value)
+
+
 def sex_code(value: Column) -> Column:
-    v = F.upper(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
-    return F.when(v.isin("F", "FEMALE", "2", "2.0", "WOMAN"), "F").when(v.isin("M", "MALE", "1", "1.0", "MAN"), "M").when(v.isin("", "NAN", "NONE", "NULL", "8", "9", "-8", "-9"), "MISSING").otherwise(F.concat(F.lit("OTHER:"), v))
+    word = F.upper(F.trim(F.coalesce(value.cast("string"), F.lit(""))))
+    return F.coalesce(coded(word, SEX_WORDS), F.concat(F.lit("OTHER:"), word))
 
 
 def eye_code(value: Column) -> Column:
@@ -144,18 +154,22 @@ def extension(path: Column) -> Column:
     return F.coalesce(F.nullif(F.regexp_extract(name, f"({compound})$", 1), F.lit("")), F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
 
 
+#: Classes of archive members, (class, extensions, what the file name must hold). The first row that fits wins.
+MEMBER_CLASSES = [
+    ("fundus_image", IMAGE_EXTENSIONS, ""),
+    ("data_dictionary", (".xlsx", ".xls"), "dictionar"),
+    ("tabular_data", TABULAR_EXTENSIONS, ""),
+    ("genetics", GENETIC_EXTENSIONS, ""),
+    ("documentation", DOCUMENT_EXTENSIONS, ""),
+    ("nested_archive", (".zip", ".7z"), ""),
+]
+
+
 def member_class(path: Column) -> Column:
-    """What an archive member is, by its name."""
-    ext = extension(path)
-    return (
-        F.when(ext.isin(*IMAGE_EXTENSIONS), "fundus_image")
-        .when(ext.isin(".xlsx", ".xls") & F.lower(file_name(path)).contains("dictionar"), "data_dictionary")
-        .when(ext.isin(*TABULAR_EXTENSIONS), "tabular_data")
-        .when(ext.isin(*GENETIC_EXTENSIONS), "genetics")
-        .when(ext.isin(*DOCUMENT_EXTENSIONS), "documentation")
-        .when(ext.isin(".zip", ".7z"), "nested_archive")
-        .otherwise("other")
-    )
+    """The first class of ``MEMBER_CLASSES`` that a path fits, else other."""
+    ending, name = extension(path), F.lower(file_name(path))
+    fits = [F.when(ending.isin(*endings) & name.contains(part), kind) for kind, endings, part in MEMBER_CLASSES]
+    return F.coalesce(*fits, F.lit("other"))
 
 
 def path_identity(path: Column, pattern: str = r"(?i)(?:^|/)(\d{7})/retinal_(left|right)\.jpe?g$") -> tuple[Column, Column]:

@@ -181,7 +181,7 @@ def merged(current: DataFrame, batch: DataFrame, keys: Sequence[str], version: s
     return both.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r", "_new")
 
 
-MAX_PARTS = 16  # parts of a keyed table that wait to be merged
+MAX_PARTS = 16  # parts, or runs of one level, of a keyed table that wait to be merged
 
 
 def _names(spark: SparkSession, pattern: str) -> list[str]:
@@ -201,44 +201,58 @@ def _number(name: str) -> int:
     return int(name.rpartition("=")[2])
 
 
+def _held(spark: SparkSession, path: str) -> tuple[list[tuple[int, int, int, str]], list[str]]:
+    """(what makes up a table, what nothing reads any more): parts and runs as (level, first and last number, name), oldest first.
+
+    A part is of level 0. A run holds all parts from its first to its last number and stands for everything that lies inside of it.
+    """
+    found = [(0, n, n, name) for name in _names(spark, f"{path}/part=*") for n in [_number(name)]]
+    for name in _names(spark, f"{path}/run=*"):
+        level, first, last = map(int, name.removeprefix("run=").split("-"))
+        found.append((level, first, last, name))
+    inside = lambda x: any(y[0] > x[0] and y[1] <= x[1] and x[2] <= y[2] for y in found)
+    return sorted((x for x in found if not inside(x)), key=lambda x: x[2]), [x[3] for x in found if inside(x)]
+
+
+def _read(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
+    """The newest row of each key of parts and runs, the last one being the newest. Columns that some of them lack are null there."""
+    out = None
+    for place, name in enumerate(names):
+        rows = spark.read.parquet(f"{path}/{name}").withColumn("_part", F.lit(place))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if len(names) == 1:
+        return out.drop("_part")
+    keys = [r.key for r in spark.read.parquet(f"{path}/keys").collect()]
+    return out.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_part")))).filter("_r = 1").drop("_r", "_part")
+
+
 def upsert(spark: SparkSession, path: str, batch: DataFrame, keys: Sequence[str], version: str | None = None, part: int | None = None) -> None:
     """Keyed upsert of a Parquet table by parts: a batch is written once, as a part; the newest part that has a key wins when the table is read.
 
-    So an upsert costs what its batch costs. After ``MAX_PARTS`` parts all are merged into a new base, which is ready when its write has
-    ended; parts that it holds go with the next merge. ``part`` names a part: writing it again replaces it, so a repeated
-    micro-batch changes nothing. Parts that a base already holds are not written again.
+    ``MAX_PARTS`` parts are merged into a run of level 1, as many runs of a level into one of the next. So a row is written once for each level, and
+    upserts write n log n rows together, whatever the table holds; a reader opens ``MAX_PARTS`` parts and runs of each level at most. A run counts when its
+    write has ended; what it holds goes with the next upsert. ``part`` names a part: writing it again replaces it, so a repeated micro-batch changes
+    nothing. Parts that a run already holds are not written again.
     """
     if not _names(spark, f"{path}/keys"):
         spark.createDataFrame([(k,) for k in keys], "key string").coalesce(1).write.mode("overwrite").parquet(f"{path}/keys")
-    bases, parts = ([_number(n) for n in _names(spark, f"{path}/{what}=*")] for what in ("base", "part"))
-    number = part if part is not None else max([-1, *bases, *parts]) + 1
-    if bases and number <= bases[-1]:
+    held, over = _held(spark, path)
+    number = part if part is not None else max([-1, *(x[2] for x in held)]) + 1
+    if any(level and first <= number <= last for level, first, last, _ in held):
         return
     merged(batch.limit(0), batch, keys, version).write.mode("overwrite").parquet(f"{path}/part={number:09d}")
-    waiting = sorted({*parts, number} - {n for n in parts if bases and n <= bases[-1]})
-    if len(waiting) >= MAX_PARTS:
-        read_table(spark, path).write.mode("overwrite").parquet(f"{path}/base={number:09d}")
-        for n in bases[:-1]:
-            _delete(spark, f"{path}/base={n:09d}")
-        for n in parts:
-            if bases and n <= bases[-1]:
-                _delete(spark, f"{path}/part={n:09d}")
+    for name in over:
+        _delete(spark, f"{path}/{name}")
+    level = 0
+    while len(mine := [x for x in _held(spark, path)[0] if x[0] == level]) >= MAX_PARTS:
+        _read(spark, path, [x[3] for x in mine]).write.mode("overwrite").parquet(f"{path}/run={level + 1:02d}-{mine[0][1]:09d}-{mine[-1][2]:09d}")
+        level += 1
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest row of each key of an upserted table; None where there is none. Columns that older parts lack are null there."""
-    bases, parts = ([_number(n) for n in _names(spark, f"{path}/{what}=*")] for what in ("base", "part"))
-    chosen = [f"base={n:09d}" for n in bases[-1:]] + [f"part={n:09d}" for n in parts if not bases or n > bases[-1]]
-    if not chosen:
-        return None
-    out = None
-    for place, name in enumerate(chosen):
-        rows = spark.read.parquet(f"{path}/{name}").withColumn("_part", F.lit(place))
-        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
-    if len(chosen) == 1:
-        return out.drop("_part")
-    keys = [r.key for r in spark.read.parquet(f"{path}/keys").collect()]
-    return out.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("_part")))).filter("_r = 1").drop("_r", "_part")
+    """The newest row of each key of an upserted table; None where there is none."""
+    held, _ = _held(spark, path)
+    return _read(spark, path, [x[3] for x in held]) if held else None
 
 
 def with_column(df: DataFrame, name: str, kind: str) -> DataFrame:

@@ -18,7 +18,7 @@ def table(n=240, dim=6, seed=4):
     fold = np.arange(n) % 3
     v[fold == 2] += np.where(np.arange(dim) == 5, 25 * (2 * y[:, None] - 1)[fold == 2], 0)  # a direction that only one fold's rows have
     age = [None if i % 7 == 0 else float(60 + 5 * y[i] + r.normal(0, 6)) for i in range(n)]
-    site = [None if i % 11 == 0 else "pqr"[i % 3] if fold[i] != 1 or i % 2 else "only1" for i in range(n)]
+    site = [None if i % 11 == 0 else "pqr"[i // 3 % 3] if fold[i] != 1 or i % 2 else "only1" for i in range(n)]
     return [(i, int(fold[i]), v[i].tolist(), int(y[i]), None if i % 10 == 0 else int(y[i] ^ (i % 13 == 0)), age[i], site[i]) for i in range(n)]
 
 
@@ -87,8 +87,8 @@ def test_domain_head_behind_a_harmonizer(spark):
     for i in range(360):
         site, y = "ab"[i % 3 == 0], int(i % 4 > 0)
         v = r.normal(0, 1, 4) + np.array([1.5 * (site == "b"), 0.5 * y, 0, 0])
-        data.append((i, site, y, float(60 + r.normal(0, 5)), "FM"[i % 2], v.tolist(), [x + 0.0 for x in v]))
-    df = spark.createDataFrame(data, "who int, site string, y int, age double, sex string, v array<double>, w array<double>").repartition(3)
+        data.append((i, site, y, float(60 + r.normal(0, 5)), "FM"[i % 2], v.tolist()))
+    df = spark.createDataFrame(data, "who int, site string, y int, age double, sex string, v array<double>").repartition(3)
     fold = models.nested_domain_auc(df, "v", "site", "a", "b", "age", "sex", "y", "who", 4, 3, most=60)
     by = fold.collect()
     assert len(by) == 3 and all(x.n_train <= 120 and x.n_train % 2 == 0 and x.n_test > 30 for x in by)

@@ -120,6 +120,31 @@ def test_keyed_table_by_parts(spark, tmp_path, monkeypatch):
     assert readers.read_table(spark, f"file://{tmp_path}/none") is None
 
 
+def test_levels_bound_what_upserts_write(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MAX_PARTS", 4)
+    path, plan, want = f"file://{tmp_path}/t", [], {}
+    write = readers._read
+
+    def noted(session, where, names):
+        out = write(session, where, names)
+        plan.append(out.count())
+        return out
+
+    monkeypatch.setattr(readers, "_read", noted)
+    many, size = 40, 5
+    for k in range(many):
+        batch = [(k * size + i, f"{k}") for i in range(size - 1)] + [(0, f"{k}")]  # new keys, and one that comes again and again
+        want |= dict(batch)
+        readers.upsert(spark, path, spark.createDataFrame(batch, "id int, v string").coalesce(1), ["id"])
+    merges = list(plan)
+    # each row is written again once for each level: log4(40) of them at most
+    assert sum(merges) <= many * size * 3 and max(len(list(tmp_path.glob(f"t/{x}=*"))) for x in ("part", "run")) <= 12
+    assert {r.id: r.v for r in readers.read_table(spark, path).collect()} == want
+    # parts that runs hold are not written again
+    readers.upsert(spark, path, spark.createDataFrame([(1, "again")], "id int, v string"), ["id"], part=3)
+    assert {r.id: r.v for r in readers.read_table(spark, path).collect()} == want
+
+
 def test_replayed_micro_batch_changes_nothing(spark, tmp_path):
     target = f"file://{tmp_path}/target"
     name = "batch_000000000_000000004"
