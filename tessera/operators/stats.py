@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..sources.shared import written
 from .checks import CheckFailed, assert_unique
 from .quantiles import exact, with_exact
 from .windows import average_rank, average_ranks, running, with_aggregates
@@ -299,17 +300,24 @@ def wilcoxon(df: DataFrame, a: str, b: str) -> dict:
 
 
 def chi_square(df: DataFrame, a: str, b: str) -> dict:
-    """Omnibus chi-square of a contingency table with Cramer's V; Fisher's exact p for a 2 x 2 table."""
-    counts = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
-    cells = {(r.a, r.b): r.n for r in counts.collect()}  # levels x levels
-    rows, cols = sorted({x for x, _ in cells}), sorted({y for _, y in cells})
-    if len(rows) < 2 or len(cols) < 2:
+    """Omnibus chi-square of a contingency table with Cramer's V; Fisher's exact p for a 2 x 2 table.
+
+    Cells and their margins stay in Spark, whatever the number of levels; the driver gets one row of sums, and four cells for Fisher's test.
+    """
+    cells = df.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(F.col(a).cast("string").alias("a"), F.col(b).cast("string").alias("b")).agg(F.count("*").alias("n"))
+    cells = written(cells, "cells")
+    placed = with_aggregates(with_aggregates(cells, ["a"], _row=F.sum("n")), ["b"], _col=F.sum("n"))
+    r = placed.agg(F.sum("n").alias("n"), F.count_distinct("a").alias("rows"), F.count_distinct("b").alias("cols"), F.sum(F.col("n") * F.col("n") / (F.col("_row").cast("double") * F.col("_col"))).alias("s")).first()
+    if not r.n or r.rows < 2 or r.cols < 2:
         return {"chi2": None, "df": None, "p_value": None, "cramers_v": None, "fisher_p": None}
-    m = np.array([[cells.get((x, y), 0) for y in cols] for x in rows], float)
-    expected = m.sum(1, keepdims=True) * m.sum(0, keepdims=True) / m.sum()
-    chi2, dof = float(((m - expected) ** 2 / expected).sum()), (len(rows) - 1) * (len(cols) - 1)
-    fisher = tails.fisher_two_sided(*[int(x) for x in m.ravel()]) if m.shape == (2, 2) else None
-    return {"chi2": chi2, "df": dof, "p_value": tails.chi2_sf(chi2, dof), "cramers_v": math.sqrt(chi2 / m.sum() / min(len(rows) - 1, len(cols) - 1)), "fisher_p": fisher}
+    # the sum of (observed - expected)^2 / expected over all cells, empty ones too
+    chi2, dof = max(0.0, r.n * (r.s - 1)), (r.rows - 1) * (r.cols - 1)
+    fisher = None
+    if r.rows == r.cols == 2:
+        found = {(x.a, x.b): x.n for x in cells.collect()}
+        x, y = (sorted({k[i] for k in found}) for i in (0, 1))
+        fisher = tails.fisher_two_sided(*[found.get((i, j), 0) for i in x for j in y])
+    return {"chi2": chi2, "df": dof, "p_value": tails.chi2_sf(chi2, dof), "cramers_v": math.sqrt(chi2 / r.n / min(r.rows - 1, r.cols - 1)), "fisher_p": fisher}
 
 
 # agreement
@@ -433,5 +441,7 @@ def gates(summary: DataFrame, rules: Mapping[str, Column]) -> DataFrame:
 
 def covariate_available(df: DataFrame, group: str, column: str, least: float = 0.8) -> bool:
     """Whether a covariate is observed for ``least`` of both groups with two shared levels."""
-    parts = df.filter(F.col(group).isin(0, 1)).groupBy(group).agg((F.count(column) / F.count("*")).alias("seen"), F.collect_set(F.col(column).cast("string")).alias("levels")).collect()
-    return len(parts) == 2 and all(r.seen >= least for r in parts) and len(set(parts[0].levels) & set(parts[1].levels)) >= 2
+    rows = df.filter(F.col(group).isin(0, 1))
+    parts = rows.groupBy(group).agg((F.count(column) / F.count("*")).alias("seen")).collect()
+    levels = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("level")).agg(F.count_distinct(group).alias("groups"))
+    return len(parts) == 2 and all(r.seen >= least for r in parts) and levels.filter("groups = 2").limit(2).count() == 2

@@ -115,36 +115,43 @@ def archive_members(archives: DataFrame, path: str = "path") -> DataFrame:
 def read_batches(spark: SparkSession, glob: str, schema: StructType | str, keys: Sequence[str] = ()) -> DataFrame:
     """Batches of Parquet with drifting types as one stable projection.
 
-    Tasks read the files' footers and group the files by them; each group is read with its own schema, cast, and united. What comes to
-    the driver is one schema for each drift, with its files.
+    Names of files are rows: tasks read their footers and give a row for each row group; tasks read row groups, one at a time, and cast the
+    columns of the projection. Columns that a file lacks are null; a value that its type can't hold fails the job. Large files are read by many tasks.
     """
+    from pyspark.sql.pandas.types import to_arrow_type
     from pyspark.sql.types import _parse_datatype_string
 
     from ..operators.checks import assert_unique
 
     target = schema if isinstance(schema, StructType) else _parse_datatype_string(schema)
+    kinds = {f.name: to_arrow_type(f.dataType) for f in target.fields}
     files = spark.read.format("binaryFile").load(glob).select("path")
+    if not files.limit(1).count():
+        raise FileNotFoundError(glob)
 
-    def footers(batches):
+    def opened(path: str):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
+        store, where = fs.FileSystem.from_uri(path)
+        return pq.ParquetFile(store.open_input_file(where))
+
+    def footers(batches):
         for pdf in batches:
-            kinds = []
-            for p in pdf["path"]:
-                store, where = fs.FileSystem.from_uri(p)
-                with store.open_input_file(where) as f:
-                    kinds.append(str(pq.ParquetFile(f).schema_arrow.remove_metadata()))
-            yield pd.DataFrame({"kind": kinds, "path": pdf["path"]})
-
-    groups = files.repartition("path").mapInPandas(footers, "kind string, path string").groupBy("kind").agg(F.collect_list("path").alias("paths")).orderBy("kind").collect()
-    out = None
-    for row in groups:
-        df = spark.read.parquet(*row.paths)
-        part = df.select(*[(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(None).cast(f.dataType)).alias(f.name) for f in target.fields])
-        out = part if out is None else out.unionByName(part)
-    if out is None:
-        raise FileNotFoundError(glob)
+            yield pd.DataFrame([(p, g) for p in pdf["path"] for g in range(opened(p).num_row_groups)], columns=["path", "row_group"])
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for path, g in zip(*(batch.column(c).to_pylist() for c in ("path", "row_group")), strict=True):
+                with opened(path) as f:
+                    table = f.read_row_group(g, columns=[c for c in f.schema_arrow.names if c in kinds])
+                out = [table.column(c).cast(k, safe=not pa.types.is_floating(table.column(c).type)) if c in table.column_names else pa.nulls(table.num_rows, k) for c, k in kinds.items()]
+                yield from pa.table(out, names=list(kinds)).to_batches(max_chunksize=50_000)
+
+    groups = files.repartition("path").mapInPandas(footers, "path string, row_group int")
+    out = groups.repartition("path", "row_group").mapInArrow(rows, target)
     return assert_unique(out, keys, glob) if keys else out
 
 
