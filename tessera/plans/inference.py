@@ -160,12 +160,17 @@ def effects(spark, d):
     return table(spark, d, "orders").select(F.col("o_orderkey"), "o_custkey", (F.col("o_totalprice") / 1000).alias("y"), (F.col("o_orderstatus") == "F").cast("int").alias("exposed"), F.when(F.col("o_orderkey") % 9 != 0, F.dayofyear("o_orderdate").cast("double")).alias("age"), F.col("o_orderpriority").alias("sex"))
 
 
-@query("q07_adjusted_effect_hc3")
+EFFECT_ROWS = "select o_custkey as cluster, o_totalprice / 1000 as y, (o_orderstatus = 'F')::integer as g, case when o_orderkey % 9 != 0 then dayofyear(o_orderdate)::double end as age, o_orderpriority as sex from orders"
+EFFECT_FILLED = f"select *, (filled - avg(filled) over ()) / stddev_pop(filled) over () as z from (select *, coalesce(age, (select quantile_cont(age, 0.5) from ({EFFECT_ROWS}))) as filled from ({EFFECT_ROWS}))"
+EFFECT_COLUMNS = ["1", "z", "z * z", "(age is null)::integer", *[f"(sex = '{x}')::integer" for x in ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")]]
+
+
+@query("q07_adjusted_effect_hc3", repeat.regression(EFFECT_FILLED, EFFECT_COLUMNS, "hc3"))
 def q07(spark, d):
     return _row(spark, stats.adjusted_effect(effects(spark, d), "y", "exposed", ["age"], ["sex"]))
 
 
-@query("q08_clustered_effect")
+@query("q08_clustered_effect", repeat.regression(EFFECT_FILLED, EFFECT_COLUMNS, "cluster"))
 def q08(spark, d):
     return _row(spark, stats.clustered_effect(effects(spark, d), "y", "exposed", "o_custkey", ["age"], ["sex"]))
 

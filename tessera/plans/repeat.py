@@ -43,6 +43,34 @@ def auroc(source: str, label: str, score: str, by: str = "") -> str:
     return f"(select {key}sum((tp - p / 2.0) * n) / (sum(p) * sum(n)) as auroc from (select *, sum(p) over ({part}order by s desc rows between unbounded preceding and current row) as tp from ({at})) {'group by ' + by if by else ''})"
 
 
+def two_sided(z: str) -> str:
+    """Normal two-sided p value: one minus the error function, by its series of positive terms."""
+    x = f"(abs({z}) / sqrt(2))"
+    terms = f"list_sum([exp((2 * n + 1) * ln({x}) - ln(2) - lgamma(n + 1.5) + 0.5 * ln(pi()) - {x} * {x}) for n in range(0, 200)])"
+    return f"case when {x} > 6 then 0.0 when {x} = 0 then 1.0 else greatest(0.0, 1 - 2 / sqrt(pi()) * {terms}) end"
+
+
+def regression(rows: str, covariates: list[str], robust: str) -> str:
+    """Select of the effect of g on y next to covariates: columns are made orthogonal one after the other, g last, so that its coefficient and error are plain sums.
+
+    ``rows`` has y, g, cluster and what the covariates name. robust: "hc3" or "cluster".
+    """
+    columns = [*covariates, "g"]
+    k = len(columns)
+    ctes = [f"o_ as (select *, {', '.join(f'({c})::double as c{i}' for i, c in enumerate(columns))} from ({rows}))"]
+    for i in range(k):
+        minus = "".join(f" - sum(c{i} * o{j}) over () / sum(o{j} * o{j}) over () * o{j}" for j in range(i))
+        ctes.append(f"o{i}_ as (select *, c{i}{minus} as o{i} from o{i - 1 if i else ''}_)")
+    r = f"o{k - 1}"
+    fit = "".join(f" - sum(y * o{j}) over () / sum(o{j} * o{j}) over () * o{j}" for j in range(k))
+    ctes.append(f"e_ as (select *, y{fit} as e, {' + '.join(f'o{j} * o{j} / sum(o{j} * o{j}) over ()' for j in range(k))} as h from o{k - 1}_)")
+    ctes.append(f"b_ as (select count(*) as n, count(*) filter (where g = 1) as n_exposed, count(*) filter (where g = 0) as n_reference, sum({r} * y) / sum({r} * {r}) as b, sum({r} * {r}) as rr, sum(({r} * e / (1 - h)) * ({r} * e / (1 - h))) as hc3 from e_)")
+    ctes.append(f"s_ as (select sum(s * s) as s, count(*) as clusters from (select cluster, sum({r} * e) as s from e_ group by cluster))")
+    square = "hc3" if robust == "hc3" else f"clusters / (clusters - 1) * (n - 1) / (n - {k}) * s"
+    extra = "" if robust == "hc3" else ", clusters as n_clusters"
+    return f"with {', '.join(ctes)}, t_ as (select *, sqrt({square}) / rr as se from b_, s_) select n, n_exposed, n_reference, round(b, 6) as estimate, round(se, 6) as se, round(b - 1.96 * se, 6) as ci_low, round(b + 1.96 * se, 6) as ci_high, round({two_sided('b / se')}, 6) as p_value{extra} from t_"
+
+
 def matched(people: str, ratio: int, caliper: float, exact: bool = False, order: str = "difficulty", whole: bool = True, lowest: bool = False, gower: bool = False) -> str:
     """CTEs ``pairs`` and ``audit`` of the sequential greedy over ``people`` (who, age, is_case, sex, tie, band, nation): one case per step and stratum."""
     stratum = "coalesce('=' || sex, 'null')" if exact else "''"
