@@ -99,7 +99,7 @@ def brute_audit(rows, labels):
     least = {}
     for i, t in known:
         least[t] = min(i, least.get(t, i))
-    good, toxic = ({i for i, *v in labels if v[k] == 1} for k in (0, 1))
+    good, toxic = ({i for i, *v in labels if i is not None and v[k] == 1} for k in (0, 1))
     parts = {}
     for (i, _, lang, *_), t in zip(rows, texts, strict=True):
         w = WORD.findall(t)
