@@ -13,8 +13,8 @@ A change only runs on as far as matches depend on each other, so few blocks go a
 hangs on the one before) rounds are as many as blocks. A control person with rows at several values is one person in all blocks.
 
 A block can't be narrower than two calipers. Strata in which that alone is more than ``dense_rows`` rows are matched by rounds of proposals instead
-(``proposals``), whose groups are bounded whatever the caliper holds; that form covers rules of the value distance alone that take one control, or
-up to ``ratio``. What it doesn't cover (all or none of several controls, covariate distances, several rows of a person, a column that has to
+(``proposals``), whose groups are bounded whatever the caliper holds; that form covers rules of the value distance alone (the nearest or the lowest) that take
+one control, or up to ``ratio``. What it doesn't cover (all or none of several controls, covariate distances, several rows of a person, a column that has to
 agree where it is known) goes through blocks at any density.
 """
 
@@ -247,7 +247,7 @@ def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str |
     rows = _frame(df, who, value, case, rule, tie)
     if not rule.null_matches:
         rows = rows.filter(F.col("is_case") | ~F.col("unknown"))
-    dense = _dense(rows, rule, dense_rows) if unique and rule.by_value and not rule.lowest and (rule.ratio == 1 or not rule.whole) else []
+    dense = _dense(rows, rule, dense_rows) if unique and rule.by_value and (rule.ratio == 1 or not rule.whole) else []
     crowded = F.col("stratum").isin(dense) if dense else F.lit(False)
     light = rows.filter(~crowded)
     placed = _in_blocks(light, rule, block_rows)
@@ -266,7 +266,13 @@ def match(df: DataFrame, who: str, value: str, case: str, rule: Rule, tie: str |
     pairs = found.filter("kind = 'pair'").select(*[c.split()[0] for c in PAIRS.split(", ")])
     audit = found.filter("kind = 'audit'").select("case_id", "case_value", "matched", "n_controls", "eligible_at_turn", "reason")
     if heavy is not None:
-        more = written(proposed_pairs(able, numbered, rule.ratio, rule.caliper, block_rows).withColumn("covariate_distance", F.lit(0.0)), "pairs")
+        if rule.lowest:  # the lowest inside of the caliper is the first one from its lower end on, two calipers away at most
+            low = able.withColumn("value", F.when(F.col("is_case"), F.col("value") - rule.caliper).otherwise(F.col("value")))
+            more = proposed_pairs(low, numbered, rule.ratio, 2 * rule.caliper, block_rows, upward=True).withColumn("case_value", F.col("case_value") + rule.caliper)
+            more = more.withColumn("value_distance", F.abs(F.col("control_value") - F.col("case_value")))
+        else:
+            more = proposed_pairs(able, numbered, rule.ratio, rule.caliper, block_rows)
+        more = written(more.withColumn("covariate_distance", F.lit(0.0)), "pairs")
         taken = more.groupBy(F.col("case_id").alias("id")).agg(F.count("*").cast("int").alias("n"))
         judged = heavy.filter("is_case").join(taken, "id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
         reason = F.when(F.col("n") == rule.ratio, F.lit(None)).when(F.col("n") > 0, "partial_ratio").otherwise("too_few_controls")
@@ -388,7 +394,7 @@ def gower_column(pairs: dict[str, tuple[Column, Column]], spread: dict[str, Colu
     return reduce(lambda x, y: x + y, [F.coalesce(p, F.lit(0.0)) for p in parts]) / known
 
 
-def feasibility(df: DataFrame, who: str, value: str, case: str, calipers: Sequence[float], block_rows: int = BLOCK_ROWS) -> DataFrame:
+def feasibility(df: DataFrame, who: str, value: str, case: str, calipers: Sequence[float], block_rows: int = BLOCK_ROWS, dense_rows: int = BLOCK_ROWS) -> DataFrame:
     """(caliper, n_cases, n_with_candidate, max_pairs): how many cases have a control, and the most disjoint pairs there can be.
 
     Distances that differ from the caliper by rounding alone (1e-9) are inside. On a line the most pairs are found by letting cases, ascending, take the lowest control that is left.
@@ -397,10 +403,10 @@ def feasibility(df: DataFrame, who: str, value: str, case: str, calipers: Sequen
     for width in calipers:
         rule = Rule(caliper=width + 1e-9, order="value", lowest=True)
         rows = _frame(df, who, value, case, rule, None)
-        placed = _in_blocks(rows, rule, block_rows)
         n = rows.agg(F.count_if("is_case").alias("n_cases"))
-        some = _counted(placed, rule).agg(F.count_if(F.col("candidates") > 0).alias("n_with_candidate"))
-        pairs = match(df, who, value, case, rule, block_rows=block_rows)[0].agg(F.count("*").alias("max_pairs"))
+        found = reachable(rows, rule.caliper, block_rows) if _dense(rows, rule, dense_rows) else _counted(_in_blocks(rows, rule, block_rows), rule)
+        some = found.agg(F.count_if(F.col("candidates") > 0).alias("n_with_candidate"))
+        pairs = match(df, who, value, case, rule, block_rows=block_rows, dense_rows=dense_rows)[0].agg(F.count("*").alias("max_pairs"))
         found = n.crossJoin(some).crossJoin(pairs).select(F.lit(float(width)).alias("caliper"), "*")
         out = found if out is None else out.unionByName(found)
     return out

@@ -86,7 +86,7 @@ def starts(blocks: Blocks, stratum: str, value: float) -> tuple[int, int]:
 
 def _gap(blocks: Blocks, block: int, value: float, side: int) -> float:
     """What a search on this side can find in a block at the nearest."""
-    return max(0.0, abs((blocks.high[block] if side == 0 else blocks.low[block]) - value))
+    return max(0.0, value - blocks.high[block] if side == 0 else blocks.low[block] - value)
 
 
 class Line:
@@ -204,10 +204,11 @@ def visit(controls: pd.DataFrame, cases: pd.DataFrame, blocks: Blocks, latest: n
     yield ("block", block, None, None, *[None] * 9, FREE if any(h is None for h in holder) else max(h[0] for h in holder))
 
 
-def pairs(rows: DataFrame, turns: DataFrame, ratio: int, caliper: float, block_rows: int) -> DataFrame:
+def pairs(rows: DataFrame, turns: DataFrame, ratio: int, caliper: float, block_rows: int, upward: bool = False) -> DataFrame:
     """(case_id, control_id, match_rank, priority, case_value, control_value, value_distance) of the sequential greedy.
 
-    ``rows``: stratum, id, value, is_case, one row for each person; ``turns``: id and turn of the cases, over all strata.
+    ``rows``: stratum, id, value, is_case, one row for each person; ``turns``: id and turn of the cases, over all strata. With ``upward`` cases take the lowest
+    control from their own value on.
     """
     controls, blocks = cut(rows.filter("not is_case").select("stratum", "id", "value"), block_rows)
     controls = written(controls.repartition("block"), "controls")
@@ -219,7 +220,7 @@ def pairs(rows: DataFrame, turns: DataFrame, ratio: int, caliper: float, block_r
             for stratum, case, value, turn in frame.itertuples(index=False, name=None):
                 left, right = starts(blocks, stratum, value)
                 bound = [_gap(blocks, b, value, s) if b != END else FAR for s, b in enumerate((left, right))]
-                if bound[0] > caliper:
+                if bound[0] > caliper or upward:
                     left, bound[0] = END, FAR
                 if bound[1] > caliper:
                     right, bound[1] = END, FAR

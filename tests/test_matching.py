@@ -139,8 +139,9 @@ def test_most_pairs_over_many_blocks(spark):
         if i < len(b) and b[i] <= x + 0.3 + 1e-9:
             pairs, i = pairs + 1, i + 1
     some = sum(any(abs(x - y) <= 0.3 + 1e-9 for y in b) for x in a)
-    got = m.feasibility(people(spark, rows), "who", "age", "k", [0.3], block_rows=15).first()
-    assert (got.n_cases, got.n_with_candidate, got.max_pairs) == (len(a), some, pairs)
+    for dense in (10**6, 3):  # by blocks, and by proposals
+        got = m.feasibility(people(spark, rows), "who", "age", "k", [0.3], block_rows=15, dense_rows=dense).first()
+        assert (got.n_cases, got.n_with_candidate, got.max_pairs) == (len(a), some, pairs)
 
 
 def extremes_by_turns(rows, caliper):
@@ -177,10 +178,11 @@ def test_rounds_of_proposals_are_the_sequential_greedy(spark, values, share, rat
     r = random.Random(ratio)
     age = {"many": lambda: round(r.uniform(40, 44), 2), "few": lambda: float(r.randint(40, 43)), "one": lambda: 40.0}[values]
     rows = [(f"p{i:03d}", age(), int(r.random() < share), r.choice(["F", "M", None])) for i in range(260)]
-    rule = m.Rule(ratio=ratio, caliper=1.5, whole=False, order=order, exact=("sex",) if exact else ())
-    pairs, audit = m.match(people(spark, rows).repartition(3), "who", "age", "k", rule, block_rows=9, dense_rows=20)
+    reach = 0.07 if (values, ratio) == ("many", 3) else 1.5  # blocks wider and narrower than a caliper
+    rule = m.Rule(ratio=ratio, caliper=reach, whole=False, order=order, exact=("sex",) if exact else ())
+    pairs, audit = m.match(people(spark, rows).repartition(3), "who", "age", "k", rule, block_rows=9, dense_rows=20 if reach > 1 else 2)
     plain, its = m.match(people(spark, rows), "who", "age", "k", rule)
-    assert {(x.case_id, x.control_id) for x in pairs.collect()} == greedy(rows, ratio, 1.5, exact, False, order == "value")
+    assert {(x.case_id, x.control_id) for x in pairs.collect()} == greedy(rows, ratio, reach, exact, False, order == "value")
     assert sorted(map(tuple, pairs.select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
     columns = ["case_id", "case_value", "matched", "n_controls", "reason"]
     assert sorted(map(str, audit.select(columns).collect())) == sorted(map(str, its.select(columns).collect()))
