@@ -13,7 +13,7 @@ All of it is DataFrame functions and SQL. Filters (words are maximal runs of ``[
 * E: identical to the text of a smaller doc_id anywhere in the table. Texts are compared by SHA-256.
 
 Null texts are empty, null parts an empty string. A null doc_id is larger than all others; rows with the same doc_id and text are no copies of
-each other. Labels count for every row with their doc_id, and a doc_id with several labels is good or toxic if one of them
+each other. Labels count for every row with their doc_id (a null one has none), and a doc_id with several labels is good or toxic if one of them
 says so. An empty table gives no rows. Other columns are not read. A hot text is one row of (hash, doc_id) for each copy in a join with the least
 doc_id of its hash, which adaptive execution splits.
 """

@@ -255,11 +255,14 @@ def confirmed(sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
     def settle(batches):
         for batch in batches:
-            a, b = (np.array([len(s) for s in batch.column(c).to_pylist()], np.int64) // 8 for c in ("x", "y"))
-            inter = np.zeros(batch.num_rows, np.int64)
-            for i, (x, y) in enumerate(zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)):
-                inter[i] = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-            yield batch.select(["a", "b"]).filter(pa.array(similar(inter, a + b - inter)))
+            good = np.zeros(batch.num_rows, bool)
+            for start in range(0, batch.num_rows, 256):  # sets of some hundred pairs at a time
+                part = batch.slice(start, 256)
+                for i, (x, y) in enumerate(zip(part.column("x").to_pylist(), part.column("y").to_pylist(), strict=True), start):
+                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    inter = len(np.intersect1d(x, y, assume_unique=True))
+                    good[i] = similar(inter, len(x) + len(y) - inter)
+            yield batch.select(["a", "b"]).filter(pa.array(good))
 
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(settle, "a long, b long")
 
