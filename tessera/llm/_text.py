@@ -209,6 +209,14 @@ def window_cover(starts: np.ndarray, width: int, n: int) -> np.ndarray:
     return np.cumsum(d[:n], dtype=np.int32) > 0
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, or with underscores in front what no column has (Spark's names ignore case)."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True."""
     d = np.diff(np.concatenate(([0], flags.astype(np.int8), [0])))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._text import SpanHash, buffer, inside, lower_ascii, runs, slices, sliding_min, window_cover, word_codes, words
+from ._text import SpanHash, buffer, inside, lower_ascii, runs, slices, sliding_min, unused, window_cover, word_codes, words
 
 WINDOW = 10
 GRAM = 5
@@ -152,6 +152,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int
 
 def remove(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, gram: int = GRAM, unnamed: bool = False) -> DataFrame:
     """``docs`` without documents that share a window with an item, all columns kept; items with a null item_id count if ``unnamed``."""
-    key = hits(docs, benchmark, window, gram).filter(F.size("spans" if unnamed else "items") > 0).select(F.col("doc_id").alias("__hit_doc"), F.col("text_hash").alias("__hit_text")).distinct()
+    doc, text = (unused(c, docs.columns) for c in ("__hit_doc", "__hit_text"))
+    key = hits(docs, benchmark, window, gram).filter(F.size("spans" if unnamed else "items") > 0).select(F.col("doc_id").alias(doc), F.col("text_hash").alias(text)).distinct()
     # documents are looked up by (doc_id, hash of the text); few are hit
-    return docs.join(key, F.col("doc_id").eqNullSafe(F.col("__hit_doc")) & (F.xxhash64("text") == F.col("__hit_text")), "left_anti")
+    return docs.join(key, F.col("doc_id").eqNullSafe(F.col(doc)) & (F.xxhash64("text") == F.col(text)), "left_anti")

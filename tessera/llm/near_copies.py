@@ -17,7 +17,7 @@ only if the shingle sets themselves reach 0.8. Links inside a component change n
 3. All noted classes meet exactly (``prefix_pairs``): sets of a similarity of 0.8 share one of their rarest fifth of shingles. So texts
    that share much, but under 0.8 (forms, long passages), are never paired one by one, and nothing is capped.
 
-Equal sets are one class before any of this (told apart by 64-bit hashes, like shingles). Null texts and texts without words are
+Equal sets are one class before any of this: sets of one 64-bit hash, size and fingerprints (512 bits more; ``told_apart``). Shingles are 64-bit hashes. Null texts and texts without words are
 one class. Which document stays is as in ``simhash.keep_one``.
 """
 
@@ -297,12 +297,24 @@ def prefix_pairs(sets: DataFrame, roots: DataFrame) -> DataFrame:
     return a.join(b, "shingle").filter(fits).select(F.greatest("node_1", "node_2").alias("a"), F.least("node_1", "node_2").alias("b")).distinct()
 
 
+def told_apart(seen: DataFrame) -> DataFrame:
+    """node, n, prints, best (order, doc_id and text hash of the first document) of each class of equal sets in ``seen`` (of ``sketches``).
+
+    Different sets of one 64-bit hash differ in size or fingerprints: the second one takes the next number as its node, and so on. (That this is the hash of a third set
+    is as likely as such a collision times the share of numbers in use.)
+    """
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
+    classes = seen.groupBy("node", "n", "prints").agg(F.min(order).alias("best"))
+    turn = F.row_number().over(Window.partitionBy("node").orderBy("n", "prints"))  # one row but for collisions
+    # towards zero, so that nothing overflows
+    return classes.withColumn("turn", turn).select(F.when(F.col("node") > 0, F.col("node") - F.col("turn") + 1).otherwise(F.col("node") + F.col("turn") - 1).alias("node"), "n", "prints", "best")
+
+
 def groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(node, best, n, prints of each class of equal shingle sets; node, root of the classes that are linked to others)"""
     seen = stored(sketches(docs), "sketches")
     # what is read no more is deleted as it goes
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_hash"))
-    classes = stored(seen.groupBy("node").agg(F.min(order).alias("best"), F.first("n").alias("n"), F.first("prints").alias("prints")), "classes")
+    classes = stored(told_apart(seen), "classes")
     release(seen)
     pairs = stored(proposed(classes, True), "pairs")
     sets = shingles_of(docs, classes, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())

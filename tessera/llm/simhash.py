@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._components import components
 from ._shared import stored
-from ._text import inside, lower_ascii, slices, words
+from ._text import inside, lower_ascii, slices, unused, words
 
 SHINGLE = 4
 MAX_BITS = 4
@@ -264,7 +264,8 @@ def first_of(docs: DataFrame, named: DataFrame) -> DataFrame:
     def key(doc_id, text_hash):
         return F.concat_ws(":", doc_id.cast("string"), text_hash.cast("string"))
 
-    keys = chosen.select(key(F.col("best.doc_id"), F.col("best.text_hash")).alias("__simhash_key"))
-    kept = docs.withColumn("__simhash_key", key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, "__simhash_key", "left_semi")
+    name, turn = (unused(c, docs.columns) for c in ("__simhash_key", "__simhash_n"))
+    keys = chosen.select(key(F.col("best.doc_id"), F.col("best.text_hash")).alias(name))
+    kept = docs.withColumn(name, key(F.col("doc_id").cast("long"), F.xxhash64("text"))).join(keys, name, "left_semi")
     # repeated rows have one key
-    return kept.withColumn("__simhash_n", F.row_number().over(Window.partitionBy("__simhash_key").orderBy("__simhash_key"))).filter("__simhash_n = 1").drop("__simhash_n", "__simhash_key")
+    return kept.withColumn(turn, F.row_number().over(Window.partitionBy(name).orderBy(name))).filter(F.col(turn) == 1).drop(turn, name)

@@ -11,6 +11,7 @@ import pyarrow as pa
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tessera.llm import decontaminate, packing, shared_windows, simhash, suffix_dedup, token_table
@@ -472,6 +473,27 @@ def test_pipeline_keeps_one_of_near_copies(spark, data, monkeypatch, hot):
     assert corpus_pipeline.drop_near_copies(spark, corpus.empty(spark), "").count() == 0
 
 
+def test_classes_of_one_hash_are_told_apart(spark):
+    from tessera.llm import near_copies
+
+    top = 2**63 - 1
+    seen = [(1, 11, 5, 3, b"a"), (2, 12, 5, 3, b"b"), (3, 13, 5, 4, b"a"), (4, 14, 5, 3, b"b"), (5, 15, top, 9, b"x"), (6, 16, top, 9, b"y"), (7, 17, -top - 1, 9, b"x"), (8, 18, -top - 1, 9, b"y"), (None, 19, 0, 0, b""), (9, 20, 0, 0, b"")]
+    got = near_copies.told_apart(spark.createDataFrame(seen, near_copies.SKETCH)).collect()
+    assert len({r.node for r in got}) == len(got) == 8
+    assert sorted((r.n, bytes(r.prints), r.best.doc_id) for r in got) == [(0, b"", 9), (3, b"a", 1), (3, b"b", 2), (4, b"a", 3), (9, b"x", 5), (9, b"x", 7), (9, b"y", 6), (9, b"y", 8)]
+
+
+def test_columns_named_like_keys_pass_through(spark, data):
+    from tessera.llm import near_copies
+
+    named = corpus.frame(spark, data).withColumns({c: F.lit(7) for c in ("__simhash_key", "__SIMHASH_N", "__hit_doc", "__hit_text", "___hit_text")})
+    bench = spark.createDataFrame([(1, data[3][1])], "item_id long, text string")
+    for left in (simhash.keep_one(named), near_copies.keep_one(named), decontaminate.remove(named, bench)):
+        assert left.columns == named.columns
+        rows = left.collect()
+        assert rows and all(tuple(r[5:]) == (7,) * 5 for r in rows)
+
+
 # tokens
 
 
