@@ -23,6 +23,7 @@ from __future__ import annotations
 import bisect
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,7 @@ from ._text import slices
 from ._tokens import encoder
 
 BLOCK = 256 * 1024
+SHARD_BYTES = 256_000_000  # of text in a shard, on average at most
 MAGIC = b"TSST0001"
 FOOTER = struct.Struct("<QQQQQQ8s")  # index place, size; filter place, size; entries, tokens; magic
 
@@ -68,16 +70,21 @@ def _read_varint(data, at: int) -> tuple[int, int]:
         shift += 7
 
 
+def _hashes(key: bytes) -> tuple[int, int]:
+    return zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+
+
 def _probes(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x5BD1E995) | 1
+    a, b = _hashes(key)
     return [(a + i * b) % bits for i in range(7)]
 
 
 class ShardWriter:
-    """Entries in ascending key order to an output stream."""
+    """Entries in ascending key order to an output stream; of a key, eight bytes are held until the filter is written."""
 
     def __init__(self, out):
-        self.out, self.place, self.index, self.keys, self.tokens = out, 0, [], [], 0
+        self.out, self.place, self.index, self.hashes, self.entries, self.tokens = out, 0, [], array("Q"), 0, 0
+        self.lowest = self.highest = None
         self._new_block()
 
     def _new_block(self) -> None:
@@ -93,7 +100,12 @@ class ShardWriter:
         value = ids.tobytes()
         self.block += _varint(shared) + _varint(len(key) - shared) + key[shared:] + _varint(ids.itemsize) + _varint(len(value)) + value
         self.last = key
-        self.keys.append(key)
+        self.lowest = key if self.lowest is None else self.lowest
+        if key != self.highest:
+            a, b = _hashes(key)
+            self.hashes.append(a << 32 | b)
+        self.highest = key
+        self.entries += 1
         self.tokens += len(ids)
         if len(self.block) >= BLOCK:
             self._end_block()
@@ -108,13 +120,14 @@ class ShardWriter:
 
     def close(self) -> None:
         self._end_block()
-        size = max(64, 10 * len(self.keys))
+        size = max(64, 10 * self.entries)
         bloom = np.zeros(size, bool)
-        for key in self.keys:
-            bloom[_probes(key, size)] = True
+        hashes = np.frombuffer(self.hashes, np.uint64) if self.hashes else np.zeros(0, np.uint64)
+        for i in range(7):
+            bloom[(((hashes >> np.uint64(32)) + np.uint64(i) * (hashes & np.uint64(2**32 - 1))) % np.uint64(size)).astype(np.int64)] = True
         bits = struct.pack("<Q", size) + np.packbits(bloom).tobytes()
         index = b"".join(_varint(len(k)) + k + _varint(at) + _varint(n) + _varint(raw) for k, at, n, raw in self.index)
-        self.out.write(bits + index + FOOTER.pack(self.place + len(bits), len(index), self.place, len(bits), len(self.keys), self.tokens, MAGIC))
+        self.out.write(bits + index + FOOTER.pack(self.place + len(bits), len(index), self.place, len(bits), self.entries, self.tokens, MAGIC))
 
 
 class ShardReader:
@@ -168,14 +181,20 @@ class ShardReader:
         return found
 
 
+def shards_for(docs: DataFrame) -> int:
+    """As many shards as the session has shuffle partitions, or more if the bytes of all texts ask for it."""
+    total = docs.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // SHARD_BYTES))
+
+
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, shards: int | None = None) -> list[dict]:
     """Writes the documents' ids under ``path``; returns one entry for each shard, in order.
 
     An entry has path, docs, tokens, start (tokens in all shards before it), first and last (keys). Only these few
-    values a shard come to the driver.
+    values a shard come to the driver. A shard holds ``SHARD_BYTES`` of text on average at most (unless ``shards`` says how many), however few
+    shuffle partitions are set.
     """
-    spark = docs.sparkSession
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = shards or shards_for(docs)
     ordered = docs.select("doc_id", "text").repartitionByRange(shards, F.col("doc_id"), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id"), F.xxhash64("text"), F.col("text"))
 
     def write(batches):
@@ -190,7 +209,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, s
                 for i, doc_id in enumerate(part.column("doc_id").to_pylist()):
                     writer.add(key_of(doc_id), np.concatenate((ids[bounds[i] : bounds[i + 1]], end)))
             writer.close()
-            done[:] = len(writer.keys), writer.tokens, *([writer.keys[0], writer.keys[-1]] if writer.keys else [None, None])
+            done[:] = writer.entries, writer.tokens, writer.lowest, writer.highest
 
         target = publish(f"{path}/shard-{shard:06d}.sst", fill)
         values = (shard, target, *done)

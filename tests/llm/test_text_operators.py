@@ -519,6 +519,14 @@ def test_encoder_equals_the_library(name, data):
             assert ids[bounds[i] : bounds[i + 1]].tolist() == x[:-1].tolist(), texts[i]
 
 
+def test_shards_grow_with_bytes(docs, spark, monkeypatch):
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert token_table.shards_for(docs) == token_table.shards_for(corpus.empty(spark)) == partitions
+    total = sum(len((r.text or "").encode()) for r in docs.select("text").collect())
+    monkeypatch.setattr(token_table, "SHARD_BYTES", total // (3 * partitions))
+    assert 3 * partitions <= token_table.shards_for(docs) <= 3 * partitions + 1
+
+
 def test_token_table_round_trip(docs, data, spark, tmp_path):
     path = f"file://{tmp_path}/sst"
     shards = token_table.write_shards(docs, path, str(public_tokenizers.path("byte_bpe_50k.json")), 2, shards=3)
@@ -531,6 +539,10 @@ def test_token_table_round_trip(docs, data, spark, tmp_path):
     assert result(token_table.read_shards(spark, shards)) == sorted(expected, key=key)
     assert [x.tolist() for x in token_table.lookup(shards, 8)] == [encoded("byte_bpe_50k.json", [data[8][1]])[0].tolist()]
     assert len(token_table.lookup(shards, None)) == 2 and token_table.lookup(shards, 12345) == []
+    readers = [token_table.ShardReader(s["path"]) for s in shards]
+    assert sum(r.entries for r in readers) == len(data)
+    assert all(r.may_have(k) for r in readers for k, _ in r)  # a filter forgets no key
+    assert sum(r.may_have(token_table.key_of(10**9 + i)) for r in readers for i in range(1000)) < 100 * len(readers)
     none = token_table.write_shards(corpus.empty(spark), f"file://{tmp_path}/none", str(public_tokenizers.path("byte_bpe_50k.json")), 2, shards=2)
     assert token_table.read_shards(spark, none).count() == 0
 
