@@ -36,6 +36,7 @@ from .proposals import pairs as proposed_pairs
 from .windows import ranked, with_aggregates
 
 BLOCK_ROWS = 50_000
+CLASSES = 64  # of controls with equal covariates in a block that are searched one by one
 LEVELS = 24  # blocks are 2**level cells wide
 ROUNDS = 100_000  # a change reaches one more block with each; as many as there are cases would always do
 
@@ -149,12 +150,114 @@ def _solve_line(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
     return pairs, audit
 
 
+class Left:
+    """Which places are left, counted up to any place in a few steps (a Fenwick tree of ones)."""
+
+    def __init__(self, n: int):
+        self.n, self.tree = n, np.bitwise_and(np.arange(n + 1), -np.arange(n + 1)).tolist()
+
+    def kill(self, i: int) -> None:
+        tree, i = self.tree, i + 1
+        while i <= self.n:
+            tree[i] -= 1
+            i += i & -i
+
+    def between(self, first: int, stop: int) -> int:
+        tree, total = self.tree, 0
+        while stop:
+            total += tree[stop]
+            stop -= stop & -stop
+        while first:
+            total -= tree[first]
+            first -= first & -first
+        return total
+
+
+def _solve_classes(frame: pd.DataFrame, pool: pd.DataFrame, kind: np.ndarray, rule: Rule) -> tuple[list, list]:
+    """``_solve`` where controls are distinct people of a few classes: inside of a class (``kind``) covariates and ``agree`` are the same, so values count alone."""
+    values, ids = pool.value.to_numpy(float), pool.id.tolist()
+    kinds = int(kind.max()) + 1
+    members = [np.flatnonzero(kind == k) for k in range(kinds)]
+    own = np.zeros(len(ids), int)
+    for m in members:
+        own[m] = np.arange(len(m))
+    lines = [Line(values[m], [ids[i] for i in m.tolist()]) for m in members]
+    counts, total = [Left(len(m)) for m in members], Left(len(ids))
+    reps = pool.iloc[[m[0] for m in members]].reset_index(drop=True)
+    agree = reps.agree.to_numpy(object)
+    every, kind_of, own_of = list(range(kinds)), kind.tolist(), own.tolist()
+    far_of: dict[tuple, dict[int, float]] = {}
+
+    def kill(i: int) -> None:
+        k = kind_of[i]
+        if lines[k].kill(own_of[i]):
+            counts[k].kill(own_of[i])
+            total.kill(i)
+
+    def best(k: int, x: float) -> tuple | None:
+        """What comes first among those of a class that are left inside the caliper: (distance, id, place)."""
+        line = lines[k]
+        if rule.lowest:
+            places = (line.next(inside(line.values, x, rule.caliper)[0]),)
+        else:
+            places = (line.below(x), line.above(x))
+        found = [(v if rule.lowest else abs(v - x), line.ids[i], i) for i in places if 0 <= i < len(line.ids) for v in [float(line.values[i])] if abs(v - x) <= rule.caliper]
+        return min(found) if found else None
+
+    late = pool.taken.fillna(np.inf).to_numpy(float)
+    dying, dead = [i for i in np.argsort(late, kind="stable").tolist() if late[i] < np.inf], 0
+    pairs, audit = [], []
+    for case in frame[frame.is_case].sort_values(["turn", "id"]).to_dict("records"):
+        x, turn = case["value"], case["turn"]
+        while dead < len(dying) and late[dying[dead]] <= turn:
+            kill(dying[dead])
+            dead += 1
+        asked = every if rule.null_matches or not case["unknown"] else []
+        if rule.agree and pd.notna(case["agree"]) and not turn > case["loose"]:
+            asked = [k for k in asked if agree[k] == case["agree"]]
+        if len(asked) == kinds:
+            eligible = total.between(*inside(values, x, rule.caliper))
+        else:
+            eligible = sum(counts[k].between(*inside(lines[k].values, x, rule.caliper)) for k in asked)
+        take = min(rule.ratio, eligible) if eligible >= (rule.ratio if rule.whole else 1) else 0
+        first = {k: b for k in asked for b in [best(k, x)] if b} if take else {}
+        far = dict.fromkeys(first, 0.0)
+        if rule.distance and first:  # by the classes that are there, as numbers go by their range
+            key = (tuple(first), *[None if pd.isna(case[c]) else case[c] for c in rule.distance])
+            if key not in far_of:
+                if len(far_of) > 100_000:
+                    far_of.clear()
+                far_of[key] = dict(zip(first, gower(case, reps.iloc[list(first)], rule.distance, rule.numeric).tolist(), strict=True))
+            far = far_of[key]
+        for rank in range(1, take + 1):
+            g, (_, name, i), k = min((far[k], b, k) for k, b in first.items())
+            v = float(lines[k].values[i])
+            pairs.append((case["id"], name, rank, turn, x, v, abs(v - x), g))
+            kill(int(members[k][i]))
+            again = best(k, x)
+            if again:
+                first[k] = again
+            else:
+                del first[k]
+        audit.append(_audit(case["id"], x, take, eligible, rule))
+    return pairs, audit
+
+
+def _classes(pool: pd.DataFrame, rule: Rule) -> np.ndarray | None:
+    """The class of each control by its covariates and what it has to agree in; None where there are more than ``CLASSES``."""
+    names = [*rule.distance, *(["agree"] if rule.agree else [])]
+    kind = pool.groupby(names, dropna=False, sort=False).ngroup().to_numpy()
+    return kind if kind.max() < CLASSES else None
+
+
 def _solve(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
     """Turns of the cases of one block: columns id, value, is_case, unknown, turn, tie, taken (turn at which others took a control), agree and
     loose (the turn after which it is not asked for), and the distance columns."""
     pool = frame[~frame.is_case].sort_values(["value", "id", "tie"]).reset_index(drop=True)
     if rule.by_value and pool.id.is_unique:
         return _solve_line(frame, rule)
+    if len(pool) and pool.id.is_unique and (kind := _classes(pool, rule)) is not None:
+        return _solve_classes(frame, pool, kind, rule)
     cases = frame[frame.is_case].sort_values(["turn", "id"])
     values, names = pool.value.to_numpy(float), pool.id.to_numpy()
     person = np.unique(names.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
@@ -230,7 +333,8 @@ def _counted(placed: DataFrame, rule: Rule) -> DataFrame:
         pool = frame[~frame.is_case].sort_values("value")
         values, person = pool.value.to_numpy(float), np.unique(pool.id.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
         cases = frame[frame.is_case]
-        found = [len(np.unique(person[_nearby(values, x, rule.caliper)])) if rule.null_matches or not odd else 0 for x, odd in zip(cases.value, cases.unknown, strict=True)]
+        once = len(pool) == (person.max() + 1 if len(pool) else 0)
+        found = [(lambda a, b: b - a)(*inside(values, x, rule.caliper)) if rule.null_matches or not odd else 0 for x, odd in zip(cases.value, cases.unknown, strict=True)] if once else [len(np.unique(person[_nearby(values, x, rule.caliper)])) if rule.null_matches or not odd else 0 for x, odd in zip(cases.value, cases.unknown, strict=True)]
         return pd.DataFrame({"id": cases.id.to_numpy(), "candidates": found})
 
     return placed.select("block", "id", "value", "is_case", "unknown").groupBy("block").applyInPandas(count, "id string, candidates long")

@@ -15,6 +15,7 @@ the driver holds is three numbers for each block. Rounds end when no case is on
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -94,6 +95,7 @@ class Line:
 
     def __init__(self, values: np.ndarray, ids: list):
         self.values, self.ids, n = values, ids, len(ids)
+        self.sorted = values.tolist()
         self.up, self.down = list(range(n + 1)), list(range(-1, n))  # down is shifted by one: place i is down[i + 1]
 
     def kill(self, i: int) -> bool:
@@ -123,12 +125,12 @@ class Line:
 
     def below(self, value: float) -> int:
         """The nearest one left with a lower value, the first of its ids, or -1."""
-        i = self.last(int(np.searchsorted(self.values, value, "left")) - 1)
-        return self.next(int(np.searchsorted(self.values, self.values[i], "left"))) if i >= 0 else -1
+        i = self.last(bisect_left(self.sorted, value) - 1)
+        return self.next(bisect_left(self.sorted, self.sorted[i])) if i >= 0 else -1
 
     def above(self, value: float) -> int:
         """The nearest one left from the value on, the first of its ids, or n."""
-        return self.next(int(np.searchsorted(self.values, value, "left")))
+        return self.next(bisect_left(self.sorted, value))
 
 
 def visit(controls: pd.DataFrame, cases: pd.DataFrame, blocks: Blocks, latest: np.ndarray, caliper: float) -> Iterator[tuple]:

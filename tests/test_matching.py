@@ -203,3 +203,18 @@ def test_blocks_are_bounded(spark):
             seen.append(first)
             first = int(follow[first])
         assert sorted(seen) == sorted(sizes)
+
+
+@pytest.mark.parametrize("rule", [{"distance": ("band", "nation"), "numeric": ("nation",)}, {"agree": "sex"}, {"distance": ("band",), "agree": "sex", "lowest": True}])
+def test_classes_of_equal_covariates_are_the_rows_one_by_one(monkeypatch, rule):
+    import pandas as pd
+
+    r, columns = random.Random(5), ["id", "value", "is_case", "unknown", "tie", "taken", "agree", "loose", "band", "nation", "turn"]
+    rows = [(f"p{i}", round(r.uniform(0, 3), 2), i % 2 == 0, r.random() < 0.1, "", float(r.randrange(40)) if i % 7 == 1 else None, r.choice(["F", "M", None]), r.choice([-1.0, 90.0]), r.choice([None, 1.0, 2.0]), r.choice([0, 5, 10]), float(i)) for i in range(300)]
+    calls, plain = [], m.gower
+    monkeypatch.setattr(m, "gower", lambda case, pool, *a: calls.append(len(pool)) or plain(case, pool, *a))
+    frame, rule = pd.DataFrame(rows, columns=columns), m.Rule(ratio=2, whole=False, caliper=0.5, **rule)
+    by_class = m._solve(frame, rule)
+    assert not calls or max(calls) <= 9 * (3 if rule.agree else 1)  # a distance for each class, not for each control in reach
+    monkeypatch.setattr(m, "CLASSES", 0)
+    assert by_class == m._solve(frame, rule)
