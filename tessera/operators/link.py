@@ -87,7 +87,7 @@ def band_pairs(left: DataFrame, right: DataFrame, value: tuple[str, str], width:
 def nearest_distance(left: DataFrame, right: DataFrame, value: tuple[str, str], keys: Sequence[str] = (), bucket: float | None = None) -> DataFrame:
     """``left`` with nearest_distance to any ``right`` value (equal ``keys``), on either side; null if there is none.
 
-    Both sides are put in one order; the last and the next right value are window functions. Without keys the order is global, so values
+    Both sides are put in one order, once upward and once downward, so that either window runs on from row to row; the last right value of each is the nearest on its side. Without keys the order is global, so values
     are cut in buckets of ``bucket``: within a bucket by window, and across buckets by each bucket's least and greatest value.
     """
     a, b = value
@@ -95,20 +95,20 @@ def nearest_distance(left: DataFrame, right: DataFrame, value: tuple[str, str],
         raise ValueError("keys or a bucket width are needed, else all rows are one partition")
     part = [*keys]
     l = left.withColumn("_v", F.col(a).cast("double")).withColumn("_r", F.lit(None).cast("double"))
-    r = right.filter(F.col(b).isNotNull()).select(*keys, F.col(b).cast("double").alias("_v"), F.col(b).cast("double").alias("_r"))
+    r = right.filter(reduce(lambda x, y: x & y, [F.col(c).isNotNull() for c in [b, *keys]])).select(*keys, F.col(b).cast("double").alias("_v"), F.col(b).cast("double").alias("_r"))
     both = l.withColumn("_left", F.lit(True)).unionByName(r.withColumn("_left", F.lit(False)), allowMissingColumns=True)
     if bucket is not None:
         both = both.withColumn("_bucket", F.floor(F.col("_v") / bucket))
         part.append("_bucket")
     back = Window.partitionBy(*part).orderBy("_v").rangeBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(*part).orderBy("_v").rangeBetween(0, Window.unboundedFollowing)
-    both = both.withColumns({"_lo": F.last("_r", True).over(back), "_hi": F.first("_r", True).over(ahead)})
+    ahead = Window.partitionBy(*part).orderBy(F.desc("_v")).rangeBetween(Window.unboundedPreceding, 0)
+    both = both.withColumns({"_lo": F.last("_r", True).over(back), "_hi": F.last("_r", True).over(ahead)})
     if bucket is not None:
         # the extreme right values of other buckets: one row per bucket that has any
         ends = r.withColumn("_bucket", F.floor(F.col("_v") / bucket)).groupBy(*part).agg(F.min("_r").alias("_min"), F.max("_r").alias("_max"))
         grid = both.filter("_left").select(*part).distinct().join(ends, part, "full") if keys else both.select("_bucket").distinct().join(ends, part, "left")
         whole = Window.partitionBy(*keys).orderBy("_bucket")
-        grid = grid.withColumns({"_before": F.last("_max", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.first("_min", True).over(whole.rowsBetween(1, Window.unboundedFollowing))})
+        grid = grid.withColumns({"_before": F.last("_max", True).over(whole.rowsBetween(Window.unboundedPreceding, -1)), "_after": F.last("_min", True).over(Window.partitionBy(*keys).orderBy(F.desc("_bucket")).rowsBetween(Window.unboundedPreceding, -1))})
         both = both.join(grid.select(*part, "_before", "_after"), part, "left").withColumns({"_lo": F.coalesce("_lo", "_before"), "_hi": F.coalesce("_hi", "_after")})
     out = both.filter("_left").withColumn("nearest_distance", F.least(F.col("_v") - F.col("_lo"), F.col("_hi") - F.col("_v")))
     return out.select(*left.columns, "nearest_distance")

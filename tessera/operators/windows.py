@@ -76,19 +76,23 @@ def _ranges(df: DataFrame, part: Sequence[str], order: Sequence[Column]) -> Data
     return written(df.repartitionByRange(-(-n // SCAN_ROWS), *map(F.col, part), *order).withColumn("_range", F.spark_partition_id()), "ranges")
 
 
-def scan(df: DataFrame, part: Sequence[str], order: Sequence[Column], number: str | None = None, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, buckets: Column | None = None) -> DataFrame:
+def scan(df: DataFrame, part: Sequence[str], order: Sequence[Column], number: str | None = None, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, buckets: Column | None = None, back: Sequence[Column] = ()) -> DataFrame:
     """Row numbers from 1, running sums, and running minima from a row to the end, per part (null is one) in an order that is unique there.
 
     The rows are written once. Up to ``SCAN_ROWS`` of them are plain windows. More are cut into ranges of part and order by their count; a window holds
     a range at most, each part and range gives one row of sums, and what the ranges before (or after) hold is added. ``buckets``
-    that do not decrease in the order stand for ranges where they are known beforehand (nothing is written then).
+    that do not decrease in the order stand for ranges where they are known beforehand (nothing is written then). Minima need ``back``, the order turned round:
+    a frame that ends with the last row is read again for each row.
     """
     sums, least = sums or {}, least or {}
     rows = written(df, "scan") if buckets is None else df.withColumn("_range", buckets)
     cut = _ranges(rows, part, order) if buckets is None else rows
-    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    if least and len(back) != len(order):
+        raise ValueError("minima to the end need the order turned round")
+    first = Window.unboundedPreceding
     inner = Window.partitionBy(*part, *(["_range"] if cut is not None else [])).orderBy(*order)
-    found = {n: F.sum(c).over(inner.rowsBetween(first, 0)) for n, c in sums.items()} | {n: F.min(c).over(inner.rowsBetween(0, last)) for n, c in least.items()}
+    turned = Window.partitionBy(*part, *(["_range"] if cut is not None else [])).orderBy(*back) if least else None
+    found = {n: F.sum(c).over(inner.rowsBetween(first, 0)) for n, c in sums.items()} | {n: F.min(c).over(turned.rowsBetween(first, 0)) for n, c in least.items()}
     if number:
         found[number] = F.row_number().over(inner).cast("long")
         sums = {**sums, number: F.lit(1)}
@@ -97,8 +101,9 @@ def scan(df: DataFrame, part: Sequence[str], order: Sequence[Column], number: st
     keys = [*part, "_range"]
     names = {k: f"_key_{i}" for i, k in enumerate(keys)}
     outer = Window.partitionBy(*[names[k] for k in part]).orderBy(names["_range"])  # a row for each part and range
+    after = Window.partitionBy(*[names[k] for k in part]).orderBy(F.desc(names["_range"]))
     own = cut.groupBy(*[F.col(k).alias(n) for k, n in names.items()]).agg(*[F.sum(c).alias(f"_own_{n}") for n, c in sums.items()], *[F.min(c).alias(f"_own_{n}") for n, c in least.items()])
-    own = own.withColumns({f"_own_{n}": F.coalesce(F.sum(f"_own_{n}").over(outer.rowsBetween(first, -1)), F.lit(0)) for n in sums} | {f"_own_{n}": F.min(f"_own_{n}").over(outer.rowsBetween(1, last)) for n in least})
+    own = own.withColumns({f"_own_{n}": F.coalesce(F.sum(f"_own_{n}").over(outer.rowsBetween(first, -1)), F.lit(0)) for n in sums} | {f"_own_{n}": F.min(f"_own_{n}").over(after.rowsBetween(first, -1)) for n in least})
     both = cut.withColumns(found).join(own, reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]))
     both = both.withColumns({n: F.col(n) + F.col(f"_own_{n}") for n in sums} | {n: F.least(n, f"_own_{n}") for n in least})
     return both.drop("_range", *names.values(), *[f"_own_{n}" for n in [*sums, *least]])
@@ -129,7 +134,8 @@ def numbered(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def running(df: DataFrame, part: Sequence[str], value: str, sums: dict[str, Column] | None = None, least: dict[str, Column] | None = None, descending: bool = False) -> DataFrame:
     """Running sums (in the order of ``value``) and running minima from there to the end, per part; values are distinct in a part."""
-    return scan(df, part, [F.desc(value) if descending else F.asc(value)], sums=sums, least=least)
+    up, down = F.asc(value), F.desc(value)
+    return scan(df, part, [down if descending else up], sums=sums, least=least, back=[up if descending else down])
 
 
 def tails(df: DataFrame, value: str, key: str, fraction: float, label: str = "tail") -> DataFrame:

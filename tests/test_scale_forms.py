@@ -223,3 +223,19 @@ def test_stacked_tables_have_the_same_columns(spark):
     assert stacked([a, a.select("x", "id")]).count() == 4
     with pytest.raises(CheckFailed):
         stacked([a, spark.range(1)])
+
+
+def test_no_window_is_read_again_for_each_row(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.operators import link, windows
+
+    left = spark.createDataFrame([(1, "a", 1.0), (2, "a", 9.0), (3, None, 5.0), (4, "b", 5.0)], "i int, k string, x double")
+    right = spark.createDataFrame([("a", 2.0), ("a", 7.5), (None, 5.0)], "k string, y double")
+    near = [link.nearest_distance(left, right, ("x", "y"), ["k"]), link.nearest_distance(left, right, ("x", "y"), ["k"], 3.0)]
+    ends = windows.running_min_from_end(left, [], "i", "x", "least")
+    for df in [*near, ends]:
+        assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+    for df in near:  # an unknown key has no partner
+        assert {r.i: r.nearest_distance for r in df.collect()} == {1: 1.0, 2: 1.5, 3: None, 4: None}
+    assert {r.i: r.least for r in ends.collect()} == {1: 1.0, 2: 5.0, 3: 5.0, 4: 5.0}
