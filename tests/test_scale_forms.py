@@ -239,3 +239,22 @@ def test_no_window_is_read_again_for_each_row(spark):
     for df in near:  # an unknown key has no partner
         assert {r.i: r.nearest_distance for r in df.collect()} == {1: 1.0, 2: 1.5, 3: None, 4: None}
     assert {r.i: r.least for r in ends.collect()} == {1: 1.0, 2: 5.0, 3: 5.0, 4: 5.0}
+
+
+def test_micro_batch_has_tasks_by_its_size(spark, tmp_path):
+    target = f"file://{tmp_path}/target"
+    name = "batch_000000000_000000004"
+    rows = spark.createDataFrame([(i, "pass", name) for i in range(4)], "id long, ok string, batch string")
+    for setting, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.shuffle.partitions", "40")):  # as inside a stream
+        spark.conf.set(setting, value)
+    try:
+        spark.sparkContext.setJobGroup("settle", "")
+        handoff._settle(spark, rows, 0, target, "id", ["ok"], None)
+        status = spark.sparkContext.statusTracker()
+        tasks = [status.getStageInfo(i).numTasks for j in status.getJobIdsForGroup("settle") for i in status.getJobInfo(j).stageIds if status.getStageInfo(i)]
+        assert tasks and max(tasks) <= 4, tasks
+    finally:
+        spark.sparkContext.setJobGroup("other", "")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert handoff.ledger(spark, target).first().asDict() == {"batch": name, "start": 0, "stop": 4, "n_rows": 4, "complete": True, "batch_id": 0}
