@@ -4,17 +4,31 @@ Units are numbered in the order of ``hash(seed, "unit", unit)``. A replicate's d
 the labels, in that order, to the units ordered by ``hash(seed, rep, unit)``. Hashes are even, so numbers come from buckets of
 them, sized by a count of the rows, and no window holds a whole group or replicate. Rows are multiplied by the replicates, so reduce to one row per unit first; partial
 aggregation shrinks replicates on the map side.
+
+Draws of a bootstrap travel as two bytes each: places of all groups are numbered on from group to group and cut into buckets of ``BUCKET`` of them, tasks pack what they
+draw by bucket, and a bucket's rows get the list of replicates that drew them. Rows cross the network once, not once for each replicate.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+
+from ..sources.shared import checkpointed, written
+from .quantiles import approximate, exact, join_groups, sketch
+from .windows import hash_order, hashed_numbers, portable_hash, ranked, running, scan
 
-from ..sources.shared import checkpointed
-from .windows import hash_order, portable_hash, ranked
+#: Places of a bucket of draws: an offset takes two bytes.
+BUCKET = 1 << 16
+#: Replicates whose draws of a bucket meet in one task.
+SLICE = 64
+#: Draws that a task packs at a time.
+PACKED = 4_000_000
 
 
 def replicates(df: DataFrame, count: int) -> DataFrame:
@@ -24,12 +38,115 @@ def replicates(df: DataFrame, count: int) -> DataFrame:
 
 def bootstrap_groups(df: DataFrame, group: Sequence[str], unit: str, count: int, seed: object) -> DataFrame:
     """Rows of ``count`` bootstrap replicates: within each group, n draws with replacement of its n rows (one for each ``unit``)."""
-    rows = _numbered(df, group, unit, seed)
-    n = df.groupBy(*group).agg(F.count("*").alias("_n"))
-    places = rows.select(*group, "_i")
-    draws = replicates(places.join(n, list(group)) if group else places.crossJoin(F.broadcast(n)), count)
-    draws = draws.withColumn("_i", F.pmod(portable_hash(seed, F.col("rep"), F.col("_i"), bits=48), F.col("_n"))).drop("_n")
-    return draws.join(rows, [*group, "_i"]).drop("_i")
+    return drawn_rows(df, group, unit, count, seed).withColumn("rep", F.explode("_reps")).drop("_reps")
+
+
+def drawn_rows(df: DataFrame, group: Sequence[str], unit: str, count: int, seed: object) -> DataFrame:
+    """Rows with a list of replicates that drew them (_reps, as often as drawn); a row comes once for each ``SLICE`` replicates."""
+    known = df.dropna(subset=list(group)) if group else df
+    sizes = known.groupBy(*group).agg(F.count("*").alias("_n"))
+    groups = scan(sizes, [], [F.col(g) for g in group], sums={"_upto": F.col("_n")}) if group else sizes.withColumn("_upto", F.col("_n"))
+    groups = groups.filter("_n > 0").withColumn("_base", F.col("_upto") - F.col("_n")).drop("_upto")
+    total = groups.agg(F.sum("_n")).first()[0] or 0
+
+    starts = groups.select("_base", "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(BUCKET).cast("long"))).alias("_start")).repartition(1 + total * count // (2 * PACKED))
+    places = starts.select("_base", "_n", F.explode(F.sequence("_start", F.least(F.col("_start") + BUCKET, F.col("_n")) - 1)).alias("_i"))
+    draws = places.mapInArrow(_packer(count, seed), "_bucket long, _slice int, sizes binary, offsets binary")
+
+    rows = _numbered(known, group, unit, seed)
+    rows = rows.join(groups, list(group)) if group else rows.crossJoin(F.broadcast(groups))
+    rows = rows.withColumn("_at", F.col("_base") + F.col("_i")).withColumn("_bucket", F.shiftright("_at", 16))
+    rows = rows.select(*df.columns, F.col("_at").bitwiseAND(BUCKET - 1).cast("int").alias("_at"), "_bucket", F.explode(F.sequence(F.lit(0), F.lit((count - 1) // SLICE))).alias("_slice"))
+    keys = ["_bucket", "_slice"]
+    schema = StructType([*df.schema.fields, StructField("_reps", ArrayType(IntegerType()))])
+    return rows.groupBy(*keys).cogroup(draws.groupBy(*keys)).applyInArrow(_dealer(list(df.columns)), schema)
+
+
+#: (rows of a group, how far in shares the quantile of a replicate may be from that of the group): 12 deviations and more, with a sketch's error.
+NEAR = ((4_000_000, 0.004), (100_000, 0.02), (10_000, 0.07), (1_000, 0.2))
+
+
+def replicate_aggregates(df: DataFrame, group: Sequence[str], unit: str, count: int, seed: object, aggregates: Sequence[Column], name: str, value: Column, share: float) -> DataFrame:
+    """(group, rep, aggregates, exact quantile ``name`` of ``value``) of bootstrap replicates.
+
+    A large group's quantile moves little from replicate to replicate. Values near it are kept with their counts, those below are only counted; where that
+    doesn't hold the place of every replicate, all values are kept.
+    """
+    sizes = sketch(df.withColumn("_value", value.cast("double")), group, "_value", "_sketch", 8192)
+    cuts = {f"_{side}_{k}": min(max(share + sign * far, 0.0), 1.0) for k, (_, far) in enumerate(NEAR) for side, sign in (("low", -1), ("high", 1))}
+    cuts = approximate(sizes, group, cuts, "_sketch")
+    n = F.col("n")
+    low, high = (F.coalesce(*[F.when(n >= least, F.col(f"_{side}_{k}")) for k, (least, _) in enumerate(NEAR)]) for side in ("low", "high"))
+    rows = join_groups(df.withColumn("_value", value.cast("double")), cuts.select(*group, low.alias("_low"), high.alias("_high")), group)
+    drawn = written(drawn_rows(rows, group, unit, count, seed), "drawn").withColumn("rep", F.explode("_reps")).drop("_reps")
+    v = F.col("_value")
+    below = F.coalesce(v < F.col("_low"), F.lit(False))
+    near = v.isNotNull() & ~below & F.coalesce(v <= F.col("_high"), F.lit(True))
+    facts = written(drawn.groupBy(*group, "rep").agg(*aggregates, F.count(v).alias("_n"), F.count_if(below).alias("_below"), F.count_if(near).alias("_near")), "replicates")
+    place = (F.col("_n") - 1) * share
+    if not facts.filter((F.col("_n") > 0) & ((F.floor(place) < F.col("_below")) | (F.ceil(place) >= F.col("_below") + F.col("_near")))).isEmpty():
+        found = exact(drawn, [*group, "rep"], {name: ("_value", share)})
+    else:
+        counts = drawn.filter(near).groupBy(*group, "rep", "_value").agg(F.count("*").alias("_c"))
+        upto = running(counts, [*group, "rep"], "_value", {"_upto": F.col("_c")})
+        placed = join_groups(upto, facts.select(*group, "rep", "_n", "_below"), [*group, "rep"])
+        at = F.col("_upto") + F.col("_below")
+        lows = placed.groupBy(*group, "rep").agg(F.min(F.when(at > F.floor(place), v)).alias("_lo"), F.min(F.when(at > F.ceil(place), v)).alias("_hi"), F.max(place).alias("_place"))
+        p = F.col("_place")
+        found = lows.select(*group, "rep", F.when(F.col("_lo") == F.col("_hi"), F.col("_lo")).otherwise((F.ceil(p) - p) * F.col("_lo") + (p - F.floor(p)) * F.col("_hi")).alias(name))
+    return facts.drop("_n", "_below", "_near").join(found, [*group, "rep"], "left")
+
+
+def _packer(count: int, seed: object):
+    """Draws of the places of a task, by bucket and slice: for each replicate of the slice how many, and their offsets in the bucket."""
+
+    def packed(rep_draws: list[list[np.ndarray]]):
+        for first in range(0, count, SLICE):
+            reps = range(first, min(first + SLICE, count))
+            by_rep = [np.sort(np.concatenate(rep_draws[r])) for r in reps]
+            buckets = np.unique(np.concatenate([np.unique(x >> 16) for x in by_rep]))
+            edges = [np.searchsorted(x, np.append(buckets, buckets[-1] + 1) << 16) for x in by_rep]
+            by_rep = [(x & (BUCKET - 1)).astype("<u2") for x in by_rep]
+            sizes = [np.array([e[k + 1] - e[k] for e in edges], "<u4").tobytes() for k in range(len(buckets))]
+            offsets = [b"".join(x[e[k] : e[k + 1]].tobytes() for x, e in zip(by_rep, edges, strict=True)) for k in range(len(buckets))]
+            for a in range(0, len(buckets), 256):
+                part = slice(a, a + 256)
+                yield pa.RecordBatch.from_arrays([pa.array(buckets[part]), pa.array(np.full(len(buckets[part]), first // SLICE, "i4")), pa.array(sizes[part], pa.binary()), pa.array(offsets[part], pa.binary())], ["_bucket", "_slice", "sizes", "offsets"])
+
+    def run(batches):
+        held, n = [[] for _ in range(count)], 0
+        for batch in batches:
+            base, size, i = (batch.column(c).to_numpy() for c in ("_base", "_n", "_i"))
+            for rep in range(count):
+                held[rep].append(base + hashed_numbers(seed, rep, i) % size)
+            n += len(i) * count
+            if n >= PACKED:
+                yield from packed(held)
+                held, n = [[] for _ in range(count)], 0
+        if n:
+            yield from packed(held)
+
+    return run
+
+
+def _dealer(columns: list[str]):
+    """The rows of a bucket, each with the replicates that drew it."""
+
+    def run(rows: pa.Table, draws: pa.Table) -> pa.Table:
+        if not rows.num_rows or not draws.num_rows:
+            return rows.select(columns).append_column("_reps", pa.array([[]] * rows.num_rows, pa.list_(pa.int32())))
+        first = draws.column("_slice")[0].as_py() * SLICE
+        sizes = np.concatenate([np.frombuffer(x, "<u4") for x in draws.column("sizes").to_pylist()])
+        width = len(draws.column("sizes")[0].as_py()) // 4
+        offsets = np.frombuffer(b"".join(draws.column("offsets").to_pylist()), "<u2")
+        reps = np.repeat(np.tile(np.arange(first, first + width, dtype="i4"), draws.num_rows), sizes)
+        reps = reps[np.argsort(offsets, kind="stable")]
+        upto = np.concatenate([[0], np.cumsum(np.bincount(offsets, minlength=BUCKET))]).astype("i4")
+        rows = rows.take(pa.array(np.argsort(rows.column("_at").to_numpy())))  # a bucket's rows have all offsets from the first to the last
+        at = rows.column("_at").to_numpy()
+        return rows.select(columns).append_column("_reps", pa.ListArray.from_arrays(pa.array(np.append(upto[at], upto[at[-1] + 1])), pa.array(reps)))
+
+    return run
 
 
 def _numbered(df: DataFrame, group: Sequence[str], unit: str, seed: object) -> DataFrame:

@@ -32,9 +32,13 @@ def prediction_summary(df: DataFrame, age: str, prediction: str, group: Sequence
 
 
 def error_metrics(df: DataFrame, age: str, prediction: str, group: Sequence[str] = (), *more: Column) -> DataFrame:
-    gap = F.col(prediction) - F.col(age)
     rows = df.filter(F.col(age).isNotNull() & F.col(prediction).isNotNull())
-    moments = [
+    return with_exact(rows, group, [*_moments(age, prediction), *more], {"median_gap": (F.col(prediction) - F.col(age), 0.5)})
+
+
+def _moments(age: str, prediction: str) -> list[Column]:
+    gap = F.col(prediction) - F.col(age)
+    return [
         F.count("*").alias("n"),
         F.avg(F.abs(gap)).alias("mae"),
         F.sqrt(F.avg(gap * gap)).alias("rmse"),
@@ -43,9 +47,7 @@ def error_metrics(df: DataFrame, age: str, prediction: str, group: Sequence[str]
         F.regr_intercept(F.col(prediction), F.col(age)).alias("calibration_intercept"),
         F.corr(prediction, age).alias("correlation"),
         F.avg((gap > 0).cast("double")).alias("overprediction_rate"),
-        *more,
     ]
-    return with_exact(rows, group, moments, {"median_gap": (gap, 0.5)})
 
 
 def calibration_fit(df: DataFrame, truth: str, prediction: str, group: Sequence[str] = ()) -> DataFrame:
@@ -58,7 +60,7 @@ def calibration_fit(df: DataFrame, truth: str, prediction: str, group: Sequence[
 
 def fairness_table(df: DataFrame, group: str, who: str, age: str, prediction: str, repetitions: int = 0, seed: int = 0) -> DataFrame:
     """Error metrics per group and Overall, with percentile bootstrap limits of each metric if repetitions are asked for."""
-    from .resample import bootstrap_groups
+    from .resample import replicate_aggregates
 
     rows = df.filter(F.col(group).isNotNull() & F.col(age).isNotNull() & F.col(prediction).isNotNull())
     assert_unique(rows, [who], "fairness table")
@@ -68,7 +70,7 @@ def fairness_table(df: DataFrame, group: str, who: str, age: str, prediction: st
     if not repetitions:
         return table
     names = ["mae", "rmse", "mean_gap", "median_gap", "calibration_slope", "calibration_intercept", "correlation", "overprediction_rate"]
-    reps = error_metrics(bootstrap_groups(both, ["group"], "who", repetitions, seed), "age", "prediction", ["group", "rep"])
+    reps = replicate_aggregates(both, ["group"], "who", repetitions, seed, _moments("age", "prediction"), "median_gap", F.col("prediction") - F.col("age"), 0.5)
     limits = reps.groupBy("group").agg(*[x for n in names for x in (F.percentile(n, F.lit(0.025)).alias(f"{n}_ci_low"), F.percentile(n, F.lit(0.975)).alias(f"{n}_ci_high"))])
     return table.join(limits, "group", "left")
 

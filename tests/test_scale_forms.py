@@ -1,5 +1,6 @@
 """Forms that replace windows over whole groups, keyed tables by parts, and values of heads that SQL can't give."""
 
+import hashlib
 import math
 import random
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import models, questionnaire, stats, windows
+from tessera.operators import models, questionnaire, resample, stats, windows
 from tessera.operators.checks import CheckFailed
 from tessera.sources import readers
 from tessera.streaming import handoff
@@ -258,3 +259,51 @@ def test_micro_batch_has_tasks_by_its_size(spark, tmp_path):
         spark.conf.set("spark.sql.adaptive.enabled", "true")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
     assert handoff.ledger(spark, target).first().asDict() == {"batch": name, "start": 0, "stop": 4, "n_rows": 4, "complete": True, "batch_id": 0}
+
+
+def exchanged(spark):
+    """Bytes that all stages so far wrote for exchanges."""
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_hashed_numbers_are_those_of_spark(spark):
+    numbers = [0, 9, 10, 99, 100, 12345, 10**9 - 1, 10**12 + 7]
+    for seed, rep in ((3, 0), ("any seed", 17), ("s" * 60, 5)):
+        wanted = spark.createDataFrame([(i,) for i in numbers], "i long").select("i", windows.portable_hash(seed, F.lit(rep), F.col("i"), bits=48)).collect()
+        assert windows.hashed_numbers(seed, rep, np.array([r[0] for r in wanted])).tolist() == [r[1] for r in wanted]
+
+
+@pytest.mark.parametrize("near", [None, ((1, 0.45),), ((1, 0.0),)])
+def test_draws_and_quantiles_of_replicates(spark, monkeypatch, near):
+    """Draws over several buckets and slices; quantiles with all values, with some, and with too few."""
+    monkeypatch.setattr(resample, "SLICE", 3)
+    monkeypatch.setattr(resample, "PACKED", 40)
+    if near:
+        monkeypatch.setattr(resample, "NEAR", near)
+    rows = [(g, f"u{i}", float((i * 37) % 11) if i % 9 else None) for g, n in (("a", 25), ("b", 1), ("c", 8), (None, 4)) for i in range(n)]
+    df = spark.createDataFrame(rows, "g string, u string, v double").repartition(3)
+    wanted = {}
+    for g in "abc":
+        number = lambda *parts: int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:12], 16)
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (number(5, "unit", r[1]), r[1]))
+        for rep in range(7):
+            values = [own[number(5, rep, i) % len(own)][2] for i in range(len(own))]
+            known = [v for v in values if v is not None]
+            wanted[g, rep] = (len(values), sum(known), float(np.median(known)) if known else None)
+    got = resample.replicate_aggregates(df, ["g"], "u", 7, 5, [F.count("*").alias("n"), F.coalesce(F.sum("v"), F.lit(0.0)).alias("s")], "m", F.col("v"), 0.5)
+    assert {(r.g, r.rep): (r.n, r.s, r.m) for r in got.collect()} == wanted
+    drawn = resample.bootstrap_groups(df, ["g"], "u", 7, 5).groupBy("g", "rep").agg(F.count("*").alias("n"))
+    assert {(r.g, r.rep): r.n for r in drawn.collect()} == {k: v[0] for k, v in wanted.items()}
+
+
+def test_draws_cross_buckets(spark):
+    n = 70_000
+    df = spark.range(n).withColumn("g", F.col("id") % 2)
+    start = exchanged(spark)
+    got = resample.bootstrap_groups(df, ["g"], "id", 10, 1).groupBy("g", "rep").agg(F.count("*").alias("n"), F.sum("id").alias("s")).collect()
+    assert exchanged(spark) - start < 5 * 10 * n  # rows for each replicate take some dozen bytes a draw
+    assert len(got) == 20 and all(r.n == n // 2 for r in got)
+    assert all(abs(r.s / r.n - n / 2) < 6 * n / math.sqrt(12 * n / 2) for r in got)
+    assert len({r.s for r in got}) == 20
