@@ -204,13 +204,52 @@ def _shuffled(df: DataFrame, unit: str, label: str, count: int, seed: object, bl
     return placed.join(named.select(*block, "_i", label), [*block, "_i"]).select("rep", unit, label)
 
 
+#: Rows of a block that one task deals labels to; with a larger block, places are numbered across tasks.
+BLOCK_ROWS = 100_000
+
+
+def _shuffled_blocks(df: DataFrame, unit: str, label: str, count: int, seed: object, block: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` with what ``_shuffled`` deals to them in each replicate (_labels): blocks are dealt to chunks of some ``BLOCK_ROWS`` rows, and
+    all replicates of a chunk are settled where it is."""
+    h = [F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), first, F.col(unit).cast("string"))), 1, 12), 16, 10).cast("bigint") for first in (F.lit("unit"), *[F.lit(str(r)) for r in range(count)])]
+    chunk = F.pmod(F.xxhash64(*block), F.lit(1 + df.count() // BLOCK_ROWS))
+    known = df.dropna(subset=list(block)).withColumn("_chunk", chunk)
+    schema = StructType([*df.schema.fields, StructField("_labels", ArrayType(df.schema[label].dataType))])
+    return known.repartition("_chunk").withColumn("_hashes", F.array(*h)).groupBy("_chunk").applyInArrow(_block_dealer(list(df.columns), list(block), unit, label, count), schema)
+
+
+def _block_dealer(columns: list[str], block: list[str], unit: str, label: str, count: int):
+    def run(rows: pa.Table) -> pa.Table:
+        n = rows.num_rows
+        order = rows.append_column("_place", pa.array(np.arange(n))).sort_by([*((b, "ascending") for b in block), (unit, "ascending")]).column("_place").to_numpy()
+        rows = rows.take(pa.array(order)).combine_chunks()  # blocks one after the other, and units in their order: later sorts keep it
+        new = np.zeros(n, bool)
+        for b in block:
+            codes = rows.column(b).combine_chunks().dictionary_encode().indices.to_numpy()
+            new[1:] |= codes[1:] != codes[:-1]
+        of = np.cumsum(new)
+        hashes = rows.column("_hashes").combine_chunks().flatten().to_numpy().reshape(n, count + 1)
+        dealt = np.lexsort((hashes[:, 0], of))  # the k-th label
+        got = np.empty((n, count), np.int64)
+        for rep in range(count):
+            got[np.lexsort((hashes[:, rep + 1], of)), rep] = dealt
+        labels = rows.column(label).combine_chunks().take(pa.array(got.ravel()))
+        return rows.select(columns).append_column("_labels", pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype="i4") * count), labels))
+
+    return run
+
+
 def permutation_test(df: DataFrame, unit: str, label: str, metrics: Sequence[str], count: int, seed: object, block: Sequence[str] = ()) -> DataFrame:
     """Label permutation (within ``block`` if given) with max |T| control over metrics: difference, t, p_unadjusted, p_fwer."""
     values = _long(df, [unit, *block], metrics)
     own = _long(df, [unit, label], metrics).groupBy("metric").agg(_difference(label).alias("difference"), _welch(label).alias("t"))
-    shuffled = _shuffled(df.select(unit, label, *block), unit, label, count, seed, block)
-    permuted = values.join(shuffled, unit).groupBy("rep", "metric").agg(_welch(label).alias("t"))
-    return max_t(own, permuted, count)
+    if block and (df.dropna(subset=list(block)).groupBy(*block).count().agg(F.max("count")).first()[0] or 0) <= BLOCK_ROWS:
+        cells = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
+        dealt = _shuffled_blocks(df.select(*dict.fromkeys([*block, unit, label]), cells.alias("_cells")), unit, label, count, seed, block)
+        permuted = dealt.select("_cells", F.posexplode("_labels").alias("rep", label)).select("rep", label, F.explode("_cells").alias("c")).select("rep", label, "c.*").filter("v is not null")
+    else:
+        permuted = values.join(_shuffled(df.select(unit, label, *block), unit, label, count, seed, block), unit)
+    return max_t(own, checkpointed(permuted.groupBy("rep", "metric").agg(_welch(label).alias("t"))), count)  # a row for each replicate and metric, read twice
 
 
 def sign_flip_test(df: DataFrame, pair: str, metrics: Sequence[str], count: int, seed: object) -> DataFrame:

@@ -307,3 +307,18 @@ def test_draws_cross_buckets(spark):
     assert len(got) == 20 and all(r.n == n // 2 for r in got)
     assert all(abs(r.s / r.n - n / 2) < 6 * n / math.sqrt(12 * n / 2) for r in got)
     assert len({r.s for r in got}) == 20
+
+
+def test_labels_are_dealt_where_the_block_is(spark, monkeypatch):
+    rows = [(f"u{i}", i % 40 if i % 17 else None, i % 3 % 2, float((i * 7919) % 101), None if i % 5 == 0 else float(i % 13)) for i in range(4000)]
+    df = spark.createDataFrame(rows, "u string, b int, g int, m double, k double").repartition(3).cache()
+    df.count()
+    start = exchanged(spark)
+    near = resample.permutation_test(df, "u", "g", ["m", "k"], 25, 8, ["b"]).collect()
+    assert exchanged(spark) - start < 500_000  # 25 replicates of 4000 rows are not dealt out one by one
+    dealt = {(r.rep, r.u): r.g for r in resample._shuffled_blocks(df.select("b", "u", "g"), "u", "g", 25, 8, ["b"]).select("u", F.posexplode("_labels").alias("rep", "g")).collect()}
+    assert dealt == {(r.rep, r.u): r.g for r in resample._shuffled(df.select("u", "g", "b"), "u", "g", 25, 8, ["b"]).collect()}
+    monkeypatch.setattr(resample, "BLOCK_ROWS", 90)  # blocks are larger: the way across tasks
+    wide = {r.metric: r for r in resample.permutation_test(df, "u", "g", ["m", "k"], 25, 8, ["b"]).collect()}
+    assert {r.metric for r in near} == {"m", "k"}
+    assert all(r.p_fwer == wide[r.metric].p_fwer and r.p_unadjusted == wide[r.metric].p_unadjusted and r.difference == pytest.approx(wide[r.metric].difference) for r in near)
