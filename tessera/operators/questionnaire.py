@@ -21,6 +21,7 @@ import math
 from collections.abc import Mapping, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -134,17 +135,40 @@ def _categorical_tests(levels: DataFrame, least: int, correction: bool) -> dict[
     return out
 
 
-def _outer(x: Column, weight: Column) -> Column:
-    """All products of a vector's elements, row after row, times a weight."""
-    return F.flatten(F.transform(x, lambda a: F.transform(x, lambda b: a * b * weight)))
-
-
 def _sum(column: Column) -> Column:
     return vector_to_array(Summarizer.sum(array_to_vector(column)))
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def _summed(rows: DataFrame, p: int, weigh) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """{variable: (sum of w x x', sum of t x)} over rows (variable, x of length p, y), with (w, t) = weigh(variable, x, y): a task gives one row of sums for each variable."""
+
+    def partial(batches):
+        sums: dict[str, np.ndarray] = {}
+        for name, x, y, _ in _designs(batches, p):
+            w, t = weigh(name, x, y)
+            found = np.concatenate([((x * w[:, None]).T @ x).ravel(), t @ x])
+            sums[name] = sums[name] + found if name in sums else found
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([s.tolist() for s in sums.values()], pa.list_(pa.float64()))], ["variable", "sums"])
+
+    found = rows.mapInArrow(partial, "variable string, sums array<double>").groupBy("variable").agg(_sum(F.col("sums")).alias("sums")).collect()  # a row for each variable
+    return {r.variable: (np.array(r.sums[: p * p]).reshape(p, p), np.array(r.sums[p * p :])) for r in found}
+
+
+def _designs(batches, p: int):
+    """(variable, design, answers, clusters) of each variable in each batch."""
+    for batch in batches:
+        names = batch.column("variable").dictionary_encode()
+        x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, p)
+        y, at, clusters = batch.column("y").to_numpy(zero_copy_only=False), names.indices.to_numpy(), batch.column("cluster")
+        for i, name in enumerate(names.dictionary.to_pylist()):
+            own = np.flatnonzero(at == i)
+            yield name, x[own], y[own], clusters.take(pa.array(own))
+
+
+def _logistic(x: np.ndarray, beta: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-(x @ beta)))
 
 
 def _standardized(rows: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[Column, int, list[tuple[int, int]]]:
@@ -163,12 +187,13 @@ def _standardized(rows: DataFrame, numeric: Sequence[str], categorical: Sequence
 
 def _adjusted(long: DataFrame, kinds: Mapping[str, str], p: int, spans: Sequence[tuple[int, int]], clustered: bool) -> dict[str, dict]:
     """Regressions of all variables; ``long``: variable, y, x (design), cluster; complete rows, read once for each pass."""
-    spark = long.sparkSession
-    xy = F.concat("x", F.array("y"))
-    facts = long.groupBy("variable").agg(_sum(_outer(xy, F.lit(1.0))).alias("gram"), F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), F.count_distinct("cluster").alias("clusters"), vector_to_array(Summarizer.variance(array_to_vector("x"))).alias("spread")).collect()
+    grams = _summed(long.withColumn("x", F.concat("x", F.array("y"))), p + 1, lambda name, x, y: (np.ones(len(y)), np.zeros(len(y))))
+    facts = long.groupBy("variable").agg(F.count("*").alias("n"), F.min("y").alias("low"), F.max("y").alias("high"), vector_to_array(Summarizer.variance(array_to_vector("x"))).alias("spread"))
+    clusters = long.select("variable", "cluster").distinct().groupBy("variable").agg(F.count("*").alias("clusters"))
+    facts = facts.join(clusters, "variable").collect()  # a row for each variable
     fits, out = {}, {}
     for r in facts:
-        gram = np.array(r.gram).reshape(p + 1, p + 1)
+        gram = grams[r.variable][0]
         used = [0] + [j for j in range(1, p) if r.spread[j] > 1e-12]
         for a, b in spans:
             there = [j for j in range(a, b) if gram[j, j] > 0]
@@ -187,55 +212,68 @@ def _adjusted(long: DataFrame, kinds: Mapping[str, str], p: int, spans: Sequence
         whole[np.ix_(*[used] * small.ndim)] = small
         return whole
 
-    def with_fit(names: Sequence[str]) -> DataFrame:
-        table = [(v, bool(f["logistic"]), bool(clustered and f["clusters"] >= MIN_CLUSTERS), f["beta"].tolist(), f["inverse"].ravel().tolist()) for v in names for f in [fits[v]]]
-        return long.join(F.broadcast(spark.createDataFrame(table, "variable string, logistic boolean, clustered boolean, beta array<double>, inverse array<double>")), "variable")  # p x p numbers for each variable
-
     for f in fits.values():
         if not f["logistic"]:
             u = f["used"]
             inverse = np.linalg.pinv(f["gram"][np.ix_(u, u)])
             f["beta"], f["inverse"] = full(inverse @ f["gram"][u, p], u), full(inverse, u)
     moving = [v for v, f in fits.items() if f["logistic"]]
-    mean = 1 / (1 + F.exp(-_dot(F.col("x"), F.col("beta"))))
     for _ in range(STEPS):
         if not moving:
             break
-        scored = with_fit(moving).withColumn("m", mean)
-        sums = scored.groupBy("variable").agg(_sum(_outer(F.col("x"), F.col("m") * (1 - F.col("m")))).alias("information"), _sum(F.transform("x", lambda a: a * (F.col("y") - F.col("m")))).alias("score")).collect()
+        betas = {v: fits[v]["beta"] for v in moving}
+
+        def newton(name, x, y, betas=betas):
+            m = _logistic(x, betas[name])
+            return m * (1 - m), y - m
+
         still = []
-        for r in sums:
-            f = fits[r.variable]
+        for v, (information, score) in _summed(long.filter(F.col("variable").isin(moving)), p, newton).items():
+            f = fits[v]
             u = f["used"]
-            inverse = np.linalg.pinv(np.array(r.information).reshape(p, p)[np.ix_(u, u)])
-            step = full(inverse @ np.array(r.score)[u], u)
+            inverse = np.linalg.pinv(information[np.ix_(u, u)])
+            step = full(inverse @ score[u], u)
             f["beta"], f["inverse"] = f["beta"] + step, full(inverse, u)
             if np.abs(step).max() > 1e-10:
-                still.append(r.variable)
+                still.append(v)
         moving = still
     for v in moving:
         out[v] = {"adjusted_status": "model_failed:no_convergence"}
         del fits[v]
-    fitted = F.when(F.col("logistic"), mean).otherwise(_dot(F.col("x"), F.col("beta")))
-    leverage = _dot(_outer(F.col("x"), F.lit(1.0)), F.col("inverse"))
-    error = F.col("y") - F.col("fitted")
-    scored = with_fit(list(fits)).withColumn("fitted", fitted).withColumn("e", F.when(F.col("logistic") | F.col("clustered"), error).otherwise(error / F.greatest(1 - leverage, F.lit(1e-12))))
-    score = F.transform("x", lambda a: a * F.col("e"))
-    alone = scored.filter("not clustered").groupBy("variable").agg(_sum(_outer(F.col("x"), F.col("e") ** 2)).alias("meat"))
-    joint = scored.filter("clustered").groupBy("variable", "cluster").agg(_sum(score).alias("s")).groupBy("variable").agg(_sum(_outer(F.col("s"), F.lit(1.0))).alias("meat"))
-    for r in (alone.unionByName(joint) if clustered else alone).collect():
-        f = fits[r.variable]
+    robust_of = {v: bool(clustered and f["clusters"] >= MIN_CLUSTERS) for v, f in fits.items()}
+    models = {v: (f["logistic"], f["beta"], f["inverse"]) for v, f in fits.items()}
+
+    def errors(name, x, y):
+        logistic, beta, inverse = models[name]
+        e = y - (_logistic(x, beta) if logistic else x @ beta)
+        return e if logistic or robust_of[name] else e / np.maximum(1 - ((x @ inverse) * x).sum(1), 1e-12)
+
+    def scores(batches):
+        for name, x, y, cluster in _designs(batches, p):
+            s = x * errors(name, x, y)[:, None]
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(y)), cluster, *(pa.array(s[:, j]) for j in range(p))], ["variable", "cluster", *(f"s{j}" for j in range(p))])
+
+    meats = {}
+    if alone := [v for v, joint in robust_of.items() if not joint]:
+        meats |= _summed(long.filter(F.col("variable").isin(alone)), p, lambda name, x, y: (errors(name, x, y) ** 2, np.zeros(len(y))))
+    if joint := [v for v, joint in robust_of.items() if joint]:
+        each = long.filter(F.col("variable").isin(joint)).mapInArrow(scores, "variable string, cluster string, " + ", ".join(f"s{j} double" for j in range(p)))
+        each = each.groupBy("variable", "cluster").agg(*[F.sum(f"s{j}").alias(f"s{j}") for j in range(p)])
+        each = each.select("variable", "cluster", F.array(*[f"s{j}" for j in range(p)]).alias("x"), F.lit(0.0).alias("y"))
+        meats |= _summed(each, p, lambda name, x, y: (np.ones(len(y)), np.zeros(len(y))))
+    for v, (meat, _) in meats.items():
+        f = fits[v]
         n, k, g = f["n"], len(f["used"]), f["clusters"]
-        robust = clustered and g >= MIN_CLUSTERS
+        robust = robust_of[v]
         factor = g / (g - 1) * (n - 1) / (n - k) if robust else 1.0
-        se = math.sqrt(max(factor * (f["inverse"] @ np.array(r.meat).reshape(p, p) @ f["inverse"])[1, 1], 0.0))
+        se = math.sqrt(max(factor * (f["inverse"] @ meat @ f["inverse"])[1, 1], 0.0))
         b = float(f["beta"][1])
         row = {"adjusted_status": "ok", "adjusted_n": n, "adjusted_n_clusters": g if clustered else None, "adjusted_covariance": "cluster_robust" if robust else "HC0" if f["logistic"] else "HC3", "adjusted_coefficient": b, "adjusted_se": se}
         row |= {"adjusted_ci_low": b - Z * se, "adjusted_ci_high": b + Z * se, "adjusted_p": tails.normal_two_sided(b / se) if se > 0 else None}
         if f["logistic"]:
             with np.errstate(over="ignore"):
-                row |= {n_: float(np.exp(v)) for n_, v in (("odds_ratio", b), ("odds_ratio_ci_low", b - Z * se), ("odds_ratio_ci_high", b + Z * se))}
-        out[r.variable] = row
+                row |= {n_: float(np.exp(z)) for n_, z in (("odds_ratio", b), ("odds_ratio_ci_low", b - Z * se), ("odds_ratio_ci_high", b + Z * se))}
+        out[v] = row
     return out
 
 

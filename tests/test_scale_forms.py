@@ -322,3 +322,15 @@ def test_labels_are_dealt_where_the_block_is(spark, monkeypatch):
     wide = {r.metric: r for r in resample.permutation_test(df, "u", "g", ["m", "k"], 25, 8, ["b"]).collect()}
     assert {r.metric for r in near} == {"m", "k"}
     assert all(r.p_fwer == wide[r.metric].p_fwer and r.p_unadjusted == wide[r.metric].p_unadjusted and r.difference == pytest.approx(wide[r.metric].difference) for r in near)
+
+
+def test_products_are_summed_by_task(spark):
+    """A task gives one row of sums for each variable: no products of every row pass through Spark."""
+    r = np.random.default_rng(2)
+    x, y = r.normal(size=(600, 3)), r.normal(size=600)
+    rows = [("ab"[i % 2], float(y[i]), x[i].tolist(), str(i % 30)) for i in range(600)]
+    df = spark.createDataFrame(rows, "variable string, y double, x array<double>, cluster string").repartition(4)
+    got = questionnaire._summed(df, 3, lambda name, x, y: (y**2, y - 1))
+    for k, name in enumerate("ab"):
+        u, v = x[k::2], y[k::2]
+        assert np.allclose(got[name][0], (u * v[:, None] ** 2).T @ u) and np.allclose(got[name][1], (v - 1) @ u)
