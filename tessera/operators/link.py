@@ -69,19 +69,39 @@ def with_baseline(df: DataFrame, keys: Sequence[str], visit: str, baseline: str,
     return df.join(assert_unique(base, keys, "baseline visit"), list(keys), "left")
 
 
+#: Pairs that a task of ``band_pairs`` compares, and rows that it reads where there are few pairs.
+TASK_PAIRS, TASK_ROWS = 4_000_000, 1_000_000
+
+
 def band_pairs(left: DataFrame, right: DataFrame, value: tuple[str, str], width: float, exact: Sequence[str] = ()) -> DataFrame:
     """All pairs with equal ``exact`` columns (null never matches) and values within ``width``.
 
     Values are cut in buckets as wide as the band; the left side visits three buckets, so the join is an
-    equi-join whatever the spread of values, and each pair meets in one bucket.
+    equi-join whatever the spread of values, and each pair meets in one bucket. Pairs grow with the square of a bucket's rows, so tasks are dealt by pairs, not
+    by bytes: rows of each bucket are counted first, and a bucket with too many pairs for a task cuts its left rows in pieces that all see its right rows.
     """
     a, b = value
     if width <= 0:
         raise ValueError("the band must be wider than 0")
     bucket = lambda c: F.floor(F.col(c) / F.lit(float(width)))
-    l = left.filter(F.col(a).isNotNull()).withColumn("_bucket", F.explode(F.array(*[bucket(a) + k for k in (-1, 0, 1)])))
-    r = right.filter(F.col(b).isNotNull()).withColumn("_bucket", bucket(b))
-    return l.join(r, [*exact, "_bucket"]).filter(F.abs(F.col(a) - F.col(b)) <= width).drop("_bucket")
+    finite = lambda c: F.abs(F.col(c)) < F.lit(float("inf"))  # noqa: E731  (others are in no band)
+    l = left.filter(finite(a)).withColumn("_bucket", F.explode(F.array(*[bucket(a) + k for k in (-1, 0, 1)])))
+    r = right.filter(finite(b)).withColumn("_bucket", bucket(b))
+    keys = [*exact, "_bucket"]
+    cells = l.groupBy(*keys).agg(F.count("*").alias("_l")).join(r.groupBy(*keys).agg(F.count("*").alias("_r")), keys)
+    cells = cells.withColumn("_pieces", F.ceil(F.col("_l") * F.col("_r") / TASK_PAIRS))
+    found = cells.agg(F.sum(F.col("_l") * F.col("_r")).alias("pairs"), F.sum(F.col("_l") + F.col("_r")).alias("rows"), F.max("_pieces").alias("pieces")).first()
+    tasks = min(50_000, max(1, -(-int(found.pairs or 0) // TASK_PAIRS), -(-int(found.rows or 0) // TASK_ROWS)))
+    if (found.pieces or 0) > 1:
+        hot = cells.filter("_pieces > 1").select(*keys, "_pieces")
+        plain = [f.name for f in left.schema.fields if "map<" not in f.dataType.simpleString()]  # maps have no hash
+        pieces = F.coalesce("_pieces", F.lit(1).cast("long"))
+        l = l.join(hot, keys, "left").withColumn("_piece", F.pmod(F.xxhash64(*plain), pieces)).drop("_pieces")
+        r = r.join(hot, keys, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), pieces - 1))).drop("_pieces")
+        keys.append("_piece")
+    # a number of tasks that is asked for is not cut down to the size of the input
+    pairs = l.repartition(tasks, *keys).hint("merge").join(r.repartition(tasks, *keys), keys)
+    return pairs.filter(F.abs(F.col(a) - F.col(b)) <= width).drop("_bucket", "_piece")
 
 
 def nearest_distance(left: DataFrame, right: DataFrame, value: tuple[str, str], keys: Sequence[str] = (), bucket: float | None = None) -> DataFrame:

@@ -91,7 +91,9 @@ def j11(spark, d):
     cust = table(spark, d, "customer")
     left = cust.filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("case_id"), F.col("c_acctbal").alias("x"), F.col("c_nationkey").alias("nation"))
     right = cust.filter("c_mktsegment != 'BUILDING'").select(F.col("c_custkey").alias("control_id"), F.col("c_acctbal").alias("y"), F.col("c_nationkey").alias("nation"))
-    return link.band_pairs(left, right, ("x", "y"), 300.0, ["nation"]).select("case_id", "control_id", "nation", F.round(F.abs(F.col("x") - F.col("y")), 6).alias("distance"))
+    # distances are 300 at most, so whole millionths are exact; F.round would make a decimal of each pair
+    millionths = F.floor(F.abs(F.col("x") - F.col("y")) * 1e6 + 0.5)
+    return link.band_pairs(left, right, ("x", "y"), 300.0, ["nation"]).select("case_id", "control_id", "nation", (millionths / 1e6).alias("distance"))
 
 
 NEAR = "select a.c_custkey, round(min(abs(a.c_acctbal - b.c_acctbal)), 6) as nearest_distance from customer a left join customer b on b.c_mktsegment != 'BUILDING' {on} where a.c_mktsegment = 'BUILDING' group by a.c_custkey"

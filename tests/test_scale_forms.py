@@ -334,3 +334,22 @@ def test_products_are_summed_by_task(spark):
     for k, name in enumerate("ab"):
         u, v = x[k::2], y[k::2]
         assert np.allclose(got[name][0], (u * v[:, None] ** 2).T @ u) and np.allclose(got[name][1], (v - 1) @ u)
+
+
+def test_band_pairs_are_dealt_by_pairs(spark, monkeypatch):
+    from tessera.operators import link
+
+    r = random.Random(5)
+    special = [None, float("nan"), float("inf"), float("-inf")]
+    a = [(i, r.choice("ab"), r.choice([r.uniform(0, 3), 1.0, *special])) for i in range(400)] + [(i, None, 1.0) for i in range(400, 403)]
+    b = [(i, r.choice("ab"), r.choice([r.uniform(-2, 3), 1.5, *special])) for i in range(300)]
+    monkeypatch.setattr(link, "TASK_PAIRS", 200, raising=False)
+    got = link.band_pairs(spark.createDataFrame(a, "i int, g string, x double"), spark.createDataFrame(b, "j int, g string, y double"), ("x", "y"), 0.5, ["g"])
+    assert got.columns == ["g", "i", "x", "j", "y"]
+    want = sorted((i, j) for i, g, x in a for j, h, y in b if g == h and x is not None and y is not None and abs(x - y) <= 0.5)
+    assert sorted((p.i, p.j) for p in got.collect()) == want and len(want) > 1000
+    # the small input is not put together for one task again, and no task holds a whole bucket
+    sizes = [n for n in got.rdd.glom().map(len).collect() if n]
+    assert len(sizes) > 5 and max(sizes) < len(want) / 3, (sizes, len(want))
+    empty = link.band_pairs(spark.createDataFrame([], "i int, x double"), spark.createDataFrame([(1, 1.0)], "j int, y double"), ("x", "y"), 0.5)
+    assert empty.count() == 0
