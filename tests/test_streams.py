@@ -1,6 +1,7 @@
 """Streams with late, missing, surplus and badly flagged batches."""
 
 import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,3 +85,17 @@ def test_unknown_flag_stops_the_stream_and_failed_rows_leave_no_state(spark, tmp
     query = stream.writeStream.foreachBatch(lambda df, i: df.collect()).option("checkpointLocation", f"file://{tmp_path}/mark").trigger(availableNow=True).start()
     with pytest.raises(Exception, match="maybe"):
         query.awaitTermination()
+
+
+def test_batch_files_are_one_for_each_batch(spark, sf_dir, monkeypatch):
+    from tessera.plans import streams
+
+    monkeypatch.setattr(streams, "SIZE", 30)
+    folder = streams._batches(spark, sf_dir)
+    names = sorted(p.name for p in Path(folder.removeprefix("file://")).iterdir() if not p.name.startswith("."))
+    ids = sorted(r.event_id for r in spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id").collect())
+    assert names == [f"{batch(i, i + 30)}.parquet" for i in range(0, len(ids), 30)]
+    found = {}
+    for r in spark.read.parquet(folder).withColumn("file", F.regexp_extract(F.input_file_name(), "batch_[0-9]+_[0-9]+", 0)).collect():
+        found.setdefault(r.file, []).append(r.event_id)
+    assert {n: sorted(v) for n, v in found.items()} == {batch(i, i + 30): ids[i : i + 30] for i in range(0, len(ids), 30)}
