@@ -87,6 +87,31 @@ def test_unknown_flag_stops_the_stream_and_failed_rows_leave_no_state(spark, tmp
         query.awaitTermination()
 
 
+def test_listed_run_reads_only_the_batches_it_takes(spark, tmp_path):
+    source, target = f"file://{tmp_path}/source", f"file://{tmp_path}/target"
+    put(spark, source, batch(0, 2), [])  # no rows, no batch
+    put(spark, source, batch(2, 4), [2, 3])
+    put(spark, source, batch(4, 6), [4])
+    put(spark, source, batch(4, 6), [5])  # a batch of two files
+    put(spark, source, batch(6, 8), [6, 7])
+    bad = tmp_path / "source" / batch(8, 10)
+    bad.mkdir()
+    (bad / "part.parquet").write_text("still being written")
+    run = lambda most: handoff.consume_listed(spark, source, SCHEMA, target, "id", ["quality_pass"], most)
+    complete = lambda: sorted((r.batch, r.n_rows) for r in handoff.ledger(spark, target).filter("complete").collect())
+    run(2)
+    assert complete() == [(batch(2, 4), 2), (batch(4, 6), 2)]
+    run(1)
+    assert complete()[2:] == [(batch(6, 8), 2)]
+    (bad / "part.parquet").unlink()
+    run(3)
+    run(None)
+    assert len(complete()) == 3
+    put(spark, source, batch(8, 10), [8, 9])
+    run(None)
+    assert complete()[3:] == [(batch(8, 10), 2)]
+
+
 def test_batch_files_are_one_for_each_batch(spark, sf_dir, monkeypatch):
     from tessera.plans import streams
 
