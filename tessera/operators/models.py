@@ -346,28 +346,126 @@ def compare_outcomes(df: DataFrame, outcomes: Sequence[str], vector: str, dim: i
 
     All that is learned (medians, levels, scales, components, heads) comes from the other folds alone. The loops are over folds, outcomes and models.
     """
+    there = [o for o in outcomes if o in df.columns]
+    df = written(df.select(*dict.fromkeys([group, fold, vector, *there, *numeric, *categorical])), "people")
     assert_no_leak(df, group, fold)
     availability = outcome_availability(df, outcomes, fold, least)
     eligible = [r.outcome for r in availability.filter("status = 'ok'").collect()]
     if not eligible:
         raise CheckFailed("no outcome has enough records")
     maps = fold_components(df, vector, fold, dim, k)
-    predictions = None
+    features, widths = {}, {}
     for f, (matrix, offset) in maps.items():
         rows = projected(df, vector, matrix, offset, "embedding_part").filter(F.col("embedding_part").isNotNull())
         rows = fold_features(df.filter(F.col(fold) != f), rows, numeric, categorical, "clinical_part")
-        rows = written(rows.withColumn("combined_part", F.concat("clinical_part", "embedding_part")).select(group, fold, "clinical_part", "embedding_part", "combined_part", *eligible), "features")
-        for o in eligible:
-            known = rows.filter(F.col(o).cast("double").isin(0.0, 1.0))
-            for model in ("clinical", "embedding", "combined"):
-                beta, bias = _fit_logistic(known.filter(F.col(fold) != f), f"{model}_part", o, c, True)
-                score = sigmoid(dot(F.col(f"{model}_part"), F.array(*[F.lit(float(b)) for b in beta])) + float(bias))
-                part = known.filter(F.col(fold) == f).select(group, F.col(fold).alias("fold"), F.lit(o).alias("outcome"), F.lit(model).alias("model"), F.col(o).cast("int").alias("observed"), score.alias("probability"))
-                predictions = part if predictions is None else predictions.unionByName(part)
+        known = [F.when(F.col(o).cast("double").isin(0.0, 1.0), F.col(o).cast("double")).alias(f"_y{i}") for i, o in enumerate(eligible)]
+        rows = rows.select(F.col(group).alias("_who"), F.col(fold).alias("_fold"), F.lit(f).alias("_learner"), F.concat("clinical_part", "embedding_part").alias("_x"), F.size("clinical_part").alias("_w"), *known)
+        features[f] = written(rows, "features")
+        width, total = features[f].select("_w", F.size("_x")).first()
+        widths[f] = {"clinical": (0, width), "embedding": (width, total), "combined": (0, total)}
+    heads = _fit_together(features, widths, len(eligible), c)
+    predictions = None
+    for f, rows in features.items():
+        cells = []
+        for i, o in enumerate(eligible):
+            for model, (a, b) in widths[f].items():
+                beta, bias = heads[f, i, model]
+                score = sigmoid(dot(F.slice("_x", a + 1, b - a), F.array(*[F.lit(float(v)) for v in beta]).cast("array<double>")) + float(bias))
+                cells.append(F.struct(F.lit(o).alias("outcome"), F.lit(model).alias("model"), F.col(f"_y{i}").cast("int").alias("observed"), score.alias("probability")))
+        part = rows.filter(F.col("_fold") == f).select(F.col("_who").alias(group), F.col("_fold").alias("fold"), F.inline(F.array(*cells))).filter("observed is not null")
+        predictions = part if predictions is None else predictions.unionByName(part)
     predictions = written(predictions, "predictions")
     return predictions, discrimination(predictions, "observed", "probability", ["outcome", "model"]), availability
 
 
+def _fit_together(features: dict[int, DataFrame], widths: dict[int, dict[str, tuple[int, int]]], n_outcomes: int, c: float, steps: int = 100) -> dict[tuple[int, int, str], tuple[np.ndarray, float]]:
+    """{(fold left out, outcome, model): coefficients and intercept}: the balanced classifiers of ``_fit_logistic``, all at once.
+
+    ``features``: for each fold its rows (_fold, _x, _y0, _y1, ...); a model sees a range of _x. Newton steps with halving: a pass over the rows adds loss, gradient
+    and curvature of all models by task, and the driver gets one row of sums for each model.
+    """
+    import pyarrow as pa
+    from pyspark.ml.stat import Summarizer
+
+    spark = next(iter(features.values())).sparkSession
+
+    def summed(models: dict, weigh) -> dict:
+        """The sum over training rows of weigh(key, x, y), by key."""
+        ask = {f: [key for key in models if key[0] == f] for f in features}
+        tables = [df.filter(F.col("_fold") != f).select("_learner", "_x", *[f"_y{i}" for i in range(n_outcomes)]) for f, df in features.items() if ask[f]]
+        shared = spark.sparkContext.broadcast(models)  # a few vectors for each model
+
+        def partial(batches):
+            sums = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                f = batch.column("_learner")[0].as_py()
+                x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                for key in ask.get(f, []):
+                    y = batch.column(f"_y{key[1]}").to_numpy(zero_copy_only=False)
+                    use = ~np.isnan(y)
+                    a, b = widths[f][key[2]]
+                    found = weigh(shared.value[key], x[use, a:b], y[use])
+                    sums[key] = sums[key] + found if key in sums else found
+            for (f, i, model), found in sums.items():
+                yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([i], pa.int32()), pa.array([model]), pa.array([found.tolist()], pa.list_(pa.float64()))], names=["f", "i", "model", "sums"])
+
+        parts = None
+        for t in tables:
+            own = t.mapInArrow(partial, "f int, i int, model string, sums array<double>")
+            parts = own if parts is None else parts.unionByName(own)
+        total = parts.groupBy("f", "i", "model").agg(vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))
+        out = {(r.f, r.i, r.model): np.array(r.sums) for r in total.collect()}  # one row for each model
+        shared.unpersist()
+        return out
+
+    keys = [(f, i, model) for f in features for i in range(n_outcomes) for model in widths[f]]
+    first = summed(dict.fromkeys(keys), lambda _, x, y: np.concatenate([[len(y), y.sum()], x.sum(0)]))
+    for key in keys:
+        if key not in first or not 0 < first[key][1] < first[key][0]:
+            raise CheckFailed("a classifier needs both classes")
+    means = {key: s[2:] / s[0] for key, s in first.items()}
+    spread = summed(means, lambda mean, x, y: np.concatenate([[0.0], ((x - mean) ** 2).sum(0)]))
+    fits = {}
+    for key, s in first.items():
+        n, p = s[0], s[1]
+        sd = np.sqrt(spread[key][1:] / (n - 1))
+        fits[key] = {"n": n, "mean": means[key], "sd": np.where(sd > 0, sd, np.inf), "w": (n / (2 * (n - p)), n / (2 * p)), "at": np.zeros(len(sd) + 1), "best": None, "done": False}
+
+    def newton(fit, x, y):
+        z = np.column_stack([(x - fit["mean"]) / fit["sd"], np.ones(len(y))])
+        t = z @ fit["at"]
+        w = np.where(y == 1, fit["w"][1], fit["w"][0])
+        m = 1 / (1 + np.exp(-np.clip(t, -700, 700)))
+        loss = (w * (np.logaddexp(0, t) - y * t)).sum()
+        return np.concatenate([[loss], z.T @ (w * (m - y)), ((z * (w * m * (1 - m))[:, None]).T @ z).ravel()])
+
+    for _ in range(steps):
+        moving = {key: fit for key, fit in fits.items() if not fit["done"]}
+        if not moving:
+            break
+        for key, s in summed({key: {k: fit[k] for k in ("mean", "sd", "w", "at")} for key, fit in moving.items()}, newton).items():
+            fit, d = fits[key], len(fits[key]["at"])
+            penalty = np.full(d, 1 / c)
+            penalty[-1] = 0.0  # the intercept is free
+            loss = s[0] + (penalty * fit["at"] ** 2).sum() / 2
+            if fit["best"] is None or loss <= fit["best"][0] + 1e-12 * abs(loss):
+                step = np.linalg.solve(s[1 + d :].reshape(d, d) + np.diag(penalty), s[1 : 1 + d] + penalty * fit["at"])
+                fit["best"] = (loss, fit["at"], step)
+            else:  # too far: half of the last step
+                fit["best"] = (*fit["best"][:2], fit["best"][2] / 2)
+            fit["at"] = fit["best"][1] - fit["best"][2]
+            fit["done"] = bool(np.abs(fit["best"][2]).max() < 1e-9)
+    if any(not fit["done"] for fit in fits.values()):
+        raise CheckFailed("a classifier did not converge")
+    out = {}
+    for key, fit in fits.items():
+        beta = fit["at"][:-1] / fit["sd"]
+        out[key] = (beta, float(fit["at"][-1] - beta @ fit["mean"]))
+    return out
+
+
 def evaluate_across(df: DataFrame, vector: str, target: str, own: str, other_head: DataFrame) -> DataFrame:
     """Own out-of-fold errors beside another head's errors on the same rows."""
     both = apply_head(df, other_head, vector, "_other")

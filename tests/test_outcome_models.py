@@ -138,3 +138,16 @@ def test_logistic_effect(spark, cluster):
     else:
         meat = e.T @ e
     assert got["odds_ratio"] == pytest.approx(math.exp(b[1]), rel=1e-6) and got["se"] == pytest.approx(math.sqrt((inverse @ meat @ inverse)[1, 1]), rel=1e-6)
+
+
+def test_classifiers_fitted_together_equal_those_fitted_alone(spark, rows):
+    wide = rows.withColumn("_x", F.concat(F.array(F.coalesce("age", F.lit(60.0)), F.lit(3.0)), "v")).withColumns({"_y0": F.col("y").cast("double"), "_y1": F.col("z").cast("double"), "_fold": F.col("fold")})
+    features = {f: wide.withColumn("_learner", F.lit(f)) for f in range(3)}
+    ranges = {"clinical": (0, 2), "embedding": (2, 8), "combined": (0, 8)}
+    heads = models._fit_together(features, dict.fromkeys(range(3), ranges), 2, 1.0)
+    assert len(heads) == 18
+    for f, i, model in [(0, 0, "combined"), (2, 1, "embedding"), (1, 1, "clinical")]:
+        a, b = ranges[model]
+        train = wide.filter((F.col("fold") != f) & F.col(f"_y{i}").isNotNull()).withColumn("part", F.slice("_x", a + 1, b - a))
+        beta, bias = models._fit_logistic(train, "part", f"_y{i}", 1.0, True)
+        assert np.allclose(heads[f, i, model][0], beta, atol=2e-4) and heads[f, i, model][1] == pytest.approx(bias, abs=1e-2)
