@@ -6,8 +6,10 @@ are left. The sequential answer is reached without a task that holds a whole str
 * Rows of a stratum (equal exact columns) are cut into blocks, ranges of the matched value with about ``block_rows`` rows and at least two calipers
   wide. Controls within a caliper of a block's edge are seen by both sides.
 * Each block lets its cases take turns. A control that a case of another block took at an earlier turn, as of the round before, is not there.
-* Blocks whose controls were taken otherwise than before by other blocks go again, until nothing changes. What holds then is the
+* Blocks whose controls were taken otherwise than before by other blocks with earlier turns go again, until nothing changes. What holds then is the
   sequential answer: in the order of turns, each case saw what all cases before it took.
+* A block all of whose turns come after those of another one, and that shares an eighth of its controls with it, waits until that one is done: where blocks are
+  a few calipers wide, every change below would run through it. By value, dense strata are so solved once, from the lowest block on, all strata at a time.
 
 A change only runs on as far as matches depend on each other, so few blocks go again where controls are plenty; in the worst case (every case
 hangs on the one before) rounds are as many as blocks. A control person with rows at several values is one person in all blocks.
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import checkpointed, written
+from ..sources.shared import checkpointed, new_folder, written
 from .checks import CheckFailed, assert_unique, require_columns
 from .proposals import Line, inside, reachable
 from .proposals import pairs as proposed_pairs
@@ -38,6 +40,8 @@ from .windows import ranked, with_aggregates
 BLOCK_ROWS = 50_000
 CLASSES = 64  # of controls with equal covariates in a block that are searched one by one
 LEVELS = 24  # blocks are 2**level cells wide
+SLOTS = 64  # parts of the rows by hash of their block
+WAITS = 8  # a block waits for one that goes before it if they share a part of this size of its controls
 ROUNDS = 100_000  # a change reaches one more block with each; as many as there are cases would always do
 
 
@@ -105,51 +109,6 @@ def _audit(case: str, x: float, taken: int, eligible: int, rule: Rule) -> tuple:
     return case, x, bool(taken), taken, eligible, reason
 
 
-def _solve_line(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
-    """``_solve`` where controls are distinct people and only values count: n log n."""
-    pool = frame[~frame.is_case].sort_values(["value", "id"])
-    values, ids = pool.value.to_numpy(float), pool.id.tolist()
-    line, n = Line(values, ids), len(ids)
-    tree = np.bitwise_and(np.arange(n + 1), -np.arange(n + 1)).tolist()  # sums of ones, as in a Fenwick tree
-
-    def kill(i: int) -> None:
-        if line.kill(i):
-            i += 1
-            while i <= n:
-                tree[i] -= 1
-                i += i & -i
-
-    def left_before(i: int) -> int:
-        total = 0
-        while i:
-            total += tree[i]
-            i -= i & -i
-        return total
-
-    late = pool.taken.fillna(np.inf).to_numpy(float)
-    dying, dead = [i for i in np.argsort(late, kind="stable").tolist() if late[i] < np.inf], 0
-    pairs, audit = [], []
-    cases = frame[frame.is_case].sort_values(["turn", "id"])
-    for case, x, turn, unknown in zip(cases.id.tolist(), cases.value.tolist(), cases.turn.tolist(), cases.unknown.tolist(), strict=True):
-        while dead < len(dying) and late[dying[dead]] <= turn:
-            kill(dying[dead])
-            dead += 1
-        first, stop = inside(values, x, rule.caliper) if rule.null_matches or not unknown else (0, 0)
-        eligible = left_before(stop) - left_before(first)
-        take = min(rule.ratio, eligible) if eligible >= (rule.ratio if rule.whole else 1) else 0
-        for rank in range(1, take + 1):
-            if rule.lowest:
-                i = line.next(first)
-            else:
-                low, high = line.below(x), line.above(x)
-                far = [(abs(values[k] - x), ids[k], k) for k in (low, high) if first <= k < stop]
-                i = min(far)[2]
-            pairs.append((case, ids[i], rank, turn, x, float(values[i]), float(abs(values[i] - x)), 0.0))
-            kill(i)
-        audit.append(_audit(case, x, take, eligible, rule))
-    return pairs, audit
-
-
 class Left:
     """Which places are left, counted up to any place in a few steps (a Fenwick tree of ones)."""
 
@@ -173,6 +132,77 @@ class Left:
         return total
 
 
+def _within(values: np.ndarray, x: np.ndarray, caliper: float) -> tuple[np.ndarray, np.ndarray]:
+    """``inside`` of many values at once."""
+    first, stop = np.searchsorted(values, x - caliper - 1e-9), np.searchsorted(values, x + caliper + 1e-9, "right")
+    if len(values):
+        while (far := (first < stop) & (np.abs(values[np.minimum(first, len(values) - 1)] - x) > caliper)).any():
+            first = first + far
+        while (far := (first < stop) & (np.abs(values[stop - 1] - x) > caliper)).any():
+            stop = stop - far
+    return first, stop
+
+
+def _solve_line(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
+    """``_solve`` where controls are distinct people and only values count, among all controls or those that agree: n log n."""
+    pool = frame[~frame.is_case].sort_values(["value", "id"])
+    values, ids, n = pool.value.to_numpy(float), pool.id.tolist(), len(pool)
+    cases = frame[frame.is_case].sort_values(["turn", "id"])
+    xs, turns = cases.value.to_numpy(float), cases.turn.to_numpy()
+    # lines: of all controls, and of those with each known value that has to agree
+    members, which, kind, own = [np.arange(n)], np.zeros(len(cases), int), np.full(n, -1), np.zeros(n, int)
+    if rule.agree:
+        names = {v: k for k, v in enumerate(pool.agree.dropna().unique(), 1)}
+        kind = pool.agree.map(names).fillna(-1).to_numpy(int)
+        members += [np.flatnonzero(kind == k) for k in names.values()]
+        for m in members[1:]:
+            own[m] = np.arange(len(m))
+        asked = cases.agree.notna().to_numpy() & ~(turns > cases.loose.to_numpy(float))
+        which = np.where(asked, cases.agree.map(names).fillna(-1).to_numpy(int), 0)  # -1: nobody agrees
+    lines = [Line(values[m], [ids[i] for i in m.tolist()]) for m in members]
+    counts = [Left(len(m)) for m in members]
+    places = [m.tolist() for m in members]
+    begin = [np.searchsorted(x.values, x.values).tolist() for x in lines]  # the first one of equal values
+    first, stop, at = (np.zeros(len(cases), int) for _ in range(3))
+    for k, x in enumerate(lines):
+        mine = np.flatnonzero((which == k) & (rule.null_matches | ~cases.unknown.to_numpy(bool)))
+        first[mine], stop[mine] = _within(x.values, xs[mine], rule.caliper)
+        at[mine] = np.searchsorted(x.values, xs[mine])
+    kind, own = kind.tolist(), own.tolist()
+
+    def kill(i: int) -> None:
+        if lines[0].kill(i):
+            counts[0].kill(i)
+            if kind[i] > 0:
+                lines[kind[i]].kill(own[i])
+                counts[kind[i]].kill(own[i])
+
+    late = pool.taken.fillna(np.inf).to_numpy(float)
+    dying, dead = [i for i in np.argsort(late, kind="stable").tolist() if late[i] < np.inf], 0
+    ends = late[dying].tolist()
+    pairs, audit = [], []
+    for case, x, turn, k, a, b, here in zip(cases.id.tolist(), xs.tolist(), turns.tolist(), which.tolist(), first.tolist(), stop.tolist(), at.tolist(), strict=True):
+        while dead < len(dying) and ends[dead] <= turn:
+            kill(dying[dead])
+            dead += 1
+        line = lines[k]
+        eligible = counts[k].between(a, b) if a < b else 0
+        take = min(rule.ratio, eligible) if eligible >= (rule.ratio if rule.whole else 1) else 0
+        for rank in range(1, take + 1):
+            if rule.lowest:
+                i = line.next(a)
+            else:
+                low, high = line.last(here - 1), line.next(here)
+                if low >= a:
+                    low = line.next(begin[k][low])
+                i = min((abs(line.sorted[j] - x), line.ids[j], j) for j in (low, high) if a <= j < b)[2]
+            v = line.sorted[i]
+            pairs.append((case, line.ids[i], rank, turn, x, v, abs(v - x), 0.0))
+            kill(places[k][i])
+        audit.append(_audit(case, x, take, eligible, rule))
+    return pairs, audit
+
+
 def _solve_classes(frame: pd.DataFrame, pool: pd.DataFrame, kind: np.ndarray, rule: Rule) -> tuple[list, list]:
     """``_solve`` where controls are distinct people of a few classes: inside of a class (``kind``) covariates and ``agree`` are the same, so values count alone."""
     values, ids = pool.value.to_numpy(float), pool.id.tolist()
@@ -257,7 +287,7 @@ def _solve(frame: pd.DataFrame, rule: Rule) -> tuple[list, list]:
     if rule.by_value and pool.id.is_unique:
         return _solve_line(frame, rule)
     if len(pool) and pool.id.is_unique and (kind := _classes(pool, rule)) is not None:
-        return _solve_classes(frame, pool, kind, rule)
+        return _solve_classes(frame, pool, kind, rule) if rule.distance else _solve_line(frame, rule)
     cases = frame[frame.is_case].sort_values(["turn", "id"])
     values, names = pool.value.to_numpy(float), pool.id.to_numpy()
     person = np.unique(names.astype(str), return_inverse=True)[1] if len(pool) else np.zeros(0, int)
@@ -413,42 +443,79 @@ def _by_blocks(light: DataFrame, placed: DataFrame, numbered: DataFrame, rule: R
 
 
 def _settled(placed: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of kind pair and audit with their block. A round solves the blocks that are due and wait for none; blocks that a changed pair reaches are due again."""
     names = {f"g_{i}": c for i, c in enumerate(rule.distance)}
     schema = f"block string, kind string, {PAIRS}, matched boolean, n_controls int, eligible_at_turn int, reason string"
     columns = [c.split()[0] for c in schema.split(", ")]
+    spark = placed.sparkSession
 
-    def solve(frame: pd.DataFrame) -> pd.DataFrame:
+    def solve(frame: pd.DataFrame, taken: pd.DataFrame | None = None) -> pd.DataFrame:
+        at = {} if taken is None else taken.groupby("id")["at"].min().to_dict()
+        # of a person that several blocks see: the turn at which others took it
+        frame["taken"] = np.array([np.nan if case else at.get(x, np.nan) for case, x in zip(frame.is_case, frame.id, strict=True)], float)
         pairs, audit = _solve(frame.rename(columns=names), rule)
-        block = frame.block.iloc[0]
-        out = [(block, "pair", *p, None, None, None, None) for p in pairs] + [(block, "audit", a[0], None, None, None, a[1], None, None, None, *a[2:]) for a in audit]
-        return pd.DataFrame(out, columns=columns)
+        block, several = frame.block.iloc[0], frame[frame.seen.notna()]
+        seen = dict(zip(several.id, several.seen, strict=True))
+        out = [(block, "pair", *p, None, None, None, None, seen.get(p[1])) for p in pairs] + [(block, "audit", a[0], None, None, None, a[1], None, None, None, *a[2:], None) for a in audit]
+        return pd.DataFrame(out, columns=[*columns, "seen"])
 
-    def turns_of(frame: DataFrame) -> DataFrame:
-        return frame.groupBy("block").applyInPandas(solve, schema)
-
-    done = checkpointed(turns_of(placed.withColumn("taken", F.lit(None).cast("long"))))
     # controls that several blocks see: what other blocks take matters for these alone
-    shared = checkpointed(placed.filter("not is_case").select("id", "block").distinct().groupBy("id").agg(F.collect_set("block").alias("blocks")).filter(F.size("blocks") > 1).select("id", F.explode("blocks").alias("block")))
-    if not shared.limit(1).count():
-        return done
-    moved = done.filter("kind = 'pair'").select(F.col("control_id").alias("id"), F.col("block").alias("by")).distinct()
-    for _ in range(ROUNDS):
-        again = checkpointed(shared.join(moved, "id").filter("block != by").select("block").distinct())
-        if not again.limit(1).count():
+    several = placed.filter("not is_case").groupBy("id").agg(F.collect_set("block").alias("seen")).filter(F.size("seen") > 1)
+    slot = F.pmod(F.hash("block"), F.lit(SLOTS))
+    rows = placed.join(several, "id", "left").withColumn("seen", F.when(~F.col("is_case"), F.col("seen"))).withColumn("slot", slot)
+    folder = new_folder(spark, "placed")
+    rows.repartition("block").write.partitionBy("slot").parquet(folder)
+    rows = spark.read.schema(rows.schema).parquet(folder)  # a round reads the slots of its blocks
+    of_block = written(rows.groupBy("block", "slot").agg(F.min("turn").alias("first"), F.max("turn").alias("last"), F.count_if(~F.col("is_case")).alias("n")), "blocks")
+    met = rows.filter("seen is not null").select("block", F.explode("seen").alias("by")).filter("block != by").groupBy("block", "by").agg(F.count("*").alias("shared"))
+    before = of_block.select(F.col("block").alias("by"), F.col("first").alias("by_first"), F.col("last").alias("by_last"))
+    # later turns take nothing from earlier ones; a block waits for one that goes before it as a whole and meets it in much of its controls, as any change there would run through it
+    reach = met.join(of_block, "block").join(before, "by").filter("by_first < last")
+    reach = written(reach.select("block", "by", ((F.col("by_last") < F.col("first")) & (F.col("shared") * WAITS >= F.col("n"))).alias("waits")), "reach")
+
+    def due(state: DataFrame) -> DataFrame:
+        """``state`` (block, slot, round in which it was solved last, pending) with those that go now."""
+        waiting = state.filter("pending")
+        held = reach.filter("waits").join(waiting.select(F.col("block").alias("by")), "by", "left_semi").select("block").distinct().withColumn("held", F.lit(True))
+        return written(state.join(held, "block", "left").select("block", "slot", "round", "pending", (F.col("pending") & F.col("held").isNull()).alias("go")), "state")
+
+    parts = new_folder(spark, "solved")
+
+    def solved(rounds: Sequence[int], state: DataFrame) -> DataFrame:
+        """What stands of these rounds: rows of blocks that were not solved again."""
+        files = spark.read.schema(f"{schema}, seen array<string>, round int").option("basePath", parts).parquet(*[f"{parts}/round={k}" for k in rounds])
+        return files.join(state.filter("round >= 0").select("block", "round"), ["block", "round"], "left_semi")
+
+    state = due(of_block.select("block", "slot", F.lit(-1).alias("round"), F.lit(True).alias("pending")))
+    for k in range(ROUNDS):
+        go = state.filter("go").select("block")
+        slots = [r.slot for r in state.filter("go").select("slot").distinct().collect()]  # SLOTS rows at most
+        if not slots:
             break
-        # of each control the turns at which other blocks took it: a few blocks can reach a person
-        takers = done.filter("kind = 'pair'").groupBy("control_id", F.col("block").alias("by")).agg(F.min("priority").alias("at")).groupBy(F.col("control_id").alias("id")).agg(F.collect_list(F.struct("by", "at")).alias("takers"))
-        frame = placed.join(again, "block", "left_semi").join(takers, "id", "left")
-        others = F.transform(F.filter("takers", lambda t: t["by"] != F.col("block")), lambda t: t["at"])
-        new = turns_of(frame.withColumn("taken", F.when(~F.col("is_case"), F.array_min(others))).drop("takers"))
-        old = done
-        done = checkpointed(done.join(again, "block", "left_anti").unionByName(new))
-        pair = ["case_id", "control_id", F.col("block").alias("by")]
-        before, after = (x.join(again, "block", "left_semi").filter("kind = 'pair'").select(*pair) for x in (old, done))
-        moved = before.exceptAll(after).unionByName(after.exceptAll(before)).select(F.col("control_id").alias("id"), "by").distinct()
+        # rounds in which these blocks, and those that reach them, were solved last
+        own, others = (sorted(r["round"] for r in x.filter("round >= 0").select("round").distinct().collect()) for x in (state.filter("go"), state.join(reach.join(go, "block", "left_semi").select(F.col("by").alias("block")), "block", "left_semi")))
+        here = rows.filter(F.col("slot").isin(slots)).join(go, "block", "left_semi").drop("slot")
+        if others:
+            taken = solved(others, state).filter("seen is not null").select(F.explode("seen").alias("block"), F.col("control_id").alias("id"), F.col("block").alias("by"), F.col("priority").alias("at"))
+            taken = taken.join(reach, ["block", "by"], "left_semi").join(go, "block", "left_semi").select("block", "id", "at")
+            found = here.groupBy("block").cogroup(taken.groupBy("block")).applyInPandas(lambda a, b: solve(a, b), f"{schema}, seen array<string>")
+        else:
+            found = here.groupBy("block").applyInPandas(lambda a: solve(a), f"{schema}, seen array<string>")
+        found.write.parquet(f"{parts}/round={k}")
+        pair = ["case_id", "control_id", "block", "priority", "seen"]
+        after = spark.read.schema(found.schema).parquet(f"{parts}/round={k}").filter("seen is not null").select(*pair)
+        if own:
+            old = solved(own, state).filter("seen is not null").join(go, "block", "left_semi").select(*pair).withColumn("side", F.lit(1))
+            both = old.unionByName(after.withColumn("side", F.lit(2)))
+            after = both.groupBy("case_id", "control_id", "block").agg(F.sum("side").alias("side"), F.first("seen").alias("seen")).filter("side < 3")
+        moved = after.select(F.explode("seen").alias("block"), F.col("block").alias("by")).distinct().join(reach, ["block", "by"], "left_semi").select("block").distinct().withColumn("moved", F.lit(True))
+        state = due(state.join(moved, "block", "left").select("block", "slot", F.when(F.col("go"), F.lit(k)).otherwise(F.col("round")).alias("round"), ((F.col("pending") & ~F.col("go")) | F.col("moved").isNotNull()).alias("pending")))
     else:
         raise CheckFailed(f"no end after {ROUNDS} rounds")
-    return done
+    if not k:
+        return spark.createDataFrame([], schema)
+    last = sorted(r["round"] for r in state.select("round").distinct().collect())
+    return solved(last, state).select(*columns)
 
 
 def match_rounds(df: DataFrame, who: str, value: str, case: str, rule: Rule, block_rows: int = 500) -> DataFrame:
@@ -483,6 +550,7 @@ def match_extremes(df: DataFrame, who: str, value: str, gap: str, cohort: str, s
     placed = with_aggregates(ranked(rows, [cohort], [F.col(gap), F.col(who)], "_rank"), [cohort], _n=F.count("*"))
     size = F.least(F.greatest(F.lit(1), F.ceil(F.col("_n") * fraction)), F.floor(F.col("_n") / 2))
     ends = placed.filter("_n >= 4").withColumn("_case", F.when(F.col("_rank") > F.col("_n") - size, 1).when(F.col("_rank") <= size, 0)).filter("_case is not null").drop("_rank", "_n")
+    ends = written(ends, "ends")
     turns = replace(rule, order="value", exact=(*rule.exact, cohort), agree=sex)
     pairs = match(ends, who, value, "_case", turns)[0]
     return pairs.join(ends.filter("_case = 1").select(F.col(who).cast("string").alias("case_id"), cohort), "case_id")
