@@ -246,7 +246,7 @@ def test_blocks_that_hang_together_are_solved_once(spark, monkeypatch):
     assert solved.filter("kind = 'audit'").count() == audit.count() == 200
 
 
-@pytest.mark.parametrize(("visits", "reach"), [(False, 0.05), (True, 0.05)])
+@pytest.mark.parametrize(("visits", "reach"), [(False, 0.05), (True, 0.05), (True, 1.0)])
 def test_wide_blocks_go_again_where_a_change_reaches_them(spark, visits, reach):
     r = random.Random(11)
     rows = [(f"p{i:03d}", round(r.uniform(40, 60), 2), int(r.random() < 0.5), "BL") for i in range(500)]
