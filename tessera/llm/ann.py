@@ -9,7 +9,8 @@ uniform step to the bound. In each block, the best by estimate are scored exactl
 on the original vectors); vectors whose upper bound reaches the k-th of those scores are reranked, and the best k of all
 blocks stay. The rotation is drawn from a seed; nothing is fitted, and every row is coded.
 
-Queries in blocks meet blocks of coded vectors. Equal vectors are one entry with its k + 1
+Queries in blocks meet blocks of coded vectors, in a shuffled join: either side is repeated for the parts of the other one, which
+no estimate of its size knows of, so neither may be broadcast. Equal vectors are one entry with its k + 1
 smallest ids (no answer can use more: a query's own row leaves k), so copies cost no pairs.
 
 Vectors that are null, zero, or hold null or non-finite components take no part, neither do rows
@@ -29,8 +30,10 @@ from pyspark.sql import functions as F
 ERROR = 3.0
 PLANES = 4
 QUERY_BLOCK = 2048
+QUERY_GROUP = 64 << 20  # bytes of query vectors that a task holds; entries are sent once to each group of query blocks
 QUERIES_AT_ONCE = 64
 ENTRY_BLOCK = 8192
+ENTRY_PART = 1024  # rows for each part of the entries, at least: every part gets all queries
 SEED = 7
 RESULT = "query_id long, vec_id long, score double"
 
@@ -56,17 +59,18 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
 
 
-def _cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact measure of row pairs; vectors are scaled first so that squares stay finite."""
-    a, b = a / np.abs(a).max(axis=1, keepdims=True), b / np.abs(b).max(axis=1, keepdims=True)
-    return np.einsum("ij,ij->i", a, b) / (np.sqrt(np.einsum("ij,ij->i", a, a)) * np.sqrt(np.einsum("ij,ij->i", b, b)))
+def _scaled(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rows scaled so that squares stay finite, their norms)."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v, np.sqrt(np.einsum("ij,ij->i", v, v))
 
 
-def _pairs(q: np.ndarray, v: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Exact scores of (query, entry) pairs, some thousand vectors at a time."""
+def _pairs(q: tuple[np.ndarray, np.ndarray], v: tuple[np.ndarray, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Exact scores of (query, entry) pairs of scaled rows, some thousand vectors at a time."""
     out = np.empty(len(i))
     for a in range(0, len(i), 16384):
-        out[a : a + 16384] = _cosine(q[i[a : a + 16384]], v[j[a : a + 16384]])
+        x, y = i[a : a + 16384], j[a : a + 16384]
+        out[a : a + 16384] = np.einsum("ij,ij->i", q[0][x], v[0][y]) / (q[1][x] * v[1][y])
     return out
 
 
@@ -120,20 +124,20 @@ def _search(row: dict, dim: int, k: int, turn: np.ndarray) -> tuple[list, list,
     counts = np.frombuffer(row["counts"], np.int32)
     ids, begin = np.frombuffer(row["ids"], np.int64), np.cumsum(counts) - counts
     out: tuple[list, list, list] = ([], [], [])
-    rotated = _unit(q) @ turn
+    rotated, exact = _unit(q) @ turn, _scaled(v)
     only = np.where(counts == 1, ids[begin], -1)
     for a in range(0, len(q), QUERIES_AT_ONCE):
-        own_ids = q_ids[a : a + QUERIES_AT_ONCE]
+        own_ids, asked = q_ids[a : a + QUERIES_AT_ONCE], _scaled(q[a : a + QUERIES_AT_ONCE])
         near, error = estimates(rotated[a : a + QUERIES_AT_ONCE], codes, c)
         # the exact k-th score of the best by estimate is a bar that no answer is under
         first = min(4 * (k + 1), len(v))
         best = np.argpartition(near, len(v) - first, axis=1)[:, len(v) - first :]
         i = np.repeat(np.arange(len(near)), first)
-        score = _pairs(q[a : a + QUERIES_AT_ONCE], v, i, best.ravel()).reshape(-1, first)
+        score = _pairs(asked, exact, i, best.ravel()).reshape(-1, first)
         score[(counts[best] == 1) & (only[best] == own_ids[:, None])] = -np.inf
         bar = np.partition(score, first - k, axis=1)[:, first - k] if first >= k else np.full(len(near), -np.inf)
         i, j = np.nonzero(near + error >= (bar - 1e-9)[:, None])
-        score = _pairs(q[a : a + QUERIES_AT_ONCE], v, i, j)
+        score = _pairs(asked, exact, i, j)
         fine = score >= bar[i]
         i, j, score = i[fine], j[fine], score[fine]
         order = np.lexsort((ids[begin[j]], -score, i))
@@ -165,14 +169,16 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     dim = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if dim is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = dim["n"]
+    dim, most = dim["n"], dim["count"]
     rows = rows.filter(F.size("v") == dim).distinct()
     asked = usable(queries).filter(F.size("v") == dim).dropDuplicates(["vec_id", "v"])
     ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("r") <= k + 1)
     entries = ranked.groupBy("v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     blocks = coded_blocks(entries, dim)
     n = asked.count()
-    q_parts, e_parts = max(1, -(-n // QUERY_BLOCK)), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    q_parts, e_parts = max(1, -(-n // QUERY_BLOCK)), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-most // ENTRY_PART))
+    together = max(1, QUERY_GROUP // (QUERY_BLOCK * dim * 8))  # query blocks of a group
+    groups = -(-q_parts // together)
 
     def gather_queries(batches):
         for batch in batches:
@@ -183,9 +189,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.column("vec_id").to_numpy().tobytes()], pa.binary()), pa.array([x.column("v").flatten().to_numpy().tobytes()], pa.binary())], names=["q_part", "q_ids", "q_vectors"])
 
     # a block of queries is at most QUERY_BLOCK vectors; blocks are dealt to every part of the entries
-    packed = asked.withColumn("q_part", F.pmod(F.xxhash64("vec_id"), F.lit(q_parts)).cast("int")).repartition(min(q_parts, e_parts), "q_part").mapInArrow(gather_queries, "q_part int, q_ids binary, q_vectors binary")
-    left = blocks.withColumn("e_part", F.pmod(F.xxhash64("ids"), F.lit(e_parts)).cast("int")).withColumn("q_part", F.explode(F.sequence(F.lit(0), F.lit(q_parts - 1))))
-    right = packed.withColumn("e_part", F.explode(F.sequence(F.lit(0), F.lit(e_parts - 1))))
+    packed = asked.withColumn("q_part", F.pmod(F.xxhash64("vec_id"), F.lit(q_parts)).cast("int")).repartition(min(q_parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), "q_part").mapInArrow(gather_queries, "q_part int, q_ids binary, q_vectors binary")
+    left = blocks.withColumn("e_part", F.pmod(F.xxhash64("ids"), F.lit(e_parts)).cast("int")).withColumn("q_group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    right = packed.withColumn("q_group", F.floor(F.col("q_part") / together).cast("int")).drop("q_part").withColumn("e_part", F.explode(F.sequence(F.lit(0), F.lit(e_parts - 1))))
 
     def run(batches):
         turn = rotation(dim)
@@ -194,6 +200,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
                 a, b, c = _search(row, dim, k, turn)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.float64())], names=["query_id", "vec_id", "score"])
 
-    found = left.join(right, ["q_part", "e_part"]).drop("q_part", "e_part").mapInArrow(run, RESULT)
+    found = left.hint("merge").join(right, ["q_group", "e_part"]).drop("q_group", "e_part").mapInArrow(run, RESULT)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")).withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

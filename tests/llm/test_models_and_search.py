@@ -64,6 +64,22 @@ def test_nearest_neighbours(spark):
     assert ann.search(few.limit(0), few.limit(0), 5).count() == 0
 
 
+def test_search_repeats_neither_side_through_the_driver(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(r.normal(size=(900, 16)))], "vec_id long, embedding array<double>")
+    asked = df.filter("vec_id % 10 = 0")
+    found = ann.search(df, asked, 5)
+    whole = sorted(tuple(x) for x in found.collect())
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    # several blocks of queries in two groups, several parts of the entries
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 20)
+    monkeypatch.setattr(ann, "QUERY_GROUP", 3 * 20 * 16 * 8)
+    monkeypatch.setattr(ann, "ENTRY_PART", 300)
+    found = ann.search(df, asked, 5)
+    assert sorted(tuple(x) for x in found.collect()) == whole and len(whole) == 450
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 @pytest.mark.parametrize("dim", [20, 64, 130])
 def test_estimates_from_packed_words(dim):
     r = np.random.default_rng(dim)
