@@ -6,6 +6,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from tessera.sources import readers
 from tessera.streaming import handoff
 
 SCHEMA = "id long, quality_pass string, at timestamp"
@@ -69,6 +70,43 @@ def test_heartbeats_and_state_of_the_run(spark, tmp_path):
     assert (last.number, last.n_batches, last.covered_to, last.status) == (1, 3, 6, "finished")
 
 
+def settled(spark, tmp_path, step):
+    """Jobs that ``step`` took in the fourth of four micro-batches, in a session set as a stream sets its own."""
+    target = f"file://{tmp_path}/target"
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for number in range(4):
+            path = f"file://{tmp_path}/in{number}"
+            put(spark, path, batch(2 * number, 2 * number + 2), [2 * number, 2 * number + 1])
+            rows = spark.read.schema(SCHEMA).parquet(f"{path}/*/*").withColumn("batch", F.lit(batch(2 * number, 2 * number + 2)))
+            spark.sparkContext.setJobGroup(f"settle-{tmp_path}-{number}", "")
+            handoff._settle(spark, rows, number, target, "id", ["quality_pass"], None)
+            spark.sparkContext.setJobGroup(f"other-{tmp_path}-{number}", "")
+            step(target, number)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    jobs = lambda what: len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"{what}-{tmp_path}-3"))
+    found = jobs("settle"), jobs("other")
+    spark.sparkContext.setJobGroup("rest", "")
+    return target, *found
+
+
+def test_micro_batch_takes_few_jobs(spark, tmp_path):
+    target, jobs, _ = settled(spark, tmp_path, lambda target, number: None)
+    assert jobs <= 3  # its rows, its ledger, whether anything waits
+    assert sorted(r.id for r in readers.read_table(spark, f"{target}/rows").collect()) == list(range(8))
+    assert handoff.waiting_versions(spark, target) == []
+
+
+def test_merged_parts_may_differ_in_types(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(readers, "MAX_PARTS", 3)
+    path = f"file://{tmp_path}/t"
+    parts = [spark.createDataFrame([(1, 1)], "id int, v int"), spark.createDataFrame([(2, 2**40)], "id int, v long"), spark.createDataFrame([(1, 3, "x")], "id int, v int, w string"), spark.createDataFrame([(3, 4)], "id int, v int")]
+    for part in parts:
+        readers.upsert(spark, path, part, ["id"])
+    assert sorted(tuple(r) for r in readers.read_table(spark, path).select("id", "v", "w").collect()) == [(1, 3, "x"), (2, 2**40, None), (3, 4, None)]
+
+
 def test_unknown_flag_stops_the_stream_and_failed_rows_leave_no_state(spark, tmp_path):
     source = f"file://{tmp_path}/source"
     moment = F.timestamp_seconds(F.col("id") + 1_700_000_000)
