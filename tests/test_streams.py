@@ -98,6 +98,24 @@ def test_micro_batch_takes_few_jobs(spark, tmp_path):
     assert handoff.waiting_versions(spark, target) == []
 
 
+def test_progress_is_one_job_and_the_same_as_by_joins(spark, tmp_path):
+    cases = [[], [(0, 4)], [(2, 4)], [(0, 4), (4, 6), (6, 9)], [(0, 4), (0, 6)], [(4, 6), (0, 4), (4, 8), (8, 9)], [(0, 9), (3, 5), (5, 7)], [(0, 4), (6, 8), (8, 9)], [(0, 2), (2, 9), (4, 6)]]
+    rows = [[(batch(a, b), a, b, b - a, True, 0) for a, b in case] + [(batch(50, 60), 50, 60, 3, False, 0)] for case in cases]
+    status = spark.sparkContext.statusTracker()
+    for k, case in enumerate(rows):
+        made = spark.createDataFrame(case, handoff.LEDGER)  # of unknown size: by joins
+        made.coalesce(1).write.parquet(f"file://{tmp_path}/{k}")
+        spark.sparkContext.setJobGroup(f"progress-{tmp_path}-{k}", "")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        try:
+            got = handoff.progress(spark.read.schema(handoff.LEDGER).parquet(f"file://{tmp_path}/{k}"), 9).first()
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+            spark.sparkContext.setJobGroup("rest", "")
+        assert got == handoff.progress(made, 9).first(), cases[k]
+        assert len(status.getJobIdsForGroup(f"progress-{tmp_path}-{k}")) == 1
+
+
 def test_merged_parts_may_differ_in_types(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(readers, "MAX_PARTS", 3)
     path = f"file://{tmp_path}/t"
