@@ -98,6 +98,13 @@ def test_micro_batch_takes_few_jobs(spark, tmp_path):
     assert handoff.waiting_versions(spark, target) == []
 
 
+def test_heartbeat_is_one_job(spark, tmp_path):
+    target, _, jobs = settled(spark, tmp_path, lambda target, number: handoff.beat(spark, target, number, 8))
+    assert jobs == 1
+    last = handoff.run_state(spark, target, "1 hour").first()
+    assert (last.number, last.n_batches, last.n_rows, last.covered_to, last.status) == (3, 4, 8, 8, "finished")
+
+
 def test_progress_is_one_job_and_the_same_as_by_joins(spark, tmp_path):
     cases = [[], [(0, 4)], [(2, 4)], [(0, 4), (4, 6), (6, 9)], [(0, 4), (0, 6)], [(4, 6), (0, 4), (4, 8), (8, 9)], [(0, 9), (3, 5), (5, 7)], [(0, 4), (6, 8), (8, 9)], [(0, 2), (2, 9), (4, 6)]]
     rows = [[(batch(a, b), a, b, b - a, True, 0) for a, b in case] + [(batch(50, 60), 50, 60, 3, False, 0)] for case in cases]
